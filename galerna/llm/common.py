@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space that separates words: space and the ASCII controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -60,3 +63,21 @@ def drop_table(df: DataFrame) -> None:
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``, equals ``remainder`` (null id: the text is empty)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
+
+
+def map_rows(df: DataFrame, schema: T.StructType, make, piece: int = 512) -> DataFrame:
+    """Arrow batches through ``make``: it gets a list for each column and returns (or yields) tuples of ``schema``.
+
+    Values go as Python objects, so that nulls do not turn long ids into floating point; pieces are small because
+    texts may be long.
+    """
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, piece):
+                rows = list(make(*(c.to_pylist() for c in batch.slice(at, piece).columns)))
+                columns = list(zip(*rows)) if rows else [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, schema)

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galerna.llm import bpe, quality
-from galerna.llm.common import table
+from galerna.llm import bpe, decontaminate, langid, lm, pii, quality, simhash, urls
+from galerna.llm.common import held_out, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -23,6 +23,53 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lm.score(documents, ~held_out(F.col("doc_id"), 7, 2), lm.split_block(documents)).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = langid.Model.fit(documents.filter(~held).select("text", "lang"))
+    return langid.identify(documents, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+
+    def joined(some):
+        return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return pii.detect(table(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")
+    )
+
+
+#: The rules, and host labels whose hosts are listed.
+RULES = [
+    urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"),
+]
+LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda host: F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.Cascade.fit(documents).apply(documents).select(
@@ -31,8 +78,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("rejected_by")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op9_quality": op9_quality}
+    return {q.__name__: q for q in (op1_bpe, op3_lm, op4_langid, op5_simhash, op7_pii, op8_urls, op9_quality, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

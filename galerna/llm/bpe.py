@@ -13,7 +13,7 @@ time linear in their length; ids outside the vocabulary make ``decode`` fail wit
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -198,28 +198,27 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """Add column ``name``: ``make`` maps an Arrow batch to an Arrow array."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
+def _with(df: DataFrame, added: list[tuple[str, T.DataType, Callable]]) -> DataFrame:
+    """Add columns (name, type, function of an Arrow batch that has all columns before), in one pass."""
+    names = [name for name, _, _ in added]
+    schema = T.StructType([*(f for f in df.schema.fields if f.name not in names), *(T.StructField(n, k) for n, k, _ in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # small pieces: long texts make many ids
                 piece = batch.slice(at, 512)
-                keep = [i for i, n in enumerate(piece.schema.names) if n != name]
-                yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(i) for i in keep), make(piece)], [*(piece.schema.names[i] for i in keep), name]
-                )
+                for name, _, make in added:
+                    column, have = make(piece), piece.schema.names
+                    keep = [i for i, n in enumerate(have) if n != name]
+                    piece = pa.RecordBatch.from_arrays(
+                        [*(piece.column(i) for i in keep), column], [*(have[i] for i in keep), name]
+                    )
+                yield piece
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids`` (array of int): the encoding of column ``text`` by the ranks in ``path``, split by ``pattern``.
-
-    All other columns stay; a column named like ``ids`` is replaced. Null texts give an empty array.
-    """
-
+def _encoder(path: str, pattern: str, text: str, ids: str) -> tuple[str, T.DataType, Callable]:
     def make(piece: pa.RecordBatch) -> pa.Array:
         v = vocabulary(path, pattern)
         each = [v.encode(x or "") for x in piece.column(piece.schema.get_field_index(text)).to_pylist()]
@@ -227,19 +226,36 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         flat = np.fromiter(chain.from_iterable(each), np.int32, int(offsets[-1]))
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-    return _with(df, ids, T.ArrayType(T.IntegerType()), make)
+    return ids, T.ArrayType(T.IntegerType()), make
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add ``decoded`` (binary): the bytes that ``ids`` stand for. Null ids give empty bytes."""
-
+def _decoder(path: str, pattern: str, ids: str, decoded: str) -> tuple[str, T.DataType, Callable]:
     def make(piece: pa.RecordBatch) -> pa.Array:
         v = vocabulary(path, pattern)
         column = piece.column(piece.schema.get_field_index(ids))
-        at, flat = column.offsets.to_pylist(), column.values.to_numpy().tolist()  # a null's range is empty
-        return pa.array([v.decode(flat[a:b]) for a, b in zip(at, at[1:])], pa.binary())
+        at = column.offsets.to_pylist()
+        flat = column.values.slice(at[0], at[-1] - at[0]).to_numpy().tolist()  # a null's range is empty
+        return pa.array([v.decode(flat[a - at[0] : b - at[0]]) for a, b in zip(at, at[1:])], pa.binary())
+
+    return decoded, T.BinaryType(), make
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add ``ids`` (array of int): the encoding of column ``text`` by the ranks in ``path``, split by ``pattern``.
+
+    All other columns stay; a column named like ``ids`` is replaced. Null texts give an empty array.
+    """
+    return _with(df, [_encoder(path, pattern, text, ids)])
+
+
+def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add ``decoded`` (binary): the bytes that ``ids`` stand for. Null ids give empty bytes."""
+    return _with(df, [_decoder(path, pattern, ids, decoded)])
+
 
-    return _with(df, decoded, T.BinaryType(), make)
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass."""
+    return _with(df, [_encoder(path, pattern, text, ids), _decoder(path, pattern, ids, decoded)])
 
 
 def reencode(df: DataFrame, path: str, pattern: str) -> DataFrame:

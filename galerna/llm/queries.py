@@ -14,8 +14,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    return bpe.decode(ids.drop("text"), path, pattern).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe.ids_digest().alias("ids_sha256"),

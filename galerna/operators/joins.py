@@ -25,8 +25,8 @@ def storm_cells(tracks: DataFrame, cells: DataFrame, reach_km: Column | float, b
     reach = reach_km if isinstance(reach_km, Column) else F.lit(float(reach_km))
     n_lon = int(360 / bin_degrees)
     dlat = reach / KM_A_DEGREE
-    top = F.least(F.abs(F.col("lat")) + dlat, F.lit(89.0))
-    dlon = F.least(reach / (KM_A_DEGREE * F.cos(F.radians(top))), F.lit(180.0))
+    top = F.abs(F.col("lat")) + dlat  # towards a pole within reach every longitude may be near
+    dlon = F.when(top >= 89.0, 180.0).otherwise(F.least(reach / (KM_A_DEGREE * F.cos(F.radians(top))), F.lit(180.0)))
     lat_bins = F.sequence(bin_of(F.col("lat") - dlat, bin_degrees), bin_of(F.col("lat") + dlat, bin_degrees))
     first, last = bin_of(F.col("lon") - dlon, bin_degrees), bin_of(F.col("lon") + dlon, bin_degrees)
     lon_bins = F.transform(F.sequence(first, F.least(last, first + n_lon - 1)), lambda b: F.pmod(b, F.lit(n_lon)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galerna.llm import bpe, decontaminate, pii, quality, simhash
-from galerna.llm.common import materialize, table
+from galerna.llm.common import materialize, ship, table
 
 #: The last stage's ids cannot be expressed in SQL.
 ORACLE_SQL = None
@@ -29,15 +29,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = simhash.near_duplicates(docs.select("doc_id", "text"))
     heads = materialize(classes.filter("doc_id = component_id").groupBy("doc_id").count(), "heads")
-    single = docs.join(heads.filter("count = 1"), "doc_id", "left_semi")
-    repeated = docs.join(heads.filter("count > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    # merged by id at every size: the heads grow with the documents, so they are never sent to all tasks
+    kept = docs.join(heads.filter("count = 1").hint("merge"), "doc_id", "left_semi")
+    if not heads.filter("count > 1").isEmpty():
+        kept = kept.unionByName(docs.join(heads.filter("count > 1").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, edited or not, go."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +70,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

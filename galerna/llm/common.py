@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +15,25 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space that separates words: space and the ASCII controls from tab to carriage return.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: For ``str.translate`` inside tasks: lower-cases A-Z and nothing else.
-LOWER_TABLE = str.maketrans(UPPER, LOWER)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once, unless they find it themselves by PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.master.startswith("local") and str(root) in known or getattr(context, "_galerna_sent", False):
+        return
+    archive = Path(tempfile.mkdtemp()) / "galerna.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in (root / "galerna").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))  # Spark copies it to every executor
+    context._galerna_sent = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ ITEMS_A_BLOCK = 20_000
 RARE_TIMES = 20.0
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of an alignment, as a share of what the whole item would reach.
-MIN_SCORE = 0.6
+MIN_SCORE = 0.5
 
 _words = re.compile(r"[^\W_]+").findall
 _P = np.uint64(0x9E3779B97F4A7C15)

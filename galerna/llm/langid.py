@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -35,7 +36,10 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
 #: Least share of a language's letters in a script for the language to be a candidate there.
 SCRIPT_SHARE = 0.01
-WORDS_KEPT = 200_000
+WORDS_KEPT = 300_000
+GRAMS_KEPT = 300_000
+#: Score of a language that does not use the word's script.
+NO_CANDIDATE = -1e3
 WORD_LETTERS = 40
 
 #: First and last code point of ranges, by script.
@@ -59,14 +63,28 @@ def words(text: str | None) -> list[str]:
     return _letters(unicodedata.normalize("NFC", text or "").lower())
 
 
+class Buckets(dict):
+    """Bucket of each n-gram, remembered: there are few n-grams of three letters at most."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= GRAMS_KEPT:
+            self.clear()
+        found = self[gram] = xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+        return found
+
+
+_buckets = Buckets()
+
+
 def grams(word: str) -> list[int]:
     """Buckets of the n-grams of a word; a very long word counts by pieces, all of it."""
-    out: list[int] = []
+    out: list[str] = []
     for at in range(0, len(word), WORD_LETTERS):
         w = f"<{word[at : at + WORD_LETTERS]}>"
-        for n in (1, 2, 3):
-            out += [xxhash.xxh32_intdigest(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(w) - n + 1)]
-    return out
+        out += w
+        out += [w[i : i + 2] for i in range(len(w) - 1)]
+        out += [w[i : i + 3] for i in range(len(w) - 2)]
+    return [_buckets[g] for g in out]
 
 
 @dataclass
@@ -123,28 +141,28 @@ class Scorer:
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
 
-    def _add(self, word: str) -> int:
-        m = self.model
-        score = m.logs[grams(word)].sum(0)
-        uses = m.uses[script_of(word)]
-        score = score - score.max()
-        if uses.any():
-            score = np.where(uses, score, -1e3)
-        n = len(self.number)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = score
-        self.number[word] = n
-        return n
+    def _add(self, fresh: list[str]) -> None:
+        """Score new words, all together."""
+        m, n, k = self.model, len(self.number), len(fresh)
+        each = [grams(w) for w in fresh]
+        starts = np.cumsum([0, *map(len, each[:-1])])
+        score = np.add.reduceat(m.logs[np.fromiter(chain.from_iterable(each), np.int64)], starts, axis=0)
+        score -= score.max(axis=1, keepdims=True)
+        uses = m.uses[[script_of(w) for w in fresh]]
+        score[~uses & uses.any(axis=1, keepdims=True)] = NO_CANDIDATE
+        if n + k > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(k, len(self.table)), score.shape[1]))])
+        self.table[n : n + k] = score
+        self.number.update(zip(fresh, range(n, n + k)))
 
     def scores(self, ws: list[str]) -> np.ndarray:
         if len(self.number) > WORDS_KEPT:
             self.number.clear()
         get = self.number.get
-        at = [get(w, -1) for w in ws]
-        if -1 in at:
-            at = [self._add(w) if a < 0 and get(w) is None else self.number[w] for a, w in zip(at, ws)]
-        return self.table[at]
+        fresh = [w for w in dict.fromkeys(ws) if get(w) is None]
+        if fresh:
+            self._add(fresh)
+        return self.table[list(map(self.number.__getitem__, ws))]
 
     def labels(self, score: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
         """The best labelling: a language's number for each word."""

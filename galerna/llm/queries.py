@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galerna.llm import bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, urls, warc
-from galerna.llm.common import held_out, materialize, table
+from galerna.llm.common import held_out, materialize, ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -104,7 +104,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (
+    def shipped(q):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return q(spark, sf_dir)
+
+        return run
+
+    return {q.__name__: shipped(q) for q in (
         op1_bpe, op2_licenses, op3_lm, op4_langid, op5_simhash, op6_warc, op7_pii, op8_urls, op9_quality, op10_decontaminate,
     )}
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galerna.llm.common import LOWER_TABLE, WORD, materialize
+from galerna.llm.common import materialize
 from galerna.llm.components import connected
 
 SHINGLE_WORDS = 3
@@ -30,16 +30,15 @@ RADIUS = 3
 TILE = 1024
 
 
-def fingerprint(words: list[str], shingle: int = SHINGLE_WORDS) -> int:
+def fingerprint(words: list[bytes], shingle: int = SHINGLE_WORDS) -> int:
     """A bit is 1 where over half of the hashes of all shingles (repeats included) have it; no words: zero."""
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(" ".join(words).encode("utf-8", "surrogatepass"), SEED)]
+        hashes = [digest(b" ".join(words), SEED)]
     else:
-        parts = [w.encode("utf-8", "surrogatepass") for w in words]
-        hashes = [digest(b" ".join(x), SEED) for x in zip(*(parts[k:] for k in range(shingle)))]
+        hashes = [digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)))]
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         some = np.array(hashes[at : at + 4096], dtype="<u8")
@@ -50,14 +49,12 @@ def fingerprint(words: list[str], shingle: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null texts count as empty."""
-    import re
-
-    find, name = re.compile(WORD).findall, doc_id
+    name = doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = [fingerprint(find((t or "").translate(LOWER_TABLE))) for t in texts]
+            # methods of bytes lower-case A-Z alone and split at ASCII white space alone
+            fps = [fingerprint((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], [name, "fp"])
 
     schema = T.StructType([T.StructField(name, df.schema[doc_id].dataType), T.StructField("fp", T.LongType())])

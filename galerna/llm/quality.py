@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galerna.llm.common import WORD, whole_text
+from galerna.llm.common import WORD, materialize, whole_text
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -128,7 +128,8 @@ class Cascade:
     def fit(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> "Cascade":
         """Measure cost and selectivity on at most ``sample_rows`` rows and order the rules by rejection per cost."""
         rules = rules or default_rules()
-        sample = df.select(text).limit(sample_rows)
+        # written once: a limit starts on every partition, and each rule would do that again
+        sample = materialize(df.select(text).limit(sample_rows), "sample")
         measured, found = measures(sample, text), []
         total = max(sample.count(), 1)
         for rule in rules:

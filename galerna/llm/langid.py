@@ -7,7 +7,9 @@ script are candidates. Over the words of a text Viterbi finds the labelling of b
 each change of language; runs of one label are the spans.
 
 A text has one language all through, as most do, if no stretch of words gains more than one penalty in any other
-language; this is tested with vectors, exactly, and only other texts take the word-by-word recursion.
+language, and no labelling without that language gains: it changes directly between others, so that two stretches may
+gain for one penalty. This is tested with vectors, by bounds that are safe, and other texts take the word-by-word
+recursion.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language first by name; with
 no labelled rows every text is ``und``.
@@ -168,8 +170,11 @@ class Scorer:
         """The best labelling: a language's number for each word."""
         n, k = score.shape
         best = int(score.sum(0).argmax())
-        gain = np.cumsum(np.concatenate([np.zeros((1, k)), score - score[:, best : best + 1]]), axis=0)
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+        own = score - score[:, best : best + 1]
+        gain = np.cumsum(np.concatenate([np.zeros((1, k)), own]), axis=0)
+        most = (gain - np.minimum.accumulate(gain, axis=0)).max()
+        # beside the best language, s stretches in a row pay s penalties at least; without it, s - 1
+        if most <= penalty and (2 * most <= penalty or np.delete(own, best, axis=1).max(axis=1).sum() <= penalty):
             return np.full(n, best)
         total, back = score[0].tolist(), []
         for row in score[1:].tolist():

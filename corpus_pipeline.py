@@ -10,11 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galerna.llm import bpe, decontaminate, pii, quality, simhash
+from galerna.llm import bpe, copies, decontaminate, pii, quality
 from galerna.llm.common import materialize, ship, table
 
 #: The last stage's ids cannot be expressed in SQL.
 ORACLE_SQL = None
+#: Key of a row within a stage: ids may repeat or be null.
+ROW = "__row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays.
 
-    Rows that repeat an id count as copies if their groups are the same. A document without an id always stays.
+    Rows that repeat an id count as copies if their groups are the same.
     """
-    classes = simhash.near_duplicates(docs.select("doc_id", "text"))
-    heads = materialize(classes.filter("doc_id = component_id").groupBy("doc_id").count(), "heads")
-    # merged by id at every size: the heads grow with the documents, so they are never sent to all tasks
-    kept = docs.join(heads.filter("count = 1").hint("merge"), "doc_id", "left_semi")
-    if not heads.filter("count > 1").isEmpty():
-        kept = kept.unionByName(docs.join(heads.filter("count > 1").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    classes = copies.near_copies(keyed, ROW)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    heads = keyed.select(F.col(ROW).alias("key"), "doc_id").join(classes, "key").groupBy("component").agg(F.min(rank)["key"].alias(ROW))
+    # merged by key at every size: the heads grow with the documents, so they are never sent to all tasks
+    return keyed.join(heads.select(ROW).hint("merge"), ROW, "left_semi").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

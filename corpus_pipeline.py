@@ -15,10 +15,15 @@ from galerna.llm.common import materialize, ship, table
 
 #: The last stage's ids cannot be expressed in SQL.
 ORACLE_SQL = None
-#: Key of a row within a stage: ids may repeat or be null.
+#: Key of a row, which all stages but the last carry: ids may repeat or be null.
 ROW = "__row"
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, written so that it stays the same when the rows are read again."""
+    return docs if ROW in docs.columns else materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     return quality.Cascade.fit(docs).apply(docs).filter("kept").select(docs.columns)
@@ -27,20 +32,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays.
 
-    Rows that repeat an id count as copies if their groups are the same.
+    Rows that repeat an id, or have none, count as copies if their groups are the same.
     """
-    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
-    classes = copies.near_copies(keyed, ROW)
+    rows = keyed(docs)
+    classes = copies.near_copies(rows, ROW)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    heads = keyed.select(F.col(ROW).alias("key"), "doc_id").join(classes, "key").groupBy("component").agg(F.min(rank)["key"].alias(ROW))
+    heads = rows.select(F.col(ROW).alias("key"), "doc_id").join(classes, "key").groupBy("component").agg(F.min(rank)["key"].alias(ROW))
     # merged by key at every size: the heads grow with the documents, so they are never sent to all tasks
-    return keyed.join(heads.select(ROW).hint("merge"), ROW, "left_semi").select(docs.columns)
+    return rows.join(heads.select(ROW).hint("merge"), ROW, "left_semi").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, edited or not, go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(gone.hint("merge"), ROW, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").withColumn(ROW, F.monotonically_increasing_id())  # written with the first stage
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

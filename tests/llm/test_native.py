@@ -1,8 +1,12 @@
 """Licenses and quality rules: plain Python against the DataFrame expressions."""
 
+import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from galerna.llm import licenses, quality
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -64,3 +68,24 @@ def test_quality(spark, edges, nothing):
     turned = quality.Cascade(cascade.rules[::-1], []).apply(df).collect()
     assert [r.kept for r in turned] == [r.kept for r in rows]
     assert quality.Cascade.fit(nothing).apply(nothing).count() == 0
+
+
+def test_a_rejected_text_meets_no_further_rule(spark, edges):
+    fails = quality.Rule("fails", lambda m: F.raise_error(F.concat(F.lit("asked for "), m.n_words.cast("string"))).cast("boolean"))
+    short = spark.createDataFrame([(1, "a b"), (2, None), (3, "c " * 49)], "doc_id long, text string")
+    cascade = quality.Cascade([quality.default_rules()[0], fails], [])
+    assert [r.rejected_by for r in cascade.apply(short).collect()] == ["few_words"] * 3
+    assert short.filter(cascade.verdict().isNull()).count() == 0
+    with pytest.raises(Exception, match="asked for 120"):
+        spark.createDataFrame([(1, "a b " * 60)], "doc_id long, text string").filter(cascade.verdict().isNull()).count()
+
+
+def test_the_verdict_of_a_text_alone_is_that_of_its_columns(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ab!", "C##", "DD\n", "x y z\n", "w"][: k % 6 + 1]) + str(rng.randrange(60)) for _ in range(rng.randrange(30, 200))) for k in range(200)]
+    texts += [" ".join(f"{k % m}" for k in range(90)) for m in (20, 40, 60, 80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cascade = quality.Cascade(quality.default_rules(), [])
+    one = {r.doc_id: r.rejected_by for r in cascade.apply(df).collect()}
+    assert {r.doc_id: r.v for r in df.select("doc_id", cascade.verdict().alias("v")).collect()} == one
+    assert len(set(one.values())) > 3

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,9 +51,11 @@ def whole_text(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset, on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[0-9*]+(,[0-9]+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     return path.rstrip("/")
 
@@ -74,6 +77,17 @@ def drop_table(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 64) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (one row for each key) where a key may hold very many rows of ``left``.
+
+    Rows of a key are dealt to ``salts`` parts by the hash of column ``by``; each part that has rows gets the key's
+    row of ``right``, so that a hot key is spread over many tasks and ``right`` grows by the parts there are only.
+    """
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    known = dealt.select(on, "__salt").distinct().join(right, on)
+    return dealt.join(known, [on, "__salt"]).drop("__salt")
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``, equals ``remainder`` (null id: the text is empty)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder

@@ -2,9 +2,8 @@
 
 Each round of the large star links the larger neighbours of a node to the smallest node of its neighbourhood, each
 round of the small star links the smaller ones to it; when nothing changes, every node is linked to the smallest node
-of its component. Rounds grow with the logarithm of the longest path. Minima are taken by a grouped aggregation
-with partial sums, so that a node with very many neighbours is never gathered in one task. Each round is written to
-the shared folder, which cuts the lineage.
+of its component. Rounds grow with the logarithm of the longest path. Minima are taken with partial sums and go back to the edges by a join
+that deals the neighbours of a node to ``SALTS`` parts, so that a hub's edges are never gathered in one task. Each round is written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -12,26 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galerna.llm.common import drop_table, materialize
+from galerna.llm.common import drop_table, materialize, spread_join
 
 MAX_ROUNDS = 60
+#: Parts of the neighbours of a node.
+SALTS = 64
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).head())
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m) for each edge, m the least v of u."""
+    return spread_join(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "u", "v", SALTS)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    down = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    # the least neighbour's own edge is the node's: it goes to (u, m), all others to (v, m)
+    return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

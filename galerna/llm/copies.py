@@ -1,14 +1,17 @@
-"""Near copies by the Jaccard similarity of word shingles: all pairs at the threshold, exactly, without all pairs.
-
-A text is the set of the 64-bit hashes of its shingles. Texts of equal sets are one node. Two sets of similarity t or
-more share one of the first n - ceil(t n) + 1 shingles of either, in any order common to all sets, so nodes meet at
-these alone; here the shingles that a bounded sample finds often come last, which keeps the groups that meet small.
-Sizes and places of the shared shingle rule out most of the pairs that meet. Of the others, histograms of the sets give
-an upper bound of what they share, and those that it leaves are verified on whole sets.
-
-Components are those of all links, by two rounds: the first verifies in each group the pairs with the first node, the
-second all pairs of nodes that are not connected yet. So a large group of near copies never becomes all its pairs.
-Nothing is dropped or capped.
+"""Near copies by SimHash: texts whose word shingles have a Jaccard similarity of 0.8 or more.
+
+The fingerprint of ``simhash`` is taken over the distinct five-word shingles of a text. Two texts of similarity 0.8
+differ in some 10 of 64 bits (15 % each), so the radius is 20: a pair at the threshold exceeds it once in 10,000 cases,
+a closer pair hardly ever. Nearly every bucket of so wide a radius would hold all texts; the tiles are therefore cut out of
+blocks of texts that can reach the similarity at all: two sets share one of the first n - ceil(0.8 n) + 1 shingles of
+either, in any order common to all. Shingles that a bounded sample finds often come last, which keeps blocks small.
+
+First round: within each block numpy's exclusive-or and bit counts find the pairs within the radius, tile pairs and rows
+whose population counts differ beyond it are skipped, and sizes and places of the shared shingle rule out more; a spanning
+forest of each block gives families, the components of what may be linked. Second round: in each family tiles are compared
+again, with the sets themselves, and a pair within the radius is a link where the similarity of the sets reaches 0.8, in
+whole numbers. A spanning forest of the links leaves the task, so that a large group of copies never becomes all its
+pairs. Texts of equal sets are one node. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -18,20 +21,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galerna.llm.common import drop_table, materialize
+from galerna.llm.common import drop_table, materialize, spread_join
 from galerna.llm.components import connected
+from galerna.llm.simhash import majority
+from galerna.llm.tiles import bounds, deal, row_forest, whole_units
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction of whole numbers: comparisons are exact.
 SIMILARITY = (4, 5)
+RADIUS = 20
+#: Texts of fewer shingles are compared whatever their fingerprints.
+FEW = 8
 SEED = 42
 #: Texts (in expectation) whose shingles are counted to find the common ones; this changes the order of shingles only.
 SAMPLE_ROWS = 4000
-#: Places of the histogram of a set, a byte each.
-PLACES = 128
+#: Texts of a tile of the first round, shingles of a tile of the second one.
+TILE_TEXTS = 1024
+TILE_SHINGLES = 1 << 20
 
 
 def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -63,14 +72,8 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], count[order]
 
 
-def histogram(grams: np.ndarray) -> bytes | None:
-    """How many shingles fall on each place; None where a count exceeds a byte."""
-    counts = np.bincount((grams % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
-
-
 def _prefixes(texts: DataFrame, size: int) -> DataFrame:
-    """(key, digest, n, prefix, places): digest stands for the set, n is its size."""
+    """(key, digest, n, fp, prefix): digest stands for the set, n is its size."""
     sent = texts.sparkSession.sparkContext.broadcast(_common(texts, size))
     p, q = SIMILARITY
 
@@ -79,109 +82,133 @@ def _prefixes(texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                digests, sizes, prefixes, places = [], [], [], []
+                digests, sizes, fps, prefixes = [], [], [], []
                 for t in piece.column(1).to_pylist():
                     grams = shingles(t, size)
                     digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
                     sizes.append(len(grams))
-                    places.append(histogram(grams))
+                    fps.append(majority(grams))
                     if len(common) and len(grams):
                         place = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                         grams = grams[np.argsort(np.where(common[place] == grams, often[place], 0), kind="stable")]
                     prefixes.append(grams[: len(grams) - -(-p * len(grams) // q) + 1].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                     pa.array(places, pa.binary())],
-                    ["key", "digest", "n", "prefix", "places"],
-                )
+                    [piece.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                     pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["key", "digest", "n", "fp", "prefix"],
+                )
 
-    return texts.mapInArrow(run, "key long, digest binary, n long, prefix array<long>, places binary")
+    return texts.mapInArrow(run, "key long, digest binary, n int, fp long, prefix array<long>")
 
 
-def _may_reach(a: str, b: str) -> Column:
-    """Whether sizes and places (from 0) of a shared shingle leave room for the similarity."""
-    p, q = SIMILARITY
-    na, nb, ia, ib = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
-    most = F.least(ia, ib) + F.least(na - ia, nb - ib)
-    return (q * F.least(na, nb) >= p * F.greatest(na, nb)) & ((p + q) * most >= p * (na + nb))
-
-
-def _not_ruled_out(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose histograms leave room for the similarity; ``rows`` has key, n and places."""
+def _families(nodes: DataFrame) -> DataFrame:
+    """(node, component): components of the pairs that sizes, places and fingerprints leave. ``nodes``: key, n, fp, prefix."""
     p, q = SIMILARITY
+    grams = nodes.select(F.col("key").alias("node"), "n", "fp", F.posexplode("prefix").alias("at", "block"))
+    several = materialize(grams.groupBy("block").count().filter("count > 1"), "shared")
+    met = materialize(grams.join(several.select("block"), "block"), "met")
+    large = several.filter(F.col("count") > TILE_TEXTS).select("block", F.ceil(F.col("count") / TILE_TEXTS).cast("int").alias("salts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            a, b = (batch.column(k).to_pylist() for k in (4, 5))
-            known = np.array([x is not None and y is not None for x, y in zip(a, b)], bool)
-            stay = np.ones(batch.num_rows, bool)
-            if known.any():
-                x, y = (np.frombuffer(b"".join(v for v, k in zip(c, known) if k), np.uint8).reshape(-1, PLACES) for c in (a, b))
-                stay[known] = (p + q) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= p * n[known]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(stay)) for c in batch.columns[:2]], ["u", "v"])
-
-    both = pairs.select("u", "v").distinct()
-    for k in "uv":
-        both = both.join(rows.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("places").alias(f"places_{k}")), k)
-    return both.select("u", "v", "n_u", "n_v", "places_u", "places_v").mapInArrow(run, "u long, v long")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach the similarity."""
+        for table in whole_units(batches):
+            node, n, at, side, two = (table.column(c).to_numpy() for c in ("node", "n", "at", "side", "two"))
+            n, at, fp = n.astype(np.int64), at.astype(np.int64), table.column("fp").to_numpy().view(np.uint64)
+
+            def may(i, j) -> np.ndarray:
+                least = np.minimum(n[i], n[j])
+                most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+                return (q * least >= p * np.maximum(n[i], n[j])) & ((p + q) * most >= p * (n[i] + n[j]))
+
+            starts, ends = bounds(table.column("unit").to_numpy())
+            pairs = starts[ends - starts == 2]
+            near = (np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= RADIUS) | (np.minimum(n[pairs], n[pairs + 1]) < FEW)
+            pairs = pairs[near & may(pairs, pairs + 1)]
+            u, v = [pairs], [pairs + 1]
+            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+                split = int(np.count_nonzero(side[s:e] == 0)) if two[s:e].all() else None
+                radius = RADIUS if n[s:e].min() >= FEW else 64
+                found = np.array(row_forest(fp[s:e], split, radius, lambda i, c, s=s: may(s + i, s + c)), np.int64).reshape(-1, 2) + s
+                u.append(found[:, 0])
+                v.append(found[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (u, v)], ["u", "v"])
+
+    edges = deal(met.select("node", "n", "fp", "at", "block"), large, RADIUS, "node").mapInArrow(run, "u long, v long")
+    found = materialize(connected(edges), "families")
+    drop_table(several)
+    drop_table(met)
+    return found
+
+
+def _links(members: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of the links in each family. ``members``: node, n, fp, grams, block (the family)."""
     p, q = SIMILARITY
+    large = (
+        # 512 for each text besides, so that a tile of short texts has no more than two thousand
+        members.groupBy("block").agg(F.sum(F.col("n") + 512).alias("size")).filter(F.col("size") > TILE_SHINGLES)
+        .select("block", F.ceil(F.col("size") / TILE_SHINGLES).cast("int").alias("salts"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                sets = [shingles(t, size).view(np.int64) for t in piece.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "grams"])
-
-    pairs = materialize(_not_ruled_out(pairs, rows), "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    sets = materialize(texts.join(nodes, "key", "left_semi").select("key", "text").mapInArrow(run, "key long, grams array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("grams").alias("a")), "u").join(
-        sets.select(F.col("key").alias("v"), F.col("grams").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = materialize(both.filter(q * shared >= p * (F.size("a") + F.size("b") - shared)).select("u", "v"), "links")
-    drop_table(sets)
-    return links
+        for table in whole_units(batches):
+            node, side, two = (table.column(c).to_numpy() for c in ("node", "side", "two"))
+            n, fp = table.column("n").to_numpy().astype(np.int64), table.column("fp").to_numpy().view(np.uint64)
+            grams = table.column("grams").combine_chunks()
+            at, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+
+            def alike(i: int, columns: np.ndarray) -> np.ndarray:
+                """Whether the sets of row i and of each of the columns reach the similarity."""
+                out = q * np.minimum(n[i], n[columns]) >= p * np.maximum(n[i], n[columns])
+                own = flat[at[i] : at[i + 1]]
+                for k in np.flatnonzero(out):
+                    c = int(columns[k])
+                    if not len(own):
+                        continue  # no words: alike
+                    other = flat[at[c] : at[c + 1]]
+                    shared = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                    out[k] = q * shared >= p * (n[i] + n[c] - shared)
+                return out
+
+            found = []
+            for s, e in zip(*(x.tolist() for x in bounds(table.column("unit").to_numpy()))):
+                split = int(np.count_nonzero(side[s:e] == 0)) if two[s:e].all() else None
+                radius = RADIUS if n[s:e].min() >= FEW else 64
+                found += [(s + i, s + c) for i, c in row_forest(fp[s:e], split, radius, lambda i, c, s=s: alike(s + i, s + c))]
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, k]]) for k in (0, 1)], ["u", "v"])
+
+    return deal(members, large, RADIUS, "node").mapInArrow(run, "u long, v long")
 
 
 def near_copies(df: DataFrame, key: str, text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """(key, component), a row for each row of ``df``, whose ``key`` is a long, unique and written to a table.
 
-    component: the smallest key of a text that is reachable by links of similarity ``SIMILARITY`` or more, the row's
-    own included. Texts without words are copies of each other.
+    component: the smallest key of a text that is reachable by links, the row's own included. A link joins two texts
+    whose sets of ``size``-word shingles reach the similarity and whose fingerprints are within the radius (or have
+    fewer than ``FEW`` shingles). Texts without words, null or empty, are copies of each other; repeated rows too. A very
+    long text is one set like any other. An empty table gives no rows; other columns are not looked at.
     """
     texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = materialize(_prefixes(texts, size), "prefixes")
     least = rows.groupBy("digest").agg(F.min("key").alias("node"))
-    by_digest = materialize(rows.select("key", "digest").join(least, "digest").select("key", "node"), "nodes")
-
-    nodes = rows.join(by_digest.filter("key = node").select("key"), "key", "left_semi")
-    grams = nodes.select(F.col("key").alias("node"), "n", F.posexplode("prefix").alias("at", "gram"))
-    group = Window.partitionBy("gram").orderBy("n", "node")
-    one = F.struct("node", "n", "at")
-    met = materialize(
-        grams.withColumn("head", F.first(one).over(group)).withColumn("after", F.lead("node").over(group))
-        .filter("head.node <> node or after is not null").select("gram", one.alias("x"), "head"),
-        "met",
+    by_digest = materialize(spread_join(rows.select("key", "digest"), least, "digest", "key").select("key", "node"), "nodes")
+    nodes = materialize(rows.join(by_digest.filter("key = node").select("key"), "key", "left_semi").select("key", "n", "fp", "prefix"), "distinct")
+    families = _families(nodes)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                grams = [shingles(t, size).view(np.int64) for t in piece.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
+
+    chosen = texts.join(families.select(F.col("node").alias("key")), "key", "left_semi").mapInArrow(sets, "node long, grams array<long>")
+    members = materialize(
+        nodes.select(F.col("key").alias("node"), "n", "fp").join(families, "node").withColumnRenamed("component", "block").join(chosen, "node")
+        .select("node", "n", "fp", "grams", "block"),
+        "members",
     )
-    first = met.filter("head.node <> x.node").filter(_may_reach("head", "x")).select(
-        F.least("head.node", "x.node").alias("u"), F.greatest("head.node", "x.node").alias("v"))
-    links = _verified(first, rows, texts, size)
-
-    found = materialize(connected(links), "found")
-    named = met.select("gram", "x", F.col("x.node").alias("node")).join(found, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("c"))
-    named = materialize(named, "named")
-    apart = named.groupBy("gram").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter("m > 2 and low < high")
-    left = named.join(apart.select("gram"), "gram", "left_semi")
-    more = left.join(left.select("gram", F.col("x").alias("y"), F.col("c").alias("d")), "gram").filter(
-        (F.col("x.node") < F.col("y.node")) & (F.col("c") != F.col("d")) & _may_reach("x", "y")
-    )
-    links = links.union(_verified(more.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), rows, texts, size))
-
-    found = connected(links)
-    return by_digest.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    found = connected(_links(members))
+    out = by_digest.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    for done in (rows, nodes, families, members):
+        drop_table(done)
+    return out

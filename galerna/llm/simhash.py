@@ -1,33 +1,36 @@
 """SimHash near-duplicates: exact comparison of fingerprints by tiles.
 
-A fingerprint of 64 bits within ``radius`` of another agrees with it in at least one of ``radius + 1`` bands, so each
-distinct fingerprint goes to the block of each of its bands' values. A block is cut into tiles by population count
-(and by a hash where one count has more than ``TILE`` fingerprints); two tiles meet only where their counts differ
-by the radius at most. In a meeting, numpy's exclusive-or and bit counts compare all pairs exactly, and a spanning
+Of two fingerprints of 64 bits within the radius of 3, three of six bands at least are equal, so each distinct
+fingerprint goes to twenty blocks, one for each choice of three bands: blocks of about 32 bits stay small whatever the
+number of texts. A block of more than ``TILE`` fingerprints is cut into tiles by population count (and by a hash);
+two tiles meet only where their counts differ by the radius at most. In a meeting, numpy's exclusive-or and bit counts compare all pairs exactly, and a spanning
 forest of the links found leaves the task: components are the same as those of all links, and a group of near copies
 never becomes all its pairs. Equal fingerprints are one node. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galerna.llm.common import materialize
+from galerna.llm.common import drop_table, materialize, spread_join
 from galerna.llm.components import connected
+from galerna.llm.tiles import bounds, deal, whole_units
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
 #: Fingerprints of a tile; blocks up to this size are one tile.
 TILE = 1024
+MAX_TABLES = 100
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE_WORDS) -> int:
@@ -39,9 +42,14 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE_WORDS) -> int:
         hashes = [digest(b" ".join(words), SEED)]
     else:
         hashes = [digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)))]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes (uint64) have; none of no hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
-        some = np.array(hashes[at : at + 4096], dtype="<u8")
+        some = hashes[at : at + 4096].astype("<u8")
         total += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * total > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
@@ -99,97 +107,51 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
     return (np.concatenate(near), np.concatenate(far)) if near else (empty, empty)
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    """Start bit and width of each of radius + 1 bands that cover 64 bits."""
-    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def _tables(radius: int) -> list[int]:
+    """Masks such that two values within ``radius`` bits agree on one of them at least.
+
+    Of radius + k bands, k at least are free of differing bits; each choice of k bands is a table. The larger k, the
+    wider the masks and the smaller the blocks: k is the radius where that gives a hundred tables at most.
+    """
+    keep = next((k for k in range(radius, 1, -1) if math.comb(radius + k, k) <= MAX_TABLES), 1)
+    edges = [round(64 * k / (radius + keep)) for k in range(radius + keep + 1)]
+    bands = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    return [sum(some) for some in itertools.combinations(bands, keep)]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): edges between fingerprints (column fp, distinct longs) whose components are those of all links."""
-    bands = F.array(*(
-        F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1).alias("value"))
-        for k, (a, w) in enumerate(_bands(radius))
-    ))
-    placed = (
-        distinct.select("fp", F.explode(bands).alias("at"))
-        .select("fp", "at.band", "at.value", F.bit_count("fp").alias("ones"))
-    )
-    sizes = placed.groupBy("band", "value").count()
+    masks = [m - (1 << 64) if m >> 63 else m for m in _tables(radius)]
+    placed = distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))).alias("block"))
+    sizes = placed.groupBy("block").count()
     # most blocks are small: only the large ones need to be known by everyone who deals out fingerprints
-    large = sizes.filter(F.col("count") > tile).select(
-        "band", "value", F.ceil(F.col("count") / tile).cast("int").alias("salts")
-    )
-    dealt = placed.join(large, ["band", "value"], "left")
-    salts = F.col("salts")
-    own = F.pmod(F.xxhash64("fp"), salts).cast("int")
-    own_tile = F.col("ones") * salts + own
-    others = F.flatten(F.transform(
-        F.sequence(F.greatest(F.lit(0), F.col("ones") - radius), F.least(F.lit(64), F.col("ones") + radius)),
-        lambda n: F.transform(F.sequence(F.lit(0), salts - 1), lambda s: n * salts + s),
-    ))
-    meetings = F.when(salts.isNull(), F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(-1).alias("mine"))))
-    meetings = meetings.otherwise(F.transform(
-        others, lambda o: F.struct(F.least(own_tile, o).alias("low"), F.greatest(own_tile, o).alias("high"), own_tile.alias("mine"))
-    ))
-    units = (
-        dealt.select("fp", "band", "value", "ones", F.explode(meetings).alias("m"))
-        .select("fp", "ones", F.xxhash64("band", "value", "m.low", "m.high").alias("unit"), F.when(F.col("m.low") == F.col("m.high"), 0).when(F.col("m.mine") == F.col("m.low"), 0).otherwise(1).alias("side"),
-                (F.col("m.low") != F.col("m.high")).alias("two"))
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def compare(frame: pd.DataFrame) -> pd.DataFrame:
-            unit, fp = frame["unit"].to_numpy(), frame["fp"].to_numpy().view(np.uint64)
-            side, two = frame["side"].to_numpy(), frame["two"].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            ends = np.append(starts[1:], len(unit))
-            near, far = [], []
-            many = ends - starts > 1
-            for s, e in zip(starts[many], ends[many]):
-                x = fp[s:e]
-                if two[s:e].all():
-                    n, f = _forest(x[side[s:e] == 0], x[side[s:e] == 1], radius)
-                elif e - s == 2:
-                    n, f = (x[:1], x[1:]) if np.bitwise_count(x[0] ^ x[1]) <= radius else (x[:0], x[:0])
-                else:
-                    n, f = _forest(x, None, radius)
+    large = sizes.filter(F.col("count") > tile).select("block", F.ceil(F.col("count") / tile).cast("int").alias("salts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_units(batches):
+            x = table.column("fp").to_numpy().view(np.uint64)
+            side, two = table.column("side").to_numpy(), table.column("two").to_numpy()
+            starts, ends = bounds(table.column("unit").to_numpy())
+            pairs = starts[ends - starts == 2]
+            pairs = pairs[np.bitwise_count(x[pairs] ^ x[pairs + 1]) <= radius]
+            near, far = [x[pairs]], [x[pairs + 1]]
+            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+                cut = s + int(np.count_nonzero(side[s:e] == 0))
+                n, f = _forest(x[s:cut], x[cut:e], radius) if two[s:e].all() else _forest(x[s:e], None, radius)
                 near.append(n)
                 far.append(f)
-            empty = np.array([], np.uint64)
-            return pd.DataFrame({
-                "a": (np.concatenate(near) if near else empty).view(np.int64),
-                "b": (np.concatenate(far) if far else empty).view(np.int64),
-            })
-
-        # a collision of two units' hashes only adds comparisons
-        for frame in batches:  # rows come sorted by unit; the last unit of a batch may go on in the next one
-            if not len(frame):
-                continue
-            last = frame["unit"].iloc[-1]
-            if held and held[-1]["unit"].iloc[-1] == last and frame["unit"].iloc[0] == last:
-                held.append(frame)
-                continue
-            done = frame["unit"] != last
-            yield compare(pd.concat([*held, frame[done]]))
-            held = [frame[~done]]
-        if held:
-            yield compare(pd.concat(held))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (near, far)], ["a", "b"])
 
-    return (
-        units.repartition("unit").sortWithinPartitions("unit", "side", "ones", "fp")
-        .mapInPandas(run, "a long, b long")
-    )
+    return deal(placed, large, radius, "fp").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of ``df``.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id whose fingerprint is reachable by links
-    of at most ``radius`` differing bits, the row's own included. Empty texts have fingerprint zero and are linked
-    like any other; a null doc_id gets the component of its fingerprint.
+    of at most ``radius`` differing bits, the row's own included. Null and empty texts have fingerprint zero and are
+    linked like any other; a null doc_id gets the component of its fingerprint; repeated rows each get theirs; an
+    empty table gives no rows; very long texts are read whole; other columns of ``df`` are not looked at.
     """
     fps = materialize(fingerprints(df, doc_id, text), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
@@ -198,7 +160,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     heads = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(heads, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select(
+    classes = materialize(grouped.join(heads, "component").select("fp", "component_id"), "classes")
+    drop_table(distinct)
+    return spread_join(fps, classes, "fp", doc_id).select(
         doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galerna.llm import bpe, copies, decontaminate, pii, quality
-from galerna.llm.common import materialize, ship, table
+from galerna.llm.common import materialize, ship, spread_join, table
 
 #: The last stage's ids cannot be expressed in SQL.
 ORACLE_SQL = None
@@ -26,28 +26,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return quality.Cascade.fit(docs).apply(docs).filter("kept").select(docs.columns)
+    return docs.filter(quality.Cascade.fit(docs).verdict().isNull())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays.
+    """Of each group of near copies (SimHash of 5-word shingles, Jaccard similarity 0.8 or more) the smallest id stays.
 
     Rows that repeat an id, or have none, count as copies if their groups are the same.
     """
     rows = keyed(docs)
     classes = copies.near_copies(rows, ROW)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    heads = rows.select(F.col(ROW).alias("key"), "doc_id").join(classes, "key").groupBy("component").agg(F.min(rank)["key"].alias(ROW))
-    # merged by key at every size: the heads grow with the documents, so they are never sent to all tasks
-    return rows.join(heads.select(ROW).hint("merge"), ROW, "left_semi").select(docs.columns)
+    known = rows.select(F.col(ROW).alias("key"), "doc_id").join(classes, "key")
+    heads = known.groupBy("component").agg(F.min(rank)["key"].alias("head"))
+    gone = spread_join(known, heads, "component", "key").filter("key <> head").select(F.col("key").alias(ROW))
+    # only keys are shuffled where Spark finds the removed ones few enough to send; it checks their size
+    return rows.join(materialize(gone, "gone"), ROW, "left_anti").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, edited or not, go."""
     rows = keyed(docs)
     found = decontaminate.contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(gone.hint("merge"), ROW, "left_anti").select(docs.columns)
+    gone = materialize(found.select(F.col("doc_id").alias(ROW)).distinct(), "gone")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

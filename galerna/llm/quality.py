@@ -183,7 +183,7 @@ class Cascade:
         rules = rules or default_rules()
         share = min(1.0, sample_rows / max(df.count(), 1))
         sample = df.select(text) if share == 1.0 else df.select(text).sample(share, seed=1)
-        sample = materialize(sample.coalesce(1), "sample")
+        sample = materialize(sample.repartition(1), "sample")  # of the sampled rows alone
         total, found = max(sample.count(), 1), []
 
         def took(condition: Callable[[Source], Column]) -> tuple[float, int]:

@@ -1,31 +1,35 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counting. Texts are dealt into blocks of a few MB. A first pass sends each block's distinct words with their counts
-to the word's partition and gets the corpus count of each word back; n-grams of the words are counted in one more
-pass for each order, and kept where their frequency reaches ``MIN_SHARE`` of all training tokens and those of their
-parts do: at most 1 / MIN_SHARE of each order, whatever the corpus, which bounds what the tasks are sent.
-
-Model. Absolute discounting with backoff: P(w|h) = (c(hw) - D) / c(h) for a kept n-gram, else alpha(h) P(w|h'), h'
-without its first word; a word's own probability is (c - D) / N, and the mass D V / N left over is that of an unseen
-word (one event, as in the add-one base). The end token ends every text and is the context of the first word.
-
-Automaton. Each kept n-gram below the highest order is a state; its arcs are the words that may follow, and a failure
-arc of weight alpha leads to its longest proper suffix. One traversal from left to right carries the state and adds
-up the logarithms (base 10).
-
-Edge cases: null and empty texts have one token, the end; repeated rows each get their row; with no training rows
-every word is unseen, and the score is the base's.
+Counting. Texts are dealt into blocks of a few MB, a function of the row alone. A pass over the texts packs each
+block's distinct words, bigrams and trigrams (the latter two as 64-bit hashes) into sorted arrays, cut into shards by
+ranges of the hash; each shard adds the arrays of all blocks up and answers every block with the corpus counts of its own
+n-grams, in its own order, so that keys go one way only. Nothing is pruned and nothing goes to the driver but the totals:
+what is gathered grows with the input. No key is hot: a block sends each n-gram once, however often it occurs.
+
+Model. P(w|h) = (c(hw) + K P(w|h')) / (c(h) + K), h' without its first word: counts smoothed by the shorter history with
+the strength K of its order (Dirichlet prior). A word alone has the add-one probability of the contract's base, in which
+all unseen words are one event. The end token ends every text and is the history of the first word.
+
+Automaton. The root, each word and each bigram of the training texts is a state; the arcs of a state are the n-grams
+that prolong it, of weight log10 P, and its failure arc, of weight log10 K / (c(h) + K), leads to the state of the
+shorter history. One traversal from left to right carries the state and adds up the weights. The numbers of the n-grams
+that end at each place are found beforehand for a whole block, which stands for the search of a state's arcs.
+
+Edge cases: null and empty texts have one token, the end; repeated rows each get their row and count each; very long
+texts are read whole; with no training rows every word is unseen, and the score is the base's; an empty table gives no
+rows; columns of ``docs`` other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +37,14 @@ from galerna.llm.common import materialize, whole_text
 
 #: No word holds white space, so this is none.
 END = b"\n"
-ORDER = 2
-MIN_SHARE = 5e-6
-DISCOUNT = 0.75
+ORDER = 3
+#: K of histories of one word and of two words, the best of five pairs on held-out documents at sf0.1.
+STRENGTH = (200.0, 40.0)
 BLOCK_BYTES = 8 << 20
-#: Words that a task gathers before it sends them on.
-FLUSH = 300_000
+#: Bytes of text whose n-grams a shard adds up.
+SHARD_BYTES = 16 << 20
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -49,231 +54,272 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(block, word, n): how often the training texts of a block hold each word of its texts (0 for others only)."""
+def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams from the keys of what comes before the last word and of the word."""
+    key = (before * _A) ^ (word * _B + _A)
+    key ^= key >> np.uint64(32)
+    key *= _A
+    return key ^ (key >> np.uint64(29))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, c in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(c), block, np.int64)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
-                    ["block", "word", "n"],
-                )
-            held.clear()
+class Block:
+    """The n-grams of some texts: distinct ones in order of their keys, and their numbers at each token."""
 
+    def __init__(self, texts: list, order: int):
+        ids: dict[bytes, int] = {}
+        number, flat, self.sizes = ids.setdefault, [ids.setdefault(END, 0)], []
+        for t in texts:
+            own = tokens(t)
+            flat += [number(w, len(ids)) for w in own]
+            self.sizes.append(len(own))
+        # the end of each text is the history of the next one's first word
+        words = list(ids)
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        rank = np.argsort(keys, kind="stable")
+        if (keys[rank][1:] == keys[rank][:-1]).any():  # words of one hash: in their own order
+            rank = np.array(sorted(range(len(words)), key=lambda k: (int(keys[k]), words[k])))
+        place = np.empty(len(words), np.int64)
+        place[rank] = np.arange(len(words))
+        self.words, self.word_keys = [words[k] for k in rank], keys[rank]
+        self.end = int(place[0])
+        seen = place[np.array(flat, np.int64)]
+        h = self.word_keys[seen]
+        self.keys, self.at = [self.word_keys], [seen[1:]]
+        key, first = h, np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)  # of each text, its first token
+        for n in range(2, order + 1):
+            key = _joined(key[:-1], h[n - 1 :])
+            known = np.ones(len(self.at[0]), bool)  # an n-gram must not reach over the end before its text
+            for k in range(n - 2):
+                some = first + k
+                known[some[some < len(known)]] = False
+                # of texts shorter than k + 1 the mark falls into the next text, which marks that place itself
+            full = np.zeros(len(known), np.uint64)
+            full[n - 2 :] = key
+            distinct, inverse = np.unique(full[known], return_inverse=True)
+            at = np.full(len(known), -1, np.int64)
+            at[known] = inverse
+            self.keys.append(distinct)
+            self.at.append(at)
+
+    def counts(self, train: list) -> list[np.ndarray]:
+        """Occurrences in the training texts, for each order."""
+        weight = np.repeat(np.array(train, np.int64), self.sizes)
+        return [np.bincount(at[at >= 0], weights=weight[at >= 0], minlength=len(k)).astype("<u4") for at, k in zip(self.at, self.keys)]
+
+    def cuts(self, n: int, shards: int) -> np.ndarray:
+        """Where the keys of order n are cut into shards, by equal ranges of the key."""
+        own = ((self.keys[n - 1] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        return np.searchsorted(own, np.arange(shards + 1, dtype=np.uint64))
+
+
+#: A block's n-grams of one order in one shard: keys packed as 8 bytes each (words: texts, each ended by a line end).
+PACKED = "shard int, block long, kind int, keys binary, n binary"
+ANSWER = "block long, shard int, kind int, c binary"
+
+
+def packed(docs: DataFrame, order: int, shards: int) -> DataFrame:
+    """``PACKED`` rows of ``docs`` (block, text, train), whose rows of a block should stand together."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def rows_of(block: int, texts: list, train: list) -> pa.RecordBatch:
+        b, rows = Block(texts, order), []
+        for k, n in enumerate(b.counts(train), 1):
+            cuts = b.cuts(k, shards)
+            for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                i, j = int(cuts[s]), int(cuts[s + 1])
+                keys = b"".join(w + b"\n" for w in b.words[i:j]) if k == 1 else b.keys[k - 1][i:j].astype("<u8").tobytes()
+                rows.append((s, block, k, keys, n[i:j].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, texts, train, size = None, [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for block, text, train in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    c = held.setdefault(block, Counter())
-                    if train:
-                        c.update(tokens(text))
-                    else:
-                        c.update(dict.fromkeys(tokens(text), 0))
-                if sum(map(len, held.values())) > FLUSH:
-                    yield from flush()
-        yield from flush()
-
-    return docs.select("block", "text", "train").mapInArrow(run, "block long, word string, n long")
-
-
-class NGrams:
-    """Kept n-grams: words by number, and for each higher order sorted keys (number of the prefix, last word)."""
-
-    def __init__(self, words: list[bytes], counts: list[int]):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.counts = [np.array(counts, np.int64)]
-        self.keys: list[np.ndarray] = []
-
-    def rows_of(self, ids: np.ndarray) -> list[np.ndarray]:
-        """For each order, the number of the kept n-gram that ends at each place, or -1."""
-        rows = [ids]
-        for keys in self.keys:
-            before, at = rows[-1][:-1], np.full(len(ids), -1, np.int64)
-            key = before << 32 | ids[1:]
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                at[1:] = np.where((keys[place] == key) & (before >= 0) & (ids[1:] >= 0), place, -1)
-            rows.append(at)
-        return rows
-
-    def ids(self, texts: list) -> np.ndarray:
-        """Numbers of all tokens, the end token before each text; -1 for a rare word."""
-        get, end = self.number.get, self.number.get(END, -1)
-        out: list[int] = []
-        for t in texts:
-            out += [-1, end]  # nothing reaches over the start of a text
-            out += [get(w, -1) for w in tokens(t)]
-        return np.array(out, np.int64)
-
-    def count_next(self, docs: DataFrame, least: float) -> bool:
-        """Count the n-grams of the next order whose two parts are kept; keep those counted ``least`` times."""
-        sent = docs.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams, found, waiting = sent.value, [], 0
-
-            def merged() -> tuple[np.ndarray, np.ndarray]:
-                key = np.concatenate([k for k, _ in found])
-                n = np.concatenate([n for _, n in found])
-                key, at = np.unique(key, return_inverse=True)
-                return key, np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    ids = grams.ids(batch.slice(at, 512).column(0).to_pylist())
-                    last = grams.rows_of(ids)[-1]
-                    both = (last[:-1] >= 0) & (last[1:] >= 0) & (ids[1:] >= 0)
-                    found.append(np.unique((last[:-1] << 32 | ids[1:])[both], return_counts=True))
-                    waiting += len(found[-1][0])
-                    if waiting > 2_000_000:
-                        found[:] = [merged()]
-                        waiting = len(found[0][0])
-                        if waiting > 1_500_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.pop()], ["key", "n"])
-                            waiting = 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["key", "n"])
-
-        kept = (
-            docs.filter("train").select("text").mapInArrow(run, "key long, n long")
-            .groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        ).toPandas().sort_values("key")
-        self.keys.append(kept["key"].to_numpy(np.int64))
-        self.counts.append(kept["n"].to_numpy(np.int64))
-        return len(kept) > 0
+                for b, text, learn in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if texts and (b != block or size > 2 * BLOCK_BYTES):  # parts of a block are added up in the shards
+                        yield rows_of(block, texts, train)
+                        texts, train, size = [], [], 0
+                    block = b
+                    texts.append(text)
+                    train.append(learn)
+                    size += len(text)
+        if texts:
+            yield rows_of(block, texts, train)
+
+    return docs.select("block", "text", "train").mapInArrow(run, PACKED)
+
+
+def _distinct(values: pa.Array | np.ndarray) -> tuple[object, np.ndarray]:
+    """Distinct values and the number of each value among them."""
+    if isinstance(values, np.ndarray):
+        return np.unique(values, return_inverse=True)
+    coded = values.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _words_of(keys: bytes) -> list[bytes]:
+    """The packed words; the end token, a line end itself, is packed as two line ends."""
+    if keys.startswith(b"\n\n"):
+        return [END, *keys[2:].split(b"\n")[:-1]]
+    head, sep, tail = keys.partition(b"\n\n\n")
+    if not sep:
+        return keys.split(b"\n")[:-1]
+    return [*head.split(b"\n"), END, *tail.split(b"\n")[:-1]]
+
+
+def answers(sent: DataFrame) -> DataFrame:
+    """``ANSWER`` rows: for each block, shard and order the corpus counts, in the order of the block's keys.
+
+    A row of kind 0 for each shard, without a block, holds the number of training tokens and of distinct words.
+    """
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("c", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, out = table.column("shard")[0].as_py(), []
+        kinds, blocks = table.column("kind").to_numpy(), table.column("block").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            at = np.flatnonzero(kinds == kind)
+            at = at[np.argsort(blocks[at], kind="stable")]
+            some = table.take(pa.array(at))
+            if kind == 1:
+                each = [_words_of(k) for k in some.column("keys").to_pylist()]
+                values = pa.array([w for part in each for w in part], pa.binary())
+                lengths = [len(part) for part in each]
+            else:
+                each = [np.frombuffer(k, "<u8") for k in some.column("keys").to_pylist()]
+                values, lengths = np.concatenate(each), [len(part) for part in each]
+            n = np.concatenate([np.frombuffer(x, "<u4") for x in some.column("n").to_pylist()])
+            distinct, number = _distinct(values)
+            total = np.bincount(number, weights=n, minlength=len(distinct)).astype("<u8")
+            if kind == 1:
+                out.append((None, shard, 0, np.array([total.sum(), np.count_nonzero(total)], "<u8").tobytes()))
+            ends = np.cumsum(lengths)
+            own = blocks[at]
+            start = 0
+            while start < len(own):
+                stop = start + 1
+                while stop < len(own) and own[stop] == own[start]:
+                    stop += 1
+                numbers = number[ends[start] - lengths[start] : ends[stop - 1]]
+                if stop - start > 1:  # parts of a block: their union, in the order of the keys
+                    numbers = np.unique(numbers)
+                    if kind == 1:
+                        words = distinct.take(pa.array(numbers)).to_pylist()
+                        numbers = numbers[sorted(range(len(words)), key=lambda k: (xxhash.xxh64_intdigest(words[k]), words[k]))]
+                out.append((int(own[start]), shard, kind, total[numbers].tobytes()))
+                start = stop
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return sent.groupBy("shard").applyInArrow(run, ANSWER)
 
 
 class Automaton:
-    """States, arcs and failure arcs of a backoff model."""
-
-    def __init__(self, grams: NGrams, n: int, v: int, discount: float = DISCOUNT):
-        self.n, self.v, self.discount, self.number = n, v, discount, grams.number
-        sizes = [len(c) for c in grams.counts]
-        first = np.cumsum([1, *sizes]).tolist()  # state of the first n-gram of each order; 0 is the root
-        orders = len(sizes)
-        states = first[orders - 1]  # the highest order has arcs into its suffixes only
-        fail, weight = np.zeros(states, np.int64), np.zeros(states)
-        self.arcs: dict[int, tuple[int, float]] = {}
-        p = np.maximum(grams.counts[0] - discount, 0) / max(n, 1)
-        self.word_state = np.arange(1, sizes[0] + 1) if orders > 1 else np.zeros(sizes[0], np.int64)
-        suffix = np.zeros(sizes[0], np.int64)  # of each n-gram, the state of it without its first word
-        for k in range(1, orders):
-            keys, counts = grams.keys[k - 1], grams.counts[k]
-            before, word = keys >> 32, keys & 0xFFFFFFFF
-            own = (counts - discount) / grams.counts[k - 1][before]
-            if k == 1:
-                lower, shorter = p[word], self.word_state[word]
-            else:  # the n-gram without its first word: the suffix of its prefix, then the word
-                parent = suffix[before] - first[k - 2]
-                place = np.searchsorted(grams.keys[k - 2], parent << 32 | word)
-                lower, shorter = p[place], first[k - 1] + place
-            taken = np.bincount(before, weights=own, minlength=sizes[k - 1])
-            given = np.bincount(before, weights=lower, minlength=sizes[k - 1])
-            state = first[k - 1] + np.arange(sizes[k - 1])
-            weight[state] = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - given, 1e-12))
-            fail[state] = suffix
-            to = first[k] + np.arange(sizes[k]) if k + 1 < orders else shorter
-            logs = np.log10(own)
-            self.arcs.update(zip(((first[k - 1] + before) << 20 | word).tolist(), zip(to.tolist(), logs.tolist())))
-            p, suffix = own, shorter
-        down = np.zeros(states)
-        for s in range(states):  # suffixes have smaller numbers
-            down[s] = weight[s] + down[fail[s]] if s else 0.0
-        self.fail, self.weight, self.down = fail.tolist(), weight.tolist(), down.tolist()
-        end = self.number.get(END, -1)
-        self.start = int(self.word_state[end]) if end >= 0 else 0
-        self.word_state = self.word_state.tolist()
-
-    def unseen(self) -> float:
-        return self.discount * self.v / self.n if self.n else 1.0
-
-    def word_logs(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words with these training counts, without context."""
-        return np.log10(np.where(counts > 0, np.maximum(counts - self.discount, 1e-9) / max(self.n, 1), self.unseen()))
-
-    def score(self, numbers: list[int], logs: list[float]) -> float:
-        """Traverse a text: ``numbers`` of its tokens (-1: rare) and their logarithms without context."""
-        arcs, fail, weight, down, own = self.arcs.get, self.fail, self.weight, self.down, self.word_state
-        state, total = self.start, 0.0
-        for w, log in zip(numbers, logs):
-            if w < 0:
-                total += down[state] + log
-                state = 0
-                continue
-            while True:
-                arc = arcs(state << 20 | w)
-                if arc is not None:
-                    state = arc[0]
-                    total += arc[1]
-                    break
-                if not state:
-                    total += log
-                    state = own[w]
-                    break
-                total += weight[state]
-                state = fail[state]
+    """States, arcs and failure arcs over the n-grams of a block, with their counts in the whole corpus.
+
+    State 0 is the root, 1 + w that of word w, 1 + W + b that of bigram b. ``arcs[k]`` holds the weight of the arc
+    that the n-gram of each number is, for n = k + 2, or NaN where the training texts do not have it.
+    """
+
+    def __init__(self, block: Block, counts: list[np.ndarray], n: int, v: int, strength: tuple[float, ...] = STRENGTH):
+        order = len(counts)
+        base = np.log10((counts[0] + 1.0) / (n + v + 1.0))
+        known = [c > 0 for c in counts]
+        log = np.log10
+        # which word or bigram each bigram or trigram starts with, and what the shorter history gives its last word
+        arcs, weight = [], [np.zeros(1)]
+        shorter = 10.0**base
+        for k in range(1, order):
+            at, last, before = block.at[k], block.at[k - 1], np.concatenate([[block.end if k == 1 else -1], block.at[k - 1][:-1]])
+            some = np.flatnonzero(at >= 0)
+            head, tail = np.zeros(len(counts[k]), np.int64), np.zeros(len(counts[k]), np.int64)
+            head[at[some]], tail[at[some]] = before[some], last[some]
+            c, s = counts[k - 1][head].astype(float), strength[k - 1]
+            p = (counts[k] + s * shorter[tail]) / (c + s)
+            arcs.append(np.where(known[k], log(p), np.nan))
+            weight.append(log(s / (counts[k - 1] + s)))
+            # of an unseen n-gram too: what its history leaves to the shorter one
+            shorter = np.where(c > 0, p, shorter[tail])
+        words, two = len(counts[0]), 1 + len(counts[0])
+        fail = np.zeros(sum(map(len, weight)), np.int64)
+        state = [np.where(known[0], 1 + np.arange(words), 0) if order > 1 else np.zeros(words, np.int64)]
+        if order > 2:
+            some = np.flatnonzero(block.at[1] >= 0)
+            tail = np.zeros(len(counts[1]), np.int64)
+            tail[block.at[1][some]] = block.at[0][some]
+            fail[two:] = state[0][tail]
+            state.append(np.where(known[1], two + np.arange(len(counts[1])), state[0][tail]))
+        self.first_of_two, self.start, self.depth = two, int(state[0][block.end]), len(state)
+        self.base, self.weight, self.fail, self.to = base.tolist(), np.concatenate(weight).tolist(), fail.tolist(), state[-1].tolist()
+        self.arcs = [x.tolist() for x in arcs]
+
+    def traverse(self, numbers: list[list[int]]) -> float:
+        """log10 probability of a text; ``numbers`` are those of its words, bigrams and trigrams at each token."""
+        state, total, fail, weight, two = self.start, 0.0, self.fail, self.weight, self.first_of_two
+        base, to, arcs, last = self.base, self.to, self.arcs, self.depth - 1
+        for at in zip(*numbers):
+            arc = math.nan
+            if state >= two:
+                arc = arcs[1][at[2]]
+                if arc != arc:  # no arc: fail to the history of one word
+                    total += weight[state]
+                    state = fail[state]
+            if arc != arc and state:
+                arc = arcs[0][at[1]]
+                if arc != arc:
+                    total += weight[state]
+            total += base[at[0]] if arc != arc else arc
+            state = to[at[last]]
         return total
 
 
 def split_block(docs: DataFrame) -> Column:
-    """A block for texts read from files: the file split, cut into parts of a few MB by a hash."""
-    spark = docs.sparkSession
-    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    parts = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(most / BLOCK_BYTES))))
-    return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), parts)
+    """A block for texts read from files: some consecutive rows of a file, of ``BLOCK_BYTES`` on average.
+
+    It depends on the row's file and number there alone, however the scan is planned.
+    """
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    a_block = max(1, int(rows * BLOCK_BYTES / max(size, 1)))
+    return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / a_block))
 
 
-def score(docs: DataFrame, train: Column, block: Column | None = None, order: int = ORDER, min_share: float = MIN_SHARE) -> DataFrame:
+def score(docs: DataFrame, train: Column, block: Column | None = None, order: int = ORDER, strength: tuple[float, ...] = STRENGTH) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, text).
 
     ``train`` tells which rows the model learns from. ``block`` must be a function of the row that stays the same
     when the table is read again; texts of a block are scored together, so it should be a few MB. Best is one that
-    rows of a file split share, see ``split_block``; by default it is a hash of the row.
+    neighbouring rows share, see ``split_block``; by default it is a hash of the row, by which rows are dealt first.
     """
-    spark = docs.sparkSession
     text = whole_text(F.col("text"))
-    if block is None:
-        size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
-        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(size / BLOCK_BYTES))))
+    size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    dealt = block is None
+    if dealt:
+        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(size / BLOCK_BYTES)))).cast("long")
     docs = docs.select("doc_id", text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"), block.alias("block"))
-
-    by_word = Window.partitionBy("word")
-    counted = materialize(
-        word_counts(docs).select(
-            "block", "word", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first")
-        ),
-        "words",
-    )
-    n, v = counted.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).head()
-    least = max(2.0, n * min_share)
-    frequent = counted.filter(F.col("first") & (F.col("c") >= least)).select("word", "c").toPandas()
-    grams = NGrams([w.encode("utf-8") for w in frequent["word"]], frequent["c"].tolist())
-    for _ in range(order - 1):
-        if not grams.count_next(docs, least):
-            break
-    sent = spark.sparkContext.broadcast(Automaton(grams, n, v))
-
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        model = sent.value
-        names = words.column("word").cast(pa.binary()).to_pylist()
-        counts = words.column("c").to_numpy().astype(np.int64)
-        place = {w: i for i, w in enumerate(names)}
-        base = np.log10((counts + 1) / (model.n + model.v + 1))
-        logs = model.word_logs(counts) if model.n else base
-        numbers = np.array([model.number.get(w, -1) for w in names], np.int64)
+    together = docs.repartition("block").sortWithinPartitions("block") if dealt else docs
+    found = materialize(answers(packed(together, order, max(1, math.ceil(size / SHARD_BYTES)))), "counts")
+    totals = [np.frombuffer(r[0], "<u8") for r in found.filter("kind = 0").select("c").collect()]  # a row for each shard
+    n, v = (int(sum(t[k] for t in totals)) for k in (0, 1))
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        own = Block(texts.column("text").to_pylist(), order)
+        counts = counts.take(pc.sort_indices(counts, sort_keys=[("kind", "ascending"), ("shard", "ascending")]))
+        kinds, c = counts.column("kind").to_pylist(), counts.column("c").to_pylist()
+        found = [np.frombuffer(b"".join(x for k, x in zip(kinds, c) if k == kind), "<u8").astype(np.int64) for kind in range(1, order + 1)]
+        model = Automaton(own, found, n, v, strength)
+        base, at = np.array(model.base), 0
         rows = []
-        for t in texts.column("text").to_pylist():
-            at = np.array(list(map(place.__getitem__, tokens(t))), np.int64)
-            rows.append((len(at), int((counts[at] > 0).sum()), float(base[at].sum()), model.score(numbers[at].tolist(), logs[at].tolist())))
-        n_tokens, n_known, base_score, own = zip(*rows) if rows else ((), (), (), ())
+        for length in own.sizes:
+            numbers = [x[at : at + length] for x in own.at]
+            known = found[0][numbers[0]] > 0
+            rows.append((length, int(known.sum()), float(base[numbers[0]].sum()), model.traverse([x.tolist() for x in numbers])))
+            at += length
+        n_tokens, n_known, base_score, total = zip(*rows) if rows else ((), (), (), ())
         return pa.table({
             "doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([model.n] * len(rows), pa.int64()),
-            "base_score": pa.array(base_score, pa.float64()), "score": pa.array(own, pa.float64()),
+            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(rows), pa.int64()),
+            "base_score": pa.array(base_score, pa.float64()), "score": pa.array(total, pa.float64()),
         })
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(
         "train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    return docs.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(run, schema)
+    return docs.groupBy("block").cogroup(found.filter("kind > 0").groupBy("block")).applyInArrow(run, schema)

@@ -42,7 +42,7 @@ ORDER = 3
 STRENGTH = (200.0, 40.0)
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose n-grams a shard adds up.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -62,6 +62,30 @@ def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers in ``width`` bytes each; the few that do not fit are listed with their places."""
+    top = np.uint64((1 << (8 * width)) - 1)
+    values = values.astype("<u8")
+    large = np.flatnonzero(values >= top).astype("<u8")
+    low = np.minimum(values, top).view(np.uint8).reshape(-1, 8)[:, :width]
+    return b"".join([np.array([len(large)], "<u8").tobytes(), large.tobytes(), values[large.astype(np.int64)].tobytes(), low.tobytes()])
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    large = int(np.frombuffer(data, "<u8", 1)[0])
+    at, values = np.frombuffer(data, "<u8", 2 * large, 8).reshape(2, -1)
+    low = np.frombuffer(data, np.uint8, offset=8 + 16 * large).reshape(-1, width)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :width] = low
+    out = out.view("<u8").reshape(-1)
+    out[at.astype(np.int64)] = values
+    return out
+
+
+#: Bytes of a count, and of the gap between two neighbouring keys.
+COUNT, GAP = 1, 6
+
+
 class Block:
     """The n-grams of some texts: distinct ones in order of their keys, and their numbers at each token."""
 
@@ -84,7 +108,7 @@ class Block:
         self.end = int(place[0])
         seen = place[np.array(flat, np.int64)]
         h = self.word_keys[seen]
-        self.keys, self.at = [self.word_keys], [seen[1:]]
+        self.keys, self.at = [self.word_keys], [seen[1:].astype(np.int32)]
         key, first = h, np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)  # of each text, its first token
         for n in range(2, order + 1):
             key = _joined(key[:-1], h[n - 1 :])
@@ -96,7 +120,7 @@ class Block:
             full = np.zeros(len(known), np.uint64)
             full[n - 2 :] = key
             distinct, inverse = np.unique(full[known], return_inverse=True)
-            at = np.full(len(known), -1, np.int64)
+            at = np.full(len(known), -1, np.int32)
             at[known] = inverse
             self.keys.append(distinct)
             self.at.append(at)
@@ -104,7 +128,7 @@ class Block:
     def counts(self, train: list) -> list[np.ndarray]:
         """Occurrences in the training texts, for each order."""
         weight = np.repeat(np.array(train, np.int64), self.sizes)
-        return [np.bincount(at[at >= 0], weights=weight[at >= 0], minlength=len(k)).astype("<u4") for at, k in zip(self.at, self.keys)]
+        return [np.bincount(at[at >= 0], weights=weight[at >= 0], minlength=len(k)) for at, k in zip(self.at, self.keys)]
 
     def cuts(self, n: int, shards: int) -> np.ndarray:
         """Where the keys of order n are cut into shards, by equal ranges of the key."""
@@ -112,7 +136,7 @@ class Block:
         return np.searchsorted(own, np.arange(shards + 1, dtype=np.uint64))
 
 
-#: A block's n-grams of one order in one shard: keys packed as 8 bytes each (words: texts, each ended by a line end).
+#: A block's n-grams of one order in one shard: the gaps of their keys (words: texts, each ended by a line end), counts.
 PACKED = "shard int, block long, kind int, keys binary, n binary"
 ANSWER = "block long, shard int, kind int, c binary"
 
@@ -127,8 +151,8 @@ def packed(docs: DataFrame, order: int, shards: int) -> DataFrame:
             cuts = b.cuts(k, shards)
             for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 i, j = int(cuts[s]), int(cuts[s + 1])
-                keys = b"".join(w + b"\n" for w in b.words[i:j]) if k == 1 else b.keys[k - 1][i:j].astype("<u8").tobytes()
-                rows.append((s, block, k, keys, n[i:j].tobytes()))
+                keys = b"".join(w + b"\n" for w in b.words[i:j]) if k == 1 else _packed(np.diff(b.keys[k - 1][i:j], prepend=np.uint64(0)), GAP)
+                rows.append((s, block, k, keys, _packed(n[i:j], COUNT)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +210,14 @@ def answers(sent: DataFrame) -> DataFrame:
                 values = pa.array([w for part in each for w in part], pa.binary())
                 lengths = [len(part) for part in each]
             else:
-                each = [np.frombuffer(k, "<u8") for k in some.column("keys").to_pylist()]
+                each = [np.cumsum(_unpacked(k, GAP), dtype=np.uint64) for k in some.column("keys").to_pylist()]
                 values, lengths = np.concatenate(each), [len(part) for part in each]
-            n = np.concatenate([np.frombuffer(x, "<u4") for x in some.column("n").to_pylist()])
+                del each
+            n = np.concatenate([_unpacked(x, COUNT) for x in some.column("n").to_pylist()])
+            del some
             distinct, number = _distinct(values)
             total = np.bincount(number, weights=n, minlength=len(distinct)).astype("<u8")
+            del values, n
             if kind == 1:
                 out.append((None, shard, 0, np.array([total.sum(), np.count_nonzero(total)], "<u8").tobytes()))
             ends = np.cumsum(lengths)
@@ -206,7 +233,7 @@ def answers(sent: DataFrame) -> DataFrame:
                     if kind == 1:
                         words = distinct.take(pa.array(numbers)).to_pylist()
                         numbers = numbers[sorted(range(len(words)), key=lambda k: (xxhash.xxh64_intdigest(words[k]), words[k]))]
-                out.append((int(own[start]), shard, kind, total[numbers].tobytes()))
+                out.append((int(own[start]), shard, kind, _packed(total[numbers], COUNT)))
                 start = stop
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -249,8 +276,9 @@ class Automaton:
             fail[two:] = state[0][tail]
             state.append(np.where(known[1], two + np.arange(len(counts[1])), state[0][tail]))
         self.first_of_two, self.start, self.depth = two, int(state[0][block.end]), len(state)
-        self.base, self.weight, self.fail, self.to = base.tolist(), np.concatenate(weight).tolist(), fail.tolist(), state[-1].tolist()
-        self.arcs = [x.tolist() for x in arcs]
+        # views give plain numbers without an object for each
+        self.base, self.weight, self.fail, self.to = map(memoryview, (base, np.concatenate(weight), fail, state[-1]))
+        self.arcs = [memoryview(x) for x in arcs]
 
     def traverse(self, numbers: list[list[int]]) -> float:
         """log10 probability of a text; ``numbers`` are those of its words, bigrams and trigrams at each token."""
@@ -304,7 +332,7 @@ def score(docs: DataFrame, train: Column, block: Column | None = None, order: in
         own = Block(texts.column("text").to_pylist(), order)
         counts = counts.take(pc.sort_indices(counts, sort_keys=[("kind", "ascending"), ("shard", "ascending")]))
         kinds, c = counts.column("kind").to_pylist(), counts.column("c").to_pylist()
-        found = [np.frombuffer(b"".join(x for k, x in zip(kinds, c) if k == kind), "<u8").astype(np.int64) for kind in range(1, order + 1)]
+        found = [np.concatenate([_unpacked(x, COUNT) for k, x in zip(kinds, c) if k == kind] or [np.zeros(0)]).astype(np.int64) for kind in range(1, order + 1)]
         model = Automaton(own, found, n, v, strength)
         base, at = np.array(model.base), 0
         rows = []

@@ -11,13 +11,13 @@ language, and no labelling without that language gains: it changes directly betw
 gain for one penalty. This is tested with vectors, by bounds that are safe, and other texts take the word-by-word
 recursion.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language first by name; with
-no labelled rows every text is ``und``.
+Edge cases: a text that is null or has no letter (digits, fractions, superscripts and symbols are none) is ``und``
+with score 0; ties go to the language first by name; with no labelled rows every text is ``und``; repeated rows get equal
+results; very long texts and words are read whole; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ SCRIPTS = (
 )
 SCRIPT_NAMES = (*dict.fromkeys(s for s, _, _ in SCRIPTS), "other")
 
-_letters = re.compile(r"[^\W\d_]+").findall
+#: Letters are characters of the Unicode categories L; marks after a letter (vowel signs, accents) belong to its word.
+_letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def script_of(word: str) -> int:

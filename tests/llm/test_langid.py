@@ -1,4 +1,5 @@
 import numpy as np
+import xxhash
 
 from galerna.llm import langid
 
@@ -30,15 +31,47 @@ def test_spans_and_edges(spark, edges, nothing):
     assert {r.lang_pred for r in langid.identify(edges, empty).collect()} == {"und"}
 
 
+def plain_scorer(k):
+    return langid.Scorer(langid.Model(list("abcd"[:k]), np.zeros((langid.BUCKETS, k)), np.ones((len(langid.SCRIPT_NAMES), k), bool)))
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     rng = np.random.default_rng(0)
-    s = langid.Scorer(langid.Model(["a", "b", "c"], np.zeros((langid.BUCKETS, 3)), np.ones((len(langid.SCRIPT_NAMES), 3), bool)))
-    for _ in range(60):
-        score = rng.normal(size=(6, 3)) * 2
-        got = s.labels(score, 1.5)
-        value = lambda p: sum(score[i, k] for i, k in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
-        every = np.stack(np.meshgrid(*[range(3)] * 6), -1).reshape(-1, 6)
-        assert abs(value(got) - max(value(p) for p in every)) < 1e-9
+    plain = 0
+    for k, n, cases in ((3, 7, 16_000), (4, 5, 4_000)):
+        s, every = plain_scorer(k), np.stack(np.meshgrid(*[range(k)] * n), -1).reshape(-1, n)
+        switches, places = (np.diff(every, axis=1) != 0).sum(axis=1), np.arange(n)
+        for t in range(cases):
+            penalty = (0.5, 1.5, 4.0, 12.0)[t % 4]
+            score = rng.normal(size=(n, k)) * rng.choice([0.5, 2.0, 6.0])
+            if t % 2:  # halves of two languages beside a third that is near in both
+                score[: n // 2, 0] += 3
+                score[n // 2 :, 1] += 3
+                score[:, 2] += 1
+            got = s.labels(score, penalty)
+            value = score[places, got].sum() - penalty * (np.diff(got) != 0).sum()
+            assert abs(value - (score[places, every].sum(axis=1) - penalty * switches).max()) < 1e-9
+            plain += len(set(got.tolist())) == 1
+    assert 2_000 < plain < 18_000
+
+
+def test_word_scores_by_their_definition(spark):
+    model = fitted(spark)
+    s = langid.Scorer(model)
+    for w in ("house", "été", "дом", "zzz", "किताब"):
+        marked = f"<{w}>"
+        parts = [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
+        want = sum(model.logs[xxhash.xxh32_intdigest(g.encode()) % langid.BUCKETS] for g in parts)
+        want = want - want.max()
+        uses = model.uses[langid.script_of(w)]
+        want = np.where(uses | ~uses.any(), want, langid.NO_CANDIDATE)
+        assert np.allclose(s.scores([w])[0], want)
+
+
+def test_letters():
+    assert langid.words("½ ² ① 12 _ — ☃ ١٢") == []
+    assert langid.words("हिन्दी भाषा l'été x²y") == ["हिन्दी", "भाषा", "l", "été", "x", "y"]
+    assert plain_scorer(3).predict("½ ² ① ٣")[:2] == ("und", 0.0)
 
 
 def test_held_out_accuracy(spark):

@@ -1,8 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license notices, in DataFrame expressions only.
 
-Words are lower-cased runs of letters and digits. A block is a window of ``BLOCK_WORDS`` words, one at each half
-window, so that a notice of half a window at most lies whole in some block. A block matches a template if it holds at
-least ``THRESHOLD`` of the template's distinct words, its naming words among them.
+Words are lower-cased runs of letters and digits. A block is a window of words, one at each half window; its size follows
+the template (``block_words``), so that a whole notice lies in some block. A block matches a template if it holds at
+least ``THRESHOLD`` of the template's distinct words; ``matches`` has all such pairs.
 
 The tokens of the templates are ordered by their document frequency in the corpus, rarest first. With ``a`` the least
 overlap, a match must share a token of the template's first ``|T| - a + 1`` and of the block's first ``|B| - a + 1``
@@ -10,8 +10,13 @@ tokens (prefix filter), the block must have ``a`` tokens (length filter), and af
 be left on both sides (positional filter). What passes is verified. The filters lose nothing, and the join runs within
 the row: its template side is the literal list of templates, so nothing is shuffled whatever the text's skew.
 
-Edge cases: null texts count as empty; texts without words have no label and score 0; extra columns stay, and those
-named like a result are replaced.
+Notices of two versions share most words, so that the one's block matches the other's template as well. Such a match is
+marked ``explained``, and gives no label, where in the same block a template that alone would make it match scores higher
+(or as high with more words): a text gets the version that fits best, and both if they fit alike.
+
+Edge cases: null texts count as empty; texts without words have no label and score 0; repeated rows get equal results;
+very long texts are scanned whole; an empty table gives no rows; extra columns stay, and those named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from galerna.llm.common import ascii_lower, whole_text
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Least block; larger ones for templates of more than half of it.
 BLOCK_WORDS = 64
 
 #: Phrases that name a license wherever their words stand in a row.
@@ -40,26 +46,75 @@ PHRASES = (
 class Template:
     label: str
     text: str
-    named_by: tuple[str, ...]
 
 
-#: Notices, and the words without which a block is not about the license.
+#: Notices in plain words.
 TEMPLATES = (
-    Template("mit", "released under the terms of the mit license", ("mit",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby", "granted")),
-    Template("apache-2", "licensed under the apache license version 2 0", ("apache",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc", "nc")),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc", "sa")),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative", "commons")),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu", "3")),
-    Template("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu", "2")),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla",)),
+    Template("mit", "released under the terms of the mit license"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    ),
+    Template("apache-2", "licensed under the apache license version 2 0"),
+    Template(
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain "
+        "a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+        "on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    Template("cc-by", "licensed under cc by 4 0"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    Template("cc-by-nc", "licensed under cc by nc 4 0"),
+    Template("cc-by-sa", "licensed under cc by sa 4 0"),
+    Template("gpl", "this work is licensed under the gnu general public license"),
+    Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    Template("gpl-2", "this work is licensed under the gnu general public license version 2"),
     Template(
-        "bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that", ("redistribution",)
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version",
     ),
+    Template(
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 2 of the license or at your option any later version",
+    ),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that"),
+    Template(
+        "bsd-3",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are "
+        "met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    ),
+    Template("unnamed", "released under the terms of the license"),
 )
 
 
+def least_of(template: Template, threshold: float = THRESHOLD) -> int:
+    """The least number of the template's distinct words in a matching block."""
+    return math.ceil(threshold * len(set(template.text.split())) - 1e-9)
+
+
+def block_words(template: Template) -> int:
+    """Twice ``BLOCK_WORDS`` and so on until the template fits into half a block."""
+    size = BLOCK_WORDS
+    while size // 2 < len(template.text.split()):
+        size *= 2
+    return size
+
+
+def rivals(templates: tuple[Template, ...], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(t, u): templates of one block size such that u, whole in a block, makes the block match t."""
+    sets = [set(t.text.split()) for t in templates]
+    return [
+        (t, u) for t in range(len(sets)) for u in range(len(sets))
+        if t != u and block_words(templates[t]) == block_words(templates[u]) and len(sets[t] & sets[u]) >= least_of(templates[t], threshold)
+    ]
+
+
 def _of(value: Column, make) -> Column:
     """``make`` applied to ``value`` as a lambda's variable, so that it is evaluated once."""
     return F.transform(F.array(value), make)[0]
@@ -111,66 +166,82 @@ def token_frequencies(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES
     return {w: 0 for w in tokens} | {r[0]: r[1] for r in counts.collect()}  # a row for each token at most
 
 
+MATCHES = "array<struct<label:string,start_word:bigint,score:double,explained:boolean>>"
+
+
 class Join:
     """Templates with their tokens as ranks in the frequency order (from 1)."""
 
     def __init__(self, frequencies: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD):
         self.order = sorted(frequencies, key=lambda w: (frequencies[w], w))
+        self.labels = [t.label for t in templates]
         rank = {w: k + 1 for k, w in enumerate(self.order)}
-        self.templates = []
-        for t in templates:
-            tokens = sorted({rank[w] for w in t.text.split()})
-            least = math.ceil(threshold * len(tokens) - 1e-9)
-            self.templates.append((t.label, tokens, least, sorted(rank[w] for w in t.named_by)))
-        self.first = sorted({r for _, tokens, least, _ in self.templates for r in tokens[: len(tokens) - least + 1]})
+        self.tokens = [sorted({rank[w] for w in t.text.split()}) for t in templates]
+        self.least = [least_of(t, threshold) for t in templates]
+        self.rivals = rivals(templates, threshold)
+        self.sizes = {size: [k for k, t in enumerate(templates) if block_words(t) == size] for size in sorted(set(map(block_words, templates)))}
 
     def _ranks(self, some: list[int]) -> Column:
         return F.array(*(F.lit(r).cast("long") for r in some))
 
-    def _match(self, block: Column, start: Column) -> Column:
-        """The block's matches, an array of (label, start_word, score)."""
-
-        def of(label: str, tokens: list[int], least: int, named_by: list[int]) -> Column:
-            own, size = self._ranks(tokens), len(tokens)
-            prefix = self._ranks(tokens[: size - least + 1])
-            shared = F.get(F.array_intersect(prefix, F.slice(block, 1, F.greatest(F.size(block) - least + 1, F.lit(0)))), F.lit(0))
-            left = lambda t: F.least(F.lit(size) - F.array_position(own, t), F.size(block) - F.array_position(block, t))
-            positional = _of(shared, lambda t: t.isNotNull() & (1 + left(t) >= least))
-            overlap = F.size(F.array_intersect(own, block))
-            named = F.size(F.array_intersect(self._ranks(named_by), block)) == len(named_by)
-            verified = F.when(named & (overlap >= least), F.struct(F.lit(label).alias("label"), start.alias("start_word"), (overlap / size).alias("score")))
-            return F.when(F.size(block) >= least, F.when(positional, verified))
-
-        return F.array_compact(F.array(*(of(*t) for t in self.templates)))
+    def _prefix(self, k: int) -> list[int]:
+        return self.tokens[k][: len(self.tokens[k]) - self.least[k] + 1]
+
+    def _overlap(self, block: Column, k: int) -> Column:
+        """How many tokens of template k the block (sorted ranks) holds, null below the least overlap."""
+        own, size, least = self._ranks(self.tokens[k]), len(self.tokens[k]), self.least[k]
+        shared = F.get(F.array_intersect(self._ranks(self._prefix(k)), F.slice(block, 1, F.greatest(F.size(block) - least + 1, F.lit(0)))), F.lit(0))
+        left = lambda t: F.least(F.lit(size) - F.array_position(own, t), F.size(block) - F.array_position(block, t))
+        positional = _of(shared, lambda t: t.isNotNull() & (1 + left(t) >= least))
+        verified = _of(F.size(F.array_intersect(own, block)), lambda n: F.when(n >= least, n))
+        return F.when(F.size(block) >= least, F.when(positional, verified))
+
+    def _match(self, block: Column, start: Column, some: list[int]) -> Column:
+        """The block's matches with the templates ``some``."""
+
+        def one(found: Column, at: int) -> Column:
+            k, n = some[at], found[at]
+            explained = F.lit(False)
+            for t, u in self.rivals:
+                if t == k:
+                    other, ours, theirs = found[some.index(u)], len(self.tokens[k]), len(self.tokens[u])
+                    better = other * ours >= n * theirs if theirs > ours else other * ours > n * theirs
+                    explained = explained | F.coalesce(better, F.lit(False))
+            return F.when(n.isNotNull(), F.struct(
+                F.lit(self.labels[k]).alias("label"), start.alias("start_word"), (n / len(self.tokens[k])).alias("score"), explained.alias("explained")
+            ))
+
+        return _of(
+            F.array(*(self._overlap(block, k) for k in some)), lambda found: F.array_compact(F.array(*(one(found, at) for at in range(len(some)))))
+        )
 
     def matches(self, words: Column) -> Column:
         """All matches of the blocks of an array of words."""
         order = F.array(*map(F.lit, self.order))
-        rarest = F.array(*(F.lit(self.order[r - 1]) for r in self.first))
-        half = BLOCK_WORDS // 2
-        none = F.array().cast("array<struct<label:string,start_word:bigint,score:double>>")
+        none = F.array().cast(MATCHES)
 
-        def block(ws: Column, start: Column) -> Column:
-            window = F.slice(ws, (start + 1).cast("int"), BLOCK_WORDS)
+        def of_size(ws: Column, size: int, some: list[int]) -> Column:
+            rarest = F.array(*(F.lit(self.order[r - 1]) for r in sorted({r for k in some for r in self._prefix(k)})))
 
-            def ranked(w: Column) -> Column:
-                ranks = F.filter(F.transform(w, lambda x: F.array_position(order, x)), lambda r: r > 0)
-                return _of(F.array_sort(F.array_distinct(ranks)), lambda b: self._match(b, start))
+            def block(start: Column) -> Column:
+                def ranked(w: Column) -> Column:
+                    ranks = F.filter(F.transform(w, lambda x: F.array_position(order, x)), lambda r: r > 0)
+                    return _of(F.array_sort(F.array_distinct(ranks)), lambda b: self._match(b, start, some))
 
-            return _of(window, lambda w: F.when(F.arrays_overlap(w, rarest), ranked(w)).otherwise(none))
+                window = F.slice(ws, (start + 1).cast("int"), size)
+                return _of(window, lambda w: F.when(F.arrays_overlap(w, rarest), ranked(w)).otherwise(none))
 
-        def blocks(ws: Column) -> Column:
-            starts = F.sequence(F.lit(0).cast("long"), F.size(ws).cast("long") - 1, F.lit(half).cast("long"))
-            return F.flatten(F.transform(starts, lambda s: block(ws, s)))
+            starts = F.sequence(F.lit(0).cast("long"), F.size(ws).cast("long") - 1, F.lit(size // 2).cast("long"))
+            return F.when((F.size(ws) > 0) & F.arrays_overlap(ws, rarest), F.flatten(F.transform(starts, block))).otherwise(none)
 
-        return _of(words, lambda ws: F.when((F.size(ws) > 0) & F.arrays_overlap(ws, rarest), blocks(ws)).otherwise(none))
+        return _of(words, lambda ws: F.concat(*(of_size(ws, size, some) for size, some in self.sizes.items())))
 
 
 def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """Add n_words, n_base, first_word, last_word, base_labels, labels, score and ``matches`` (label, start_word, score).
+    """Add n_words, n_base, first_word, last_word, base_labels, labels, score and ``matches`` (see ``MATCHES``).
 
-    base_labels and labels are sorted and comma-joined. score is the largest share of a template's words in a matching
-    block; a whole phrase counts as 1.
+    base_labels and labels are sorted and comma-joined; explained matches give no label. score is the largest share of
+    a template's words in a matching block; a whole phrase counts as 1.
     """
     join = Join(token_frequencies(df, templates, text), templates, threshold)
 
@@ -183,7 +254,7 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold:
 
     out = df.withColumn("__scan", _of(normalized(F.col(text)), row))
     base, matches = F.col("__scan.base"), F.col("__scan.matches")
-    of_method = F.transform(matches, lambda m: m["label"])
+    of_method = F.transform(F.filter(matches, lambda m: ~m["explained"]), lambda m: m["label"])
     best = F.when(base["n_base"] > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(matches, lambda m: m["score"])), F.lit(0.0)))
     return out.withColumns({
         "n_words": F.col("__scan.n_words"), "n_base": base["n_base"], "first_word": base["first_word"], "last_word": base["last_word"],

@@ -13,25 +13,31 @@ def _list(words: list[str]) -> str:
 
 
 def op2() -> str:
-    half = licenses.BLOCK_WORDS // 2
     words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     base = " UNION ALL ".join(
         f"SELECT r, i - 1 AS place, '{label}' AS label FROM places WHERE w[i : i + {len(p.split()) - 1}] = {_list(p.split())}"
         for p, label in licenses.PHRASES
     )
     method = " UNION ALL ".join(
-        f"""SELECT r, '{t.label}' AS label, len(list_intersect(b, {_list(sorted(set(t.text.split())))}))::DOUBLE / {len(set(t.text.split()))} AS score
-        FROM blocks WHERE list_has_all(b, {_list(list(t.named_by))})"""
-        for t in licenses.TEMPLATES
+        f"""SELECT r, size, s, {k} AS t, '{t.label}' AS label, {len(set(t.text.split()))} AS n, len(list_intersect(b, {_list(sorted(set(t.text.split())))})) AS o
+        FROM blocks WHERE size = {licenses.block_words(t)}"""
+        for k, t in enumerate(licenses.TEMPLATES)
     )
+    sizes = ", ".join(str(x) for x in sorted(set(map(licenses.block_words, licenses.TEMPLATES))))
+    pairs = ", ".join(f"({t}, {u})" for t, u in licenses.rivals(licenses.TEMPLATES))
     return f"""
     WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{words}') AS w FROM documents),
     places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
     base AS ({base}),
-    blocks AS (SELECT r, list_slice(w, s + 1, s + {licenses.BLOCK_WORDS}) AS b FROM (SELECT r, w, unnest(range(0, len(w), {half})) AS s FROM docs)),
-    method AS (SELECT * FROM ({method}) WHERE score >= {licenses.THRESHOLD} - 1e-9),
+    sized AS (SELECT unnest([{sizes}]) AS size),
+    blocks AS (SELECT r, size, s, list_slice(w, s + 1, s + size) AS b FROM (SELECT r, w, size, unnest(range(0, len(w), size // 2)) AS s FROM docs, sized)),
+    method AS MATERIALIZED (SELECT *, o::DOUBLE / n AS score FROM ({method}) WHERE o::DOUBLE / n >= {licenses.THRESHOLD} - 1e-9),
+    rivals(t, u) AS (VALUES {pairs}),
+    explained AS (SELECT DISTINCT m.r, m.size, m.s, m.t FROM method m JOIN rivals v ON v.t = m.t JOIN method x ON x.t = v.u AND x.r = m.r AND x.size = m.size AND x.s = m.s
+      WHERE x.o * m.n > m.o * x.n OR (x.o * m.n = m.o * x.n AND x.n > m.n)),
+    named AS (SELECT m.r, m.label FROM method m ANTI JOIN explained e ON e.r = m.r AND e.size = m.size AND e.s = m.s AND e.t = m.t),
     b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
-    a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM method) GROUP BY r),
+    a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM named) GROUP BY r),
     m AS (SELECT r, max(score) AS score FROM method GROUP BY r)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
@@ -49,16 +55,17 @@ def op6() -> str:
       CASE WHEN page_id % 101 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'changed' ELSE 'intact' END AS status FROM pages"""
 
 
-def op8(rules, labels) -> str:
+def op8(rules, shout: str) -> str:
     cases = [
         (r, f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')")
         for r in sorted(rules, key=lambda r: (-len(r.name), r.name))
     ]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{r.name}'" for r, c in cases) + " END"
     verdict = "CASE " + " ".join(f"WHEN {c} THEN '{r.verdict}'" for r, c in cases)
-    verdict += f" WHEN len(list_intersect(string_split(host, '.'), {_list(list(labels))})) > 0 THEN 'block' ELSE 'allow' END"
+    verdict += " WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END"
     host = _LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
-    return f"""WITH p AS (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+    return f"""WITH p AS (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(contains(html, '{shout}'), false) AS shouts FROM pages),
+    listed AS (SELECT host FROM p GROUP BY host HAVING 2 * count(*) FILTER (shouts) >= count(*))
     SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict FROM p"""
 
 

@@ -47,15 +47,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit a replica of the pages' records in which some are damaged and some lost: the status of every record."""
+    """Audit a replica of the pages' records in which some are damaged and some lost: the status of every record.
+
+    A page is a record of its own, also where its page_id repeats another's or is null.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     size = pages.agg(F.sum(F.octet_length("html"))).head()[0] or 0
-    record = warc.response_record(F.col("url"), F.col("html"))
-    good = pages.select("page_id", record.alias("record"))
-    placed = materialize(warc.lay_out(good, "page_id", max(1, -(-size // warc.FILE_BYTES))), "records")
     damage = F.when(F.col("page_id") % 97 == 13, F.lit("\x00").cast("binary")).otherwise(F.lit("").cast("binary"))
-    hashes = good.filter("page_id % 101 <> 7").select("page_id", warc.leaf(F.concat("record", damage)).alias("leaf"))
-    replica = hashes.join(placed.select("page_id", "file", "offset"), "page_id").select("file", "offset", "leaf")
+    good = pages.select("page_id", warc.response_record(F.col("url"), F.col("html")).alias("record")).withColumns({
+        "replica": warc.leaf(F.concat("record", damage)), "lost": F.coalesce(F.col("page_id") % 101 == 7, F.lit(False))
+    })
+    placed = materialize(warc.lay_out(good, "page_id", max(1, -(-size // warc.FILE_BYTES)), ("replica", "lost")), "records")
+    replica = placed.filter("not lost").select("file", "offset", F.col("replica").alias("leaf"))
     found = warc.audit(placed.select("file", "offset", "leaf"), replica)
     return placed.join(found, ["file", "offset"], "left").select(
         "page_id", "length", F.col("leaf").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status")
@@ -77,18 +80,24 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The rules, and host labels whose hosts are listed.
+#: The rules.
 RULES = [
     urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"),
 ]
-LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: A page shouts if its source holds this; a host is listed if half of its pages or more do.
+SHOUT = "!!"
+
+
+def shouting_hosts(pages: DataFrame) -> DataFrame:
+    """(key): the listed hosts."""
+    hosts = pages.select(urls.host_of(F.col("url")).alias("key"), F.coalesce(F.contains("html", F.lit(SHOUT)), F.lit(False)).alias("shouts"))
+    return hosts.groupBy("key").agg(F.count_if("shouts").alias("n"), F.count("*").alias("of")).filter("2 * n >= of").select("key")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = lambda host: F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed).select(
-        "page_id", "host", "path", "rule", "verdict"
-    )
+    pages = table(spark, sf_dir, "pages")
+    listed = materialize(shouting_hosts(pages), "listed")
+    return urls.judge(pages.select("page_id", "url"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,4 +127,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Other operators' results (learned scores, hashes and alignments that SQL lacks) are tested by brute force."""
-    return {"op2_licenses": oracles.op2(), "op6_warc": oracles.op6(), "op8_urls": oracles.op8(RULES, LISTED_LABELS), "op9_quality": oracles.op9()}
+    return {"op2_licenses": oracles.op2(), "op6_warc": oracles.op6(), "op8_urls": oracles.op8(RULES, SHOUT), "op9_quality": oracles.op9()}

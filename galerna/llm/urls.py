@@ -3,30 +3,37 @@
 Level 1 of the cascade holds the listed keys. Over the complete universe of keys of the corpus its false positives
 are known, and level 2 holds them; level 3 holds the listed keys that level 2 takes by mistake, and so on until a
 level makes no mistake. The number of the first level that does not hold a key then tells exactly whether a key of the
-universe is listed, without a join. Levels are built by grouped aggregation of their bits.
+universe is listed, without a join.
 
-The filters' size follows the number of listed keys. They are sent to the tasks only up to ``MAX_FILTER_BYTES``;
-beyond that the keys are split into shards by hash, each with a cascade of its own, and each shard of the rows meets
-its own cascade only.
+The universe is cut into shards by hash, of a bounded number of keys, and each shard has a cascade of its own, which one
+task builds; the filters are a table. They are sent to all tasks only where their measured size is ``MAX_FILTER_BYTES``
+at most; beyond that each shard's rows, cut into parts so that a hot key is spread, meet their own shard's filters.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and is in no list unless the
-empty host is listed; keys outside the universe must not be asked for; an empty list allows everything.
+empty host is listed; a null or unknown host in the list does no harm; keys outside the universe must not be asked for;
+an empty list allows everything; repeated rows get equal results; very long urls are read whole; an empty table gives no
+rows; extra columns stay, and those named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galerna.llm.common import ascii_lower, materialize, whole_text
 
 MAX_FILTER_BYTES = 64 << 20
+#: Keys of a shard (in expectation), and rows of a part of a shard.
+SHARD_KEYS = 1 << 20
+PART_ROWS = 1 << 18
 BITS_A_KEY = 10.0
 HASHES = 5
 MAX_LEVELS = 64
@@ -66,120 +73,139 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def _hashes(key: Column, level: int) -> list[Column]:
-    return [F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))]
-
-
-def _places(h1: np.ndarray, h2: np.ndarray, k: int, bits: int) -> np.ndarray:
-    return ((h1.astype(np.uint64) + np.uint64(k) * (h2.astype(np.uint64) | np.uint64(1))) >> np.uint64(1)) % np.uint64(bits)
+def _hashes(key: Column) -> list[Column]:
+    return [F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))]
 
 
 @dataclass
 class Level:
+    """A Bloom filter; levels draw their places from a key's two hashes in ways of their own."""
+
+    number: int
     bits: int
     words: np.ndarray
 
+    @staticmethod
+    def of(number: int, h1: np.ndarray, h2: np.ndarray) -> "Level":
+        bits = max(64, math.ceil(len(h1) * BITS_A_KEY / 64) * 64)
+        out = Level(number, bits, np.zeros(bits // 64, np.uint64))
+        for at in out._places(h1, h2):
+            np.bitwise_or.at(out.words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return out
+
+    def _places(self, h1: np.ndarray, h2: np.ndarray) -> Iterator[np.ndarray]:
+        turn = np.uint64((0x9E3779B97F4A7C15 * (2 * self.number + 1)) & (2**64 - 1))
+        a, b = (h1 ^ turn) * np.uint64(0xC2B2AE3D27D4EB4F), (h2 + turn) | np.uint64(1)
+        a ^= a >> np.uint64(29)
+        for k in range(HASHES):
+            yield ((a + np.uint64(k) * b) >> np.uint64(1)) % np.uint64(self.bits)
+
     def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Whether each pair of hashes is held."""
         held = np.ones(len(h1), bool)
-        for k in range(HASHES):
-            at = _places(h1, h2, k, self.bits)
-            held &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        for at in self._places(h1, h2):
+            held &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return held
 
 
-def _build(keys: DataFrame, level: int, n: int) -> Level:
-    """A level that holds the ``n`` keys: its bits are gathered by their word, with partial results in each task."""
-    bits = max(64, math.ceil(n * BITS_A_KEY / 64) * 64)
+def levels_of(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> list[Level]:
+    """The cascade of the keys of a shard."""
+    out, inside, outside = [], np.flatnonzero(listed), np.flatnonzero(~listed)
+    while len(inside):
+        if len(out) == MAX_LEVELS:
+            raise RuntimeError("the cascade does not end: a key is both inside and outside the list")
+        out.append(Level.of(len(out), h1[inside], h2[inside]))
+        inside, outside = outside[out[-1].holds(h1[outside], h2[outside])], inside
+    return out
 
-    def set_bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            h1, h2 = (frame[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-            at = np.concatenate([_places(h1, h2, k, bits) for k in range(HASHES)])
-            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
-    h1, h2 = _hashes(F.col("key"), level)
-    found = keys.select(h1.alias("h1"), h2.alias("h2")).mapInPandas(set_bits, "word long, bit long")
-    words = np.zeros(bits // 64, np.uint64)
-    rows = found.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # bits / 64 rows at most
-    words[rows["word"].to_numpy()] = rows["bit"].to_numpy(np.int64).view(np.uint64)
-    return Level(bits, words)
+def contained(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """The number of leading levels that hold a key is odd just for listed keys."""
+    going, found = np.ones(len(h1), bool), np.zeros(len(h1), bool)
+    for level in levels:
+        going &= level.holds(h1, h2)
+        found ^= going
+    return found
+
+
+def _unsigned(values) -> np.ndarray:
+    return np.asarray(values, np.int64).view(np.uint64)
 
 
 @dataclass
 class Cascade:
     """Exact membership of the keys of a universe in a list."""
 
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def size_bytes(self) -> int:
-        return sum(x.words.nbytes for x in self.levels)
+    #: (shard, number, bits, words), a row for each level.
+    filters: DataFrame
+    shards: int
 
     @staticmethod
-    def fit(universe: DataFrame, listed: Column) -> "Cascade":
-        """``universe`` has column key (distinct); ``listed`` tells of each row whether its key is in the list."""
-        cascade = Cascade()
-        inside = universe.filter(listed).select("key")
-        outside = universe.filter(~F.coalesce(listed, F.lit(False))).select("key")
-        n = inside.count()
-        while n:
-            if len(cascade.levels) == MAX_LEVELS:
-                raise RuntimeError("the cascade does not end: a key is both inside and outside the list")
-            cascade.levels.append(_build(inside, len(cascade.levels), n))
-            wrong = outside.filter(cascade.held_by_last(F.col("key")))
-            inside, outside = wrong, inside
-            n = inside.count()
-        return cascade
-
-    def held_by_last(self, key: Column) -> Column:
-        return _tester([self.levels[-1]])(*_hashes(key, len(self.levels) - 1)) > 0
-
-    def contains(self, key: Column) -> Column:
-        """The number of leading levels that hold the key is odd just for listed keys."""
-        if not self.levels:
-            return F.lit(False)
-        hashes = [h for level in range(len(self.levels)) for h in _hashes(key, level)]
-        return F.pmod(_tester(self.levels)(*hashes), F.lit(2)) == 1
-
-
-def _tester(levels: list[Level]):
-    """A Pandas UDF of two hashes a level: how many levels hold the key before the first that does not."""
-
-    @F.pandas_udf("int")
-    def depth(*hashes: pd.Series) -> pd.Series:
-        going = np.ones(len(hashes[0]), bool)
-        found = np.zeros(len(hashes[0]), np.int32)
-        for k, level in enumerate(levels):
-            h1, h2 = (h.to_numpy(np.int64).view(np.uint64) for h in hashes[2 * k : 2 * k + 2])
-            going &= level.holds(h1, h2)
-            found += going
-        return pd.Series(found)
-
-    return depth
-
-
-def judge(pages: DataFrame, rules: list[Rule], listed, url: str = "url") -> DataFrame:
+    def fit(universe: DataFrame, listed: DataFrame) -> "Cascade":
+        """``universe`` and ``listed`` have column key; listed keys outside the universe are left out."""
+        keys = universe.select("key").distinct().join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left")
+        keys = materialize(keys.select(*(h.alias(n) for h, n in zip(_hashes(F.col("key")), ("h1", "h2"))), F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+        shards = max(1, math.ceil(keys.count() / SHARD_KEYS))
+
+        def build(table: pa.Table) -> pa.Table:
+            made = levels_of(*(_unsigned(table.column(c).to_numpy()) for c in ("h1", "h2")), table.column("listed").to_numpy())
+            return pa.table({
+                "shard": pa.array([table.column("shard")[0].as_py()] * len(made), pa.int32()), "number": pa.array([x.number for x in made], pa.int32()),
+                "bits": pa.array([x.bits for x in made], pa.int64()), "words": pa.array([x.words.tobytes() for x in made], pa.binary()),
+            })
+
+        dealt = keys.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
+        return Cascade(materialize(dealt.groupBy("shard").applyInArrow(build, "shard int, number int, bits long, words binary"), "filters"), shards)
+
+    def size_bytes(self) -> int:
+        return self.filters.agg(F.sum(F.octet_length("words"))).head()[0] or 0
+
+    def mark(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """``rows`` with a column ``name``: whether column ``key`` is listed. The order of rows may change."""
+        h1, h2 = _hashes(F.col(key))
+        if self.size_bytes() <= MAX_FILTER_BYTES:
+            made: dict[int, list[Level]] = {}
+            for r in self.filters.orderBy("shard", "number").collect():  # of the size just checked
+                made.setdefault(r.shard, []).append(Level(r.number, r.bits, np.frombuffer(r.words, np.uint64)))
+            if not made:
+                return rows.withColumn(name, F.lit(False))
+            sent, shards = rows.sparkSession.sparkContext.broadcast(made), self.shards
+
+            @F.pandas_udf("boolean")
+            def test(a: pd.Series, b: pd.Series) -> pd.Series:
+                shard, found = np.mod(a.to_numpy(np.int64), shards), np.zeros(len(a), bool)
+                for s in np.unique(shard).tolist():
+                    own = shard == s
+                    found[own] = contained(sent.value.get(s, []), _unsigned(a[own]), _unsigned(b[own]))
+                return pd.Series(found)
+
+            return rows.withColumn(name, test(h1, h2))
+        return self._met(rows.withColumns({"__h1": h1, "__h2": h2, "__shard": F.pmod(h1, F.lit(self.shards)).cast("int")}), name)
+
+    def _met(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows and filters meet by shard; a shard of many rows is cut into parts, each of which gets its filters."""
+        parts = materialize(rows.groupBy("__shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("__parts")), "parts")
+        dealt = rows.join(parts, "__shard").withColumn("__part", F.floor(F.rand(1) * F.col("__parts")).cast("int")).drop("__parts")
+        filters = self.filters.withColumnRenamed("shard", "__shard").join(parts, "__shard").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        out = [c for c in rows.columns if c not in ("__h1", "__h2", "__shard")]
+
+        def test(some: pa.Table, levels: pa.Table) -> pa.Table:
+            made = sorted((Level(r["number"], r["bits"], np.frombuffer(r["words"], np.uint64)) for r in levels.to_pylist()), key=lambda x: x.number)
+            found = contained(made, *(_unsigned(some.column(c).to_numpy()) for c in ("__h1", "__h2")))
+            return some.select(out).append_column(name, pa.array(found))
+
+        schema = T.StructType([*(rows.schema[c] for c in out), T.StructField(name, T.BooleanType())])
+        keys = ("__shard", "__part")
+        return dealt.groupBy(*keys).cogroup(filters.drop("__parts").groupBy(*keys)).applyInArrow(test, schema)
+
+
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url") -> DataFrame:
     """Add host, path, rule and verdict (allow or block) to ``pages``; columns of these names are replaced.
 
-    ``listed`` maps the column of a key (a host) to whether it is to be blocked where no rule fits; the cascade
-    is built over all hosts of ``pages``.
+    ``listed`` is a table of hosts (column key) that are blocked where no rule fits; the cascade is built over all hosts
+    of ``pages``.
     """
     with_host = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    universe = materialize(with_host.select(F.col("host").alias("key")).distinct(), "hosts")
-    universe = universe.withColumn("__listed", F.coalesce(listed(F.col("key")), F.lit(False)))
-    n = universe.agg(F.count_if("__listed")).head()[0]
-    shards = max(1, math.ceil(n * BITS_A_KEY * 1.5 / 8 / MAX_FILTER_BYTES))
-    shard_of = lambda key: F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
-    judged = None
-    for k in range(shards):
-        own = universe.filter(shard_of(F.col("key")) == k) if shards > 1 else universe
-        rows = with_host.filter(shard_of(F.col("host")) == k) if shards > 1 else with_host
-        cascade = Cascade.fit(own, F.col("__listed"))
-        part = rows.withColumn("__in", cascade.contains(F.col("host")))
-        judged = part if judged is None else judged.unionByName(part)
+    judged = Cascade.fit(with_host.select(F.col("host").alias("key")), listed).mark(with_host, "host", "__in")
     found = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("__in"), "block").otherwise("allow")
-    return judged.withColumns({
-        "rule": found["rule"], "verdict": F.coalesce(found["verdict"], method)
-    }).drop("__in")
+    return judged.withColumns({"rule": found["rule"], "verdict": F.coalesce(found["verdict"], method)}).drop("__in")

@@ -8,17 +8,16 @@ down only nodes whose parents differ are looked at, so that the audit reads litt
 A record belongs to the range in which it starts, and offsets come from the replica's index: damaged bytes change a
 leaf, a lost or an added record changes its range alone. Edge cases: a null payload has the hash of no bytes, and
 differs from a lost record; an offset used twice in a file is a range with both records, ordered by their hashes;
-empty replicas have no roots, and against them all records are missing.
+empty replicas have no roots, and against them all records are missing; repeated records have places of their own; very
+long records are hashed like any other; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galerna.llm.common import materialize
+from galerna.llm.common import drop_table, materialize
 
 RANGE_BYTES = 64 << 10
 FANOUT = 16
@@ -36,16 +35,17 @@ def response_record(url: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def lay_out(records: DataFrame, key: str, n_files: int) -> DataFrame:
-    """(key, file, offset, length, leaf) of rows with a key and a record (binary): replace records by their hashes and
-    give them places.
+def lay_out(records: DataFrame, key: str, n_files: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, file, offset, length, leaf, carried) of rows with a key and a record (binary): replace records by their
+    hashes and give them places.
 
-    Files take rows by a hash of the key, so that they have like sizes; ``n_files`` follows the corpus (total bytes
-    / FILE_BYTES), which bounds what one window sorts. Records themselves are not shuffled.
+    Rows are dealt to files one by one, so that files have like sizes whatever keys repeat or lack; ``n_files`` follows
+    the corpus (total bytes / FILE_BYTES), which bounds what one window sorts. Records themselves are not shuffled.
+    The places depend on the order in which rows are read: write the result before it is used twice.
     """
     rows = records.select(
-        key, F.pmod(F.xxhash64(key), F.lit(n_files)).alias("file"),
-        F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("length"), leaf(F.col("record")).alias("leaf"),
+        key, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_files)).alias("file"),
+        F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("length"), leaf(F.col("record")).alias("leaf"), *carried,
     )
     before = Window.partitionBy("file").orderBy(key, "leaf").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
@@ -86,7 +86,9 @@ def tree(own: DataFrame, levels: int = LEVELS, range_bytes: int = RANGE_BYTES, f
 def audit(first: DataFrame, second: DataFrame, levels: int = LEVELS, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """(file, offset, status) of each place where two sets of leaves (file, offset, leaf) differ.
 
-    status: ``changed``, ``missing`` (only in ``first``) or ``added`` (only in ``second``).
+    status: ``changed``, ``missing`` (only in ``first``) or ``added`` (only in ``second``). The differing nodes of each
+    level are written before the next one is looked at, so that a level's plan holds no other, and only children of
+    differing nodes are compared.
     """
     a = [materialize(t, f"tree-a{k}") for k, t in enumerate(tree(first, levels, range_bytes, fanout))]
     b = [materialize(t, f"tree-b{k}") for k, t in enumerate(tree(second, levels, range_bytes, fanout))]
@@ -95,12 +97,16 @@ def audit(first: DataFrame, second: DataFrame, levels: int = LEVELS, range_bytes
         y = y.withColumnRenamed("hash", "other")
         return x.join(y, ["file", "node"], "full").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
 
-    wrong = differing(a[-1], b[-1])
+    wrong = materialize(differing(a[-1], b[-1]), "wrong")
     for k in range(levels - 1, -1, -1):
-        below = lambda t: t.withColumn("parent", F.lit(0).cast("long") if k + 1 == levels else F.floor(F.col("node") / fanout).cast("long"))  # noqa: B023, E731
-        at = wrong.withColumnRenamed("node", "parent")
-        x, y = (below(t[k]).join(at, ["file", "parent"], "left_semi").drop("parent") for t in (a, b))
-        wrong = differing(x, y)
+        parent = F.lit(0).cast("long") if k + 1 == levels else F.floor(F.col("node") / fanout).cast("long")
+        above = wrong.withColumnRenamed("node", "parent")
+        x, y = (t[k].withColumn("parent", parent).join(above, ["file", "parent"], "left_semi").drop("parent") for t in (a, b))
+        below = materialize(differing(x, y), "wrong")
+        drop_table(wrong)
+        wrong = below
+    for t in (*a, *b):
+        drop_table(t)
 
     def of(t: DataFrame, side: str) -> DataFrame:
         inside = t.withColumn("node", F.floor(F.col("offset") / range_bytes).cast("long")).join(wrong, ["file", "node"], "left_semi")
@@ -109,9 +115,3 @@ def audit(first: DataFrame, second: DataFrame, levels: int = LEVELS, range_bytes
     both = of(first, "a").join(of(second, "b"), ["file", "offset"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("changed")
     return both.select("file", "offset", status.alias("status"))
-
-
-def audit_report(replicas: list[DataFrame], **options) -> DataFrame:
-    """Audit every further replica against the first: (replica, file, offset, status)."""
-    parts = [audit(replicas[0], r, **options).select(F.lit(k + 1).alias("replica"), "file", "offset", "status") for k, r in enumerate(replicas[1:])]
-    return reduce(DataFrame.unionByName, parts)

@@ -23,14 +23,18 @@ def brute(text):
     w = WORDS.findall((text or "").translate(LOWER))
     places = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     labels, best = {b for _, b in places}, 1.0 if places else 0.0
-    for s in range(0, len(w), licenses.BLOCK_WORDS // 2):
-        block = set(w[s : s + licenses.BLOCK_WORDS])
-        for t in licenses.TEMPLATES:
-            own = set(t.text.split())
-            share = len(own & block) / len(own)
-            if share >= licenses.THRESHOLD - 1e-9 and set(t.named_by) <= block:
-                labels.add(t.label)
-                best = max(best, share)
+    sets = [set(t.text.split()) for t in licenses.TEMPLATES]
+    for size in {licenses.block_words(t) for t in licenses.TEMPLATES}:
+        for s in range(0, len(w), size // 2):
+            block = set(w[s : s + size])
+            hit = {k: len(sets[k] & block) for k, t in enumerate(licenses.TEMPLATES) if licenses.block_words(t) == size}
+            hit = {k: n for k, n in hit.items() if n / len(sets[k]) >= licenses.THRESHOLD - 1e-9}
+            for k, n in hit.items():
+                best = max(best, n / len(sets[k]))
+                # a template that, whole, would make this one match, and that fits better
+                others = [u for u in hit if u != k and len(sets[u] & sets[k]) / len(sets[k]) >= licenses.THRESHOLD - 1e-9]
+                if not any((hit[u] / len(sets[u]), len(sets[u])) > (n / len(sets[k]), len(sets[k])) for u in others):
+                    labels.add(licenses.TEMPLATES[k].label)
     first, last = (min(i for i, _ in places), max(i for i, _ in places)) if places else (None, None)
     return len(w), len(places), first, last, ",".join(sorted({b for _, b in places})), ",".join(sorted(labels)), round(best, 9)
 
@@ -41,10 +45,22 @@ def test_licenses(spark, edges, nothing):
     assert len(rows) == df.count()
     for r in rows:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) == brute(r.text), r.doc_id
-    assert {r.doc_id: r.labels for r in rows if r.doc_id and r.doc_id > 20} | {26: ""} == {21: "apache-2", 22: "gpl-3", 23: "cc-by-nc", 24: "apache-2", 25: "", 26: ""}
+    assert {r.doc_id: r.labels for r in rows if r.doc_id and r.doc_id > 20} | {26: ""} == {21: "apache-2", 22: "gpl-3", 23: "cc-by-nc", 24: "apache-2", 25: "unnamed", 26: ""}
     assert licenses.scan(nothing).count() == 0
 
 
+def test_matches_keep_versions_and_labels_choose(spark):
+    long = next(t.text for t in licenses.TEMPLATES if t.label == "mit" and len(t.text.split()) > 60)
+    texts = [
+        (1, "this work is licensed under the gnu general public license version 2"), (2, "licensed under cc by sa 4 0"), (3, "licensed under cc by 4 0"),
+        (4, "x " * 50 + long.replace("hereby", "") + " y" * 200), (5, "permission is granted free of charge to any person obtaining a copy of this software"),
+    ]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {d: r.labels for d, r in rows.items()} == {1: "gpl-2", 2: "cc-by-sa", 3: "cc-by", 4: "mit", 5: "mit"}
+    assert {(m.label, m.explained) for m in rows[1].matches} == {("gpl", True), ("gpl-3", True), ("gpl-2", False)}
+    assert {m.label for m in rows[2].matches} == {"cc-by", "cc-by-nc", "cc-by-sa"}
+
+
 def measured(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(zip(w, w[1:], w[2:]))

@@ -1,8 +1,7 @@
-import math
-
 from pyspark.sql import functions as F
 
 from galerna.llm import urls, warc
+from galerna.llm.queries import op6_warc
 
 RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/")]
 URLS = [
@@ -13,28 +12,37 @@ URLS = [
 ]
 
 
+def hosts(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "key string")
+
+
 def test_rules_and_edges(spark):
     df = spark.createDataFrame([(u[0], u[1], "x") for u in URLS] * 2, "page_id long, url string, host string")
-    rows = urls.judge(df, RULES, lambda h: h == "host7.org").collect()
+    listed = hosts(spark, "host7.org", "host7.org", "never.seen", None)
+    rows = urls.judge(df, RULES, listed).collect()
     assert sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in rows) == sorted((*(u[0], *u[2:4], str(u[4])), u[5]) for u in URLS * 2)
-    assert urls.judge(df.limit(0), RULES, lambda h: h == "host7.org").count() == 0
-    assert urls.judge(df, [], lambda h: F.lit(None)).filter("verdict = 'block'").count() == 0
+    assert urls.judge(df.limit(0), RULES, listed).count() == 0
+    assert urls.judge(df, [], hosts(spark)).filter("verdict = 'block'").count() == 0
 
 
-def test_cascade_is_exact(spark):
+def test_cascade_is_exact(spark, monkeypatch):
     universe = spark.range(20_000).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = urls.Cascade.fit(universe, F.col("listed"))
-    assert len(cascade.levels) > 1
-    assert universe.filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
-    small, urls.MAX_FILTER_BYTES = urls.MAX_FILTER_BYTES, 100  # several shards
-    try:
-        pages = universe.select(F.concat(F.lit("http://"), "key", F.lit("/p")).alias("url"), "listed")
-        listed = lambda h: F.regexp_extract(h, r"(\d+)", 1).cast("int") % 7 == 0
-        some = pages.limit(600)
-        assert math.ceil(600 / 7 * 15 / 8 / 100) > 1
-        assert urls.judge(some, [], listed).filter((F.col("verdict") == "block") != F.col("listed")).count() == 0
-    finally:
-        urls.MAX_FILTER_BYTES = small
+    listed = universe.filter("listed").select("key")
+    rows = universe.unionByName(universe.filter("key = 'host7'").crossJoin(spark.range(3000)).drop("id"))  # a hot host
+
+    def wrong(cascade):
+        marked = cascade.mark(rows, "key", "__in")
+        assert marked.count() == 23_000
+        return marked.filter("__in <> listed").count()
+
+    one = urls.Cascade.fit(universe, listed)
+    assert one.shards == 1 and one.filters.count() > 1 and wrong(one) == 0
+    monkeypatch.setattr(urls, "SHARD_KEYS", 3000)
+    several = urls.Cascade.fit(universe, listed)
+    assert several.shards == 7 and wrong(several) == 0
+    monkeypatch.setattr(urls, "MAX_FILTER_BYTES", 100)  # filters that are not sent to all tasks
+    monkeypatch.setattr(urls, "PART_ROWS", 500)
+    assert wrong(several) == 0
 
 
 def test_audit_finds_every_difference(spark):
@@ -52,3 +60,10 @@ def test_audit_finds_every_difference(spark):
     assert warc.audit(ours, ours).count() == 0
     assert warc.audit(ours.limit(0), ours.limit(0)).count() == 0
     assert {r.status for r in warc.audit(ours, ours.limit(0)).collect()} == {"missing"}
+
+
+def test_pages_of_one_id_or_none_are_records_of_their_own(spark, tmp_path):
+    rows = [(1, "http://a/", "x"), (1, "http://a/", "x"), (1, "http://b/", None), (None, "http://c/", "y"), (7, "http://d/", "z"), (13, "http://e/", "w"), (13, "http://e/", "w")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(r.page_id), r.status) for r in op6_warc(spark, str(tmp_path)).collect())
+    assert got == sorted([("1", "intact")] * 3 + [("None", "intact"), ("7", "missing"), ("13", "changed"), ("13", "changed")])

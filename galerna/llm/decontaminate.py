@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, local alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, local alignment scores them.
 
-Seeds are all 4-word n-grams of the items: by the pigeonhole principle a copy with up to a fifth of its words edited
-keeps at least one. One pass over the texts finds the seeds and cuts a passage around each diagonal that they hit;
-seeds are counted over the corpus, and a passage stands if one of its seeds is rare for its item (or several agree);
+Seeds are all n-grams of the items, of four words, or fewer for short items (``seed_words``): by the pigeonhole
+principle a copy with up to a fifth of its words replaced keeps at least one. One pass over the texts finds the seeds and
+cuts a passage around each diagonal that they hit; seeds are counted over the corpus, and a passage stands if one of its
+seeds is rare for its item, if several agree, or if the item is so short that one seed reaches the least score;
 Smith-Waterman alignment then scores passage against item.
 
-The items are a stated query set: they go to the tasks in blocks of ``ITEMS_A_BLOCK`` at most, whose size is bounded,
-and each block meets all texts. Edge cases: null and empty texts or items match nothing; items of fewer than four
-words are one seed; several rows of the same (doc_id, item_id) become one with the best score.
+The items are a stated query set: they go to the tasks in blocks of about ``BLOCK_BYTES`` of text, measured, and each
+block meets all texts. Edge cases: null and empty texts or items match nothing; items of fewer than four words are one
+seed; every row of either table is one of its own, also where its id repeats another's or is null; repeated rows get equal
+results; very long texts are read whole; empty tables give no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import types as T
 from galerna.llm.common import map_rows, materialize
 
 SEED_WORDS = 4
-ITEMS_A_BLOCK = 20_000
+BLOCK_BYTES = 16 << 20
 #: A seed is rare for its item if it is found in at most so many times the item's median.
 RARE_TIMES = 20.0
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of an alignment, as a share of what the whole item would reach.
 MIN_SCORE = 0.5
+#: Words of an item of which one seed reaches the least score.
+SHORT_WORDS = 8
 
 _words = re.compile(r"[^\W_]+").findall
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +52,12 @@ def _keys(ids: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+def seed_words(n: int) -> int:
+    """The words of a seed of an item of ``n`` words: e edits leave a run of (n - e) / (e + 1) words at least."""
+    edits = n // 5
+    return min(SEED_WORDS, -(-(n - edits) // (edits + 1)))
+
+
 class SeedIndex:
     """The seeds of a block of items, by key."""
 
@@ -60,7 +70,7 @@ class SeedIndex:
             self.lengths[item] = len(w)
             if not w:
                 continue
-            n = min(SEED_WORDS, len(w))
+            n = seed_words(len(w))
             ids = np.array([self.ids.setdefault(x, len(self.ids)) for x in w])
             for at, key in enumerate(_keys(ids, n).tolist()):
                 found[n][key].append((item, at))
@@ -133,56 +143,60 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
 
 
 def _block(docs: DataFrame, items: list[tuple[int, str]], min_score: float) -> DataFrame:
+    """(row, doc_id, item, score, start_word, end_word) of ``docs`` (row, doc_id, text) and ``items`` (key, text)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(items)
     made: dict[str, SeedIndex] = {}
+    ident = docs.schema["doc_id"]
 
-    def find(doc_ids: list, texts: list) -> Iterator[tuple]:
+    def find(rows: list, doc_ids: list, texts: list) -> Iterator[tuple]:
         index = made.get("index") or made.setdefault("index", SeedIndex(sent.value))
-        return ((d, *x) for d, t in zip(doc_ids, texts) for x in passages_of(index, t))
+        return ((r, d, *x) for r, d, t in zip(rows, doc_ids, texts) for x in passages_of(index, t))
 
     found = materialize(map_rows(docs, T.StructType([
-        docs.schema["doc_id"], T.StructField("item_id", T.LongType()), T.StructField("first", T.LongType()),
+        T.StructField("row", T.LongType()), ident, T.StructField("item", T.LongType()), T.StructField("first", T.LongType()),
         T.StructField("passage", T.StringType()), T.StructField("seeds", T.ArrayType(T.LongType())),
     ]), find), "passages")
     # how often each seed of an item is found, and whether that is rare for the item
-    counts = found.select("item_id", F.explode("seeds").alias("seed")).groupBy("item_id", "seed").count()
-    median = counts.groupBy("item_id").agg(F.percentile_approx("count", 0.5).alias("median"))
+    counts = found.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").count()
+    median = counts.groupBy("item").agg(F.percentile_approx("count", 0.5).alias("median"))
     rare = (
-        counts.join(median, "item_id").filter(F.col("count") <= RARE_TIMES * F.col("median"))
-        .groupBy("item_id").agg(F.collect_set("seed").alias("rare"))
+        counts.join(median, "item").filter(F.col("count") <= RARE_TIMES * F.col("median"))
+        .groupBy("item").agg(F.collect_set("seed").alias("rare"))
     )
-    texts = spark.createDataFrame([(i, t) for i, t in items], "item_id long, item string")
-    # at most ITEMS_A_BLOCK rows on the small side, each with its own seeds: bounded
-    known = F.broadcast(texts.join(rare, "item_id"))
-    candidates = found.join(known, "item_id").filter(
-        F.arrays_overlap("seeds", "rare") | (F.size("seeds") > 1)
-    ).select("doc_id", "item_id", "first", "passage", "item")
+    known = spark.createDataFrame([(i, t, len(words(t))) for i, t in items], "item long, text string, n_words int").join(rare, "item")
+    candidates = found.join(known, "item").filter(
+        F.arrays_overlap("seeds", "rare") | (F.size("seeds") > 1) | (F.col("n_words") <= SHORT_WORDS)
+    ).select("row", "doc_id", "item", "first", "passage", "text")
 
     def score(*columns: list) -> Iterator[tuple]:
-        for d, i, first, passage, item in zip(*columns):
+        for r, d, i, first, passage, item in zip(*columns):
             s, a, b = align(words(item), passage.split(" "))
             if s >= min_score:
-                yield d, i, s, first + a, first + b
+                yield r, d, i, s, first + a, first + b
 
     return map_rows(candidates, T.StructType([
-        docs.schema["doc_id"], T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
+        T.StructField("row", T.LongType()), ident, T.StructField("item", T.LongType()), T.StructField("score", T.DoubleType()),
         T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()),
     ]), score)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word): the best alignment of each pair that reaches ``min_score``.
+    """(doc_id, item_id, score, start_word, end_word): the best alignment of each pair of rows that reaches ``min_score``.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id (long) and text; words are numbered from 0 in the text.
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text; words are numbered from 0 in the text.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
-    blocks = -(-items.count() // ITEMS_A_BLOCK)
-    hits = None
-    for k in range(max(blocks, 1)):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(blocks, 1))) == k)
-        one = _block(docs, [(r[0], r[1]) for r in part.collect()], min_score)
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    items = materialize(
+        benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").cast("string").alias("text")).filter("text is not null"),
+        "items",
+    )
+    size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks, hits = max(1, -(-size // BLOCK_BYTES)), None
+    for k in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", "text")
+        one = _block(docs, [(r[0], r[1]) for r in part.collect()], min_score)  # of about BLOCK_BYTES
         hits = one if hits is None else hits.unionByName(one)
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start_word")
-    return hits.withColumn("__rank", F.row_number().over(best)).filter("__rank = 1").drop("__rank")
+    best = Window.partitionBy("row", "item").orderBy(F.desc("score"), "start_word")
+    hits = hits.withColumn("__rank", F.row_number().over(best)).filter("__rank = 1")
+    return hits.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "score", "start_word", "end_word")

@@ -24,7 +24,7 @@ def test_alignment():
     assert D.align([], ["a"])[0] == D.align(["a"], [])[0] == 0.0
 
 
-def test_copies_and_edits_are_found_and_others_left(spark, edges, nothing):
+def test_copies_and_edits_are_found_and_others_left(spark, edges, nothing, monkeypatch):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     items = [[word() for _ in range(30)] for _ in range(20)] + [["tiny", "item"]]
@@ -44,8 +44,46 @@ def test_copies_and_edits_are_found_and_others_left(spark, edges, nothing):
     assert {(r.doc_id, r.item_id) for r in rows} == want
     assert all(r.score == 1.0 and r.end_word - r.start_word == 30 for r in rows if 100 <= r.doc_id < 120)
     assert D.contaminated(nothing, bench).count() == 0 and D.contaminated(frame, bench.limit(0)).count() == 0
-    big, D.ITEMS_A_BLOCK = D.ITEMS_A_BLOCK, 5  # several blocks of items
-    try:
-        assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == want
-    finally:
-        D.ITEMS_A_BLOCK = big
+    monkeypatch.setattr(D, "BLOCK_BYTES", 1500)  # several blocks of items
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == want
+
+
+def test_seeds_survive_a_fifth_of_edits():
+    for n in range(1, 200):
+        edits = n // 5
+        # edits spread so that the longest run is as short as can be
+        runs = [(n - edits + k) // (edits + 1) for k in range(edits + 1)]
+        assert sum(runs) == n - edits and max(runs) >= D.seed_words(n)
+
+
+def test_recall_by_length_and_edits_and_brute_force(spark):
+    """All pairs that whole Smith-Waterman finds are found, for items of 5 to 60 words and up to a fifth of edits."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    items, docs, planted = [], [], {}
+    for n in (5, 6, 8, 10, 12, 15, 20, 40, 60):
+        for share in (0.0, 0.1, 0.2):
+            for _ in range(6):
+                item, k = [word() for _ in range(n)], len(items)
+                copy = list(item)
+                for at in rng.sample(range(n), int(n * share)):
+                    copy[at] = word()
+                items.append(item)
+                docs.append([word() for _ in range(30)] + copy + [word() for _ in range(30)])
+                planted.setdefault((n, share), []).append((k, k))
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()}
+    recall = {key: sum(p in got for p in pairs) / len(pairs) for key, pairs in planted.items()}
+    assert min(recall.values()) == 1.0, recall
+    some = rng.sample(range(len(items)), 25)
+    brute = {(d, i) for d in some for i in some if D.align(items[i], docs[d])[0] >= D.MIN_SCORE}
+    assert {p for p in got if p[0] in some and p[1] in some} == brute
+
+
+def test_rows_of_one_id_or_none(spark):
+    text = " ".join(f"word{k}" for k in range(20))
+    frame = spark.createDataFrame([(None, text), (None, text), (1, text), (1, "clean text of another kind altogether")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (5, text), (5, "x " + text)], "item_id long, text string")
+    got = sorted((str(r.doc_id), str(r.item_id)) for r in D.contaminated(frame, bench).collect())
+    assert got == sorted((d, i) for d in ("None", "None", "1") for i in ("None", "5", "5"))

@@ -2,15 +2,86 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 import yaml
 
-from galerna.constants import KNOT_MS
+from galerna.constants import GEV_MIN_SEASONS, GPD_MIN_EXCESSES, KNOT_MS, PEAKS_A_SEASON, QUANTILES
 from galerna.functions.hazard import RainMatrix
+from galerna.operators.quantiles import check_levels
 from galerna.plans.snapshot import Settings
 
 
+@dataclass(frozen=True)
+class RainOptions:
+    """Sums of hourly rain."""
+
+    first_year: int = 2000
+    last_year: int = 2025
+    hours: int = 6
+    label_is: str = "start"
+
+
+@dataclass(frozen=True)
+class PercentileOptions:
+    first_year: int = 2000
+    last_year: int = 2025
+    levels: tuple[float, ...] = QUANTILES
+    durations: tuple[int, ...] = (6, 24, 72)
+    by_hour: bool = True
+
+    def __post_init__(self) -> None:
+        if any(h % 6 for h in self.durations):
+            raise ValueError("durations are multiples of 6 hours")
+        check_levels(self.levels)
+
+
+@dataclass(frozen=True)
+class ReturnOptions:
+    first_year: int = 2000
+    last_year: int = 2025
+    durations: tuple[int, ...] = (6, 24, 72)
+    min_seasons: int = GEV_MIN_SEASONS
+    min_excesses: int = GPD_MIN_EXCESSES
+    peaks_a_season: float = PEAKS_A_SEASON
+
+    @property
+    def k(self) -> int:
+        """Peaks of a cell that the distribution is fitted to."""
+        return round(self.peaks_a_season * (self.last_year - self.first_year + 1))
+
+
+@dataclass(frozen=True)
+class CaseOptions:
+    """A case study: storm, experiments by tag, and the hours of rain read before its first position."""
+
+    storm_id: str
+    experiments: dict[str, dict] = field(default_factory=lambda: {"floor": {}})
+    lead_in_hours: int = 84
+
+    def settings(self, base: dict | None = None) -> dict[str, Settings]:
+        return {tag: settings(merged(base or {}, overlay)) for tag, overlay in self.experiments.items()}
+
+
+def options_of(kind: type, section: dict):
+    """A set of options from a section; lists become tuples, and an unknown key is an error."""
+    known = {f.name for f in fields(kind)}
+    if unknown := sorted(set(section) - known):
+        raise ValueError(f"{kind.__name__} has no {', '.join(unknown)}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in section.items()})
+
+
+def default() -> dict:
+    """The configuration whose settings are the defaults."""
+    s = Settings()
+    return {
+        "rain": {"nodes": list(s.matrix.nodes), "base": list(s.matrix.base), "escalated": list(s.matrix.escalated), "missing": s.rain_missing},
+        "radii": {"mode": s.mode, "r34_unit": s.r34_unit, "cloud_unit": s.cloud_unit}, "wind": {"tail_end_kt": s.tail_end_kt},
+        "weights": {k: getattr(s, k) for k in ("alpha", "beta", "lam", "mu")},
+    }
+
+
 def load(path: str) -> dict:
     """A missing, empty or other than mapping file is an error."""
     text = Path(path).read_text(encoding="utf-8")

@@ -12,10 +12,6 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def missing_to_null(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
-
-
 def positive(x: Column) -> Column:
     """x where it is greater than zero, else NULL."""
     return F.when(x > 0, x)

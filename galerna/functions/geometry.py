@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galerna.constants import EARTH_RADIUS_KM, NAUTICAL_MILE_KM, QUADRANTS
-from galerna.functions.basic import lit, non_negative
+from galerna.functions.basic import lit, non_negative, once
 
 #: Kilometres in a unit, and the spellings of the quadrants.
 UNIT_KM = {"km": 1.0, "nm": NAUTICAL_MILE_KM, "nmi": NAUTICAL_MILE_KM, "m": 0.001}
@@ -135,3 +135,26 @@ def is_null(r: Column) -> Column:
 def grid_key(degrees: Column, per_degree: int = 100) -> Column:
     """Integer key of a coordinate: grids are joined on integers, never on floating point."""
     return F.round(degrees * per_degree).cast("int")
+
+
+def representative_point(ring: Column) -> Column:
+    """A point inside a polygon (array of (lat, lon)): the middle of the longest stretch inside at its middle latitude."""
+    lats = F.transform(ring, lambda p: p["lat"])
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+    def of(y: Column) -> Column:
+        edges = F.filter(F.zip_with(ring, following, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e: (e["p"]["lat"] > y) != (e["q"]["lat"] > y))
+        at = lambda e: e["p"]["lon"] + (y - e["p"]["lat"]) * (e["q"]["lon"] - e["p"]["lon"]) / (e["q"]["lat"] - e["p"]["lat"])
+        crossings = F.array_sort(F.transform(edges, at))
+
+        def longest(x: Column) -> Column:
+            stretches = F.transform(
+                F.filter(F.sequence(F.lit(0), F.size(x) - 2), lambda k: k % 2 == 0),
+                lambda k: F.struct((F.get(x, k + 1) - F.get(x, k)).alias("length"), ((F.get(x, k + 1) + F.get(x, k)) / 2).alias("lon")),
+            )
+            return F.when(F.size(x) >= 2, F.struct(y.alias("lat"), F.array_max(stretches)["lon"].alias("lon")))
+
+        return once(crossings, longest)
+
+    # a latitude of no vertex, so that an edge is crossed or not
+    return once((F.array_min(lats) + F.array_max(lats)) / 2 + 1e-9, of)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galerna.constants import EPSILON, RAIN_BASE, RAIN_ESCALATED, RAIN_ESCALATION, RAIN_NODES
-from galerna.functions.basic import clip, greatest_strict, lit
+from galerna.functions.basic import clip, lit
 
 
 def rain_ramp(p: Column, quantiles: dict[str, Column], nodes: tuple[str, ...], values: tuple[float, ...], epsilon: float = EPSILON) -> Column:
@@ -85,14 +85,14 @@ def combined(a: Column, b: Column, weight_a: float = 1.0, weight_b: float = 1.0)
 
 
 def components(h_p: Column, h_w: Column, m: dict[str, Column], alpha: float = 1.0, beta: float = 1.0, lam: float = 1.0, mu: float = 1.0, indirect_wind: bool = True) -> dict[str, Column]:
-    """h_pdir, h_pind, h_wdir, h_wind, h_dir, h_ind and itchi of a cell."""
+    """h_pdir, h_pind, h_wdir, h_wind, h_dir, h_ind and h_total of a cell."""
     h_pdir, h_pind = masked(h_p, m["m_direct"]), masked(h_p, m["m_indirect"])
     h_wdir, h_wind = masked(h_w, m["m_direct"]), masked(h_w, m["m_indirect"])
     h_dir = combined(h_wdir, h_pdir, alpha, beta)
     h_ind = combined(h_wind, h_pind) if indirect_wind else clip(h_pind)
     return {
         "h_pdir": h_pdir, "h_pind": h_pind, "h_wdir": h_wdir, "h_wind": h_wind,
-        "h_dir": h_dir, "h_ind": h_ind, "itchi": combined(h_dir, h_ind, lam, mu),
+        "h_dir": h_dir, "h_ind": h_ind, "h_total": combined(h_dir, h_ind, lam, mu),
     }
 
 
@@ -114,6 +114,3 @@ def escalated_level(level6: Column, base: tuple[int, ...], classes: tuple[int, .
     raised = F.when(level6.isin(*classes) & met, F.greatest(ramp, F.lit(level))).otherwise(ramp)
     return ramp, F.when(level6 >= 0, raised)
 
-
-def strict_max(*columns: Column) -> Column:
-    return greatest_strict(*columns)

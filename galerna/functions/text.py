@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with a mark, and the letters without it.
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
+
+
+def _marked() -> tuple[str, str]:
+    """Letters that Unicode decomposes into one letter and marks, and these letters: by rule, for the whole basic plane."""
+    found = []
+    for code in range(0xC0, 0x10000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if 0xAC00 <= code <= 0xD7A3 or len(parts) < 2:  # Hangul syllables have no marks
+            continue
+        if unicodedata.category(parts[0])[0] == "L" and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
+            found.append((chr(code), parts[0]))
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+MARKED, PLAIN = _marked()
 
 
 def without_accents(text: Column) -> Column:

@@ -6,7 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from galerna.constants import SYNOPTIC_HOURS
-from galerna.functions.basic import lit
+
+
+MICROS = 1_000_000
+
+
+def micros(t: Column) -> Column:
+    """Microseconds since 1970, the precision of timestamps: nothing is cut off."""
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def bucket(t: Column, seconds: int) -> Column:
+    """Number of the bin of ``seconds`` in which a time falls, exactly."""
+    at, width = micros(t), F.lit(seconds * MICROS)
+    return ((at - F.pmod(at, width)) / width).cast("long")
 
 
 def is_synoptic(t: Column, hours: tuple[int, ...] = SYNOPTIC_HOURS) -> Column:
@@ -36,7 +49,7 @@ def timestamp_of_compact(date: Column, hhmm: Column) -> Column:
 
 def to_utc(local: Column, offset_hours: float) -> Column:
     """Local time with a fixed offset (hours ahead of UTC) to UTC."""
-    return F.timestamp_seconds(F.unix_timestamp(local) - F.lit(int(offset_hours * 3600)))
+    return F.timestamp_micros(micros(local) - F.lit(int(offset_hours * 3600 * MICROS)))
 
 
 def nearest_hour(t: Column) -> Column:
@@ -50,9 +63,9 @@ def window_end(label: Column, hours: int = 6, label_is: str = "start") -> Column
     """
     if label_is not in ("start", "end"):
         raise ValueError(f"unknown label convention: {label_is}")
-    step = hours * 3600
-    s = F.unix_timestamp(label) + F.lit(3600 if label_is == "start" else 0)
-    return F.timestamp_seconds(F.ceil(s / step) * step)
+    at = micros(label) + F.lit((3600 if label_is == "start" else 0) * MICROS)
+    # whole numbers of microseconds: a fraction of a second after a window's end belongs to the next window
+    return F.timestamp_micros(at + F.pmod(-at, F.lit(hours * 3600 * MICROS)))
 
 
 def season_window_ends(year: Column, hours: int = 6) -> Column:
@@ -85,6 +98,3 @@ def time_from_name(name: Column) -> Column:
         F.rlike(name, F.lit(plain)), F.make_timestamp(part(plain, 1), part(plain, 2), part(plain, 3), part(plain, 4), F.lit(0), F.lit(0))
     )
 
-
-def lit_time(text: str) -> Column:
-    return F.to_timestamp(lit(text))

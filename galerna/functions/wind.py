@@ -55,6 +55,7 @@ def profile(vmax_ms: Column, lat: Column, rmw_km=None, x1_km=None, variant: str
     rmax = rmax_km(vmax_ms, lat, variant)
     if rmw_km is not None:
         rmax = F.coalesce(positive(lit(rmw_km)), rmax)
+    # Published regressions of x1, n and a on wind and latitude.
     x1 = 317.1 - 2.026 * vmax_ms + 1.915 * F.abs(lat)
     if x1_km is not None:
         x1 = F.coalesce(lit(x1_km), x1)
@@ -129,6 +130,21 @@ def reference_radii(vmax_kt: Column, lat: Column, rmw_km=None, r34_mean_km=None,
     )
 
 
+def parametric_radii(vmax_kt: Column, lat: Column, thresholds_ms: dict[str, float], rmw_km=None, r34_mean_km=None, variant: str = "w06") -> Column:
+    """A struct: outer radius of each threshold by name, rmax_km, x1_km, n, a, and whether x1 is fitted to the 34-kt radius."""
+    v = vmax_kt * KNOT_MS
+    rmax = rmax_km(v, lat, variant) if rmw_km is None else F.coalesce(positive(lit(rmw_km)), rmax_km(v, lat, variant))
+    fit = F.lit(None).cast("double") if r34_mean_km is None else fitted_x1(v, lat, rmax, lit(r34_mean_km), variant=variant)
+
+    def of(t: Column) -> Column:
+        return once(profile(v, lat, t["rmax"], t["x1"], variant), lambda p: F.struct(
+            *(radius_of_wind(p, x).alias(name) for name, x in thresholds_ms.items()), p["rmax"].alias("rmax_km"), p["x1"].alias("x1_km"),
+            p["n"].alias("n"), p["a"].alias("a"), t["x1"].isNotNull().alias("x1_calibrated"),
+        ))
+
+    return once(F.struct(rmax.alias("rmax"), fit.alias("x1")), of)
+
+
 def wind_hazard(wind_kt: Column, outer_kt: Column, nodes=WIND_NODES) -> Column:
     """Hazard of a wind: linear between the nodes, and below the first a tail down to zero at ``outer_kt``."""
     first_kt, first_h = nodes[0]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galerna.constants import BASE_RAMP, ESCALATED_CLASSES, ESCALATED_LEVEL
 from galerna.functions import hazard
 from galerna.functions.basic import level_index
-from galerna.functions.time import ordered_dates, six_hour_steps
+from galerna.functions.time import micros, ordered_dates, six_hour_steps
 
 ALL_TYPES = "todas"
 
@@ -23,15 +23,23 @@ def steps(declared: DataFrame, start: str = "start", end: str = "end", before: i
     return declared.withColumn("time", F.explode(six_hour_steps(F.col(start), F.col(end), before, after)))
 
 
-def step_stats(cells: DataFrame, keys: list[str], quantiles: list[str], value: str = "p6", cell: str = "cell", extra: list[str] | None = None) -> DataFrame:
+def step_stats(
+    cells: DataFrame, keys: list[str], quantiles: list[str], value: str = "p6", cell: str = "cell", extra: list[str] | None = None,
+    longer: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """For each key (place, time): largest and mean rain, the cell of the largest (smallest on ties), its level, the
     largest level, and for each percentile its value and the difference there and the share of cells that reach it.
 
-    ``extra`` are columns (longer rains) taken at the cell of the largest value, and their own maxima. -1: no data.
+    ``extra`` are columns (longer rains) taken at the cell of the largest value, and their own maxima. ``longer`` maps some
+    of them to their own percentiles' columns: level_<c>_at_max at the cell of the largest value, level_<c>_max at the cell
+    of their own maximum, and level_<c>_area, the largest. -1: no data.
     """
-    x, extra = F.col(value), extra or []
+    x, extra, longer = F.col(value), extra or [], longer or {}
     levels = level_index(x, [F.col(q) for q in quantiles])
-    carried = F.struct(F.col(cell).alias("cell"), levels.alias("level"), *(F.col(c) for c in [*quantiles, *extra]))
+    own = {c: level_index(F.col(c), [F.col(q) for q in names]) for c, names in longer.items()}
+    carried = F.struct(
+        F.col(cell).alias("cell"), levels.alias("level"), *(F.col(c) for c in [*quantiles, *extra]), *(v.alias(f"level_{c}") for c, v in own.items())
+    )
     order = F.struct(x.alias("x"), (-F.col(cell)).alias("c"))
 
     def share(q: str) -> Column:
@@ -42,12 +50,16 @@ def step_stats(cells: DataFrame, keys: list[str], quantiles: list[str], value: s
         F.max(x).alias("p_max"), F.avg(x).alias("p_mean"), F.max(levels).alias("level_max"),
         F.max_by(F.when(x.isNotNull(), carried), F.when(x.isNotNull(), order)).alias("__at"),
         *(share(q).alias(f"area_{q}") for q in quantiles), *(F.max(c).alias(f"{c}_max") for c in extra),
+        *(F.max_by(v, F.when(F.col(c).isNotNull(), F.struct(F.col(c), -F.col(cell)))).alias(f"level_{c}_max") for c, v in own.items()),
+        *(F.max(v).alias(f"level_{c}_area") for c, v in own.items()),
     )
     return out.select(
         *keys, "p_max", "p_mean", F.coalesce("level_max", F.lit(-1)).alias("level_max"), F.col("__at.cell").alias("cell_max"),
         F.coalesce(F.col("__at.level"), F.lit(-1)).alias("level_at_max"),
         *(F.col(f"__at.{q}").alias(f"{q}_at_max") for q in quantiles), *((F.col("p_max") - F.col(f"__at.{q}")).alias(f"diff_{q}") for q in quantiles),
         *(f"area_{q}" for q in quantiles), *(F.col(f"__at.{c}").alias(f"{c}_at_max") for c in extra), *(f"{c}_max" for c in extra),
+        *(F.coalesce(F.col(f"__at.level_{c}"), F.lit(-1)).alias(f"level_{c}_at_max") for c in own),
+        *(F.coalesce(F.col(f"level_{c}_{k}"), F.lit(-1)).alias(f"level_{c}_{k}") for c in own for k in ("max", "area")),
     )
 
 
@@ -57,13 +69,30 @@ def event_peaks(stats: DataFrame, key: str, value: str = "p_max", time: str = "t
     carried = carried or []
     at = F.struct(F.col(time).alias("t_peak"), F.col(value).alias("p_event"), *(F.col(c).alias(f"{c}_at_peak") for c in carried))
     known = F.col(value).isNotNull()
-    order = F.struct(F.col(value), -F.unix_timestamp(time))
+    order = F.struct(F.col(value), -micros(F.col(time)))
     out = stats.groupBy(key).agg(
         F.count("*").alias("n_steps"), F.count_if(known).alias("n_steps_data"), F.max_by(F.when(known, at), F.when(known, order)).alias("__at")
     )
     return out.select(key, "n_steps", "n_steps_data", "__at.t_peak", "__at.p_event", *(f"__at.{c}_at_peak" for c in carried))
 
 
+def event_durations(stats: DataFrame, key: str, names: list[str], time: str = "time") -> DataFrame:
+    """For each event and longer rain: its own maximum over steps, its level there, and the largest level of the area.
+
+    ``stats`` is that of ``step_stats`` with ``longer``; the first step of a tie counts.
+    """
+    def at(c: str) -> Column:
+        x = F.col(f"{c}_max")
+        order = F.when(x.isNotNull(), F.struct(x, -micros(F.col(time))))
+        return F.max_by(F.struct(x.alias("x"), F.col(f"level_{c}_max").alias("level")), order).alias(f"__{c}")
+
+    out = stats.groupBy(key).agg(*(at(c) for c in names), *(F.max(f"level_{c}_area").alias(f"level_{c}_area_event") for c in names))
+    each = (
+        (F.col(f"__{c}.x").alias(f"{c}_event"), F.col(f"__{c}.level").alias(f"level_{c}_event"), f"level_{c}_area_event") for c in names
+    )
+    return out.select(key, *(x for part in each for x in part))
+
+
 def combined_levels(events: DataFrame, p6: str, r24: str, r72: str, a72: str, p75: int = 1, p95: int = 3) -> DataFrame:
     """level_multi and its series, level_base, level_matrix and the group of a72, from levels at the 6-h peak."""
     top, name = hazard.longest_of({"P6": F.col(p6), "R24": F.col(r24), "R72": F.col(r72)})
@@ -78,7 +107,7 @@ def cell_declarations(cells: DataFrame, keys: list[str], longer: list[str], valu
     """By (declaration, cell): largest 6-h rain, its first time, the antecedent rain then, maxima of the longer rains."""
     x = F.col(value)
     at = F.struct(F.col(time).alias("t_max"), F.col(antecedent).alias("a"))
-    order = F.when(x.isNotNull(), F.struct(x, -F.unix_timestamp(time)))
+    order = F.when(x.isNotNull(), F.struct(x, -micros(F.col(time))))
     out = cells.groupBy(*keys).agg(F.max(x).alias("p6_max"), F.max_by(at, order).alias("__at"), *(F.max(c).alias(f"{c}_max") for c in longer))
     return out.select(*keys, "p6_max", "__at.t_max", F.col("__at.a").alias(f"{antecedent}_at_max"), *(f"{c}_max" for c in longer))
 
@@ -104,6 +133,21 @@ def joined_set(column: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), ";")
 
 
+def place_stats(events: DataFrame, place: str, kind: str, values: list[str], ident: str, storm: str, time: str) -> DataFrame:
+    """By place and type (and all types): number and sorted lists of declarations and storms; of each value the minimum,
+    median, mean and maximum, with the declaration, storm and time of minimum and maximum (smallest id on ties)."""
+    out = [F.count("*").alias("n"), joined_set(F.col(ident).cast("string")).alias("ids"), joined_set(F.col(storm)).alias("storms")]
+    for v in values:
+        x, at = F.col(v), F.struct(F.col(ident).alias("id"), F.col(storm).alias("storm"), F.col(time).alias("time"))
+        low = F.min_by(at, F.when(x.isNotNull(), F.struct(x, F.col(ident))))
+        high = F.max_by(at, F.when(x.isNotNull(), F.struct(x, -F.col(ident))))
+        out += [
+            F.min(x).alias(f"{v}_min"), F.percentile(x, F.lit(0.5)).alias(f"{v}_median"), F.avg(x).alias(f"{v}_mean"), F.max(x).alias(f"{v}_max"),
+            *(end[f].alias(f"{v}_{name}_{f}") for name, end in (("min", low), ("max", high)) for f in ("id", "storm", "time")),
+        ]
+    return _with_all(events, [place], kind, out)
+
+
 def storm_stats(events: DataFrame, storm: str, place: str, kind: str, start: str, end: str, value: str) -> DataFrame:
     """By storm: declarations, distinct places, counts by type, ids of types, dates, and statistics of the peaks."""
     return events.groupBy(storm).agg(
@@ -113,10 +157,40 @@ def storm_stats(events: DataFrame, storm: str, place: str, kind: str, start: str
     )
 
 
-def first_distinct(values: Column, order: Column, n: int = 5) -> Column:
-    """The first n distinct values in the given order: an aggregate."""
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), values.alias("v"))))
-    return F.slice(F.array_distinct(F.transform(pairs, lambda p: p["v"])), 1, n)
+def first_distinct(events: DataFrame, key: str, value: str, order: str, n: int = 5, joint: str = " | ") -> DataFrame:
+    """(key, value): the first n distinct values by ``order`` of each key, joined.
+
+    A value is reduced to its first row before ranks are taken, and ranks are cut before anything is gathered.
+    """
+    first = events.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("__o"))
+    ranked = first.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__o", value))).filter(F.col("__r") <= n)
+    pairs = F.array_sort(F.collect_list(F.struct("__r", value)))
+    return ranked.groupBy(key).agg(F.array_join(F.transform(pairs, lambda p: p[value]), joint).alias(value))
+
+
+def duration_summary(events: DataFrame, kind: str, level: str = "level", value: str = "p_event", wet_mm: float = 1.0) -> DataFrame:
+    """By type (and all) and filter (all, wet: value of ``wet_mm`` or more), percentages over events with a level.
+
+    ``events`` has level_multi, longest, level_base and level_matrix of ``combined_levels``. dry_raised is over the events
+    of level 0 only.
+    """
+    c, m, base, matrix = (F.col(x) for x in (level, "level_multi", "level_base", "level_matrix"))
+    share = lambda test: 100.0 * F.avg(test.cast("double"))
+    chosen = F.explode(F.when(F.col(value) >= wet_mm, F.array(F.lit("all"), F.lit("wet"))).otherwise(F.array(F.lit("all"))))
+    rows = events.filter(c >= 0).withColumn("filter", chosen)
+    return _with_all(rows, ["filter"], kind, [
+        F.count("*").alias("n"), share(c == 0).alias("dry"), share(F.when(c == 0, m > 0)).alias("dry_raised"), share(m > c).alias("raised"),
+        share(F.col("longest") == "R24").alias("by_r24"), share(F.col("longest") == "R72").alias("by_r72"), share(matrix > base).alias("escalated"),
+        share(base == ESCALATED_LEVEL).alias("top_base"), share(matrix == ESCALATED_LEVEL).alias("top_matrix"),
+        *(share(matrix == k).alias(f"matrix_{k}") for k in range(ESCALATED_LEVEL + 1)),
+    ])
+
+
+def level_table(events: DataFrame, kind: str, level: str = "level", group: str = "group_a72") -> DataFrame:
+    """Shares of each (level, group) among the events of a type (and of all types) that have both."""
+    counted = _with_all(events.filter((F.col(level) >= 0) & F.col(group).isNotNull()), [level, group], kind, [F.count("*").alias("n")])
+    total = F.sum("n").over(Window.partitionBy(kind))  # as many rows as types, levels and groups
+    return counted.select(kind, level, group, (F.col("n") / total).alias("share"))
 
 
 def place_summary(events: DataFrame, places: DataFrame, place: str, value: str, ident: str) -> DataFrame:

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galerna.constants import MIN_VALID_FRACTION, PEAKS_A_SEASON, RECURRENCES, RETURN_PERIODS
+from galerna.constants import MIN_VALID_FRACTION, PEAKS_A_SEASON, RECURRENCES, RETURN_PERIODS, STEP_SECONDS
 from galerna.functions import extremes as E
+from galerna.functions.time import MICROS, micros
 
 
-def seasonal_maximum(df: DataFrame, keys: list[str], value: str, season: str = "season", min_valid: float = MIN_VALID_FRACTION) -> DataFrame:
-    """Maximum of each season; NULL where less than ``min_valid`` of its rows have a value."""
+def seasonal_maximum(
+    df: DataFrame, keys: list[str], value: str, season: str = "season", min_valid: float = MIN_VALID_FRACTION, time: str | None = None, step_seconds: int = STEP_SECONDS,
+) -> DataFrame:
+    """Maximum of each season; NULL where less than ``min_valid`` of its steps have a value.
+
+    Steps are the season's rows or, where ``time`` is given, all steps from its first row to its last, so that absent
+    ones count as missing without an axis to be joined.
+    """
     x = F.col(value)
-    top = F.when(F.count(x) >= min_valid * F.count("*"), F.max(x))
-    return df.groupBy(*keys, season).agg(top.alias("maximum"), F.count(x).alias("n_valid"), F.count("*").alias("n_rows"))
+    span = (F.max(micros(F.col(time))) - F.min(micros(F.col(time)))) / (step_seconds * MICROS) + 1 if time else F.count("*")
+    top = F.when(F.count(x) >= min_valid * span, F.max(x))
+    return df.groupBy(*keys, season).agg(top.alias("maximum"), F.count(x).alias("n_valid"), F.round(span).cast("long").alias("n_rows"))
 
 
 def top_k(peaks: DataFrame, keys: list[str], value: str, k: int, ties: list[str] | None = None) -> DataFrame:
@@ -23,8 +31,8 @@ def top_k(peaks: DataFrame, keys: list[str], value: str, k: int, ties: list[str]
 
 
 def counts_at_least(peaks: DataFrame, thresholds: DataFrame, keys: list[str], value: str, names: list[str]) -> DataFrame:
-    """Peaks that reach each of the thresholds ``names`` of their group; a missing threshold counts none."""
-    joined = peaks.join(thresholds, keys)
+    """Peaks that reach each of the thresholds ``names`` of their group; a missing threshold, or group, counts none."""
+    joined = peaks.join(thresholds, keys, "left")
     return joined.groupBy(*keys).agg(*(F.count_if(F.col(value) >= F.col(n)).alias(f"n_{n}") for n in names))
 
 
@@ -99,3 +107,42 @@ def empirical_levels(top: DataFrame, seasons: DataFrame, keys: list[str], value:
 
 def default_k(n_seasons: int) -> int:
     return round(PEAKS_A_SEASON * n_seasons)
+
+
+def percentile_intervals(percentiles: DataFrame, fits: DataFrame, keys: list[str], names: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """(keys, percentile, years): the mean interval between independent peaks of each percentile or more.
+
+    ``counts`` (keys and n_<name>: events a season) are used where given, else the peaks' distribution; below its threshold,
+    where it tells nothing, the interval is marked by 0.1.
+    """
+    value = F.array(*(F.struct(F.lit(n).alias("percentile"), F.col(n).cast("double").alias("x")) for n in names))
+    long = percentiles.select(*keys, F.explode(value).alias("p")).select(*keys, "p.percentile", "p.x")
+    if counts is not None:
+        rates = F.array(*(F.struct(F.lit(n).alias("percentile"), F.col(f"n_{n}").cast("double").alias("rate")) for n in names))
+        per_year = counts.select(*keys, F.explode(rates).alias("c")).select(*keys, "c.percentile", "c.rate")
+        years = F.when(F.col("rate") > 0, 1.0 / F.col("rate")).when(F.col("rate") == 0, F.lit(float("inf")))
+        return long.join(per_year, [*keys, "percentile"], "left").select(*keys, "percentile", years.alias("years"))
+    joined = long.join(fits.select(*keys, "u", "sigma", "xi", "rate"), keys, "left")
+    years = F.when(F.col("x") < F.col("u"), 0.1).otherwise(E.pot_interval(F.col("x"), F.col("u"), F.col("sigma"), F.col("xi"), F.col("rate")))
+    return joined.select(*keys, "percentile", years.alias("years"))
+
+
+def summary(levels: DataFrame, fits: DataFrame, cells: DataFrame, by: list[str], periods: tuple[float, ...] = (2.0, 5.0, 10.0, 25.0)) -> DataFrame:
+    """By duration (``by``): medians over all cells of the levels of some periods, and the share of cells with a tail fit.
+
+    ``levels``: by, cell, period, level; ``fits``: by, cell, xi of the peaks' distribution (NULL or absent: none); ``cells``: all
+    (by, cell) that count.
+    """
+    medians = levels.join(cells, [*by, "cell"], "left_semi").groupBy(*by).agg(
+        *(F.percentile(F.when(F.col("period") == t, F.col("level")), F.lit(0.5)).alias(f"level_{t:g}") for t in periods)
+    )
+    known = fits.filter(F.col("xi").isNotNull()).select(*by, "cell", F.lit(1).alias("ok"))
+    tails = cells.join(known, [*by, "cell"], "left").groupBy(*by).agg((100.0 * F.count("ok") / F.count("*")).alias("tail_percent"))
+    return tails.join(medians, by, "left")
+
+
+def shape_summary(fits: DataFrame, by: list[str]) -> DataFrame:
+    """By duration: median and standard deviation (of the population) of the shape, and the share of clipped ones."""
+    return fits.groupBy(*by).agg(
+        F.percentile("xi", F.lit(0.5)).alias("median"), F.stddev_pop("xi").alias("sd"), F.avg(F.col("clipped").cast("double")).alias("clipped_share")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galerna.constants import EARTH_RADIUS_CASES_KM
 from galerna.functions.geometry import bearing_deg, distance_km, quadrant_of_bearing, radius_of
+from galerna.functions.time import MICROS, bucket, micros
 
 KM_A_DEGREE = 111.19
 
@@ -76,13 +77,12 @@ def nearest_in_time(targets: DataFrame, series: DataFrame, keys: list[str], tole
     """For each target the row of the series nearest in time within the tolerance; the earlier one of a tie.
 
     Times are binned by the tolerance: a target meets its own bin and the two beside it. Targets without a row are
-    left out (see ``without_match``). ``targets`` has a column target_id.
+    left out (see ``without_match``). ``targets`` has a column target_id. gap_s is in seconds, with fractions.
     """
     width = max(1, tolerance_seconds)
-    bucket = lambda t: F.floor(F.unix_timestamp(t) / width)
-    dealt = targets.withColumn("__bin", F.explode(F.array(*(bucket(F.col(target_time)) + k for k in (-1, 0, 1)))))
-    joined = dealt.join(series.withColumn("__bin", bucket(F.col(time))), [*keys, "__bin"])
-    gap = F.abs(F.unix_timestamp(target_time) - F.unix_timestamp(time))
+    dealt = targets.withColumn("__bin", F.explode(F.array(*(bucket(F.col(target_time), width) + k for k in (-1, 0, 1)))))
+    joined = dealt.join(series.withColumn("__bin", bucket(F.col(time), width)), [*keys, "__bin"])
+    gap = F.abs(micros(F.col(target_time)) - micros(F.col(time))) / MICROS
     w = Window.partitionBy(*keys, "target_id").orderBy("gap_s", time)
     return (
         joined.withColumn("gap_s", gap).filter(F.col("gap_s") <= tolerance_seconds)
@@ -110,10 +110,11 @@ def on_grid(df: DataFrame, other: DataFrame, per_degree: int = 100, lat: str = "
     return keyed(df).join(keyed(other).drop(lat, lon), ["__i", "__j"], "left").drop("__i", "__j")
 
 
-def find_place(places: DataFrame, wanted: DataFrame) -> DataFrame:
+def find_place(places: DataFrame, wanted: DataFrame, fallback: str | None = None) -> DataFrame:
     """Places by comparable name within their state: exact, else all words of the wanted name.
 
-    ``places``: code, name, state; ``wanted``: wanted_id, wanted, state. Adds how it was found (exact, words).
+    ``places``: code, name, state; ``wanted``: wanted_id, wanted, state, and a code to fall back on where it has one. Adds
+    how it was found (exact, words, code); those not found at all are left out.
     """
     from galerna.functions.text import comparable
 
@@ -124,7 +125,11 @@ def find_place(places: DataFrame, wanted: DataFrame) -> DataFrame:
     pairs = left.join(right, "state").filter((F.col("__name") == F.col("__own")) | ((F.size(words) > 0) & (F.size(F.array_except(words, F.split("__own", " "))) == 0)))
     how = F.when(F.col("__name") == F.col("__own"), "exact").otherwise("words")
     w = Window.partitionBy("wanted_id").orderBy("how", "code")
-    return pairs.withColumn("how", how).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__name", "__own")
+    named = pairs.withColumn("how", how).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__name", "__own")
+    if not fallback:
+        return named
+    rest = wanted.join(named, "wanted_id", "left_anti").join(places.withColumnRenamed("code", fallback), [fallback, "state"])
+    return named.drop(fallback).unionByName(rest.withColumnRenamed(fallback, "code").withColumn("how", F.lit("code")))
 
 
 def polygon_cells(polygons: DataFrame, cells: DataFrame, bin_degrees: float = 1.0) -> DataFrame:
@@ -153,6 +158,12 @@ def polygon_cells(polygons: DataFrame, cells: DataFrame, bin_degrees: float = 1.
     return counted.unionByName(nearest_cells(lonely, cells).withColumn("n_centres", F.lit(0)))
 
 
+def in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Cells with ``inside``: whether their centre lies in some polygon (a country's mask)."""
+    found = polygon_cells(polygons, cells).filter("n_centres > 0").select("cell", F.lit(True).alias("inside")).distinct()
+    return cells.join(found, "cell", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
 def nearest_cells(points: DataFrame, cells: DataFrame, reach_km: float = 100.0) -> DataFrame:
     """(place, cell): the nearest cell within ``reach_km``; the smaller cell of a tie."""
     pairs = storm_cells(points, cells, reach_km, 1.0)

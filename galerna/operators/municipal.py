@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from galerna.constants import LEAD_LEVELS, LEAD_WINDOW_HOURS
 from galerna.functions.basic import hazard_class_filled
+from galerna.functions.time import MICROS, micros
 
 
-def values(field: DataFrame, bridge: DataFrame, keys: list[str], place: str = "place", value: str = "itchi") -> DataFrame:
+def values(field: DataFrame, bridge: DataFrame, keys: list[str], place: str = "place", value: str = "h_total") -> DataFrame:
     """Maximum, mean and 90th percentile (linear) over the cells of each place; a missing value counts as 0."""
     x = F.coalesce(F.col(value), F.lit(0.0))
     return (
@@ -44,7 +45,7 @@ def ordinal_table(event: DataFrame, declared: DataFrame, experiment: str, place:
     )
 
 
-def peak_time(field: DataFrame, land: DataFrame, keys: list[str], value: str = "itchi", time: str = "time") -> DataFrame:
+def peak_time(field: DataFrame, land: DataFrame, keys: list[str], value: str = "h_total", time: str = "time") -> DataFrame:
     """For each key the time of the largest sum over land cells, the first on ties."""
     total = field.join(land, "cell", "left_semi").groupBy(*keys, time).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias("total"))
     w = Window.partitionBy(*keys).orderBy(F.desc("total"), time)
@@ -53,7 +54,7 @@ def peak_time(field: DataFrame, land: DataFrame, keys: list[str], value: str = "
 
 def first_declared(declared: DataFrame, keys: list[str], start: str, offset_hours: int = 6) -> DataFrame:
     """Earliest start of each place, local midnight as UTC."""
-    return declared.groupBy(*keys).agg(F.timestamp_seconds(F.unix_timestamp(F.min(start)) + offset_hours * 3600).alias("first_start"))
+    return declared.groupBy(*keys).agg(F.timestamp_micros(micros(F.min(start)) + offset_hours * 3600 * MICROS).alias("first_start"))
 
 
 def lead_times(
@@ -66,17 +67,17 @@ def lead_times(
     Episodes are islands of equal difference between time and its rank.
     """
     grid = events.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    t, e = F.unix_timestamp(time), F.unix_timestamp("t_event")
-    hits = series.join(grid, keys).filter((t <= e) & (t >= e - int(window_hours * 3600)) & (F.col(klass) >= F.col("level")))
+    t, e = micros(F.col(time)), micros(F.col("t_event"))
+    hits = series.join(grid, keys).filter((t <= e) & (t >= e - int(window_hours * 3600 * MICROS)) & (F.col(klass) >= F.col("level")))
     w = Window.partitionBy(*keys, "t_event", "level").orderBy(time)
-    island = t - F.row_number().over(w) * step_hours * 3600
+    island = t - F.row_number().over(w) * F.lit(step_hours * 3600 * MICROS)
     episodes = (
         hits.withColumn("__island", island).groupBy(*keys, "t_event", "level", "__island").agg(F.min(time).alias("a"), F.max(time).alias("b"))
     )
     found = episodes.groupBy(*keys, "t_event", "level").agg(
         F.min("a").alias("first_time"), F.max_by("a", "b").alias("episode_start"), F.max("b").alias("episode_end")
     )
-    hours = lambda c: (F.unix_timestamp("t_event") - F.unix_timestamp(c)) / 3600
+    hours = lambda c: (micros(F.col("t_event")) - micros(F.col(c))) / (3600 * MICROS)
     return grid.join(found, [*keys, "t_event", "level"], "left").select(
         *keys, "t_event", "level", "first_time", "episode_start", "episode_end",
         hours("episode_start").alias("lead_h"), hours("episode_end").alias("since_end_h"),

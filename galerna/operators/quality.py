@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HAZARDS = ("itchi", "h_p", "h_pdir", "h_pind", "h_w", "h_dir", "h_ind")
+HAZARDS = ("h_total", "h_p", "h_pdir", "h_pind", "h_w", "h_dir", "h_ind")
 TOLERANCE = 1e-12
 
 
@@ -22,7 +22,7 @@ def report(df: DataFrame, hazards: tuple[str, ...] = HAZARDS) -> DataFrame:
         F.count("*").alias("n"),
         *(out_of_bounds(F.col(h)).alias(f"bad_{h}") for h in hazards),
         F.count_if(F.col("r_direct") > F.col("r_attr")).alias("bad_radii"),
-        F.count_if(F.col("m_exterior") & (F.abs("itchi") > TOLERANCE)).alias("bad_exterior"),
+        F.count_if(F.col("m_exterior") & (F.abs("h_total") > TOLERANCE)).alias("bad_exterior"),
         F.count_if(flags != 1).alias("bad_masks"),
     )
 

@@ -89,3 +89,9 @@ def by_hour(df: DataFrame, cell: list[str], value: str, time: str = "time", leve
     out = rows.groupingSets([keys, [*keys, F.col("hour")]], *keys, F.col("hour")).agg(p.alias("__p"), F.count(value).alias("n"), F.grouping("hour").alias("__all"))
     hour = F.when(F.col("__all") == 1, F.lit(-1)).otherwise(F.col("hour"))
     return out.select(*cell, hour.alias("hour"), "n", *(F.col("__p")[k].alias(column_of(q)) for k, q in enumerate(levels)))
+
+
+def wet_by_hour(df: DataFrame, cell: list[str], value: str, time: str = "time", duration_h: int = 6, levels: tuple[float, ...] = QUANTILES, wet_mm: float = WET_MM) -> DataFrame:
+    """``wet`` for each cell and end hour, and for each cell over all hours (hour -1): one pass over rows dealt to both."""
+    rows = df.filter(F.col(value) >= wet_mm).select(*cell, value, F.explode(F.array(F.hour(time), F.lit(-1))).alias("hour"))
+    return wet(rows, [*cell, "hour"], value, duration_h, levels, wet_mm)

@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galerna.constants import STEP_SECONDS, SYNOPTIC_HOURS
-from galerna.functions.time import is_synoptic, season_window_ends, window_end
+from galerna.functions.time import MICROS, is_synoptic, micros, season_window_ends, window_end
 
 
 def accumulate(hourly: DataFrame, keys: list[str], time: str = "time", value: str = "p", hours: int = 6, label_is: str = "start") -> DataFrame:
     """Sum over (T - hours, T] of exactly ``hours`` hourly values; any missing one gives NULL.
 
-    Sums are partial before the exchange. Negative values count as missing.
+    Sums are partial before the exchange. NaN and negative values count as missing.
     """
-    good = F.when(F.col(value) >= 0, F.col(value).cast("double"))
+    x = F.col(value).cast("double")
+    good = F.when(~F.isnan(x) & (x >= 0), x)
     return (
         hourly.withColumn("__end", window_end(F.col(time), hours, label_is))
         .groupBy(*keys, F.col("__end").alias("time"))
@@ -42,8 +43,8 @@ def gap_filled(series: DataFrame, keys: list[str], time: str = "time", step_seco
 
 
 def _span(keys: list[str], time: str, first: int, last: int):
-    order = F.unix_timestamp(time)
-    return Window.partitionBy(*keys).orderBy(order).rangeBetween(first, last)
+    """Rows whose time lies between ``first`` and ``last`` microseconds from the row's."""
+    return Window.partitionBy(*keys).orderBy(micros(F.col(time))).rangeBetween(first, last)
 
 
 def rolling_sum(value: str, keys: list[str], hours: int, time: str = "time", exclusive: bool = False, step_seconds: int = STEP_SECONDS) -> Column:
@@ -53,7 +54,7 @@ def rolling_sum(value: str, keys: list[str], hours: int, time: str = "time", exc
     """
     n = hours * 3600 // step_seconds
     first, last = (-n * step_seconds, -step_seconds) if exclusive else (-(n - 1) * step_seconds, 0)
-    w = _span(keys, time, first, last)
+    w = _span(keys, time, first * MICROS, last * MICROS)
     return F.when(F.count(value).over(w) == n, F.sum(value).over(w))
 
 
@@ -68,7 +69,7 @@ def with_durations(series: DataFrame, keys: list[str], value: str = "p6", time:
 def declustered(series: DataFrame, keys: list[str], separation_hours: int, value: str = "r", time: str = "time", threshold: float = 1.0) -> DataFrame:
     """Peaks of at least ``threshold`` that exceed all values in the separation before and none after (the first of a
     tie wins); missing neighbours are ignored."""
-    s = separation_hours * 3600
+    s = separation_hours * 3600 * MICROS
     before = F.max(value).over(_span(keys, time, -s, -1))
     after = F.max(value).over(_span(keys, time, 1, s))
     low = F.lit(float("-inf"))

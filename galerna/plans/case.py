@@ -26,6 +26,8 @@ def run(
     staged = S.storm_stage(tracks, next(iter(settings.values()))).filter("usable").select("storm_id", "time", "lat", "lon", "reach_km")
     near = joins.positions_near_land(staged, grid, F.col("reach_km"), ["storm_id", "time"])
     chosen = tracks.join(near.select("storm_id", "time"), ["storm_id", "time"], "left_semi")
+    if not lacking_rain(near, series).isEmpty():
+        raise ValueError("the rain lacks times of the track")
     first, last = near.agg(F.min("time"), F.max("time")).head()
     window = series.filter(F.col("time").between(F.lit(first) - F.expr("interval 84 hours"), F.lit(last))) if first else series.limit(0)
     fields = S.experiments(chosen, cells_of(window, grid, climatology), settings)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galerna.constants import KNOT_MS, QUADRANTS
+from galerna.constants import KNOT_MS, OUTER_MS, QUADRANTS, R34_MS
 from galerna.functions import basic, geometry, hazard, radii
 from galerna.functions import extremes as E
 from galerna.functions import text as X
@@ -254,9 +254,9 @@ _BEARING = "atan2(sin(radians({d} - {b})) * cos(radians({c})), cos(radians({a}))
 _FULL = "(degrees(" + _BEARING.format(a="lat", b="lon", c="cell_lat", d="cell_lon") + ") + 360)"
 
 
-@query(ctes("tracks", "grid") + f"SELECT storm_id, i, cell, {q6(_dist(R='6371.0'), 'dist_km')}, {q6(f'{_FULL} - 360 * floor({_FULL} / 360)', 'bearing')} FROM tracks, grid WHERE cell = (i * 7 + k) % {P.N_CELLS}")
+@query(ctes("tracks", "grid") + f"SELECT storm_id, i, cell, {q6(_dist(R='6371.0'), 'dist_km')}, {q6(f'{_FULL} - 360 * floor({_FULL} / 360)', 'bearing')} FROM tracks, grid WHERE {_dist()} <= 2500.0")
 def bearing_distance(spark, sf):
-    t = P.tracks(spark, sf).withColumn("cell", ((F.col("i") * 7 + F.col("k")) % P.N_CELLS).cast("long")).join(P.grid(spark, sf), "cell")
+    t = joins.storm_cells(P.tracks(spark, sf), P.grid(spark, sf), 2500.0, 10.0)
     bearing = geometry.bearing_deg(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
     d = geometry.distance_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"), 6371.0, wrap=False)
     return t.select("storm_id", "i", "cell", r6(d, "dist_km"), r6(bearing, "bearing"))
@@ -288,11 +288,11 @@ def nearest_storm(spark, sf):
     return near.select("id_decl", epoch(), "storm_id", r6("dist_km"), r6("r_quad_km"), "inside", "n_active")
 
 
-_TARGETS = "targets AS (SELECT o_orderkey AS target_id, o_orderkey % 20 AS cell, TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000) AS target_time FROM orders WHERE o_orderkey % 10 = 3)"
+_TARGETS = "targets AS (SELECT o_orderkey AS target_id, o_orderkey % 20 AS cell, TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000) AS target_time FROM orders)"
 
 
 def _targets(spark, sf):
-    o = P.table(spark, sf, "orders").filter("o_orderkey % 10 = 3")
+    o = P.table(spark, sf, "orders")
     t = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + (F.col("o_orderkey") * 7919) % 2592000)
     return o.select(F.col("o_orderkey").alias("target_id"), (F.col("o_orderkey") % 20).alias("cell"), t.alias("target_time"))
 
@@ -302,7 +302,7 @@ def _targets(spark, sf):
   FROM targets JOIN series USING (cell) WHERE abs(epoch(time) - epoch(target_time)) <= 7200) WHERE rn = 1""")
 def nearest_in_time(spark, sf):
     found = joins.nearest_in_time(_targets(spark, sf), P.series(spark, sf), ["cell"], 7200)
-    return found.select("target_id", epoch(), r6("p6"), "gap_s")
+    return found.select("target_id", epoch(), r6("p6"), F.col("gap_s").cast("long").alias("gap_s"))
 
 
 @query(ctes("series")[:-1] + f", {_TARGETS} SELECT target_id FROM targets t WHERE NOT EXISTS (SELECT 1 FROM series s WHERE s.cell = t.cell AND abs(epoch(s.time) - epoch(t.target_time)) <= 7200)")
@@ -376,7 +376,7 @@ def wind_hazard_nodes(spark, sf):
 
 
 _PAIRS = f"pairs AS (SELECT storm_id, i, cell, time, {_dist()} AS d, 150.0 AS r_direct, 150.0 + 3 * vmax_kt AS r_attr, vmax_kt AS v FROM tracks, grid), hz AS (SELECT pairs.*, {_MATRIX} AS h_p, {_HW} AS h_w FROM pairs JOIN rolled USING (cell, time) JOIN q USING (cell)), parts AS (SELECT *, d <= r_direct AS m_direct, d > r_direct AND d <= r_attr AS m_indirect, d > r_attr AS m_exterior FROM hz), fields AS (SELECT *, 1 - (1 - CASE WHEN m_direct THEN h_w ELSE 0 END) * (1 - CASE WHEN m_direct THEN h_p ELSE 0 END) AS h_dir, 1 - (1 - CASE WHEN m_indirect THEN h_w ELSE 0 END) * (1 - CASE WHEN m_indirect THEN h_p ELSE 0 END) AS h_ind FROM parts)"
-_FIELDS = ctes("series", "rolled", "q", "tracks", "grid")[:-1] + ", " + _PAIRS + ", index AS (SELECT *, 1 - (1 - h_dir) * (1 - h_ind) AS itchi FROM fields) "
+_FIELDS = ctes("series", "rolled", "q", "tracks", "grid")[:-1] + ", " + _PAIRS + ", index AS (SELECT *, 1 - (1 - h_dir) * (1 - h_ind) AS h_total FROM fields) "
 
 
 def _fields(spark, sf):
@@ -394,9 +394,9 @@ def region_masks(spark, sf):
     return f.select("storm_id", "i", "cell", "m_direct", "m_indirect", "m_exterior", region.alias("region"))
 
 
-@query(_FIELDS + f"SELECT storm_id, i, cell, {q6('h_dir')}, {q6('h_ind')}, {q6('itchi')} FROM index WHERE d <= 2500")
+@query(_FIELDS + f"SELECT storm_id, i, cell, {q6('h_dir')}, {q6('h_ind')}, {q6('h_total')} FROM index WHERE d <= 2500")
 def hazard_index(spark, sf):
-    return _fields(spark, sf).select("storm_id", "i", "cell", r6("h_dir"), r6("h_ind"), r6("itchi"))
+    return _fields(spark, sf).select("storm_id", "i", "cell", r6("h_dir"), r6("h_ind"), r6("h_total"))
 
 
 _CLASS = "CASE WHEN {x} <= 0 THEN 0 WHEN {x} <= 0.2 THEN 1 WHEN {x} <= 0.4 THEN 2 WHEN {x} <= 0.6 THEN 3 WHEN {x} <= 0.8 THEN 4 ELSE 5 END"
@@ -459,17 +459,54 @@ def attribution_modes(spark, sf):
     return sets.stacked(out, "mode").select("storm_id", "i", "mode", *(r6(F.col(f"a.radii.{q}"), q) for q in QUADRANTS), F.col("a.status.rne").alias("status_rne"))
 
 
-# --- wind profile and snapshot: bisections, which are tested by brute force
+# --- wind profile and snapshot
 
 
-@query()
+def _ramp_sql(x: str) -> str:
+    v = f"least(greatest({x}, 0.0), 1.0)"
+    return f"(pow({v}, 5) * (126 + {v} * (-420 + {v} * (540 + {v} * (-315 + 70 * {v})))))"
+
+
+def _profile_sql(variant: str, rmw: bool) -> str:
+    """CTEs of the profile's parameters by position; its bisection is a recursion of 50 steps."""
+    a, b, c = V.RMAX[variant]
+    regression = f"({a} * exp({b} * v + {c} * abs(lat)))"
+    rmax = f"coalesce(CASE WHEN rmw_km > 0 THEN rmw_km END, {regression})" if rmw else regression
+    return f"""vm AS (SELECT storm_id, i, lat, rmw_km, vmax_kt * {KNOT_MS} AS v FROM tracks),
+      sh AS (SELECT storm_id, i, v, {rmax} AS rmax, 317.1 - 2.026 * v + 1.915 * abs(lat) AS x1, 0.4067 + 0.0144 * v - 0.0038 * abs(lat) AS n, greatest(0.0696 + 0.0049 * v - 0.0064 * abs(lat), 0.0) AS a FROM vm),
+      wt AS (SELECT *, n / (n + rmax * ((1 - a) / x1 + a / {V.X2_KM})) AS w, CASE WHEN rmax > 20 THEN 25.0 ELSE 15.0 END AS width FROM sh),
+      hv AS (SELECT storm_id, i, w, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0 AS k FROM wt
+        UNION ALL SELECT storm_id, i, w, CASE WHEN w - {_ramp_sql('(low + high) / 2')} > 0 THEN (low + high) / 2 ELSE low END, CASE WHEN w - {_ramp_sql('(low + high) / 2')} > 0 THEN high ELSE (low + high) / 2 END, k + 1 FROM hv WHERE k < 50),
+      pf AS (SELECT wt.*, greatest(rmax - (low + high) / 2 * width, 0.0) AS r1 FROM wt JOIN hv ON hv.storm_id = wt.storm_id AND hv.i = wt.i AND k = 50)"""
+
+
+def _wind_sql(r: str) -> str:
+    inner = f"v * pow({r} / rmax, n)"
+    outer = f"v * ((1 - a) * exp(-({r} - rmax) / x1) + a * exp(-({r} - rmax) / {V.X2_KM}))"
+    w = _ramp_sql(f"({r} - r1) / width")
+    return f"(({inner}) * (1 - {w}) + ({outer}) * {w})"
+
+
+def _radius_sql(name: str, threshold: float) -> str:
+    """CTE of the outer radius of a wind, by 60 halvings."""
+    m = "(low + high) / 2"
+    return f"""h_{name} AS (SELECT *, rmax AS low, {float(V.SEARCH_KM)}::DOUBLE AS high, 0 AS k FROM pf
+        UNION ALL SELECT * REPLACE (CASE WHEN {_wind_sql(m)} > {threshold} THEN {m} ELSE low END AS low, CASE WHEN {_wind_sql(m)} > {threshold} THEN high ELSE {m} END AS high, k + 1 AS k) FROM h_{name} WHERE k < 60),
+      r_{name} AS (SELECT storm_id, i, CASE WHEN v > {threshold} AND {_wind_sql(str(float(V.SEARCH_KM)))} <= {threshold} THEN (low + high) / 2 END AS {name} FROM h_{name} WHERE k = 60)"""
+
+
+_RECURSIVE = ctes("tracks").replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + ", "
+
+
+@query(_RECURSIVE + _profile_sql("w06", True) + " SELECT storm_id, i, " + ", ".join(q6(_wind_sql(f"{r}.0"), f"v{r}") for r in (10, 50, 100, 300)) + f", {q6('rmax', 'rmax_km')}, {q6('r1', 'r1_km')} FROM pf")
 def wind_profile(spark, sf):
     t = P.tracks(spark, sf).withColumn("p", V.profile(F.col("vmax_kt") * KNOT_MS, F.col("lat"), F.col("rmw_km")))
     speeds = [r6(V.wind_ms(F.col("p"), float(r)), f"v{r}") for r in (10, 50, 100, 300)]
     return t.select("storm_id", "i", *speeds, r6(F.col("p.rmax"), "rmax_km"), r6(F.col("p.r1"), "r1_km"))
 
 
-@query()
+@query(_RECURSIVE + _profile_sql("pa21", False) + ", " + _radius_sql("r_outer_km", OUTER_MS) + ", " + _radius_sql("r34_km", R34_MS)
+       + f" SELECT pf.storm_id, pf.i, {q6('r_outer_km')}, {q6('r34_km')}, {q6('rmax', 'rmax_km')}, {q6('x1', 'x1_km')} FROM pf JOIN r_r_outer_km a ON a.storm_id = pf.storm_id AND a.i = pf.i JOIN r_r34_km b ON b.storm_id = pf.storm_id AND b.i = pf.i")
 def outer_radius(spark, sf):
     t = P.tracks(spark, sf).withColumn("r", V.reference_radii(F.col("vmax_kt"), F.col("lat")))
     return t.select("storm_id", "i", *(r6(F.col(f"r.{c}"), c) for c in ("r_outer_km", "r34_km", "rmax_km", "x1_km")))
@@ -484,23 +521,23 @@ def calibrated_profile(spark, sf):
 @query()
 def snapshot_full(spark, sf):
     s = S.snapshot(P.tracks(spark, sf), _cells(spark, sf).drop("i"))
-    return s.select("storm_id", "i", "cell", *(r6(c) for c in ("dist_km", "r_direct", "r_attr", "h_p", "h_w", "wind_kt", "h_dir", "h_ind", "itchi")), "m_direct", "m_indirect")
+    return s.select("storm_id", "i", "cell", *(r6(c) for c in ("dist_km", "r_direct", "r_attr", "h_p", "h_w", "wind_kt", "h_dir", "h_ind", "h_total")), "m_direct", "m_indirect")
 
 
 @query()
 def snapshot_experiments(spark, sf):
     settings = {m: S.Settings(mode=m) for m in ("floor", "always")}
     e = S.experiments(P.tracks(spark, sf), _cells(spark, sf).drop("i"), settings)
-    return e.groupBy("experiment", "storm_id").agg(F.count("*").alias("n"), r6(F.max("itchi"), "itchi_max"))
+    return e.groupBy("experiment", "storm_id").agg(F.count("*").alias("n"), r6(F.max("h_total"), "h_total_max"))
 
 
 # --- quality control
 
 
-@query(_FIELDS + """SELECT count(*) AS n, count(*) FILTER (itchi < 0 OR itchi > 1) AS bad_itchi, count(*) FILTER (h_p < 0 OR h_p > 1) AS bad_h_p, count(*) FILTER (h_w < 0 OR h_w > 1) AS bad_h_w,
-  count(*) FILTER (r_direct > r_attr) AS bad_radii, count(*) FILTER (m_exterior AND abs(itchi) > 1e-12) AS bad_exterior, count(*) FILTER (m_direct::INT + m_indirect::INT + m_exterior::INT <> 1) AS bad_masks FROM index WHERE d <= 2500""")
+@query(_FIELDS + """SELECT count(*) AS n, count(*) FILTER (h_total < 0 OR h_total > 1) AS bad_h_total, count(*) FILTER (h_p < 0 OR h_p > 1) AS bad_h_p, count(*) FILTER (h_w < 0 OR h_w > 1) AS bad_h_w,
+  count(*) FILTER (r_direct > r_attr) AS bad_radii, count(*) FILTER (m_exterior AND abs(h_total) > 1e-12) AS bad_exterior, count(*) FILTER (m_direct::INT + m_indirect::INT + m_exterior::INT <> 1) AS bad_masks FROM index WHERE d <= 2500""")
 def quality_report(spark, sf):
-    return quality.report(_fields(spark, sf), ("itchi", "h_p", "h_w"))
+    return quality.report(_fields(spark, sf), ("h_total", "h_p", "h_w"))
 
 
 @query(ctes("series") + """, a AS (SELECT cell, epoch(time)::BIGINT AS t FROM series WHERE cell < 10), b AS (SELECT cell, epoch(time)::BIGINT AS t FROM series WHERE cell > 5)
@@ -513,8 +550,8 @@ def field_alignment(spark, sf):
 # --- municipalities
 
 
-_VALUES = ", vals AS (SELECT place, storm_id, i, max(coalesce(itchi, 0)) AS v_max, avg(coalesce(itchi, 0)) AS v_mean, quantile_cont(coalesce(itchi, 0), 0.9) AS v_p90, bool_or(m_direct OR m_indirect) AS reg FROM index JOIN bridge USING (cell) WHERE d <= 2500 GROUP BY 1, 2, 3) "
-_MUNI = ctes("series", "rolled", "q", "tracks", "grid", "bridge")[:-1] + ", " + _PAIRS + ", index AS (SELECT *, 1 - (1 - h_dir) * (1 - h_ind) AS itchi FROM fields)" + _VALUES
+_VALUES = ", vals AS (SELECT place, storm_id, i, max(coalesce(h_total, 0)) AS v_max, avg(coalesce(h_total, 0)) AS v_mean, quantile_cont(coalesce(h_total, 0), 0.9) AS v_p90, bool_or(m_direct OR m_indirect) AS reg FROM index JOIN bridge USING (cell) WHERE d <= 2500 GROUP BY 1, 2, 3) "
+_MUNI = ctes("series", "rolled", "q", "tracks", "grid", "bridge")[:-1] + ", " + _PAIRS + ", index AS (SELECT *, 1 - (1 - h_dir) * (1 - h_ind) AS h_total FROM fields)" + _VALUES
 _EVENT = _MUNI[:-1] + ", ev AS (SELECT place, storm_id, max(v_max) AS event_max, bool_or(reg) AS in_region FROM vals GROUP BY 1, 2) "
 
 
@@ -544,7 +581,7 @@ def ordinal_table(spark, sf):
     return out.select("storm_id", F.col("class").cast("long").alias("class"), "places", "declared", r6("share"))
 
 
-@query(_MUNI + f", tot AS (SELECT storm_id, i, sum(itchi) AS total FROM index WHERE d <= 2500 AND cell IN (SELECT cell FROM bridge WHERE n_centres > 0) GROUP BY 1, 2) SELECT storm_id, i, {q6('total')} FROM (SELECT *, row_number() OVER (PARTITION BY storm_id ORDER BY round(total, 9) DESC, i) AS rn FROM tot) WHERE rn = 1")
+@query(_MUNI + f", tot AS (SELECT storm_id, i, sum(h_total) AS total FROM index WHERE d <= 2500 AND cell IN (SELECT cell FROM bridge WHERE n_centres > 0) GROUP BY 1, 2) SELECT storm_id, i, {q6('total')} FROM (SELECT *, row_number() OVER (PARTITION BY storm_id ORDER BY round(total, 9) DESC, i) AS rn FROM tot) WHERE rn = 1")
 def peak_time(spark, sf):
     f = _fields(spark, sf)
     out = municipal.peak_time(f, P.bridge(spark, sf).filter("n_centres > 0"), ["storm_id"], time="i")
@@ -673,12 +710,11 @@ def crosstab(spark, sf):
 # --- texts and formats
 
 
-@query("""SELECT doc_id, strip_accents(left(text, 200)) AS plain, trim(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9]+', ' ', 'g')) AS comparable,
-  regexp_matches(lower(strip_accents(text)), 'licensed|card|phone') AS keyword, lpad((doc_id % 40000)::VARCHAR, 5, '0') AS code FROM documents WHERE lang IN ('fr', 'es')""")
+@query("""SELECT doc_id, strip_accents(text) AS plain, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS comparable,
+  coalesce(regexp_matches(lower(strip_accents(text)), 'licensed|card|phone'), false) AS keyword, lpad((doc_id % 40000)::VARCHAR, 5, '0') AS code FROM documents""")
 def text_normalize(spark, sf):
-    d = P.table(spark, sf, "documents").filter(F.col("lang").isin("fr", "es"))
-    head = F.substring("text", 1, 200)
-    return d.select("doc_id", X.without_accents(head).alias("plain"), X.comparable(head).alias("comparable"), X.any_of(F.col("text"), ("licensed", "card", "phone")).alias("keyword"), X.code5(F.col("doc_id") % 40000).alias("code"))
+    d = P.table(spark, sf, "documents")
+    return d.select("doc_id", X.without_accents(F.col("text")).alias("plain"), X.comparable(F.col("text")).alias("comparable"), X.any_of(F.col("text"), ("licensed", "card", "phone")).alias("keyword"), X.code5(F.col("doc_id") % 40000).alias("code"))
 
 
 @query(f"""SELECT n_nationkey::BIGINT AS n_nationkey, {q6('n_nationkey * 1.852', 'km')}, {q6('n_nationkey / 1.852', 'nm')}, {q6('(n_nationkey * 40 + 180) - 360 * floor((n_nationkey * 40 + 180) / 360.0) - 180', 'dlon')} FROM nation""")
@@ -696,7 +732,8 @@ def times_of_names(spark, sf):
     return o.select("o_orderkey", F.unix_timestamp(named).alias("named"), F.unix_timestamp(julian).alias("julian"), F.unix_timestamp(compact).alias("compact"))
 
 
-@query()
+@query("""SELECT y AS year, epoch(unnest(generate_series(make_timestamp(y, 5, 1, 6, 0, 0), make_timestamp(y, 12, 1, 0, 0, 0), INTERVAL 6 HOURS)))::BIGINT AS t
+  FROM (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders)""")
 def season_ends(spark, sf):
     years = P.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year")).distinct()
     return years.select("year", F.explode(TM.season_window_ends(F.col("year"))).alias("time")).select("year", epoch())

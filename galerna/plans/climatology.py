@@ -37,7 +37,7 @@ def return_periods(
     """
     keys = ["cell", "duration"]
     long = durations(series.repartition("cell"), hours)
-    maxima = extremes.seasonal_maximum(long, keys, "r")
+    maxima = extremes.seasonal_maximum(long, keys, "r", time="time")  # absent steps count as missing
     peaks = [
         rain.declustered(long.filter(F.col("duration") == h), ["cell", "season", "duration"], SEPARATION_HOURS[h], "r", threshold=WET_MM) for h in hours
     ]

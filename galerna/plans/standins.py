@@ -55,8 +55,8 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id_decl, place, kind, start, end): of each 50th order; the dates of some are inverted."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 50 == 0)
+    """(id_decl, place, kind, start, end): of each order; the dates of some are inverted."""
+    o = table(spark, sf_dir, "orders")
     day = F.expr("timestamp '2024-01-01 00:00:00'") + F.make_dt_interval((F.col("o_orderkey") % 25).cast("int"))
     shift = F.make_dt_interval((F.col("o_custkey") % 4 - 1).cast("int"))
     return o.select(
@@ -94,7 +94,7 @@ SQL = {
     "declared": """declared AS (SELECT o_orderkey AS id_decl, o_custkey % 6 AS place, CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'E' END AS kind,
         TIMESTAMP '2024-01-01' + to_days((o_orderkey % 25)::INT) AS "start",
         CASE WHEN o_orderkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((o_orderkey % 25)::INT) + to_days((o_custkey % 4 - 1)::INT) END AS "end"
-        FROM orders WHERE o_orderkey % 50 = 0),
+        FROM orders),
       dated AS (SELECT id_decl, place, kind, least("start", coalesce("end", "start")) AS "start", greatest("start", coalesce("end", "start")) AS "end", coalesce("start" > "end", false) AS inverted FROM declared)""",
     "seasons": "seasons AS (SELECT l_suppkey % 10 AS cell, year(l_shipdate) * 4 + quarter(l_shipdate) AS season, l_shipdate AS time, l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN l_extendedprice / 1000 END AS r FROM lineitem)",
     "rolled": """rolled AS (SELECT cell, time, p6,

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galerna.constants import QUADRANTS
+from galerna.constants import NAUTICAL_MILE_KM, QUADRANTS
 from galerna.functions.basic import non_negative, positive
 from galerna.functions.geometry import km_in
 from galerna.functions.text import any_of, code5, column_name, quoted_name
-from galerna.functions.time import is_synoptic
+from galerna.functions.time import is_synoptic, micros
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".orc": "orc", ".json": "json", ".txt": "text", ".dat": "text", ".dot": "text"}
 RAIN_NAMES = ("precipitation", "precip", "tp", "rain", "pr")
@@ -63,6 +64,38 @@ def rain(df: DataFrame, value: str | None = None, time: str | None = None, synop
     return out.filter(is_synoptic(F.col("valid_time"))) if synoptic_only else out
 
 
+def rain_files(spark: SparkSession, folder: str, pattern: str = "*.nc*") -> DataFrame:
+    """(path, modificationTime, length) of a folder's files, sorted by path; sub-folders are not looked into."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
+    return found.select("path", "modificationTime", "length").orderBy("path")
+
+
+def label_convention(time: Column, low: Column, high: Column) -> Column:
+    """start or end: the bound of its interval that a label lies on, within a quarter of the width; else an error."""
+    t, a, b = micros(time), micros(low), micros(high)
+    to_low, to_high, room = F.abs(t - a), F.abs(t - b), (b - a) / 4
+    near = F.when((to_low <= to_high) & (to_low < room), "start").when((to_high < to_low) & (to_high < room), "end")
+    return F.coalesce(near, F.raise_error(F.concat(F.lit("a label within its interval: "), time.cast("string"))).cast("string"))
+
+
+def seasons(df: DataFrame, years: tuple[int, ...]) -> DataFrame:
+    """Rows of the years' seasons; a year without any is an error."""
+    own = df.filter(F.col("season").isin(*years))
+    lacking = sorted(set(years) - {r[0] for r in own.select("season").distinct().collect()})  # a row for each year
+    if lacking:
+        raise ValueError(f"no rain of {lacking}")
+    return own
+
+
+def associated(spark: SparkSession, path: str) -> DataFrame | None:
+    """Declarations with their storms, as the declaration plan writes them; None where there are none yet."""
+    try:
+        found = spark.read.option("header", True).csv(path)
+    except AnalysisException:
+        return None
+    return found.withColumn("place", code5(F.col("place")))
+
+
 def standardized(df: DataFrame, renamed: dict[str, str] | None = None) -> DataFrame:
     """Lower-case underscore names, then canonical ones by a map canonical -> source."""
     df = df.toDF(*(column_name(c) for c in df.columns))
@@ -101,6 +134,13 @@ def best_tracks(df: DataFrame, rmw_unit: str = "nm") -> DataFrame:
     return out.na.drop(subset=["time", "lat", "lon"])
 
 
+def storm_arrays(df: DataFrame, storm_id: str) -> DataFrame:
+    """The one row (arrays over time) of a storm; none, or an id that repeats, is an error when it is read."""
+    from galerna.operators.tracks import exactly_one
+
+    return exactly_one(df.filter(F.trim(F.col("sid").cast("string")) == storm_id), f"storm {storm_id}")
+
+
 def one_storm(df: DataFrame, storm_id: str) -> DataFrame:
     """Rows of a storm; none is an error when the rows are read."""
     own = df.filter(F.col("storm_id") == storm_id)
@@ -121,9 +161,9 @@ def _number(c: Column) -> Column:
     return F.nullif(c.try_cast("double"), F.lit(MISSING))
 
 
-def cloud_flat(lines: DataFrame) -> DataFrame:
-    """Lines (value) of 17 fields split on white space; -9999 is missing."""
-    f = F.split(F.trim("value"), r"\s+")
+def cloud_flat(lines: DataFrame, separator: str = r"\s+") -> DataFrame:
+    """Lines (value) of 17 fields split on white space (or another pattern); -9999 is missing."""
+    f = F.split(F.trim("value"), separator)
     rows = lines.filter(F.trim("value") != "").select(F.when(F.size(f) == len(CLOUD_FLAT), f).otherwise(
         F.raise_error(F.concat(F.lit("not 17 fields: "), F.col("value"))).cast("array<string>")).alias("f"))
     names = {n: F.col("f")[k] for k, n in enumerate(CLOUD_FLAT)}
@@ -136,6 +176,22 @@ def cloud_flat(lines: DataFrame) -> DataFrame:
     )
 
 
+def cloud_comma(lines: DataFrame) -> DataFrame:
+    """Lines of 17 fields with commas and the wind in km/h: vmax_kt_cloud in knots; radii that are not positive are missing."""
+    out = cloud_positive(cloud_flat(lines, r"\s*,\s*"))
+    return out.withColumn("vmax_kt_cloud", F.col("vmax_kt") / NAUTICAL_MILE_KM).drop("vmax_kt")
+
+
+def _is_header(fields: Column) -> Column:
+    return (F.size(fields) >= 3) & F.trim(fields[2]).try_cast("int").isNotNull() & ~F.trim(fields[0]).try_cast("double").isNotNull()
+
+
+def is_block_layout(files: DataFrame) -> DataFrame:
+    """(path, is_block) of whole files: whether the first line that is not blank is a block's header."""
+    first = F.get(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), F.lit(0))
+    return files.select("path", F.coalesce(_is_header(F.split(first, ",")), F.lit(False)).alias("is_block"))
+
+
 def cloud_blocks(files: DataFrame) -> DataFrame:
     """Whole files (path, value: all text) of blocks: a header ``id, name, n,`` and rows of 19 fields that it heads.
 
@@ -146,7 +202,7 @@ def cloud_blocks(files: DataFrame) -> DataFrame:
 
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).filter(F.trim("text") != "")
     head = F.split("text", ",")
-    is_head = (F.size(head) >= 3) & F.trim(head[2]).try_cast("int").isNotNull()
+    is_head = _is_header(head)
     header = F.when(is_head, F.struct(F.col("line").alias("at"), F.trim(head[0]).alias("storm_id"), F.trim(head[1]).alias("storm_name"), F.trim(head[2]).cast("int").alias("declared")))
     by_line = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("__head", is_head).withColumn("header", F.last(header, ignorenulls=True).over(by_line)).filter(~F.col("__head"))
@@ -162,7 +218,7 @@ def cloud_blocks(files: DataFrame) -> DataFrame:
     time = F.make_timestamp(F.substring(date, 1, 4).cast("int"), F.substring(date, 5, 2).cast("int"), F.substring(date, 7, 2).cast("int"),
                             F.when(hhmm < 100, hhmm).otherwise(F.floor(hhmm / 100).cast("int")), F.lit(0), F.lit(0))
     return out.select(
-        "path", F.col("header.storm_id").alias("storm_id"), F.col("header.storm_name").alias("storm_name"), F.col("header.declared").alias("declared_entries"),
+        "path", F.col("header.at").alias("block"), F.col("header.storm_id").alias("storm_id"), F.col("header.storm_name").alias("storm_name"), F.col("header.declared").alias("declared_entries"),
         "record_number", time.alias("time"), _number(names["lat"]).alias("lat"), _number(names["lon"]).alias("lon"),
         _number(names["vmax"]).alias("vmax_kt"), _number(names["pmin"]).alias("pmin_hpa"), _number(names["mean"]).alias("rocloud_mean_km"),
         *(_number(names[q]).alias(f"rocloud_{q}") for q in QUADRANTS), *(_number(names[n]).alias(n) for n in CLOUD_BLOCK[11:]),
@@ -170,8 +226,24 @@ def cloud_blocks(files: DataFrame) -> DataFrame:
 
 
 def wrong_counts(blocks: DataFrame) -> DataFrame:
-    """Storms whose number of rows is not the declared one."""
-    return blocks.groupBy("storm_id").agg(F.first("declared_entries").alias("declared"), F.count("*").alias("found")).filter("declared <> found")
+    """Blocks whose number of rows is not the declared one."""
+    each = blocks.groupBy("path", "block", "storm_id").agg(F.first("declared_entries").alias("declared"), F.count("*").alias("found"))
+    return each.filter("declared <> found")
+
+
+def checked_counts(blocks: DataFrame) -> DataFrame:
+    """The blocks, or an error that lists all whose number of rows is not the declared one."""
+    wrong = wrong_counts(blocks).orderBy("path", "block").collect()  # a row for each wrong block
+    if wrong:
+        raise ValueError("; ".join(f"{r.storm_id}: declared {r.declared}, found {r.found}" for r in wrong))
+    return blocks
+
+
+def cloud_texts(files: DataFrame, synoptic_only: bool = False, check: bool = False) -> DataFrame:
+    """Whole block files read, checked if asked, put in standard names and, if asked, cut to synoptic times."""
+    out = cloud_blocks(files)
+    out = standardized(checked_counts(out) if check else out)
+    return out.filter(is_synoptic(F.col("time"))) if synoptic_only else out
 
 
 def cloud_positive(df: DataFrame) -> DataFrame:

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def accumulate(stream: DataFrame, key: str, time: str = "ts", value: str = "p", late: str = "3 hours", hours: int = 6) -> DataFrame:
-    """(key, time, p6, n) with the window end as time; in append mode a window comes out once, when it is complete."""
+    """(key, time, p6, n) with the window end as time, of hourly values labelled by the beginning of their hour.
+
+    As in the batch operator NaN and negative values are missing, and p6 is NULL unless all ``hours`` values are there.
+    In append mode a window comes out once, when the watermark has passed it.
+    """
+    x = F.col(value).cast("double")
+    good = F.when(~F.isnan(x) & (x >= 0), x)
     return (
         stream.withWatermark(time, late).groupBy(key, F.window(time, f"{hours} hours").alias("w"))
-        .agg(F.sum(value).alias("total"), F.count(value).alias("n"))
-        .select(key, F.col("w.end").alias("time"), F.col("total").alias("p6"), "n")
+        .agg(F.sum(good).alias("total"), F.count(good).alias("n"))
+        .select(key, F.col("w.end").alias("time"), F.when(F.col("n") == hours, F.col("total")).alias("p6"), "n")
     )
 
 

@@ -107,7 +107,7 @@ def test_rain_ramps(spark):
 def test_components(spark):
     m = {"m_direct": F.col("d"), "m_indirect": F.col("i"), "m_exterior": ~F.col("d") & ~F.col("i")}
     df = spark.createDataFrame([(True, False), (False, True), (False, False)], "d boolean, i boolean")
-    out = [r[0] for r in df.select(hazard.components(F.lit(0.5), F.lit(0.4), m)["itchi"]).collect()]
+    out = [r[0] for r in df.select(hazard.components(F.lit(0.5), F.lit(0.4), m)["h_total"]).collect()]
     assert out == pytest.approx([0.7, 0.7, 0.0])
     with pytest.raises(ValueError):
         hazard.combined(F.lit(0.1), F.lit(0.2), -1.0)

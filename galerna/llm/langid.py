@@ -6,10 +6,9 @@ a language is the sum of the logarithms of its n-grams' smoothed frequencies; on
 script are candidates. Over the words of a text Viterbi finds the labelling of best total score less a penalty for
 each change of language; runs of one label are the spans.
 
-A text has one language all through, as most do, if no stretch of words gains more than one penalty in any other
-language, and no labelling without that language gains: it changes directly between others, so that two stretches may
-gain for one penalty. This is tested with vectors, by bounds that are safe, and other texts take the word-by-word
-recursion.
+A text has one language all through, as most do, if no stretches of other languages can pay their penalties. Bounds of
+what any stretch gains over the best language, of what one at an end of the text gains, and of what a labelling without that
+language gains tell so with vectors, and they are safe; other texts take the word-by-word recursion.
 
 Edge cases: a text that is null or has no letter (digits, fractions, superscripts and symbols are none) is ``und``
 with score 0; ties go to the language first by name; with no labelled rows every text is ``und``; repeated rows get equal
@@ -22,11 +21,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,14 +33,13 @@ from galerna.llm.common import map_rows
 #: Labelled rows of a language that ``fit`` takes at most (in expectation); the bound of the sample.
 FIT_ROWS = 3000
 BUCKETS = 1 << 16
+GRAM_LETTERS = 3
 SWITCH_PENALTY = 12.0
 #: Least share of a language's letters in a script for the language to be a candidate there.
 SCRIPT_SHARE = 0.01
 WORDS_KEPT = 300_000
-GRAMS_KEPT = 300_000
 #: Score of a language that does not use the word's script.
 NO_CANDIDATE = -1e3
-WORD_LETTERS = 40
 
 #: First and last code point of ranges, by script.
 SCRIPTS = (
@@ -57,38 +53,49 @@ SCRIPT_NAMES = (*dict.fromkeys(s for s, _, _ in SCRIPTS), "other")
 _letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
-def script_of(word: str) -> int:
-    """Number of the script of the first letter (words do not mix scripts in practice)."""
-    code = ord(word[0])
-    return next((SCRIPT_NAMES.index(s) for s, a, b in SCRIPTS if a <= code <= b), len(SCRIPT_NAMES) - 1)
+def _script_table() -> np.ndarray:
+    """Number of the script of each code point."""
+    out = np.full(0x110000, len(SCRIPT_NAMES) - 1, np.uint8)
+    for name, first, last in SCRIPTS:
+        out[first : last + 1] = SCRIPT_NAMES.index(name)
+    return out
 
 
-def words(text: str | None) -> list[str]:
-    return _letters(unicodedata.normalize("NFC", text or "").lower())
+#: A word's script is that of its first letter (words do not mix scripts in practice).
+SCRIPT_OF = _script_table()
 
 
-class Buckets(dict):
-    """Bucket of each n-gram, remembered: there are few n-grams of three letters at most."""
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    def __missing__(self, gram: str) -> int:
-        if len(self) >= GRAMS_KEPT:
-            self.clear()
-        found = self[gram] = xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % BUCKETS
-        return found
 
+def words(text: str | None) -> list[str]:
+    return _letters(unicodedata.normalize("NFC", text or "").lower())
 
-_buckets = Buckets()
 
+@dataclass
+class Grams:
+    """The n-grams of words, ends marked, by arithmetic on code points: row n - 1 of ``buckets`` has the bucket of the
+    n-gram that starts at each letter, or ``BUCKETS`` where the word ends before it."""
+
+    buckets: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    scripts: np.ndarray
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word; a very long word counts by pieces, all of it."""
-    out: list[str] = []
-    for at in range(0, len(word), WORD_LETTERS):
-        w = f"<{word[at : at + WORD_LETTERS]}>"
-        out += w
-        out += [w[i : i + 2] for i in range(len(w) - 1)]
-        out += [w[i : i + 3] for i in range(len(w) - 2)]
-    return [_buckets[g] for g in out]
+    @staticmethod
+    def of(ws: list[str]) -> "Grams":
+        code = np.frombuffer("".join([f"<{w}>" for w in ws]).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.fromiter(map(len, ws), np.int64, len(ws)) + 2
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        left = np.repeat(ends, sizes) - np.arange(len(code))
+        buckets, key = np.full((GRAM_LETTERS, len(code)), BUCKETS, np.int32), np.zeros(len(code), np.uint64)
+        for n in range(1, GRAM_LETTERS + 1):
+            key = (key[: len(code) - n + 1] + code[n - 1 :] + np.uint64(1)) * _MIX
+            key ^= key >> np.uint64(31)
+            inside = left[: len(key)] >= n
+            buckets[n - 1, : len(key)][inside] = (key[inside] >> np.uint64(7)) % np.uint64(BUCKETS)
+        return Grams(buckets, starts, sizes, SCRIPT_OF[code[starts + 1]])
 
 
 @dataclass
@@ -105,25 +112,28 @@ class Model:
 
     @staticmethod
     def fit(labelled: DataFrame, rows_a_language: int = FIT_ROWS) -> "Model":
-        """``labelled`` has text and lang. Of a language with more than ``rows_a_language`` rows, a sample by the
-        hash of the text is taken."""
+        """``labelled`` has text and lang. Of a language with more than ``rows_a_language`` rows, a sample of
+        rows is taken, each by chance, so that copies of one text do not come all or none."""
         labelled = labelled.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
         sizes = dict(labelled.groupBy("lang").count().collect())
         languages = sorted(sizes)
         if not languages:
             return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
         share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, rows_a_language / sizes[k]))))
-        sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+        sample = labelled.filter(F.rand(1) < share[F.col("lang")])
 
         def count(langs: list, texts: list) -> Iterator[tuple]:
             found: dict[str, Counter] = {}
             for lang, text in zip(langs, texts):
-                c = found.setdefault(lang, Counter())
-                for w, n in Counter(words(text)).items():
-                    for g in grams(w):
-                        c[g] += n
-                    c[-1 - script_of(w)] += n * len(w)
-            return ((lang, g, n) for lang, c in found.items() for g, n in c.items())
+                found.setdefault(lang, Counter()).update(words(text))
+            for lang, c in found.items():
+                if not c:
+                    continue
+                grams, times = Grams.of(list(c)), np.fromiter(c.values(), np.int64, len(c))
+                n = sum(np.bincount(row, weights=np.repeat(times, grams.sizes), minlength=BUCKETS + 1) for row in grams.buckets)
+                letters = np.bincount(grams.scripts, weights=times * (grams.sizes - 2), minlength=len(SCRIPT_NAMES))
+                yield from ((lang, int(g), int(n[g])) for g in np.flatnonzero(n[:BUCKETS]))
+                yield from ((lang, -1 - int(k), int(letters[k])) for k in np.flatnonzero(letters))
 
         counted = (
             map_rows(sample.select("lang", "text"), T.StructType.fromDDL("lang string, gram int, n long"), count)
@@ -142,17 +152,16 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.logs = np.concatenate([model.logs, np.zeros((1, len(model.languages)))])  # the last row is no n-gram
         self.number: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
 
     def _add(self, fresh: list[str]) -> None:
         """Score new words, all together."""
-        m, n, k = self.model, len(self.number), len(fresh)
-        each = [grams(w) for w in fresh]
-        starts = np.cumsum([0, *map(len, each[:-1])])
-        score = np.add.reduceat(m.logs[np.fromiter(chain.from_iterable(each), np.int64)], starts, axis=0)
+        n, k, grams = len(self.number), len(fresh), Grams.of(fresh)
+        score = sum(np.add.reduceat(self.logs[row], grams.starts, axis=0) for row in grams.buckets)
         score -= score.max(axis=1, keepdims=True)
-        uses = m.uses[[script_of(w) for w in fresh]]
+        uses = self.model.uses[grams.scripts]
         score[~uses & uses.any(axis=1, keepdims=True)] = NO_CANDIDATE
         if n + k > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(k, len(self.table)), score.shape[1]))])
@@ -162,11 +171,11 @@ class Scorer:
     def scores(self, ws: list[str]) -> np.ndarray:
         if len(self.number) > WORDS_KEPT:
             self.number.clear()
-        get = self.number.get
-        fresh = [w for w in dict.fromkeys(ws) if get(w) is None]
-        if fresh:
-            self._add(fresh)
-        return self.table[list(map(self.number.__getitem__, ws))]
+        at = list(map(self.number.get, ws))
+        if None in at:
+            self._add(list(dict.fromkeys(w for w, k in zip(ws, at) if k is None)))
+            at = list(map(self.number.__getitem__, ws))
+        return self.table[at]
 
     def labels(self, score: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
         """The best labelling: a language's number for each word."""
@@ -174,9 +183,12 @@ class Scorer:
         best = int(score.sum(0).argmax())
         own = score - score[:, best : best + 1]
         gain = np.cumsum(np.concatenate([np.zeros((1, k)), own]), axis=0)
-        most = (gain - np.minimum.accumulate(gain, axis=0)).max()
-        # beside the best language, s stretches in a row pay s penalties at least; without it, s - 1
-        if most <= penalty and (2 * most <= penalty or np.delete(own, best, axis=1).max(axis=1).sum() <= penalty):
+        stretch = np.sort((gain - np.minimum.accumulate(gain, axis=0)).max(axis=0))
+        first, second = stretch[-1], stretch[-2] if k > 1 else 0.0
+        edge = max(gain.max(), (gain[-1] - gain.min(axis=0)).max())
+        # s stretches of other languages between two of the best one pay s + 1 penalties, at an end of the text s, and if
+        # they are the whole text s - 1; neighbours differ, so that at most half of them have the language that gains most
+        if first + max(second, edge) <= 2 * penalty and edge <= penalty and (k < 2 or np.delete(own, best, axis=1).max(axis=1).sum() <= penalty):
             return np.full(n, best)
         total, back = score[0].tolist(), []
         for row in score[1:].tolist():

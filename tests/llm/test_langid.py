@@ -1,5 +1,4 @@
 import numpy as np
-import xxhash
 
 from galerna.llm import langid
 
@@ -55,17 +54,36 @@ def test_viterbi_is_the_best_of_all_labellings():
     assert 2_000 < plain < 18_000
 
 
+def bucket(gram):
+    key, mask = 0, (1 << 64) - 1
+    for c in gram:
+        key = (key + ord(c) + 1) * 0x9E3779B97F4A7C15 & mask
+        key ^= key >> 31
+    return (key >> 7) % langid.BUCKETS
+
+
 def test_word_scores_by_their_definition(spark):
     model = fitted(spark)
     s = langid.Scorer(model)
-    for w in ("house", "été", "дом", "zzz", "किताब"):
-        marked = f"<{w}>"
-        parts = [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
-        want = sum(model.logs[xxhash.xxh32_intdigest(g.encode()) % langid.BUCKETS] for g in parts)
+    ws = ["house", "été", "дом", "z", "किताब", "😀x", "a" * 5000]
+    for w, got in zip(ws, s.scores(ws)):
+        parts = [f"<{w}>"[i : i + n] for n in (1, 2, 3) for i in range(len(w) + 3 - n)]
+        want = sum(model.logs[bucket(g)] for g in parts)
         want = want - want.max()
-        uses = model.uses[langid.script_of(w)]
+        uses = model.uses[langid.SCRIPT_OF[ord(w[0])]]
         want = np.where(uses | ~uses.any(), want, langid.NO_CANDIDATE)
-        assert np.allclose(s.scores([w])[0], want)
+        assert np.allclose(got, want)
+
+
+def test_counts_of_the_fit(spark):
+    model = fitted(spark)
+    table = np.zeros((langid.BUCKETS, 3))
+    for k, lang in enumerate(model.languages):
+        for w in langid.words(TEXTS[lang]):
+            for n in (1, 2, 3):
+                for i in range(len(w) + 3 - n):
+                    table[bucket(f"<{w}>"[i : i + n]), k] += 5
+    assert np.allclose(model.logs, np.log((table + 0.5) / (table.sum(0) + 0.5 * langid.BUCKETS)))
 
 
 def test_letters():

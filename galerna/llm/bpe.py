@@ -7,7 +7,7 @@ that is when merging the joined bytes of the two from scratch gives just these t
 appends exact (only new prefixes are computed) and lets a text be encoded again near an edit only.
 
 Edge cases: a null or empty text gives no ids; every byte has a token, so any text is encoded; very long words cost
-time linear in their length; ids outside the vocabulary make ``decode`` fail with a KeyError.
+time linear in their length; repeated rows get equal results; an empty table gives no rows; ids outside the vocabulary make ``decode`` fail with a KeyError.
 """
 
 from __future__ import annotations

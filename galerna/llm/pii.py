@@ -5,8 +5,8 @@ Kinds email, ip, card and phone are the base: what their pattern and their check
 Positions count code points, the end is exclusive. Matches of a kind are leftmost and do not overlap; a match that
 fails its check is dropped and not tried again. All scans take time linear in the text, whatever it holds.
 
-Edge cases: null texts count as empty and have no spans; equal rows give equal results; the output has doc_id and
-spans only, whatever else the input holds.
+Edge cases: null texts count as empty and have no spans; equal rows give equal results; very long texts are scanned whole;
+an empty table gives no rows; the output has doc_id and spans only, whatever else the input holds.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galerna.llm.common import ascii_lower, materialize, whole_text
+from galerna.llm.common import ascii_lower, drop_table, materialize, whole_text
 
 MAX_FILTER_BYTES = 64 << 20
 #: Keys of a shard (in expectation), and rows of a part of a shard.
@@ -154,7 +154,9 @@ class Cascade:
             })
 
         dealt = keys.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
-        return Cascade(materialize(dealt.groupBy("shard").applyInArrow(build, "shard int, number int, bits long, words binary"), "filters"), shards)
+        filters = materialize(dealt.groupBy("shard").applyInArrow(build, "shard int, number int, bits long, words binary"), "filters")
+        drop_table(keys)
+        return Cascade(filters, shards)
 
     def size_bytes(self) -> int:
         return self.filters.agg(F.sum(F.octet_length("words"))).head()[0] or 0

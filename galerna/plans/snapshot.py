@@ -6,7 +6,7 @@ and by time; the rest are expressions on the pairs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from galerna.functions import radii as R
 from galerna.functions import wind as V
 from galerna.functions.basic import pinned, positive
 from galerna.operators.joins import storm_cells
+from galerna.operators.sets import stacked
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,15 @@ def storm_stage(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     tracks: storm_id, time, lat, lon, vmax_kt, and where known rmw_km, r34_<quadrant>, rocloud_<quadrant>.
     """
+    return _attributed(_positions(tracks, s), lambda *radii: R.attribution_radius(*radii, s.mode))
+
+
+def _positions(tracks: DataFrame, s: Settings) -> DataFrame:
+    """The storm stage up to the choice of the attribution radius.
+
+    Positions are few but cost thousands of steps each, so they are dealt to all cores whatever their bytes.
+    """
+    tracks = tracks.repartition(tracks.sparkSession.sparkContext.defaultParallelism)
     have = set(tracks.columns)
     vmax = positive(F.col("vmax_kt").cast("double"))
     rmw = positive(F.col("rmw_km").cast("double")) if "rmw_km" in have else F.lit(None).cast("double")
@@ -66,8 +76,13 @@ def storm_stage(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
     known = F.col("direct").isNotNull() & F.col("reference.r_outer_km").isNotNull()
     out = pinned(out, r_w06=F.when(known, R.at_least(outer, F.col("direct.radii"))))
     storm = F.when(F.col("r_w06").isNotNull(), V.calibrated_storm(F.col("vmax"), F.col("lat"), F.col("rmw"), F.col("r34_mean")))
-    attribution = F.when(F.col("r_w06").isNotNull(), R.attribution_radius(F.col("cloud"), F.col("r_w06"), F.col("direct.radii"), s.mode))
-    out = pinned(out, attribution=attribution, storm=storm)
+    return pinned(out, storm=storm)
+
+
+def _attributed(positions: DataFrame, attribution) -> DataFrame:
+    """``attribution`` maps cloud, outer and direct radii to the attribution radius."""
+    radius = attribution(F.col("cloud"), F.col("r_w06"), F.col("direct.radii"))
+    out = pinned(positions, attribution=F.when(F.col("r_w06").isNotNull(), radius))
     return pinned(
         out, usable=F.col("vmax").isNotNull() & F.col("attribution").isNotNull(), reach_km=R.largest(F.col("attribution.radii"), F.col("r_w06"))
     )
@@ -100,13 +115,14 @@ def snapshot(tracks: DataFrame, cells: DataFrame, s: Settings = Settings(), on:
     Only cells within the largest radius of a position come out (elsewhere the index is 0); with ``whole_grid`` every
     cell of the time does.
     """
-    positions = storm_stage(tracks, s).filter("usable")
+    return hazards(_paired(storm_stage(tracks, s).filter("usable"), cells, s, on), s)
+
+
+def _paired(positions: DataFrame, cells: DataFrame, s: Settings, on: tuple[str, ...]) -> DataFrame:
     if s.whole_grid:
         d = G.distance_km(F.col("cell_lat"), F.col("cell_lon"), F.col("lat"), F.col("lon"))
-        pairs = positions.join(cells, list(on)).withColumn("dist_km", d)
-    else:
-        pairs = storm_cells(positions, cells, F.col("reach_km"), on=on)
-    return hazards(pairs, s)
+        return positions.join(cells, list(on)).withColumn("dist_km", d)
+    return storm_cells(positions, cells, F.col("reach_km"), on=on)
 
 
 def rejected(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -116,6 +132,17 @@ def rejected(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def experiments(tracks: DataFrame, cells: DataFrame, settings: dict[str, Settings], on: tuple[str, ...] = ("time",)) -> DataFrame:
-    from galerna.operators.sets import stacked
-
-    return stacked({k: snapshot(tracks, cells, s, on) for k, s in settings.items()}, "experiment")
+    """Snapshots by experiment. Where settings differ in their mode alone, profiles are computed and cells are joined
+    once: the experiment is a column from the choice of the attribution radius on."""
+    first = next(iter(settings.values()))
+    if any(replace(s, mode=first.mode) != first for s in settings.values()):
+        return stacked({k: snapshot(tracks, cells, s, on) for k, s in settings.items()}, "experiment")
+
+    def attribution(*radii: Column) -> Column:
+        out = F.lit(None)
+        for name, s in settings.items():
+            out = F.when(F.col("experiment") == name, R.attribution_radius(*radii, s.mode)).otherwise(out)
+        return out
+
+    positions = _positions(tracks, first).withColumn("experiment", F.explode(F.array(*map(F.lit, settings))))
+    return hazards(_paired(_attributed(positions, attribution).filter("usable"), cells, first, on), first)

@@ -1,6 +1,6 @@
 """Stand-ins for climate tables, made of the tables at hand, in Spark and in SQL.
 
-series: rain by cell (20) and 6-h window end, of events. tracks: three storms along the series' times. grid: places of
+series: rain by cell and 6-h window end, of events. tracks: three storms along the series' times. grid: places of
 the cells. declared: declarations of orders. seasons: yearly values by supplier, of lineitem. SQL fragments are CTEs.
 """
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from galerna.functions.time import window_end
 
-N_CELLS = 20
+#: Users whose events are one cell's rain, by 6-h steps and by hours: the number of cells grows with the table.
+CELL_USERS, HOURLY_USERS = 8, 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % 5).alias("cell"), F.date_trunc("hour", "ts").alias("time")).agg(F.sum("value").alias("p"))
+    return e.groupBy(F.expr(f"user_id div {HOURLY_USERS}").alias("cell"), F.date_trunc("hour", "ts").alias("time")).agg(F.sum("value").alias("p"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, time, p6): 6-h sums of what events there are; steps without any are gaps."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % N_CELLS).alias("cell"), window_end(F.col("ts"), label_is="end").alias("time")).agg(F.sum("value").alias("p6"))
+    return e.groupBy(F.expr(f"user_id div {CELL_USERS}").alias("cell"), window_end(F.col("ts"), label_is="end").alias("time")).agg(F.sum("value").alias("p6"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "events").select((F.col("user_id") % N_CELLS).alias("cell")).distinct()
+    c = table(spark, sf_dir, "events").select(F.expr(f"user_id div {CELL_USERS}").alias("cell")).distinct()
     return c.select("cell", (12.0 + 2.0 * (F.col("cell") % 5)).alias("cell_lat"), (-118.0 + 3.0 * F.floor(F.col("cell") / 5)).alias("cell_lon"))
 
 
@@ -68,7 +69,7 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, season, time, r): shipped quantities by supplier, month and year."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select((F.col("l_suppkey") % 10).alias("cell"), (F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("season"), F.col("l_shipdate").alias("time"),
+    return li.select(F.col("l_suppkey").alias("cell"), (F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("season"), F.col("l_shipdate").alias("time"),
                      F.col("l_orderkey"), F.col("l_linenumber"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice") / 1000).alias("r"))
 
 
@@ -79,9 +80,9 @@ def epoch(c: str = "time", name: str = "t"):
 _END = "make_timestamp((ceil(epoch({0}) / 21600) * 21600 * 1000000)::BIGINT)"
 
 SQL = {
-    "hourly": "hourly AS (SELECT user_id % 5 AS cell, date_trunc('hour', ts) AS time, sum(value) AS p FROM events GROUP BY 1, 2)",
-    "series": f"series AS (SELECT user_id % {N_CELLS} AS cell, {_END.format('ts')} AS time, sum(value) AS p6 FROM events GROUP BY 1, 2)",
-    "grid": f"grid AS (SELECT cell, 12.0 + 2.0 * (cell % 5) AS cell_lat, -118.0 + 3.0 * (cell // 5) AS cell_lon FROM (SELECT DISTINCT user_id % {N_CELLS} AS cell FROM events))",
+    "hourly": f"hourly AS (SELECT user_id // {HOURLY_USERS} AS cell, date_trunc('hour', ts) AS time, sum(value) AS p FROM events GROUP BY 1, 2)",
+    "series": f"series AS (SELECT user_id // {CELL_USERS} AS cell, {_END.format('ts')} AS time, sum(value) AS p6 FROM events GROUP BY 1, 2)",
+    "grid": f"grid AS (SELECT cell, 12.0 + 2.0 * (cell % 5) AS cell_lat, -118.0 + 3.0 * (cell // 5) AS cell_lon FROM (SELECT DISTINCT user_id // {CELL_USERS} AS cell FROM events))",
     "tracks": f"""steps AS (SELECT DISTINCT {_END.format('ts')} AS time FROM events),
       tracks AS (SELECT 'S' || k AS storm_id, time, i, k, (11.0 + 2.0 * k + 0.07 * i)::DOUBLE AS lat, (-119.0 + 4.0 * k + 0.05 * i)::DOUBLE AS lon, (25.0 + 10.0 * ((i + k) % 12))::DOUBLE AS vmax_kt,
         CASE WHEN (i + k) % 7 <> 0 THEN 20.0 + 5.0 * (i % 5) END::DOUBLE AS rmw_km,
@@ -90,13 +91,13 @@ SQL = {
     + ", "
     + ", ".join(f"CASE WHEN (i + {j}) % 3 <> 0 THEN 300.0 + 40.0 * ((i + {j}) % 9) ELSE 0 END::DOUBLE AS rocloud_{q}" for j, q in enumerate(("rne", "rse", "rsw", "rnw")))
     + """ FROM (SELECT time, ((epoch(time) - epoch(TIMESTAMP '2024-01-01')) / 21600)::INT AS i FROM steps), (SELECT unnest([0, 1, 2]) AS k))""",
-    "bridge": f"bridge AS (SELECT cell % 6 AS place, cell, CASE WHEN cell % 6 < 4 THEN 1 ELSE 0 END AS n_centres FROM (SELECT DISTINCT user_id % {N_CELLS} AS cell FROM events))",
+    "bridge": f"bridge AS (SELECT cell % 6 AS place, cell, CASE WHEN cell % 6 < 4 THEN 1 ELSE 0 END AS n_centres FROM (SELECT DISTINCT user_id // {CELL_USERS} AS cell FROM events))",
     "declared": """declared AS (SELECT o_orderkey AS id_decl, o_custkey % 6 AS place, CASE WHEN o_orderkey % 3 = 0 THEN 'D' ELSE 'E' END AS kind,
         TIMESTAMP '2024-01-01' + to_days((o_orderkey % 25)::INT) AS "start",
         CASE WHEN o_orderkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((o_orderkey % 25)::INT) + to_days((o_custkey % 4 - 1)::INT) END AS "end"
         FROM orders),
       dated AS (SELECT id_decl, place, kind, least("start", coalesce("end", "start")) AS "start", greatest("start", coalesce("end", "start")) AS "end", coalesce("start" > "end", false) AS inverted FROM declared)""",
-    "seasons": "seasons AS (SELECT l_suppkey % 10 AS cell, year(l_shipdate) * 4 + quarter(l_shipdate) AS season, l_shipdate AS time, l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN l_extendedprice / 1000 END AS r FROM lineitem)",
+    "seasons": "seasons AS (SELECT l_suppkey AS cell, year(l_shipdate) * 4 + quarter(l_shipdate) AS season, l_shipdate AS time, l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN l_extendedprice / 1000 END AS r FROM lineitem)",
     "rolled": """rolled AS (SELECT cell, time, p6,
         CASE WHEN count(p6) OVER d24 = 4 THEN sum(p6) OVER d24 END AS r24, CASE WHEN count(p6) OVER d72 = 12 THEN sum(p6) OVER d72 END AS r72,
         CASE WHEN count(p6) OVER b72 = 12 THEN sum(p6) OVER b72 END AS a72 FROM series

@@ -14,6 +14,7 @@ from galerna.functions import time as tm
 from galerna.operators import extremes, joins, rain, tracks
 from galerna.plans import catalog_more
 from galerna.plans import declared as W
+from galerna.plans import snapshot
 from galerna.sources import tables
 
 T0 = dt.datetime(2020, 5, 1, 6)
@@ -170,3 +171,22 @@ def test_declared_workflow_writes_twelve_tables(spark, tmp_path):
     shares = spark.read.parquet(f"{tmp_path}/table_a72.parquet").groupBy("kind").agg(F.sum("share").alias("s")).collect()
     assert shares and all(abs(r.s - 1) < 1e-9 for r in shares)
     assert [r.place for r in spark.read.parquet(f"{tmp_path}/unplaced.parquet").collect()] == [5]
+
+
+def test_experiments_share_profiles_and_the_join(spark):
+    rng = random.Random(1)
+    t = spark.createDataFrame([("x", T0, 20.0, -95.0, 95.0, 30.0, 120.0, None, 60.0, 80.0, 300.0, 0.0, 500.0, None)],
+                              "storm_id string, time timestamp, lat double, lon double, vmax_kt double, rmw_km double, r34_rne double, r34_rse double, r34_rsw double, r34_rnw double, "
+                              "rocloud_rne double, rocloud_rse double, rocloud_rsw double, rocloud_rnw double")
+    q = lambda *v: F.create_map(*(x for n, y in zip(("Q75", "Q90", "Q95"), v) for x in (F.lit(n), F.lit(float(y)))))
+    cells = spark.createDataFrame([(60 * i + j, T0, 14 + i * 0.8, -101 + j * 0.8, rng.gammavariate(0.6, 12), rng.random() * 70, rng.random() * 60) for i in range(15) for j in range(15)],
+                                  "cell int, time timestamp, cell_lat double, cell_lon double, p6 double, r24 double, a72 double")
+    cells = cells.withColumns({"q6": q(8, 18, 28), "q24": q(20, 40, 55), "q72": q(30, 60, 80)})
+    settings = {m: snapshot.Settings(mode=m) for m in ("never", "floor", "always")}
+    rows = lambda df: sorted((r.experiment, r.cell, round(r.h_total, 9), round(r.r_attr, 6)) for r in df.collect())
+    together = snapshot.experiments(t, cells, settings)
+    apart = {k: snapshot.snapshot(t, cells, s).withColumn("experiment", F.lit(k)) for k, s in settings.items()}
+    assert rows(together) == sorted(x for df in apart.values() for x in rows(df))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(together).count("Exchange") <= plan(apart["floor"]).count("Exchange")
+    assert rows(snapshot.experiments(t, cells, {"a": snapshot.Settings(), "b": snapshot.Settings(alpha=0.5)}))

@@ -17,6 +17,7 @@ EPSILON = 1e-6
 WIND_NODES = ((34.0, 0.2), (64.0, 0.4), (83.0, 0.6), (96.0, 0.8), (137.0, 1.0))
 #: Hazard classes 0..5: upper bounds of classes 1..5.
 CLASS_BOUNDS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+CLASS_LABELS = ("0 No hazard / exterior", "1 Very low", "2 Low", "3 Moderate", "4 High", "5 Extreme")
 
 #: Rain hazard: nodes, hazards at 0 mm and at the nodes without and with escalation, and the escalating ranges.
 RAIN_NODES = ("Q75", "Q90", "Q95")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galerna.constants import CLASS_BOUNDS
+from galerna.constants import CLASS_BOUNDS, CLASS_LABELS
 
 
 def lit(x) -> Column:
@@ -70,6 +70,11 @@ def hazard_class_filled(x: Column) -> Column:
     return hazard_class(F.coalesce(x, F.lit(0.0)))
 
 
+def class_label(x: Column) -> Column:
+    """The name of the hazard class of x."""
+    return F.element_at(F.array(*map(F.lit, CLASS_LABELS)), hazard_class(x) + 1)
+
+
 def percentile_level(x: Column, quantiles: list[tuple[int, Column]]) -> Column:
     """The highest percentile (75, 90, ...) that x reaches, 0 if none."""
     return F.greatest(F.lit(0), *(F.when(x >= q, F.lit(p)).otherwise(F.lit(0)) for p, q in quantiles))

@@ -1,6 +1,9 @@
-"""Jobs to be started by spark-submit: rain, percentiles, returns. Each reads Parquet tables and writes Parquet tables.
+"""Jobs to be started by spark-submit: rain, percentiles, returns, case, declared. Each reads and writes Parquet tables.
 
-``python -m galerna.jobs percentiles --series s3a://bucket/series --out s3a://bucket/percentiles``
+``python -m galerna.jobs percentiles --table series=PATH --out PATH``
+
+Tables: rain needs hourly (cell, valid_time, precipitation); percentiles and returns need series; case needs tracks, series,
+grid, climatology and bridge; declared needs declared, tracks, places, bridge, series and percentiles_6, _24 and _72.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galerna.config import PercentileOptions, RainOptions, ReturnOptions, load, options_of
+from galerna.config import CaseOptions, PercentileOptions, RainOptions, ReturnOptions, load, options_of
 from galerna.operators import quantiles, rain
+from galerna.plans import case as case_plan
 from galerna.plans import climatology
+from galerna.plans import declared as declared_plan
 from galerna.sources import tables
 
 
@@ -24,6 +29,11 @@ def accumulate(hourly: DataFrame, options: RainOptions = RainOptions()) -> DataF
     return sums.withColumn("season", F.year(F.col("time") - F.expr("interval 1 hour"))).filter(F.col("season").between(options.first_year, options.last_year))
 
 
+def incomplete(sums: DataFrame, options: RainOptions = RainOptions()) -> DataFrame:
+    """Window ends that lack hours, with how many cells they lack in: the report on bad or absent input."""
+    return sums.filter(F.col("n") < options.hours).groupBy("season", "time").agg(F.count("*").alias("cells"), F.min("n").alias("least_hours"))
+
+
 def percentiles(series: DataFrame, options: PercentileOptions = PercentileOptions()) -> dict[str, DataFrame]:
     own = series.filter(F.col("season").between(options.first_year, options.last_year))
     out = {"all": climatology.wet_percentiles(own, options.durations, options.levels)}
@@ -48,20 +58,36 @@ def computed_once(spark: SparkSession, path: str, compute: Callable[[], DataFram
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="galerna.jobs")
-    parser.add_argument("job", choices=("rain", "percentiles", "returns"))
-    parser.add_argument("--series", required=True, help="hourly rain (rain) or 6-h series, as Parquet")
+    parser.add_argument("job", choices=("rain", "percentiles", "returns", "case", "declared"))
+    parser.add_argument("--table", action="append", required=True, metavar="NAME=PATH")
     parser.add_argument("--out", required=True)
     parser.add_argument("--config", help="YAML with a section named like the job")
     given = parser.parse_args(arguments)
-    tables.check_apart(given.series, given.out)
+    paths = dict(t.split("=", 1) for t in given.table)
+    for path in paths.values():
+        tables.check_apart(path, given.out)
     spark = SparkSession.builder.appName(f"galerna-{given.job}").getOrCreate()
-    section, series = (load(given.config).get(given.job) or {}) if given.config else {}, spark.read.parquet(given.series)
+    config = load(given.config) if given.config else {}
+    section, read = config.get(given.job) or {}, {name: spark.read.parquet(path) for name, path in paths.items()}
     if given.job == "rain":
-        tables.write_seasons(accumulate(series, options_of(RainOptions, section)), given.out)
-        return
-    made = percentiles(series, options_of(PercentileOptions, section)) if given.job == "percentiles" else returns(series, options_of(ReturnOptions, section))
-    for name, df in made.items():
-        tables.write(df, f"{given.out.rstrip('/')}/{name}.parquet")
+        options = options_of(RainOptions, section)
+        sums = accumulate(read["hourly"], options)
+        tables.write_seasons(sums, f"{given.out.rstrip('/')}/series")
+        made = {"incomplete": incomplete(sums, options)}
+    elif given.job == "percentiles":
+        made = percentiles(read["series"], options_of(PercentileOptions, section))
+    elif given.job == "returns":
+        made = returns(read["series"], options_of(ReturnOptions, section))
+    elif given.job == "case":
+        options = options_of(CaseOptions, section)
+        own = read["tracks"].filter(F.col("storm_id") == options.storm_id)
+        settings = options.settings({k: v for k, v in config.items() if k in ("rain", "radii", "wind", "weights")})
+        made = case_plan.run(own, read["series"], read["grid"], read["climatology"], read["bridge"], settings, options.lead_in_hours)
+    else:
+        levels = {h: read[f"percentiles_{h}"] for h in (6, 24, 72)}
+        plain = (read[n] for n in ("declared", "tracks", "places", "bridge", "series"))
+        made = declared_plan.run(*plain, levels, options_of(declared_plan.Options, section))
+    declared_plan.write_tables(made, given.out)
 
 
 if __name__ == "__main__":

@@ -21,6 +21,7 @@ def cells_of(series: DataFrame, grid: DataFrame, climatology: DataFrame) -> Data
 
 def run(
     tracks: DataFrame, series: DataFrame, grid: DataFrame, climatology: DataFrame, bridge: DataFrame, settings: dict[str, S.Settings],
+    lead_in_hours: int = 84,
 ) -> dict[str, DataFrame]:
     """fields, by_place, event, classes and rejected."""
     staged = S.storm_stage(tracks, next(iter(settings.values()))).filter("usable").select("storm_id", "time", "lat", "lon", "reach_km")
@@ -29,7 +30,7 @@ def run(
     if not lacking_rain(near, series).isEmpty():
         raise ValueError("the rain lacks times of the track")
     first, last = near.agg(F.min("time"), F.max("time")).head()
-    window = series.filter(F.col("time").between(F.lit(first) - F.expr("interval 84 hours"), F.lit(last))) if first else series.limit(0)
+    window = series.filter(F.col("time").between(F.lit(first) - F.expr(f"interval {lead_in_hours} hours"), F.lit(last))) if first else series.limit(0)
     fields = S.experiments(chosen, cells_of(window, grid, climatology), settings)
     by_place = municipal.values(fields, bridge, ["experiment", "storm_id", "time"])
     event = municipal.event_maximum(by_place, ["experiment", "storm_id", "place"])

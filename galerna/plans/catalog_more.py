@@ -68,12 +68,12 @@ def shape_summary(spark, sf):
     return extremes.shape_summary(both, ["family"]).select("family", r6("median"), r6("sd"), r6("clipped_share"))
 
 
-@query(_FITS + f"""SELECT 6::BIGINT AS duration, {q6('median(abs(r))', 'median')}, {q6('quantile_cont(abs(r), 0.9)', 'p90')}, {q6('median(r)', 'bias')} FROM
-  (SELECT (p.level - g.level) / g.level AS r FROM (SELECT cell, mu + sigma / xi * (pow(-ln(1 - 1 / 10.0), -xi) - 1) AS level FROM gev) g JOIN (SELECT cell, u + sigma / xi * (pow(rate * 10.0, xi) - 1) AS level FROM gpd) p USING (cell))""")
+@query(_FITS + f"""SELECT 6::BIGINT AS duration, {q6('median(abs(r))', 'median')}, {q6('quantile_cont(abs(r), 0.9)', 'p90')}, {q6('median(r)', 'bias')}, median(abs(r)) <= 0.05 AND quantile_cont(abs(r), 0.9) <= 0.12 AS meets FROM
+  (SELECT (p.level - g.level) / g.level AS r FROM (SELECT cell, mu + sigma / xi * (pow(-ln(1 - 1 / 10.0), -xi) - 1) AS level FROM gev) g JOIN (SELECT cell, u + sigma / xi * (pow(rate * (-1 / ln(1 - 1 / 10.0)), xi) - 1) AS level FROM gpd) p USING (cell))""")
 def pot_gev_consistency(spark, sf):
     d = F.lit(6).cast("long").alias("duration")
-    g, p = extremes.gev_levels(_gev(spark, sf), ["cell"]).select(d, "*"), extremes.pot_levels(_gpd(spark, sf), ["cell"]).select(d, "*")
-    return climatology.consistency(g, p, ["duration", "cell"]).select("duration", r6("median"), r6("p90"), r6("bias"))
+    out = climatology.consistency(_gev(spark, sf).select(d, "*"), _gpd(spark, sf).select(d, "*"), ["duration", "cell"], ["duration"])
+    return out.select("duration", r6("median"), r6("p90"), r6("bias"), "meets")
 
 
 # --- tracks

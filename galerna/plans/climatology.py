@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galerna.constants import GEV_MIN_SEASONS, GPD_MIN_EXCESSES, QUANTILES, SEPARATION_HOURS, WET_MM
+from galerna.functions import extremes as E
 from galerna.operators import extremes, quantiles, rain
 from galerna.operators.sets import stacked
 
@@ -54,13 +55,17 @@ def return_periods(
     }
 
 
-def consistency(gev_levels: DataFrame, pot_levels: DataFrame, keys: list[str], years: float = 10.0) -> DataFrame:
-    """By duration: median, 90th percentile of the absolute, and bias of the relative difference POT - GEV."""
-    from galerna.functions.extremes import annual_period
+#: The largest median and 90th percentile of the absolute relative difference of two good estimators.
+CONSISTENT = (0.05, 0.12)
 
-    g = gev_levels.filter(F.col("period") == years).withColumnRenamed("level", "gev")
-    p = pot_levels.filter(F.abs(annual_period(F.col("recurrence")) - years) < 0.6).withColumnRenamed("level", "pot")
-    r = F.try_divide(F.col("pot") - F.col("gev"), F.col("gev"))
-    return g.join(p, keys).withColumn("r", r).groupBy("duration").agg(
+
+def consistency(gev: DataFrame, gpd: DataFrame, keys: list[str], by: list[str], years: float = 10.0, criteria: tuple[float, float] = CONSISTENT) -> DataFrame:
+    """By ``by``: median and 90th percentile of the absolute relative difference POT - GEV of the same annual period, its bias
+    (median), and whether the criteria are met; of the cells (``keys``) that both fits know, with a positive GEV level."""
+    g = gev.select(*keys, E.gev_level(F.lit(years), F.col("xi"), F.col("sigma"), F.col("mu")).alias("gev"))
+    p = gpd.select(*keys, E.pot_level(E.recurrence(F.lit(years)), F.col("u"), F.col("sigma"), F.col("xi"), F.col("rate")).alias("pot"))
+    both = g.join(p, keys).filter("gev > 0 and pot is not null").withColumn("r", (F.col("pot") - F.col("gev")) / F.col("gev"))
+    out = both.groupBy(*by).agg(
         F.percentile(F.abs("r"), F.lit(0.5)).alias("median"), F.percentile(F.abs("r"), F.lit(0.9)).alias("p90"), F.percentile("r", F.lit(0.5)).alias("bias")
     )
+    return out.withColumn("meets", (F.col("median") <= criteria[0]) & (F.col("p90") <= criteria[1]))

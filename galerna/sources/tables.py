@@ -119,15 +119,17 @@ def tracks(df: DataFrame, renamed: dict[str, str] | None = None, required: tuple
 def best_tracks(df: DataFrame, rmw_unit: str = "nm") -> DataFrame:
     """Storms with arrays over time (sid, iso_time, lat, lon, usa_wind, usa_pres, usa_rmw, usa_r34 of arrays) to rows.
 
-    Texts may be bytes. Rows without time or place go; the radius of maximum wind becomes km, 34-kt radii stay nm in
+    Texts may be bytes, or arrays of single characters (bytes). Rows without time or place go; the radius of maximum wind becomes km, 34-kt radii stay nm in
     the order north-east, south-east, south-west, north-west.
     """
-    text = lambda c: F.trim(c.cast("string"))
+    def text(c: Column, kind: T.DataType) -> Column:
+        return F.trim(F.array_join(F.transform(c, lambda x: x.cast("string")), "") if isinstance(kind, T.ArrayType) else c.cast("string"))
+
     zipped = F.arrays_zip(*(F.col(c) for c in ("iso_time", "lat", "lon", "usa_wind", "usa_pres", "usa_rmw", "usa_r34")))
-    rows = df.select(text(F.col("sid")).alias("storm_id"), F.posexplode(zipped).alias("step", "r"))
+    rows = df.select(text(F.col("sid"), df.schema["sid"].dataType).alias("storm_id"), F.posexplode(zipped).alias("step", "r"))
     number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     out = rows.select(
-        "storm_id", F.try_to_timestamp(text(F.col("r.iso_time"))).alias("time"), number("r.lat").alias("lat"), number("r.lon").alias("lon"),
+        "storm_id", F.try_to_timestamp(text(F.col("r.iso_time"), df.schema["iso_time"].dataType.elementType)).alias("time"), number("r.lat").alias("lat"), number("r.lon").alias("lon"),
         number("r.usa_wind").alias("vmax_kt"), number("r.usa_pres").alias("pmin_hpa"), (number("r.usa_rmw") * km_in(rmw_unit)).alias("rmw_km"),
         *(F.get(F.col("r.usa_r34"), F.lit(k)).cast("double").alias(f"r34_{q}") for k, q in enumerate(QUADRANTS)),
     )
@@ -274,6 +276,20 @@ def declarations(df: DataFrame, years: tuple[int, int] | None = None, rain_only:
     return out.filter("mentions_rain") if rain_only else out
 
 
+def declarations_csv(spark: SparkSession, path: str, renamed: dict[str, str], **options) -> DataFrame:
+    """``declarations`` of a CSV file in Latin-1; ``renamed`` maps the raw columns' names there to those here."""
+    raw = spark.read.options(header=True, encoding="ISO-8859-1", multiLine=True, escape='"').csv(path)
+    return declarations(raw.select(*(F.col(f"`{theirs}`").alias(ours) for theirs, ours in renamed.items())), **options)
+
+
+def cloud_tracks(parts: list[DataFrame]) -> DataFrame:
+    """Cloud-radius tables of several basins as one: synoptic hours only, radii that are not positive missing."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return cloud_positive(out.filter(is_synoptic(F.col("time"))))
+
+
 def write(df: DataFrame, path: str, overwrite: bool = True, partition_by: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> None:
     """By suffix; Parquet for a path without one. The commit protocol makes the write all or nothing."""
     kind = FORMATS.get("." + path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower(), "parquet") if "." in path.rsplit("/", 1)[-1] else "parquet"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_functions import Profile, one, root
 
 from galerna import config, jobs
-from galerna.functions import geometry, wind
+from galerna.functions import basic, geometry, wind
 from galerna.functions import text as X
 from galerna.functions import time as tm
 from galerna.operators import extremes, joins, rain, tracks
@@ -93,12 +93,27 @@ def test_cloud_readers(spark, tmp_path):
     with pytest.raises(ValueError, match="2003"):
         tables.seasons(years, (2001, 2003))
     assert tables.associated(spark, str(tmp_path / "none.csv")) is None
+    chars = lambda t: [bytearray(x.encode()) for x in t]
+    cube = spark.createDataFrame([(chars("2020A "), [chars("2020-08-01 00:00:00")], [10.0], [-100.0], [50.0], [990.0], [20.0], [[60.0, 50.0, None, 40.0]])],
+                                 "sid array<binary>, iso_time array<array<binary>>, lat array<double>, lon array<double>, usa_wind array<double>, usa_pres array<double>, usa_rmw array<double>, usa_r34 array<array<double>>")
+    assert [(b.storm_id, b.time) for b in tables.best_tracks(cube).collect()] == [("2020A", dt.datetime(2020, 8, 1))]
+    both = tables.cloud_tracks([r_table := spark.createDataFrame([("a", T0, 0.0, 1.0, 1.0, 1.0), ("a", T0 + STEP / 2, 5.0, 1.0, 1.0, 1.0)], "storm_id string, time timestamp, rocloud_rne double, rocloud_rse double, rocloud_rsw double, rocloud_rnw double"), r_table])
+    assert [x.rocloud_rne for x in both.collect()] == [None, None]
+    text = "Id,Clase,Notas,Clave,Tipo,Inicio,Fin\n7,Hidrometeorol\u00f3gico,\"Lluvia por el Hurac\u00e1n \"\"Odile\"\"\",3008,E,14/09/2014,15/09/2014\n"
+    (tmp_path / "d.csv").write_bytes(text.encode("latin-1"))
+    names = dict(zip(("Id", "Clase", "Notas", "Clave", "Tipo", "Inicio", "Fin"), ("id", "class", "notes", "place_code", "kind", "start", "end")))
+    d = tables.declarations_csv(spark, str(tmp_path / "d.csv"), names, rain_only=True).head()
+    assert (d.id_decl, d.place, d.storm_name, d.end) == (7, "03008", "ODILE", dt.datetime(2014, 9, 15))
 
 
 def test_letters_with_marks(spark):
     assert one(spark, X.without_accents(F.lit("ýžšőűŁßệñÇÅ")), X.comparable(F.lit(" Žluťoučký  kůň ")), x=1) == ("yzsouŁßenCA", "zlutoucky kun")
 
 
+def test_class_labels(spark):
+    assert one(spark, *(basic.class_label(F.lit(x)) for x in (0.0, 0.2, 1.0)), basic.class_label(F.lit(None).cast("double")), x=1) == ("0 No hazard / exterior", "1 Very low", "5 Extreme", None)
+
+
 def test_points_and_masks(spark):
     ring = lambda *p: [{"lat": a, "lon": b} for a, b in p]
     rings = [("square", ring((0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0))), ("u", ring((0.0, 0.0), (0.0, 9.0), (5.0, 9.0), (5.0, 6.0), (1.0, 6.0), (1.0, 1.0), (5.0, 1.0), (5.0, 0.0)))]
@@ -145,14 +160,17 @@ def test_jobs(spark, tmp_path):
     start = lambda y: dt.datetime(y, 5, 1)
     hourly = [(c, start(y) + dt.timedelta(hours=h), rng.gammavariate(0.3, 4)) for c in range(2) for y in (2001, 2002) for h in range(240)]
     spark.createDataFrame(hourly, "cell int, valid_time timestamp, precipitation double").write.parquet(str(tmp_path / "hourly"))
-    jobs.main(["rain", "--series", str(tmp_path / "hourly"), "--out", str(tmp_path / "series")])
-    series = spark.read.parquet(str(tmp_path / "series"))
+    jobs.main(["rain", "--table", f"hourly={tmp_path}/hourly", "--out", str(tmp_path / "rain")])
+    series = spark.read.parquet(str(tmp_path / "rain/series"))
     assert series.filter("p6 is not null").count() == 2 * 2 * 40
+    assert spark.read.parquet(str(tmp_path / "rain/incomplete.parquet")).count() == 0
     (tmp_path / "c.yaml").write_text("percentiles: {levels: [0.75, 0.9], durations: [6, 24]}\nreturns: {min_seasons: 2, min_excesses: 2}\n")
     for job in ("percentiles", "returns"):
-        jobs.main([job, "--series", str(tmp_path / "series"), "--out", str(tmp_path / job), "--config", str(tmp_path / "c.yaml")])
+        jobs.main([job, "--table", f"series={tmp_path}/rain/series", "--out", str(tmp_path / job), "--config", str(tmp_path / "c.yaml")])
     assert spark.read.parquet(str(tmp_path / "percentiles/by_hour.parquet")).select("hour").distinct().count() == 5
     assert spark.read.parquet(str(tmp_path / "returns/maxima.parquet")).count() == 2 * 3 * 2
+    with pytest.raises(ValueError, match="inside"):
+        jobs.main(["returns", "--table", f"series={tmp_path}/rain", "--out", str(tmp_path / "rain/x")])
     made = []
     compute = lambda: made.append(1) or spark.range(3)
     for force in (False, False, True):
@@ -190,3 +208,34 @@ def test_experiments_share_profiles_and_the_join(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert plan(together).count("Exchange") <= plan(apart["floor"]).count("Exchange")
     assert rows(snapshot.experiments(t, cells, {"a": snapshot.Settings(), "b": snapshot.Settings(alpha=0.5)}))
+
+
+def test_case_and_declared_jobs(spark, tmp_path):
+    rng = random.Random(3)
+    cells = [(c, 14.0 + c % 4, -101.0 + c // 4) for c in range(16)]
+    spark.createDataFrame(cells, "cell long, cell_lat double, cell_lon double").write.parquet(f"{tmp_path}/grid")
+    rain_rows = [(c, T0 + k * STEP, rng.gammavariate(0.5, 8)) for c, _, _ in cells for k in range(30)]
+    spark.createDataFrame(rain_rows, "cell long, time timestamp, p6 double").write.parquet(f"{tmp_path}/series")
+    q = lambda k: F.create_map(*(x for n, v in (("Q75", 2.0), ("Q90", 8.0), ("Q95", 14.0)) for x in (F.lit(n), F.lit(v * k))))
+    spark.createDataFrame(cells, "cell long, a double, b double").select("cell", q(1).alias("q6"), q(3).alias("q24"), q(6).alias("q72")).write.parquet(f"{tmp_path}/climatology")
+    spark.createDataFrame([(c % 3, c, 1) for c, _, _ in cells], "place long, cell long, n_centres int").write.parquet(f"{tmp_path}/bridge")
+    track = [("X", T0 + k * STEP, 15.0, -99.0 + 0.1 * k, 70.0, 40.0, 90.0, 80.0, 70.0, 60.0, 300.0, 310.0, 320.0, 330.0) for k in range(16, 20)]
+    names = "storm_id string, time timestamp, lat double, lon double, vmax_kt double, rmw_km double, r34_rne double, r34_rse double, r34_rsw double, r34_rnw double"
+    tracks_df = spark.createDataFrame(track, f"{names}, rocloud_rne double, rocloud_rse double, rocloud_rsw double, rocloud_rnw double")
+    tracks_df.write.parquet(f"{tmp_path}/tracks")
+    (tmp_path / "c.yaml").write_text("case: {storm_id: X, experiments: {floor: {}, always: {radii: {mode: always}}}}\n")
+    given = lambda *n: [x for name in n for x in ("--table", f"{name}={tmp_path}/{name}")]
+    jobs.main(["case", *given("tracks", "series", "grid", "climatology", "bridge"), "--out", f"{tmp_path}/case", "--config", str(tmp_path / "c.yaml")])
+    fields = spark.read.parquet(f"{tmp_path}/case/fields.parquet")
+    assert fields.select("experiment").distinct().count() == 2 and fields.filter("h_total > 0").count() > 0
+    tracks_df.select("storm_id", "time", "lat", "lon", F.struct(*(F.col(f"rocloud_{q}").alias(q) for q in ("rne", "rse", "rsw", "rnw"))).alias("radii")).write.parquet(f"{tmp_path}/radii")
+    spark.createDataFrame([(k, k, f"place {k}", 15.0, -99.0) for k in range(3)], "place long, i int, name string, place_lat double, place_lon double").write.parquet(f"{tmp_path}/places")
+    day = dt.datetime(2020, 5, 5)
+    spark.createDataFrame([(k, k % 4, "E" if k % 2 else "D", "s", f"note {k}", day, day) for k in range(9)], "id_decl long, place long, kind string, state string, notes string, start timestamp, end timestamp").write.parquet(f"{tmp_path}/declared")
+    for h in (6, 24, 72):
+        spark.createDataFrame([(c, 1.0 * h, 2.0 * h, 3.0 * h) for c, _, _ in cells], "cell long, q75 double, q90 double, q95 double").write.parquet(f"{tmp_path}/percentiles_{h}")
+    tables_given = [*given("declared", "places", "bridge", "series", "percentiles_6", "percentiles_24", "percentiles_72"), "--table", f"tracks={tmp_path}/radii"]
+    jobs.main(["declared", *tables_given, "--out", f"{tmp_path}/products"])
+    assert len(list((tmp_path / "products").glob("*.parquet"))) == 12
+    storms = spark.read.parquet(f"{tmp_path}/products/storms.parquet").collect()
+    assert [(s.storm, s.n, s.notes.split(" | ")[0]) for s in storms] == [("X", 7, "note 0")]

@@ -13,6 +13,11 @@ def stacked(frames: dict[str, DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f.withColumn(key, F.lit(k)) for k, f in frames.items()))
 
 
+def over_all_cores(df: DataFrame) -> DataFrame:
+    """Few rows that cost much each, dealt to all cores whatever their bytes."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the first by ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)

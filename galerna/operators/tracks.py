@@ -10,6 +10,7 @@ from galerna.functions import geometry, wind
 from galerna.functions.basic import positive
 from galerna.functions.time import MICROS, is_synoptic, micros, normalized_hour
 from galerna.operators.joins import with_cloud_radii
+from galerna.operators.sets import over_all_cores
 
 
 def exactly_one(df: DataFrame, what: str) -> DataFrame:
@@ -62,7 +63,7 @@ def with_parametric_radii(
     if calibrate:
         quadrants = F.struct(*((F.col(f"r34_{q}") if f"r34_{q}" in have else F.lit(None)).cast("double").alias(q) for q in QUADRANTS))
         r34 = geometry.mean_positive(geometry.radii_in_km(quadrants, r34_unit))
-    out = tracks.withColumn("__w", wind.parametric_radii(F.col("vmax_kt").cast("double"), F.col("lat").cast("double"), thresholds, rmw, r34, variant))
+    out = over_all_cores(tracks).withColumn("__w", wind.parametric_radii(F.col("vmax_kt").cast("double"), F.col("lat").cast("double"), thresholds, rmw, r34, variant))
     names = (*thresholds, "rmax_km", "x1_km", "n", "a", "x1_calibrated")
     return out.select(*tracks.columns, *(F.col(f"__w.{n}").alias(f"{prefix}{n}") for n in names))
 

@@ -459,7 +459,7 @@ def attribution_modes(spark, sf):
     return sets.stacked(out, "mode").select("storm_id", "i", "mode", *(r6(F.col(f"a.radii.{q}"), q) for q in QUADRANTS), F.col("a.status.rne").alias("status_rne"))
 
 
-# --- wind profile and snapshot
+# --- wind profile and snapshot; a nested bisection is a fold in SQL
 
 
 def _ramp_sql(x: str) -> str:
@@ -495,6 +495,45 @@ def _radius_sql(name: str, threshold: float) -> str:
       r_{name} AS (SELECT storm_id, i, CASE WHEN v > {threshold} AND {_wind_sql(str(float(V.SEARCH_KM)))} <= {threshold} THEN (low + high) / 2 END AS {name} FROM h_{name} WHERE k = 60)"""
 
 
+def _bind(value: str, name: str, expression: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {expression})[1]"
+
+
+def _halvings(steps: int, test: str) -> str:
+    """A bisection of [0, 1] as a fold over its halves: ``test`` of m tells whether to go up."""
+    halves = ", ".join(repr(0.5**k) for k in range(1, steps + 1))
+    return f"(list_reduce([0.0::DOUBLE, {halves}], lambda low, half: {_bind('low + half', 'm', f'CASE WHEN {test} THEN m ELSE low END')}) + {0.5 ** (steps + 1)!r})"
+
+
+def _wind_of_x1(r: str, x1: str) -> str:
+    """Wind at r of the profile with columns v, rmax, n, a and width, and this x1 (a name)."""
+    w = f"n / (n + rmax * ((1 - a) / {x1} + a / {V.X2_KM}))"
+    r1 = f"greatest(rmax - {_bind(w, 'w0', _halvings(50, 'w0 - ' + _ramp_sql('m') + ' > 0'))} * width, 0.0)"
+    inner, outer = f"v * pow({r} / rmax, n)", f"v * ((1 - a) * exp(-({r} - rmax) / {x1}) + a * exp(-({r} - rmax) / {V.X2_KM}))"
+    return _bind(_bind(f"({r} - {r1}) / width", "x", _ramp_sql("x")), "w", f"({inner}) * (1 - w) + ({outer}) * w")
+
+
+def _fitted_sql(radius: str) -> str:
+    """x1 whose profile has 34 kt at a radius, between 10 and 2000 km, or NULL; columns as in ``_wind_of_x1``."""
+    under = lambda x1: f"{R34_MS} - ({_wind_of_x1(radius, x1)})"
+    found = _halvings(50, _bind("10.0 + m * 1990.0", "y", under("y")) + " > 0")
+    feasible = f"{_bind('10.0', 'y', under('y'))} >= 0 AND {_bind('2000.0', 'y', under('y'))} <= 0"
+    return f"CASE WHEN {radius} > rmax AND v > {R34_MS} AND {feasible} THEN 10.0 + {found} * 1990.0 END"
+
+
+def _radius_fold(threshold: float, x1: str = "x1") -> str:
+    """The outer radius of a wind, as a fold of 60 halvings."""
+    far, reach = float(V.SEARCH_KM), f"({float(V.SEARCH_KM)} - rmax)"
+    found = _halvings(60, _bind(f"rmax + m * {reach}", "y", _wind_of_x1("y", x1)) + f" > {threshold}")
+    return f"CASE WHEN v > {threshold} AND {_wind_of_x1(str(far), x1)} <= {threshold} THEN rmax + {found} * {reach} END"
+
+
+_SHAPE = f"""vm AS (SELECT *, vmax_kt * {KNOT_MS} AS v FROM tracks),
+  sh AS (SELECT *, coalesce(CASE WHEN rmw_km > 0 THEN rmw_km END, {V.RMAX['w06'][0]} * exp({V.RMAX['w06'][1]} * v + {V.RMAX['w06'][2]} * abs(lat))) AS rmax, 317.1 - 2.026 * v + 1.915 * abs(lat) AS own_x1,
+    0.4067 + 0.0144 * v - 0.0038 * abs(lat) AS n, greatest(0.0696 + 0.0049 * v - 0.0064 * abs(lat), 0.0) AS a FROM vm),
+  wd AS (SELECT *, CASE WHEN rmax > 20 THEN 25.0 ELSE 15.0 END AS width FROM sh)"""
+
+
 _RECURSIVE = ctes("tracks").replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + ", "
 
 
@@ -512,19 +551,52 @@ def outer_radius(spark, sf):
     return t.select("storm_id", "i", *(r6(F.col(f"r.{c}"), c) for c in ("r_outer_km", "r34_km", "rmax_km", "x1_km")))
 
 
-@query()
+@query(ctes("tracks")[:-1] + ", " + _SHAPE + f", ft AS (SELECT *, CASE WHEN vmax_kt > 34 THEN {_fitted_sql('150.0')} END AS fit FROM wd) SELECT storm_id, i, {q6('coalesce(fit, own_x1)', 'x1_km')}, fit IS NOT NULL AS calibrated FROM ft")
 def calibrated_profile(spark, sf):
     t = P.tracks(spark, sf).withColumn("s", V.calibrated_storm(F.col("vmax_kt"), F.col("lat"), F.col("rmw_km"), F.lit(150.0)))
     return t.select("storm_id", "i", r6(F.col("s.profile.x1"), "x1_km"), F.col("s.r34_mean_km").isNotNull().alias("calibrated"))
 
 
-@query()
+def _by_quadrant(prefix: str) -> str:
+    return "CASE quad " + " ".join(f"WHEN '{q}' THEN {prefix}_{q}" for q in QUADRANTS) + " END"
+
+
+def _snapshot_sql(modes: tuple[str, ...]) -> str:
+    """CTEs up to ``snap``, the fields of all pairs of positions and cells within reach, by mode."""
+    a, b, c = V.RMAX["pa21"]
+    each = lambda f: ", ".join(f(q) for q in QUADRANTS)
+    cloud = lambda q: f"nullif(rocloud_{q}, 0)"
+    attribution = lambda q: f"CASE mode WHEN 'always' THEN w_{q} ELSE greatest(coalesce({cloud(q)}, w_{q}), w_{q}) END AS att_{q}"
+    tail = "CASE WHEN x < 34 THEN 0.2 * least(greatest((x - least_kt) / greatest(34 - least_kt, 1e-6), 0), 1)"
+    hw = tail + _HW[_HW.index(" WHEN v < 64") :].replace("v <", "x <").replace("(v -", "(x -")
+    return ctes("series", "rolled", "q", "tracks", "grid")[:-1] + ", " + _SHAPE + f""",
+  dk AS (SELECT *, {each(lambda q: f'r34_{q} * 1.852 AS d_{q}')}, list_avg([x for x in [{each(lambda q: f'r34_{q}')}] if x IS NOT NULL]) * 1.852 AS r34m FROM wd),
+  ft AS (SELECT *, CASE WHEN vmax_kt > 34 THEN {_fitted_sql('r34m')} END AS fit FROM dk),
+  pw AS (SELECT *, CASE WHEN rmax > 20 THEN 25.0 ELSE 15.0 END AS width FROM (SELECT storm_id, i, v, {a} * exp({b} * v + {c} * abs(lat)) AS rmax, own_x1 AS x1, n, a FROM wd)),
+  pr AS (SELECT storm_id, i, rmax AS ref_rmax, {_radius_fold(OUTER_MS)} AS r_outer, {_radius_fold(R34_MS)} AS ref_r34 FROM pw),
+  st AS (SELECT ft.*, coalesce(fit, own_x1) AS x1, CASE WHEN fit IS NOT NULL THEN r34m END AS cal, r_outer,
+    {each(lambda q: f'coalesce(d_{q}, r34m, CASE WHEN vmax_kt < 34 THEN coalesce(rmw_km, ref_rmax) ELSE ref_r34 END) AS dir_{q}')} FROM ft JOIN pr ON pr.storm_id = ft.storm_id AND pr.i = ft.i),
+  ou AS (SELECT *, {each(lambda q: f'greatest(r_outer, dir_{q}) AS w_{q}')} FROM st WHERE r_outer IS NOT NULL AND dir_rne IS NOT NULL),
+  rd AS (SELECT *, {each(attribution)} FROM ou, (SELECT unnest([{', '.join(f"'{m}'" for m in modes)}]) AS mode)),
+  cl AS (SELECT cell, time, p6, r24, a72, cell_lat, cell_lon, q75, q90, q95 FROM rolled JOIN grid USING (cell) JOIN q USING (cell)),
+  pa AS (SELECT *, {_dist()} AS dist_km, {_QUAD} AS quad FROM rd JOIN cl ON cl.time = rd.time),
+  pq AS (SELECT *, {_by_quadrant('dir')} AS r_direct, {_by_quadrant('att')} AS r_attr, {_by_quadrant('w')} AS r_w06 FROM pa WHERE dist_km <= greatest({each(lambda q: f'att_{q}')}, {each(lambda q: f'w_{q}')})),
+  sc AS (SELECT *, coalesce(CASE WHEN cal / nullif(r_direct, 0) > 0 THEN cal / nullif(r_direct, 0) END, 1.0) AS scale FROM pq),
+  rr AS (SELECT *, dist_km * scale AS near, r_w06 * scale AS far FROM sc),
+  wk AS (SELECT *, {_wind_of_x1('near', 'x1')} / {KNOT_MS} AS wind_kt, greatest({_wind_of_x1('far', 'x1')} / {KNOT_MS}, {12.0 / KNOT_MS}) AS least_kt FROM rr),
+  hz AS (SELECT *, coalesce({_MATRIX}, 0) AS h_p, {_bind('CASE WHEN near <= rmax THEN vmax_kt ELSE wind_kt END', 'x', hw)} AS h_w, dist_km <= r_direct AS m_direct, dist_km > r_direct AND dist_km <= r_attr AS m_indirect FROM wk),
+  hf AS (SELECT *, 1 - (1 - CASE WHEN m_direct THEN h_w ELSE 0 END) * (1 - CASE WHEN m_direct THEN h_p ELSE 0 END) AS h_dir,
+    1 - (1 - CASE WHEN m_indirect THEN h_w ELSE 0 END) * (1 - CASE WHEN m_indirect THEN h_p ELSE 0 END) AS h_ind FROM hz),
+  snap AS (SELECT *, 1 - (1 - h_dir) * (1 - h_ind) AS h_total FROM hf)"""
+
+
+@query(_snapshot_sql(("floor",)) + " SELECT storm_id, i, cell, " + ", ".join(q6(c) for c in ("dist_km", "r_direct", "r_attr", "h_p", "h_w", "wind_kt", "h_dir", "h_ind", "h_total")) + ", m_direct, m_indirect FROM snap")
 def snapshot_full(spark, sf):
     s = S.snapshot(P.tracks(spark, sf), _cells(spark, sf).drop("i"))
     return s.select("storm_id", "i", "cell", *(r6(c) for c in ("dist_km", "r_direct", "r_attr", "h_p", "h_w", "wind_kt", "h_dir", "h_ind", "h_total")), "m_direct", "m_indirect")
 
 
-@query()
+@query(_snapshot_sql(("floor", "always")) + f" SELECT mode AS experiment, storm_id, count(*) AS n, {q6('max(h_total)', 'h_total_max')} FROM snap GROUP BY 1, 2")
 def snapshot_experiments(spark, sf):
     settings = {m: S.Settings(mode=m) for m in ("floor", "always")}
     e = S.experiments(P.tracks(spark, sf), _cells(spark, sf).drop("i"), settings)

@@ -11,7 +11,7 @@ from galerna.operators import extremes, joins, quantiles, rain, tracks
 from galerna.plans import climatology
 from galerna.plans import declared as W
 from galerna.plans import standins as P
-from galerna.plans.catalog import _EP, _STEP_CELLS, _cells, _gev, _gpd, _peaks, _step_cells, _WET, q6, query, r6
+from galerna.plans.catalog import _EP, _SHAPE, _STEPS, _dist, _fitted_sql, _radius_fold, _STEP_CELLS, _cells, _gev, _gpd, _peaks, _step_cells, _WET, q6, query, r6
 from galerna.plans.standins import ctes, epoch
 from galerna.sources import tables
 
@@ -110,7 +110,11 @@ def position_at(spark, sf):
     return out.select("k", "storm_id", "i", "lat", "lon")
 
 
-@query()
+_R34_MEAN = "list_avg([x for x in [" + ", ".join(f"nullif(r34_{q}, 0)" for q in QUADRANTS) + "] if x IS NOT NULL])"
+
+
+@query(ctes("tracks")[:-1] + ", " + _SHAPE + f""", km AS (SELECT *, {_R34_MEAN} * 1.852 AS r34m FROM wd), ft AS (SELECT *, {_fitted_sql('r34m')} AS fit FROM km), xx AS (SELECT *, coalesce(fit, own_x1) AS x1 FROM ft)
+  SELECT storm_id, i, {q6(_radius_fold(2.0), 'w06_r2_km')}, {q6(_radius_fold(25.0), 'w06_r25_km')}, {q6('rmax', 'w06_rmax_km')}, {q6('x1', 'w06_x1_km')}, {q6('n', 'w06_n')}, {q6('a', 'w06_a')}, fit IS NOT NULL AS w06_x1_calibrated FROM xx""")
 def parametric_radii(spark, sf):
     t = tracks.with_parametric_radii(P.tracks(spark, sf), {"r2_km": 2.0, "r25_km": 25.0}, use_rmw=True, calibrate=True)
     return t.select("storm_id", "i", *(r6(f"w06_{c}") for c in ("r2_km", "r25_km", "rmax_km", "x1_km", "n", "a")), "w06_x1_calibrated")
@@ -280,12 +284,29 @@ def declared_workflow(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+_LV = lambda c, k: f"CASE WHEN {c} IS NULL THEN -1 ELSE ({c} >= q75 * {k})::INT + ({c} >= q90 * {k})::INT + ({c} >= q95 * {k})::INT END"
+_FLOW = (
+    ctes("series", "rolled", "q", "bridge", "declared", "tracks")[:-1] + ", " + _STEPS + f""",
+  pt AS (SELECT place, (13.0 + place)::DOUBLE AS place_lat, (-117.0 + 2 * place)::DOUBLE AS place_lon FROM (SELECT unnest(range(0, 5)) AS place)),
+  ns AS (SELECT * FROM (SELECT id_decl, st.place, kind, st.time, storm_id, row_number() OVER (PARTITION BY id_decl, st.time ORDER BY {_dist('lat', 'lon', 'place_lat', 'place_lon', '6371.0')}, storm_id) AS rn
+    FROM st JOIN tracks ON tracks.time = st.time JOIN pt ON pt.place = st.place) WHERE rn = 1),
+  sx AS (SELECT id_decl, ns.time, storm_id, b.cell, r.* EXCLUDE (cell, time) FROM ns JOIN bridge b ON b.place = ns.place LEFT JOIN (SELECT * FROM rolled JOIN q USING (cell)) r ON r.cell = b.cell AND r.time = ns.time),
+  sm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_decl, time ORDER BY p6 DESC NULLS LAST, cell) AS rn FROM sx) WHERE rn = 1 AND p6 IS NOT NULL),
+  pe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_decl ORDER BY p6 DESC, time) AS rk FROM sm) WHERE rk = 1),
+  e1 AS (SELECT pe.id_decl, place, kind, storm_id AS storm, "start", "end", p6 AS p_event, {_LV('p6', 1)} AS level, {_LV('r24', 3)} AS l24, {_LV('r72', 9)} AS l72, {_LV('a72', 9)} AS la FROM pe JOIN dated ON dated.id_decl = pe.id_decl),
+  e2 AS (SELECT *, greatest(level, l24, l72) AS multi, [0, 1, 2, 3, 4, 4][level + 1] AS base, CASE WHEN level = 3 AND l24 >= 3 AND la >= 1 THEN 4 ELSE [0, 1, 2, 3, 4, 4][level + 1] END AS matrix FROM e1)"""
+)
+
+
+@query(_FLOW + f""", nt AS (SELECT storm, 'note ' || (id_decl % 9)::VARCHAR AS note, min(id_decl) AS o FROM e1 GROUP BY 1, 2), n5 AS (SELECT storm, string_agg(note, ' | ' ORDER BY o, note) AS notes FROM (SELECT *, row_number() OVER (PARTITION BY storm ORDER BY o, note) AS k FROM nt) WHERE k <= 5 GROUP BY 1)
+  SELECT storm, count(*) AS n, count(DISTINCT place) AS n_places, count(*) FILTER (kind = 'E') AS n_emergency, count(*) FILTER (kind = 'D') AS n_disaster, string_agg(DISTINCT kind, ';' ORDER BY kind) AS types,
+  string_agg(DISTINCT (place % 2)::VARCHAR, ';' ORDER BY (place % 2)::VARCHAR) AS states, any_value(notes) AS notes, {q6('min(p_event)', 'p_min')}, {q6('quantile_cont(p_event, 0.5)', 'p_median')}, {q6('max(p_event)', 'p_max')} FROM e1 JOIN n5 USING (storm) GROUP BY 1""")
 def declared_storms(spark, sf):
     w = _workflow(spark, sf)["storms"]
     return w.select("storm", "n", "n_places", "n_emergency", "n_disaster", "types", "states", "notes", r6("p_min"), r6("p_median"), r6("p_max"))
 
 
-@query()
+@query(_FLOW + ", ch AS (SELECT *, unnest(CASE WHEN p_event >= 1 THEN ['all', 'wet'] ELSE ['all'] END) AS filter FROM e2 WHERE level >= 0), kinds AS (SELECT * FROM ch UNION ALL SELECT * REPLACE ('todas' AS kind) FROM ch) SELECT kind, filter, count(*) AS n, "
+       + ", ".join(q6(f"100 * avg(({t})::INT)", n) for n, t in (("dry", "level = 0"), ("raised", "multi > level"), ("escalated", "matrix > base"), ("top_matrix", "matrix = 4"))) + " FROM kinds GROUP BY 1, 2")
 def declared_summary(spark, sf):
     return _workflow(spark, sf)["summary"].select("kind", "filter", "n", *(r6(x) for x in ("dry", "raised", "escalated", "top_matrix")))

@@ -18,7 +18,7 @@ from galerna.functions import radii as R
 from galerna.functions import wind as V
 from galerna.functions.basic import pinned, positive
 from galerna.operators.joins import storm_cells
-from galerna.operators.sets import stacked
+from galerna.operators.sets import over_all_cores, stacked
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def _positions(tracks: DataFrame, s: Settings) -> DataFrame:
 
     Positions are few but cost thousands of steps each, so they are dealt to all cores whatever their bytes.
     """
-    tracks = tracks.repartition(tracks.sparkSession.sparkContext.defaultParallelism)
+    tracks = over_all_cores(tracks)
     have = set(tracks.columns)
     vmax = positive(F.col("vmax_kt").cast("double"))
     rmw = positive(F.col("rmw_km").cast("double")) if "rmw_km" in have else F.lit(None).cast("double")

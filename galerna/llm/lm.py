@@ -40,8 +40,8 @@ END = b"\n"
 ORDER = 3
 #: K of histories of one word and of two words, the best of five pairs on held-out documents at sf0.1.
 STRENGTH = (200.0, 40.0)
+#: Least bytes of text of a block, and of the text whose n-grams a shard adds up; see ``piece_bytes``.
 BLOCK_BYTES = 8 << 20
-#: Bytes of text whose n-grams a shard adds up.
 SHARD_BYTES = 8 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -86,6 +86,15 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
 COUNT, GAP = 1, 6
 
 
+def piece_bytes(least: int, total: int) -> int:
+    """Bytes of a block or shard of a corpus of ``total`` bytes.
+
+    Every block sends a row to every shard that it has n-grams of. Pieces grow with the root of the corpus from some 550 GB of text
+    on, so that a row holds a dozen n-grams or more and rows are few beside them; at 100 TB a piece has 113 MB.
+    """
+    return max(least, math.isqrt(128 * total))
+
+
 class Block:
     """The n-grams of some texts: distinct ones in order of their keys, and their numbers at each token."""
 
@@ -141,8 +150,9 @@ PACKED = "shard int, block long, kind int, keys binary, n binary"
 ANSWER = "block long, shard int, kind int, c binary"
 
 
-def packed(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """``PACKED`` rows of ``docs`` (block, text, train), whose rows of a block should stand together."""
+def packed(docs: DataFrame, order: int, shards: int, most_bytes: int) -> DataFrame:
+    """``PACKED`` rows of ``docs`` (block, text, train), whose rows of a block should stand together; a block is sent in
+    parts of ``most_bytes``."""
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
     def rows_of(block: int, texts: list, train: list) -> pa.RecordBatch:
@@ -160,7 +170,7 @@ def packed(docs: DataFrame, order: int, shards: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for b, text, learn in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    if texts and (b != block or size > 2 * BLOCK_BYTES):  # parts of a block are added up in the shards
+                    if texts and (b != block or size > most_bytes):  # parts of a block are added up in the shards
                         yield rows_of(block, texts, train)
                         texts, train, size = [], [], 0
                     block = b
@@ -301,12 +311,12 @@ class Automaton:
 
 
 def split_block(docs: DataFrame) -> Column:
-    """A block for texts read from files: some consecutive rows of a file, of ``BLOCK_BYTES`` on average.
+    """A block for texts read from files: some consecutive rows of a file, of ``piece_bytes`` on average.
 
     It depends on the row's file and number there alone, however the scan is planned.
     """
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
-    a_block = max(1, int(rows * BLOCK_BYTES / max(size, 1)))
+    a_block = max(1, int(rows * piece_bytes(BLOCK_BYTES, size) / max(size, 1)))
     return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / a_block))
 
 
@@ -319,12 +329,13 @@ def score(docs: DataFrame, train: Column, block: Column | None = None, order: in
     """
     text = whole_text(F.col("text"))
     size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
-    dealt = block is None
+    dealt, block_bytes = block is None, piece_bytes(BLOCK_BYTES, size)
     if dealt:
-        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(size / BLOCK_BYTES)))).cast("long")
+        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(size / block_bytes)))).cast("long")
     docs = docs.select("doc_id", text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"), block.alias("block"))
     together = docs.repartition("block").sortWithinPartitions("block") if dealt else docs
-    found = materialize(answers(packed(together, order, max(1, math.ceil(size / SHARD_BYTES)))), "counts")
+    shards = max(1, math.ceil(size / piece_bytes(SHARD_BYTES, size)))
+    found = materialize(answers(packed(together, order, shards, 2 * block_bytes)), "counts")
     totals = [np.frombuffer(r[0], "<u8") for r in found.filter("kind = 0").select("c").collect()]  # a row for each shard
     n, v = (int(sum(t[k] for t in totals)) for k in (0, 1))
 

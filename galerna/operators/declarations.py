@@ -63,6 +63,17 @@ def step_stats(
     )
 
 
+def place_stats_by_time(rain: DataFrame, bridge: DataFrame, quantiles: list[str], **options) -> DataFrame:
+    """``step_stats`` by (place, time) of rain by cell: once for all declarations of the place."""
+    return step_stats(rain.join(bridge.select("place", "cell"), "cell"), ["place", "time"], quantiles, **options)
+
+
+def with_step_stats(steps: DataFrame, stats: DataFrame) -> DataFrame:
+    """Steps with the statistics of their place and time; a step without any rain has levels of -1."""
+    levels = [c for c in stats.columns if c.startswith("level_")]
+    return steps.join(stats, ["place", "time"], "left").withColumns({c: F.coalesce(c, F.lit(-1)) for c in levels})
+
+
 def event_peaks(stats: DataFrame, key: str, value: str = "p_max", time: str = "time", carried: list[str] | None = None) -> DataFrame:
     """The step of the largest value of each event, the first on ties, with the columns ``carried``, and the number of
     steps with and without data."""
@@ -112,6 +123,16 @@ def cell_declarations(cells: DataFrame, keys: list[str], longer: list[str], valu
     return out.select(*keys, "p6_max", "__at.t_max", F.col("__at.a").alias(f"{antecedent}_at_max"), *(f"{c}_max" for c in longer))
 
 
+def cell_declarations_of(declared: DataFrame, bridge: DataFrame, rain: DataFrame, longer: list[str], **options) -> DataFrame:
+    """``cell_declarations`` by (id_decl, place, kind, cell) of declarations with dates.
+
+    Declarations of one place and the same dates share their cells' maxima, which are computed once a range of dates.
+    """
+    ranges = ["place", "start", "end"]
+    cells = steps(declared.select(*ranges).distinct()).join(bridge.select("place", "cell"), "place").join(rain, ["cell", "time"], "left")
+    return declared.select("id_decl", "kind", *ranges).join(cell_declarations(cells, [*ranges, "cell"], longer, **options), ranges).drop("start", "end")
+
+
 def _with_all(df: DataFrame, keys: list[str], kind: str, aggregates: list[Column]) -> DataFrame:
     """Aggregates by (keys) under the type 'todas' and by (keys, type), in one pass over grouping sets."""
     k = [F.col(c) for c in keys]

@@ -73,6 +73,12 @@ def nearest(df: DataFrame, keys: list[str], distance: str, ties: list[str]) -> D
     )
 
 
+def nearest_storms(steps: DataFrame, tracks: DataFrame, points: DataFrame, place: str, max_km: float | None = None) -> DataFrame:
+    """Steps with the storm nearest to their place at their time (see ``associate``), found once a place and time."""
+    each = associate(steps.select(place, "time").distinct(), tracks, points, place, max_km)
+    return steps.join(nearest(each, [place, "time"], "dist_km", ["storm_id"]), [place, "time"])
+
+
 def nearest_in_time(targets: DataFrame, series: DataFrame, keys: list[str], tolerance_seconds: int, target_time: str = "target_time", time: str = "time") -> DataFrame:
     """For each target the row of the series nearest in time within the tolerance; the earlier one of a tie.
 

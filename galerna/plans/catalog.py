@@ -284,7 +284,7 @@ def nearest_storm(spark, sf):
     points = spark.range(6).select(F.col("id").alias("place"), (13.0 + F.col("id")).alias("place_lat"), (-117.0 + 2 * F.col("id")).alias("place_lon"))
     t = P.tracks(spark, sf)
     t = t.select("storm_id", "time", "lat", "lon", F.struct(*(F.col(f"rocloud_{q}").alias(q) for q in QUADRANTS)).alias("radii"))
-    near = joins.nearest(joins.associate(steps, t, points, "place"), ["id_decl", "time"], "dist_km", ["storm_id"])
+    near = joins.nearest_storms(steps, t, points, "place")
     return near.select("id_decl", epoch(), "storm_id", r6("dist_km"), r6("r_quad_km"), "inside", "n_active")
 
 
@@ -691,12 +691,8 @@ _STEPS = 'st AS (SELECT id_decl, place, kind, "start", "end", unnest(generate_se
 _STEP_CELLS = ctes("series", "rolled", "q", "bridge", "declared")[:-1] + ", " + _STEPS + ", sc AS (SELECT id_decl, place, kind, st.time, cell, p6, r24, a72, q75, q90, q95 FROM st JOIN bridge USING (place) LEFT JOIN rolled USING (cell, time) JOIN q USING (cell)) "
 
 
-def _step_cells(spark, sf):
-    steps = D.steps(D.with_dates(P.declared(spark, sf))).select("id_decl", "place", "kind", "time")
-    s = P.series(spark, sf)
-    q = quantiles.type7(s, ["cell"], "p6", (0.75, 0.9, 0.95))
-    rolled = rain.with_durations(s, ["cell"]).select("cell", "time", "p6", "r24", "a72")
-    return steps.join(P.bridge(spark, sf), "place").join(rolled, ["cell", "time"], "left").join(q, "cell")
+def _cell_declarations(spark, sf):
+    return D.cell_declarations_of(D.with_dates(P.declared(spark, sf)), P.bridge(spark, sf), _place_rain(spark, sf), ["r24"])
 
 
 @query(ctes("declared")[:-1] + ", " + _STEPS + " SELECT id_decl, inverted, epoch(time)::BIGINT AS t FROM st JOIN (SELECT id_decl, inverted FROM dated) USING (id_decl)")
@@ -709,8 +705,22 @@ _SS = f"""ss AS (SELECT id_decl, place, kind, time, max(p6) AS p_max, avg(p6) AS
   mx AS (SELECT * FROM (SELECT *, {_LV} AS lv, row_number() OVER (PARTITION BY id_decl, time ORDER BY p6 DESC NULLS LAST, cell) AS rn FROM sc) WHERE rn = 1 AND p6 IS NOT NULL)"""
 
 
+def _place_rain(spark, sf):
+    """(cell, time, p6, r24, a72, q75, q90, q95)."""
+    s = P.series(spark, sf)
+    q = quantiles.type7(s, ["cell"], "p6", (0.75, 0.9, 0.95))
+    return rain.with_durations(s, ["cell"]).select("cell", "time", "p6", "r24", "a72").join(q, "cell")
+
+
+def _placed_steps(spark, sf):
+    """Steps of the declarations whose place has cells."""
+    steps = D.steps(D.with_dates(P.declared(spark, sf))).select("id_decl", "place", "kind", "time")
+    return steps.join(P.bridge(spark, sf).select("place"), "place", "left_semi")
+
+
 def _stats(spark, sf):
-    return D.step_stats(_step_cells(spark, sf), ["id_decl", "place", "kind", "time"], ["q75", "q90", "q95"], extra=["r24", "a72"])
+    stats = D.place_stats_by_time(_place_rain(spark, sf), P.bridge(spark, sf), ["q75", "q90", "q95"], extra=["r24", "a72"])
+    return D.with_step_stats(_placed_steps(spark, sf), stats)
 
 
 @query(_STEP_CELLS[:-1] + ", " + _SS + f" SELECT ss.id_decl, epoch(ss.time)::BIGINT AS t, {q6('p_max')}, {q6('p_mean')}, level_max::BIGINT AS level_max, mx.cell AS cell_max, coalesce(lv, -1)::BIGINT AS level_at_max, {q6('p_max - q90', 'diff_q90')}, {q6('area_q90')}, {q6('mx.r24', 'r24_at_max')}, {q6('r24_max')} FROM ss LEFT JOIN mx ON mx.id_decl = ss.id_decl AND mx.time = ss.time")
@@ -738,7 +748,7 @@ def event_peaks(spark, sf):
 @query(_STEP_CELLS + f""", m AS (SELECT *, row_number() OVER (PARTITION BY id_decl, cell ORDER BY p6 DESC NULLS LAST, time) AS rn FROM sc)
   SELECT a.id_decl, a.cell, {q6('a.p', 'p6_max')}, epoch(m.time)::BIGINT AS t, {q6('m.a72', 'a72_at_max')}, {q6('a.r', 'r24_max')} FROM (SELECT id_decl, cell, max(p6) AS p, max(r24) AS r FROM sc GROUP BY 1, 2) a LEFT JOIN m ON m.id_decl = a.id_decl AND m.cell = a.cell AND rn = 1 AND m.p6 IS NOT NULL""")
 def cell_declarations(spark, sf):
-    c = D.cell_declarations(_step_cells(spark, sf), ["id_decl", "cell"], ["r24"])
+    c = _cell_declarations(spark, sf)
     return c.select("id_decl", "cell", r6("p6_max"), epoch("t_max"), r6("a72_at_max"), r6("r24_max"))
 
 
@@ -747,13 +757,13 @@ _CD = ", cd AS (SELECT id_decl, cell, kind, max(p6) AS p FROM sc GROUP BY 1, 2,
 
 @query(_STEP_CELLS[:-1] + _CD + f"SELECT cell, CASE WHEN grouping(kind) = 1 THEN 'todas' ELSE kind END AS kind, count(*) AS n, {q6('min(p)', 'p_min')}, {q6('quantile_cont(p, 0.5)', 'p_median')}, {q6('avg(p)', 'p_mean')}, {q6('max(p)', 'p_max')}, arg_min(id_decl, row(p, id_decl)) AS id_min, arg_max(id_decl, row(p, -id_decl)) AS id_max FROM cd GROUP BY GROUPING SETS ((cell), (cell, kind))")
 def pixel_stats(spark, sf):
-    c = D.cell_declarations(_step_cells(spark, sf), ["id_decl", "cell", "kind"], ["r24"])
+    c = _cell_declarations(spark, sf)
     return D.grouped_stats(c, ["cell"], "kind", "p6_max", "id_decl").select("cell", "kind", "n", r6("p_min"), r6("p_median"), r6("p_mean"), r6("p_max"), "id_min", "id_max")
 
 
 @query(_STEP_CELLS[:-1] + _CD[:-1] + f", mn AS (SELECT cell, min(p) AS p_min FROM cd GROUP BY 1) SELECT cell, {q6('p_min')}, ((p_min >= q75)::INT + (p_min >= q90)::INT + (p_min >= q95)::INT)::BIGINT AS level, {q6('p_min - q90', 'less_q90')}, {q6('p_min / q90', 'over_q90')} FROM mn JOIN q USING (cell)")
 def cell_product(spark, sf):
-    c = D.cell_declarations(_step_cells(spark, sf), ["id_decl", "cell"], ["r24"]).groupBy("cell").agg(F.min("p6_max").alias("p_min")).filter("p_min is not null")
+    c = _cell_declarations(spark, sf).groupBy("cell").agg(F.min("p6_max").alias("p_min")).filter("p_min is not null")
     q = quantiles.type7(P.series(spark, sf), ["cell"], "p6", (0.75, 0.9, 0.95))
     out = D.cell_product(c, q, ["q75", "q90", "q95"])
     return out.select("cell", r6("p_min"), F.col("level").cast("long").alias("level"), r6("less_q90"), r6("over_q90"))

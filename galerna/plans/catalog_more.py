@@ -11,7 +11,7 @@ from galerna.operators import extremes, joins, quantiles, rain, tracks
 from galerna.plans import climatology
 from galerna.plans import declared as W
 from galerna.plans import standins as P
-from galerna.plans.catalog import _EP, _SHAPE, _STEPS, _dist, _fitted_sql, _radius_fold, _STEP_CELLS, _cells, _gev, _gpd, _peaks, _step_cells, _WET, q6, query, r6
+from galerna.plans.catalog import _EP, _SHAPE, _STEPS, _dist, _fitted_sql, _radius_fold, _STEP_CELLS, _gev, _gpd, _peaks, _place_rain, _placed_steps, _WET, q6, query, r6
 from galerna.plans.standins import ctes, epoch
 from galerna.sources import tables
 
@@ -207,9 +207,9 @@ _LONGER = (("r24", 3), ("a72", 9))
 def _longer_stats(spark, sf):
     names = ("q75", "q90", "q95")
     scaled = {f"{n}_{h}": F.col(n) * k for (c, k), h in zip(_LONGER, (24, 72)) for n in names}
-    cells = _step_cells(spark, sf).withColumns(scaled)
     longer = {c: [f"{n}_{h}" for n in names] for (c, _), h in zip(_LONGER, (24, 72))}
-    return D.step_stats(cells, ["id_decl", "place", "kind", "time"], list(names), extra=["r24", "a72"], longer=longer)
+    rained = _place_rain(spark, sf).withColumns(scaled)
+    return D.with_step_stats(_placed_steps(spark, sf), D.place_stats_by_time(rained, P.bridge(spark, sf), list(names), extra=["r24", "a72"], longer=longer))
 
 
 _DUR = _STEP_CELLS[:-1] + "".join(

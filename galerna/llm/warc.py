@@ -67,17 +67,19 @@ def _digest(name: str, value: str) -> Column:
 
 
 def tree(own: DataFrame, levels: int = LEVELS, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
-    """(file, node, hash) for each level: ranges first, the root (node 0) last."""
-    level = (
+    """(file, node, hash) for each level: ranges first, the root (node 0) last. Each is written, and the next made of it."""
+    level = materialize(
         own.withColumn("node", F.floor(F.col("offset") / range_bytes).cast("long"))
-        .groupBy("file", "node").agg(_digest("offset", "leaf").alias("hash"))
+        .groupBy("file", "node").agg(_digest("offset", "leaf").alias("hash")),
+        "tree",
     )
     out = [level]
     for k in range(1, levels + 1):
         up = F.lit(0).cast("long") if k == levels else F.floor(F.col("node") / fanout).cast("long")
-        level = (
+        level = materialize(
             level.select("file", up.alias("parent"), F.col("node").alias("child"), "hash")
-            .groupBy("file", F.col("parent").alias("node")).agg(_digest("child", "hash").alias("hash"))
+            .groupBy("file", F.col("parent").alias("node")).agg(_digest("child", "hash").alias("hash")),
+            "tree",
         )
         out.append(level)
     return out
@@ -90,8 +92,7 @@ def audit(first: DataFrame, second: DataFrame, levels: int = LEVELS, range_bytes
     level are written before the next one is looked at, so that a level's plan holds no other, and only children of
     differing nodes are compared.
     """
-    a = [materialize(t, f"tree-a{k}") for k, t in enumerate(tree(first, levels, range_bytes, fanout))]
-    b = [materialize(t, f"tree-b{k}") for k, t in enumerate(tree(second, levels, range_bytes, fanout))]
+    a, b = (tree(side, levels, range_bytes, fanout) for side in (first, second))
 
     def differing(x: DataFrame, y: DataFrame) -> DataFrame:
         y = y.withColumnRenamed("hash", "other")

@@ -86,3 +86,32 @@ def op9() -> str:
       NOT (base_failed OR n_symbols > {q.MAX_SYMBOLS_PER_WORD} * n_words OR n_marks > {q.MAX_MARKS_PER_WORD} * n_words OR n_capitals > {q.MAX_CAPITALS} * word_chars
         OR n_dup_lines > {q.MAX_DUPLICATE_LINES} * n_lines OR word_chars > {q.MAX_CHARS_PER_WORD} * n_words) AS kept
     FROM b"""
+
+
+def op12() -> str:
+    letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+    five = ", ".join(f"{letters} l{k}(x{k})" for k in range(1, 6))
+    differ = " AND ".join(f"x{i} <> x{k}" for i in range(1, 6) for k in range(i + 1, 6))
+    return rf"""
+    WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    firsts AS (SELECT text, min(doc_id) AS least FROM docs GROUP BY text),
+    marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    flags AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS failed
+      FROM docs JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)),
+    orders AS (SELECT x1 || x2 || x3 || x4 || x5 AS filter_order FROM {five} WHERE {differ}),
+    steps AS (SELECT filter_order, step, filter_order[step] AS letter, filter_order[1 : step - 1] AS before FROM orders, range(1, 6) s(step)),
+    grouped AS (SELECT part, failed, count(*) AS n, count_if(good) AS goods, count_if(toxic) AS toxics FROM flags GROUP BY part, failed),
+    met AS (SELECT part, filter_order, step, letter, n, goods, toxics, failed, contains(failed, letter) AS fails,
+        len(list_intersect(string_split(failed, ''), string_split(before, ''))) > 0 AND failed <> '' AND before <> '' AS gone FROM grouped, steps),
+    counted AS (SELECT part, filter_order, step, letter,
+        sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN NOT gone AND fails THEN goods ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxics ELSE 0 END) AS toxic_lost
+      FROM met GROUP BY part, filter_order, step, letter)
+    SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+      unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+      (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galerna.llm import bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, urls, warc
+from galerna.llm import audit, bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, urls, warc
 from galerna.llm.common import held_out, materialize, ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -112,6 +112,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     def shipped(q):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +126,10 @@ def queries() -> dict:
 
     return {q.__name__: shipped(q) for q in (
         op1_bpe, op2_licenses, op3_lm, op4_langid, op5_simhash, op6_warc, op7_pii, op8_urls, op9_quality, op10_decontaminate,
+        op12_audit,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     """Other operators' results (learned scores, hashes and alignments that SQL lacks) are tested by brute force."""
-    return {"op2_licenses": oracles.op2(), "op6_warc": oracles.op6(), "op8_urls": oracles.op8(RULES, SHOUT), "op9_quality": oracles.op9()}
+    return {"op2_licenses": oracles.op2(), "op6_warc": oracles.op6(), "op8_urls": oracles.op8(RULES, SHOUT), "op9_quality": oracles.op9(), "op12_audit": oracles.op12()}

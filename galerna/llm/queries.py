@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galerna.llm import audit, bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, urls, warc
+from galerna.llm import align, audit, bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, urls, warc
 from galerna.llm.common import held_out, materialize, ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -112,6 +112,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+    def digest(groups):
+        return F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+
+    return align.statistics(table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN, digest).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_best_b"
+    )
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -126,7 +137,7 @@ def queries() -> dict:
 
     return {q.__name__: shipped(q) for q in (
         op1_bpe, op2_licenses, op3_lm, op4_langid, op5_simhash, op6_warc, op7_pii, op8_urls, op9_quality, op10_decontaminate,
-        op12_audit,
+        op11_alignment, op12_audit,
     )}
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galerna.llm import align, audit, bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, urls, warc
+from galerna.llm import align, audit, bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, toxicity, urls, warc
 from galerna.llm.common import held_out, materialize, ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -127,6 +127,13 @@ def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 5, 0)
+    return toxicity.score(table(spark, sf_dir, "documents"), ~held, table(spark, sf_dir, "labels")).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+    )
+
+
 def queries() -> dict:
     def shipped(q):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +144,7 @@ def queries() -> dict:
 
     return {q.__name__: shipped(q) for q in (
         op1_bpe, op2_licenses, op3_lm, op4_langid, op5_simhash, op6_warc, op7_pii, op8_urls, op9_quality, op10_decontaminate,
-        op11_alignment, op12_audit,
+        op11_alignment, op12_audit, op13_toxicity,
     )}
 
 

@@ -7,8 +7,8 @@ documents.
 
 Index. Examples are sorted by their heaviest term and cut into blocks. A term's postings list its examples and weights, and
 the greatest weight in each block; the sum of a query's weights times these is an upper bound of the cosine of any example of
-the block. Blocks are read in order of their bounds, until no block's bound reaches the ``NEIGHBOURS``-th best cosine found, so
-that the neighbours are exact; examples as near as the last one all belong to them.
+the block. The blocks of the greatest bounds are read first, and then all whose bound reaches the ``NEIGHBOURS``-th best cosine found,
+so that the neighbours are exact; examples as near as the last one all belong to them.
 
 Score. A neighbour votes for its label with weight 1 / (distance + ``NEAR``), times what an example stands for in the
 sample, beside a prior of weight ``PRIOR``. A monotone map, fitted to the votes that the examples' other examples give them,
@@ -43,7 +43,8 @@ TERMS = 20_000
 PIECES = (4, 5)
 #: Least log-likelihood ratio of a chosen term (chance alone exceeds it once in 10^7 terms), and the examples that hold it at least.
 TELLING, LEAST_HELD = 30.0, 5
-BLOCK = 32
+#: Examples of a block, and blocks that are read before any is passed over.
+BLOCK, FIRST = 32, 8
 NEIGHBOURS = 15
 NEAR, PRIOR = 0.05, 1.0
 SLACK = 1e-9
@@ -111,49 +112,51 @@ class Index:
         # runs: the postings of a term in a block
         run = term * max(blocks, 1) + self.example // BLOCK
         starts = np.flatnonzero(np.diff(run, prepend=-1))
-        self.run_start, self.run_end = starts, np.append(starts[1:], len(run))[: len(starts)]
+        self.run_start, self.run_size = starts, np.diff(np.append(starts, len(run)))
         self.run_block = run[starts] % max(blocks, 1)
         self.run_most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.of_term = np.searchsorted(run[starts] // max(blocks, 1), np.arange(n_terms + 1))
         self.blocks = blocks
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the greatest cosines above 0, by cosine and number, and these: all that are as near as the last of NEIGHBOURS."""
-        lists = [(int(self.of_term[t]), int(self.of_term[t + 1]), w) for t, w in zip(at.tolist(), weight.tolist())]
-        lists = [x for x in lists if x[0] < x[1]]
-        if not lists:
+        """Examples of the greatest cosines above 0, by cosine and number, and these: all that are as near as the last of NEIGHBOURS.
+
+        The blocks of the greatest bounds are read first; their examples give a least cosine, and of the others those
+        are read whose bounds reach it.
+        """
+        first = self.of_term[at]
+        n = self.of_term[at + 1] - first
+        runs = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        if not len(runs):
             return np.zeros(0, np.int64), np.zeros(0)
-        runs = np.concatenate([np.arange(s, e) for s, e, _ in lists])
-        query = np.repeat([w for *_, w in lists], [e - s for s, e, _ in lists])
-        block = self.run_block[runs]
+        query, block = np.repeat(weight, n), self.run_block[runs]
         bound = np.bincount(block, query * self.run_most[runs], minlength=self.blocks)
-        order = np.argsort(block, kind="stable")
-        runs, query, edges = runs[order], query[order], np.searchsorted(block[order], np.arange(self.blocks + 1))
-        least, found, cosines, width = -1.0, [], [], 4
-        ranked = np.argsort(-bound, kind="stable")
-        ranked = ranked[bound[ranked] > 0]
-        k = 0
-        while k < len(ranked) and bound[ranked[k]] >= least - SLACK:
-            now = np.sort(ranked[k : k + width])
-            k, width = k + width, 2 * width
-            mine = np.concatenate([np.arange(edges[b], edges[b + 1]) for b in now])
-            starts, n = self.run_start[runs[mine]], self.run_end[runs[mine]] - self.run_start[runs[mine]]
-            posts = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            # the places of the blocks read now, one after the other
-            place = np.searchsorted(now, self.example[posts] // BLOCK) * BLOCK + self.example[posts] % BLOCK
-            cosine = np.bincount(place, np.repeat(query[mine], n) * self.weight[posts], minlength=len(now) * BLOCK)
-            held = np.flatnonzero(cosine > 0)
-            found.append(self.order[now[held // BLOCK] * BLOCK + held % BLOCK])
-            cosines.append(cosine[held])
-            both = np.concatenate(cosines)[np.concatenate(found) != without]
-            if len(both) >= NEIGHBOURS:
-                least = float(np.partition(both, -NEIGHBOURS)[-NEIGHBOURS])
-        found, cosine = np.concatenate(found), np.minimum(np.concatenate(cosines), 1.0)
-        keep = (found != without) & (cosine >= least - SLACK)
-        found, cosine = found[keep], cosine[keep]
+        first_read = np.zeros(self.blocks, bool)
+        first_read[np.argpartition(-bound, FIRST)[:FIRST] if self.blocks > FIRST else slice(None)] = True
+        cosine = self._cosines(runs, query, first_read[block])
+        least = self._least(cosine, without)
+        second = (bound >= least - SLACK) & ~first_read
+        if self.blocks > FIRST and second.any():
+            cosine += self._cosines(runs, query, second[block])
+            least = self._least(cosine, without)
+        found = np.flatnonzero((cosine > 0) & (cosine >= least - SLACK) & (self.order != without))
+        cosine = np.minimum(cosine[found], 1.0)
+        found = self.order[found]
         order = np.lexsort((found, -np.round(cosine, 9)))
         return found[order], cosine[order]
 
+    def _cosines(self, runs: np.ndarray, query: np.ndarray, read: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of the runs to be read, 0 elsewhere."""
+        runs = runs[read]
+        n = self.run_size[runs]
+        posts = np.repeat(self.run_start[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.example[posts], np.repeat(query[read], n) * self.weight[posts], minlength=self.size)
+
+    def _least(self, cosine: np.ndarray, without: int) -> float:
+        """The NEIGHBOURS-th best so far; 0 if there are not so many."""
+        known = cosine[(cosine > 0) & (self.order != without)]
+        return float(np.partition(known, -NEIGHBOURS)[-NEIGHBOURS]) if len(known) >= NEIGHBOURS else 0.0
+
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the ascending step function of least squares (neighbouring values that descend are pooled)."""

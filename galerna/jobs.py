@@ -21,6 +21,7 @@ from galerna.plans import case as case_plan
 from galerna.plans import climatology
 from galerna.plans import declared as declared_plan
 from galerna.sources import tables
+from galerna.sources.staging import Staging, unstaged
 
 
 def accumulate(hourly: DataFrame, options: RainOptions = RainOptions()) -> DataFrame:
@@ -40,9 +41,11 @@ def percentiles(series: DataFrame, options: PercentileOptions = PercentileOption
     return out | ({"by_hour": quantiles.wet_by_hour(own, ["cell"], "p6", levels=options.levels)} if options.by_hour else {})
 
 
-def returns(series: DataFrame, options: ReturnOptions = ReturnOptions()) -> dict[str, DataFrame]:
+def returns(
+    series: DataFrame, options: ReturnOptions = ReturnOptions(), staged: Callable[[str, DataFrame], DataFrame] = unstaged
+) -> dict[str, DataFrame]:
     own = series.filter(F.col("season").between(options.first_year, options.last_year))
-    return climatology.return_periods(own, options.k, options.durations, options.min_seasons, options.min_excesses)
+    return climatology.return_periods(own, options.k, options.durations, options.min_seasons, options.min_excesses, staged)
 
 
 def computed_once(spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
@@ -69,25 +72,26 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"galerna-{given.job}").getOrCreate()
     config = load(given.config) if given.config else {}
     section, read = config.get(given.job) or {}, {name: spark.read.parquet(path) for name, path in paths.items()}
-    if given.job == "rain":
-        options = options_of(RainOptions, section)
-        sums = accumulate(read["hourly"], options)
-        tables.write_seasons(sums, f"{given.out.rstrip('/')}/series")
-        made = {"incomplete": incomplete(sums, options)}
-    elif given.job == "percentiles":
-        made = percentiles(read["series"], options_of(PercentileOptions, section))
-    elif given.job == "returns":
-        made = returns(read["series"], options_of(ReturnOptions, section))
-    elif given.job == "case":
-        options = options_of(CaseOptions, section)
-        own = read["tracks"].filter(F.col("storm_id") == options.storm_id)
-        settings = options.settings({k: v for k, v in config.items() if k in ("rain", "radii", "wind", "weights")})
-        made = case_plan.run(own, read["series"], read["grid"], read["climatology"], read["bridge"], settings, options.lead_in_hours)
-    else:
-        levels = {h: read[f"percentiles_{h}"] for h in (6, 24, 72)}
-        plain = (read[n] for n in ("declared", "tracks", "places", "bridge", "series"))
-        made = declared_plan.run(*plain, levels, options_of(declared_plan.Options, section))
-    declared_plan.write_tables(made, given.out)
+    with Staging(spark) as staging:
+        if given.job == "rain":
+            options = options_of(RainOptions, section)
+            sums = accumulate(read["hourly"], options)
+            tables.write_seasons(sums, f"{given.out.rstrip('/')}/series")
+            made = {"incomplete": incomplete(sums, options)}
+        elif given.job == "percentiles":
+            made = percentiles(read["series"], options_of(PercentileOptions, section))
+        elif given.job == "returns":
+            made = returns(read["series"], options_of(ReturnOptions, section), staging)
+        elif given.job == "case":
+            options = options_of(CaseOptions, section)
+            own = read["tracks"].filter(F.col("storm_id") == options.storm_id)
+            settings = options.settings({k: v for k, v in config.items() if k in ("rain", "radii", "wind", "weights")})
+            made = case_plan.run(own, read["series"], read["grid"], read["climatology"], read["bridge"], settings, options.lead_in_hours, staging)
+        else:
+            levels = {h: read[f"percentiles_{h}"] for h in (6, 24, 72)}
+            plain = (read[n] for n in ("declared", "tracks", "places", "bridge", "series"))
+            made = declared_plan.run(*plain, levels, options_of(declared_plan.Options, section), staging)
+        declared_plan.write_tables(made, given.out, staging)
 
 
 if __name__ == "__main__":

@@ -104,23 +104,30 @@ def event_durations(stats: DataFrame, key: str, names: list[str], time: str = "t
     return out.select(key, *(x for part in each for x in part))
 
 
-def combined_levels(events: DataFrame, p6: str, r24: str, r72: str, a72: str, p75: int = 1, p95: int = 3) -> DataFrame:
+def combined_levels(
+    events: DataFrame, p6: str, r24: str, r72: str, a72: str, p75: int = 1, p95: int = 3, ramp: tuple[int, ...] = BASE_RAMP,
+    escalated: tuple[int, ...] = ESCALATED_CLASSES, top: int = ESCALATED_LEVEL,
+) -> DataFrame:
     """level_multi and its series, level_base, level_matrix and the group of a72, from levels at the 6-h peak."""
-    top, name = hazard.longest_of({"P6": F.col(p6), "R24": F.col(r24), "R72": F.col(r72)})
-    base, matrix = hazard.escalated_level(
-        F.col(p6), BASE_RAMP, ESCALATED_CLASSES, [F.col(r24) >= p95, F.col(a72) >= p75], ESCALATED_LEVEL
-    )
+    largest, name = hazard.longest_of({"P6": F.col(p6), "R24": F.col(r24), "R72": F.col(r72)})
+    base, matrix = hazard.escalated_level(F.col(p6), ramp, escalated, [F.col(r24) >= p95, F.col(a72) >= p75], top)
     group = F.when(F.col(a72) >= 0, F.when(F.col(a72) >= p95, ">=P95").when(F.col(a72) >= p75, "P75-P95").otherwise("<P75"))
-    return events.withColumns({"level_multi": top, "longest": name, "level_base": base, "level_matrix": matrix, "group_a72": group})
+    return events.withColumns({"level_multi": largest, "longest": name, "level_base": base, "level_matrix": matrix, "group_a72": group})
 
 
-def cell_declarations(cells: DataFrame, keys: list[str], longer: list[str], value: str = "p6", time: str = "time", antecedent: str = "a72") -> DataFrame:
-    """By (declaration, cell): largest 6-h rain, its first time, the antecedent rain then, maxima of the longer rains."""
-    x = F.col(value)
-    at = F.struct(F.col(time).alias("t_max"), F.col(antecedent).alias("a"))
+def cell_declarations(
+    cells: DataFrame, keys: list[str], longer: list[str], value: str = "p6", time: str = "time", antecedent: str = "a72",
+    carried: dict[str, str] | None = None,
+) -> DataFrame:
+    """By (declaration, cell): largest 6-h rain, its first time, the antecedent rain then, maxima of the longer rains.
+
+    ``carried`` maps names to columns taken at the maximum too: the storm of its step becomes <name>_at_max.
+    """
+    x, carried = F.col(value), carried or {}
+    at = F.struct(F.col(time).alias("t_max"), F.col(antecedent).alias("a"), *(F.col(c).alias(f"c_{n}") for n, c in carried.items()))
     order = F.when(x.isNotNull(), F.struct(x, -micros(F.col(time))))
     out = cells.groupBy(*keys).agg(F.max(x).alias("p6_max"), F.max_by(at, order).alias("__at"), *(F.max(c).alias(f"{c}_max") for c in longer))
-    return out.select(*keys, "p6_max", "__at.t_max", F.col("__at.a").alias(f"{antecedent}_at_max"), *(f"{c}_max" for c in longer))
+    return out.select(*keys, "p6_max", "__at.t_max", F.col("__at.a").alias(f"{antecedent}_at_max"), *(F.col(f"__at.c_{n}").alias(f"{n}_at_max") for n in carried), *(f"{c}_max" for c in longer))
 
 
 def cell_declarations_of(declared: DataFrame, bridge: DataFrame, rain: DataFrame, longer: list[str], **options) -> DataFrame:
@@ -224,6 +231,12 @@ def place_summary(events: DataFrame, places: DataFrame, place: str, value: str,
     return places.join(got, place, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def place_percentiles(bridge: DataFrame, percentiles: DataFrame, names: list[str]) -> DataFrame:
+    """By place: mean and maximum of each percentile over the place's cells; cells without a percentile do not count."""
+    each = (f(n).alias(f"{n}_{end}") for n in names for f, end in ((F.avg, "mean"), (F.max, "max")))
+    return bridge.select("place", "cell").join(percentiles, "cell").groupBy("place").agg(*each)
+
+
 def cell_product(by_cell: DataFrame, quantiles: DataFrame, names: list[str], cell: str = "cell", value: str = "p_min") -> DataFrame:
     """Smallest declared rain of each cell: its level, and its difference and ratio to each percentile."""
     x = F.col(value)

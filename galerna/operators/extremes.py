@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from galerna.constants import MIN_VALID_FRACTION, PEAKS_A_SEASON, RECURRENCES, RETURN_PERIODS, STEP_SECONDS
 from galerna.functions import extremes as E
 from galerna.functions.time import MICROS, micros
+from galerna.operators.selection import quantiles
+from galerna.sources.staging import Staging
 
 
 def seasonal_maximum(
@@ -15,13 +17,16 @@ def seasonal_maximum(
 ) -> DataFrame:
     """Maximum of each season; NULL where less than ``min_valid`` of its steps have a value.
 
-    Steps are the season's rows or, where ``time`` is given, all steps from its first row to its last, so that absent
-    ones count as missing without an axis to be joined.
+    Steps are the group's rows or, where ``time`` is given, all steps from the season's first row to its last, of any group: the
+    axis is common to all groups, so that one whose head or tail is absent has these steps missing.
     """
     x = F.col(value)
-    span = (F.max(micros(F.col(time))) - F.min(micros(F.col(time)))) / (step_seconds * MICROS) + 1 if time else F.count("*")
-    top = F.when(F.count(x) >= min_valid * span, F.max(x))
-    return df.groupBy(*keys, season).agg(top.alias("maximum"), F.count(x).alias("n_valid"), F.round(span).cast("long").alias("n_rows"))
+    own = df.groupBy(*keys, season).agg(F.max(x).alias("top"), F.count(x).alias("n_valid"), F.count("*").alias("rows"))
+    if time:
+        span = (F.max(micros(F.col(time))) - F.min(micros(F.col(time)))) / (step_seconds * MICROS) + 1
+        own = own.drop("rows").join(df.groupBy(season).agg(F.round(span).cast("long").alias("rows")), season)
+    top = F.when(F.col("n_valid") >= min_valid * F.col("rows"), F.col("top"))
+    return own.select(*keys, season, top.alias("maximum"), "n_valid", F.col("rows").alias("n_rows"))
 
 
 def top_k(peaks: DataFrame, keys: list[str], value: str, k: int, ties: list[str] | None = None) -> DataFrame:
@@ -127,22 +132,22 @@ def percentile_intervals(percentiles: DataFrame, fits: DataFrame, keys: list[str
     return joined.select(*keys, "percentile", years.alias("years"))
 
 
-def summary(levels: DataFrame, fits: DataFrame, cells: DataFrame, by: list[str], periods: tuple[float, ...] = (2.0, 5.0, 10.0, 25.0)) -> DataFrame:
+def summary(
+    levels: DataFrame, fits: DataFrame, cells: DataFrame, by: list[str], staging: Staging, periods: tuple[float, ...] = (2.0, 5.0, 10.0, 25.0)
+) -> DataFrame:
     """By duration (``by``): medians over all cells of the levels of some periods, and the share of cells with a tail fit.
 
     ``levels``: by, cell, period, level; ``fits``: by, cell, xi of the peaks' distribution (NULL or absent: none); ``cells``: all
-    (by, cell) that count.
+    (by, cell) that count. A duration's levels are as many as cells: its medians are selected, not gathered.
     """
-    medians = levels.join(cells, [*by, "cell"], "left_semi").groupBy(*by).agg(
-        *(F.percentile(F.when(F.col("period") == t, F.col("level")), F.lit(0.5)).alias(f"level_{t:g}") for t in periods)
-    )
+    own = levels.join(cells, [*by, "cell"], "left_semi")
+    wanted = {f"level_{t:g}": (F.when(F.col("period") == t, F.col("level")), 0.5) for t in periods}
     known = fits.filter(F.col("xi").isNotNull()).select(*by, "cell", F.lit(1).alias("ok"))
     tails = cells.join(known, [*by, "cell"], "left").groupBy(*by).agg((100.0 * F.count("ok") / F.count("*")).alias("tail_percent"))
-    return tails.join(medians, by, "left")
+    return tails.join(quantiles(own, by, wanted, staging), by, "left")
 
 
-def shape_summary(fits: DataFrame, by: list[str]) -> DataFrame:
+def shape_summary(fits: DataFrame, by: list[str], staging: Staging) -> DataFrame:
     """By duration: median and standard deviation (of the population) of the shape, and the share of clipped ones."""
-    return fits.groupBy(*by).agg(
-        F.percentile("xi", F.lit(0.5)).alias("median"), F.stddev_pop("xi").alias("sd"), F.avg(F.col("clipped").cast("double")).alias("clipped_share")
-    )
+    spread = fits.groupBy(*by).agg(F.stddev_pop("xi").alias("sd"), F.avg(F.col("clipped").cast("double")).alias("clipped_share"))
+    return quantiles(fits, by, {"median": (F.col("xi"), 0.5)}, staging).join(spread, by)

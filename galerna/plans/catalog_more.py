@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galerna.constants import QUADRANTS
@@ -14,6 +17,7 @@ from galerna.plans import standins as P
 from galerna.plans.catalog import _EP, _SHAPE, _STEPS, _dist, _fitted_sql, _radius_fold, _STEP_CELLS, _gev, _gpd, _peaks, _place_rain, _placed_steps, _WET, q6, query, r6
 from galerna.plans.standins import ctes, epoch
 from galerna.sources import tables
+from galerna.sources.staging import finished, unstaged
 
 # --- percentiles and return periods
 
@@ -31,7 +35,7 @@ def wet_by_hour(spark, sf):
 
 
 @query(ctes("series") + f"""SELECT cell, month(time)::BIGINT AS season, {q6('CASE WHEN count(p6) >= 0.95 * steps THEN max(p6) END', 'maximum')}, count(p6) AS n_valid, steps AS n_rows FROM
-  (SELECT *, ((epoch(max(time) OVER w) - epoch(min(time) OVER w)) / 21600 + 1)::BIGINT AS steps FROM series WINDOW w AS (PARTITION BY cell, month(time))) GROUP BY cell, month(time), steps""")
+  (SELECT *, ((epoch(max(time) OVER w) - epoch(min(time) OVER w)) / 21600 + 1)::BIGINT AS steps FROM series WINDOW w AS (PARTITION BY month(time))) GROUP BY cell, month(time), steps""")
 def seasonal_maximum_of_span(spark, sf):
     """Steps that lack count as missing values of their season."""
     s = P.series(spark, sf).withColumn("season", F.month("time"))
@@ -58,21 +62,22 @@ def return_summary(spark, sf):
     d = F.lit(6).cast("long").alias("duration")
     levels = extremes.gev_levels(_gev(spark, sf), ["cell"], (2.0, 10.0)).select(d, "*")
     cells = P.seasons(spark, sf).select(d, "cell").distinct()
-    out = extremes.summary(levels, _gpd(spark, sf).select(d, "*"), cells, ["duration"], (2.0, 10.0))
+    out = finished(spark, lambda own: extremes.summary(levels, _gpd(spark, sf).select(d, "*"), cells, ["duration"], own, (2.0, 10.0)))
     return out.select("duration", r6("tail_percent"), r6("level_2"), r6("level_10"))
 
 
 @query(_FITS + ", f AS (SELECT 'gev' AS family, xi, clipped FROM gev UNION ALL SELECT 'gpd', xi, clipped FROM gpd) SELECT family, " + f"{q6('median(xi)', 'median')}, {q6('stddev_pop(xi)', 'sd')}, {q6('avg(clipped::INT)', 'clipped_share')} FROM f GROUP BY 1")
 def shape_summary(spark, sf):
     both = _gev(spark, sf).select(F.lit("gev").alias("family"), "xi", "clipped").unionByName(_gpd(spark, sf).select(F.lit("gpd").alias("family"), "xi", "clipped"))
-    return extremes.shape_summary(both, ["family"]).select("family", r6("median"), r6("sd"), r6("clipped_share"))
+    return finished(spark, lambda own: extremes.shape_summary(both, ["family"], own)).select("family", r6("median"), r6("sd"), r6("clipped_share"))
 
 
 @query(_FITS + f"""SELECT 6::BIGINT AS duration, {q6('median(abs(r))', 'median')}, {q6('quantile_cont(abs(r), 0.9)', 'p90')}, {q6('median(r)', 'bias')}, median(abs(r)) <= 0.05 AND quantile_cont(abs(r), 0.9) <= 0.12 AS meets FROM
   (SELECT (p.level - g.level) / g.level AS r FROM (SELECT cell, mu + sigma / xi * (pow(-ln(1 - 1 / 10.0), -xi) - 1) AS level FROM gev) g JOIN (SELECT cell, u + sigma / xi * (pow(rate * (-1 / ln(1 - 1 / 10.0)), xi) - 1) AS level FROM gpd) p USING (cell))""")
 def pot_gev_consistency(spark, sf):
     d = F.lit(6).cast("long").alias("duration")
-    out = climatology.consistency(_gev(spark, sf).select(d, "*"), _gpd(spark, sf).select(d, "*"), ["duration", "cell"], ["duration"])
+    fits = (f(spark, sf).select(d, "*") for f in (_gev, _gpd))
+    out = finished(spark, lambda own: climatology.consistency(*fits, ["duration", "cell"], ["duration"], own))
     return out.select("duration", r6("median"), r6("p90"), r6("bias"), "meets")
 
 
@@ -265,7 +270,7 @@ def duration_summary(spark, sf):
     return out.select("kind", "filter", "n", *(r6(x) for x in ("dry", "dry_raised", "raised", "by_r24", "escalated", "top_matrix")))
 
 
-def _workflow(spark, sf):
+def _workflow(spark, sf, staged=unstaged):
     d = P.declared(spark, sf).withColumns({"state": (F.col("place") % 2).cast("string"), "notes": F.concat(F.lit("note "), (F.col("id_decl") % 9).cast("string"))})
     t = P.tracks(spark, sf).select("storm_id", "time", "lat", "lon", F.struct(*(F.col(f"rocloud_{q}").alias(q) for q in QUADRANTS)).alias("radii"))
     # place 5 has no place of its own and shows as unplaced
@@ -273,15 +278,7 @@ def _workflow(spark, sf):
     s = P.series(spark, sf)
     q = quantiles.type7(s, ["cell"], "p6", (0.75, 0.9, 0.95))
     longer = {h: q.select("cell", *((F.col(n) * k).alias(n) for n in ("q75", "q90", "q95"))) for h, k in ((6, 1), (24, 3), (72, 9))}
-    return W.run(d, t, places, P.bridge(spark, sf), s, longer)
-
-
-@query(ctes("declared") + "SELECT 'unplaced' AS name, 1::BIGINT AS n UNION ALL SELECT 'events', (SELECT count(*) FROM dated WHERE place < 5 AND id_decl IN (SELECT id_decl FROM dated)) UNION ALL SELECT 'places', 5")
-def declared_workflow(spark, sf):
-    """The whole plan: rows of some of its twelve tables."""
-    w = _workflow(spark, sf)
-    parts = [w[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("unplaced", "events", "places")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return W.run(d, t, places, P.bridge(spark, sf), s, longer, staged=staged)
 
 
 _LV = lambda c, k: f"CASE WHEN {c} IS NULL THEN -1 ELSE ({c} >= q75 * {k})::INT + ({c} >= q90 * {k})::INT + ({c} >= q95 * {k})::INT END"
@@ -310,3 +307,52 @@ def declared_storms(spark, sf):
        + ", ".join(q6(f"100 * avg(({t})::INT)", n) for n, t in (("dry", "level = 0"), ("raised", "multi > level"), ("escalated", "matrix > base"), ("top_matrix", "matrix = 4"))) + " FROM kinds GROUP BY 1, 2")
 def declared_summary(spark, sf):
     return _workflow(spark, sf)["summary"].select("kind", "filter", "n", *(r6(x) for x in ("dry", "raised", "escalated", "top_matrix")))
+
+
+_TABLES = (
+    _FLOW + f""", cm AS (SELECT *, row_number() OVER (PARTITION BY id_decl, cell ORDER BY p6 DESC NULLS LAST, time) AS rk FROM sx),
+  ca AS (SELECT cm.id_decl, cell, kind, p6, a72, storm_id FROM cm JOIN dated ON dated.id_decl = cm.id_decl WHERE rk = 1 AND p6 IS NOT NULL),
+  ev AS (SELECT i.id_decl, dated.place, dated.kind, e2.* EXCLUDE (id_decl, place, kind), ar.p_areal FROM (SELECT DISTINCT id_decl FROM ns) i JOIN dated USING (id_decl) LEFT JOIN e2 ON e2.id_decl = i.id_decl
+    LEFT JOIN (SELECT id_decl, avg(p6) AS p_areal FROM ca GROUP BY 1) ar ON ar.id_decl = i.id_decl),
+  both_ev AS (SELECT * FROM ev WHERE p_event IS NOT NULL UNION ALL SELECT * REPLACE ('todas' AS kind) FROM ev WHERE p_event IS NOT NULL),
+  both_ca AS (SELECT * FROM ca UNION ALL SELECT * REPLACE ('todas' AS kind) FROM ca),
+  by_place AS (SELECT pt.place, place_lat, count(p_event) AS n, min(p_event) AS p_min, quantile_cont(p_event, 0.1) AS p10 FROM pt LEFT JOIN ev ON ev.place = pt.place GROUP BY 1, 2),
+  grouped AS (SELECT *, CASE WHEN la >= 0 THEN CASE WHEN la >= 3 THEN '>=P95' WHEN la >= 1 THEN 'P75-P95' ELSE '<P75' END END AS g FROM both_ev WHERE level >= 0),
+  chosen AS (SELECT *, unnest(CASE WHEN p_event >= 1 THEN ['all', 'wet'] ELSE ['all'] END) AS filter FROM both_ev WHERE level >= 0),
+  least AS (SELECT cell, min(p6) AS p6, count(DISTINCT id_decl) AS n FROM ca GROUP BY 1),
+  every(name, id, a, b, c) AS (
+    SELECT 'unplaced', place::VARCHAR, NULL, NULL, NULL FROM (SELECT DISTINCT place FROM dated WHERE place NOT IN (SELECT place FROM pt))
+    UNION ALL SELECT 'steps', ns.id_decl || '|' || epoch(ns.time)::BIGINT, p6, coalesce({_LV('p6', 1)}, -1), coalesce({_LV('r24', 3)}, -1) FROM ns LEFT JOIN sm ON sm.id_decl = ns.id_decl AND sm.time = ns.time
+    UNION ALL SELECT 'events', id_decl::VARCHAR, p_event, matrix, p_areal FROM ev
+    UNION ALL SELECT 'places', place::VARCHAR, p10, n, m FROM by_place LEFT JOIN (SELECT place, avg(q90) AS m FROM bridge JOIN q USING (cell) GROUP BY 1) USING (place)
+    UNION ALL SELECT 'places_stats', place || '|' || kind, quantile_cont(p_event, 0.5), quantile_cont(p_areal, 0.5), count(*) FROM both_ev GROUP BY place, kind
+    UNION ALL SELECT 'places_map', place::VARCHAR, place_lat, n, p_min FROM by_place
+    UNION ALL SELECT 'cells', id_decl || '|' || cell, p6, a72, storm_id[2:]::BIGINT FROM ca
+    UNION ALL SELECT 'cells_stats', cell || '|' || kind, quantile_cont(p6, 0.5), avg(p6), arg_min(id_decl, row(p6, id_decl)) FROM both_ca GROUP BY cell, kind
+    UNION ALL SELECT 'cells_least', cell::VARCHAR, p6, {_LV('p6', 1)}, n FROM least JOIN q USING (cell)
+    UNION ALL SELECT 'storms', storm, count(*), quantile_cont(p_event, 0.5), count(DISTINCT place) FROM ev WHERE p_event IS NOT NULL GROUP BY storm
+    UNION ALL SELECT 'summary', kind || '|' || filter, count(*), 100 * avg((multi > level)::INT), 100 * avg((matrix = 4)::INT) FROM chosen GROUP BY kind, filter
+    UNION ALL SELECT 'table_a72', kind || '|' || level || '|' || g, count(*) / sum(count(*)) OVER (PARTITION BY kind), NULL, NULL FROM grouped WHERE g IS NOT NULL GROUP BY kind, level, g)"""
+)
+
+
+@query(_TABLES + f" SELECT name, id, {q6('a')}, {q6('b')}, {q6('c')} FROM every")
+def declared_workflow(spark, sf):
+    """The whole plan: every row of its twelve tables, which share what is computed once."""
+    column = {
+        "unplaced": (["place"], []), "steps": (["id_decl", F.unix_timestamp("time")], ["p_max", "level_at_max", "level_r24_at_max"]), "events": (["id_decl"], ["p_event", "level_matrix", "p_areal"]),
+        "places": (["place"], ["p10", "n", "q90_mean"]), "places_stats": (["place", "kind"], ["p_event_median", "p_areal_median", "n"]), "places_map": (["place"], ["place_lat", "n", "p_min"]),
+        "cells": (["id_decl", "cell"], ["p6_max", "a72_at_max", F.substring("storm_at_max", 2, 9)]), "cells_stats": (["cell", "kind"], ["p_median", "p_mean", "id_min"]),
+        "cells_least": (["cell"], ["p_min", "level", "n"]), "storms": (["storm"], ["n", "p_median", "n_places"]), "summary": (["kind", "filter"], ["n", "raised", "top_matrix"]),
+        "table_a72": (["kind", "level", "group_a72"], ["share"]),
+    }
+
+    def rows(name, df):
+        keys, values = column[name]
+        return df.select(F.lit(name).alias("name"), F.concat_ws("|", *keys).alias("id"), *(r6((values[k] if isinstance(values[k], str) else values[k].cast("double")) if k < len(values) else F.lit(None), x) for k, x in enumerate("abc")))
+
+    def every(own):
+        parts = [rows(n, t) for n, t in _workflow(spark, sf, own).items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    return finished(spark, every)

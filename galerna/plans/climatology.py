@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galerna.constants import GEV_MIN_SEASONS, GPD_MIN_EXCESSES, QUANTILES, SEPARATION_HOURS, WET_MM
 from galerna.functions import extremes as E
 from galerna.operators import extremes, quantiles, rain
+from galerna.operators.selection import quantiles as quantiles_of
 from galerna.operators.sets import stacked
+from galerna.sources.staging import Staging, unstaged
 
 
 def durations(series: DataFrame, hours: tuple[int, ...] = (6, 24, 72), keys: tuple[str, ...] = ("cell", "season")) -> DataFrame:
@@ -31,24 +35,26 @@ def wet_percentiles(series: DataFrame, hours: tuple[int, ...] = (6, 24, 72), lev
 
 def return_periods(
     series: DataFrame, k: int, hours: tuple[int, ...] = (6, 24, 72), min_n: int = GEV_MIN_SEASONS, min_excess: int = GPD_MIN_EXCESSES,
+    staged: Callable[[str, DataFrame], DataFrame] = unstaged,
 ) -> dict[str, DataFrame]:
     """maxima, top, gev, gpd, gev_levels, pot_levels and empirical_levels by (cell, duration).
 
-    One exchange on the cell serves the rolling sums, the maxima and the peaks.
+    Rolling sums, maxima, largest peaks and fits are handed to ``staged``: with a ``Staging`` each is computed once, however
+    many of the products are written, and the series is read once.
     """
     keys = ["cell", "duration"]
-    long = durations(series.repartition("cell"), hours)
-    maxima = extremes.seasonal_maximum(long, keys, "r", time="time")  # absent steps count as missing
+    long = staged("durations", durations(series.repartition("cell"), hours))
+    maxima = staged("maxima", extremes.seasonal_maximum(long, keys, "r", time="time"))  # absent steps count as missing
     peaks = [
         rain.declustered(long.filter(F.col("duration") == h), ["cell", "season", "duration"], SEPARATION_HOURS[h], "r", threshold=WET_MM) for h in hours
     ]
     every = peaks[0]
     for p in peaks[1:]:
         every = every.unionByName(p)
-    top = extremes.top_k(every, keys, "r", k + 1, ["time"])
+    top = staged("top", extremes.top_k(every, keys, "r", k + 1, ["time"]))
     seasons = maxima.filter(F.col("maximum").isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_seasons"))
-    gev = extremes.gev_fits(maxima, keys, "maximum", min_n)
-    gpd = extremes.gpd_fits(top, seasons, keys, "r", min_excess)
+    gev = staged("gev", extremes.gev_fits(maxima, keys, "maximum", min_n))
+    gpd = staged("gpd", extremes.gpd_fits(top, seasons, keys, "r", min_excess))
     return {
         "maxima": maxima, "top": top, "gev": gev, "gpd": gpd, "gev_levels": extremes.gev_levels(gev, keys), "pot_levels": extremes.pot_levels(gpd, keys),
         "empirical_levels": extremes.empirical_levels(top.filter(F.col("rank") <= k), seasons, keys, "r", k),
@@ -59,13 +65,14 @@ def return_periods(
 CONSISTENT = (0.05, 0.12)
 
 
-def consistency(gev: DataFrame, gpd: DataFrame, keys: list[str], by: list[str], years: float = 10.0, criteria: tuple[float, float] = CONSISTENT) -> DataFrame:
+def consistency(
+    gev: DataFrame, gpd: DataFrame, keys: list[str], by: list[str], staging: Staging, years: float = 10.0, criteria: tuple[float, float] = CONSISTENT
+) -> DataFrame:
     """By ``by``: median and 90th percentile of the absolute relative difference POT - GEV of the same annual period, its bias
     (median), and whether the criteria are met; of the cells (``keys``) that both fits know, with a positive GEV level."""
     g = gev.select(*keys, E.gev_level(F.lit(years), F.col("xi"), F.col("sigma"), F.col("mu")).alias("gev"))
     p = gpd.select(*keys, E.pot_level(E.recurrence(F.lit(years)), F.col("u"), F.col("sigma"), F.col("xi"), F.col("rate")).alias("pot"))
     both = g.join(p, keys).filter("gev > 0 and pot is not null").withColumn("r", (F.col("pot") - F.col("gev")) / F.col("gev"))
-    out = both.groupBy(*by).agg(
-        F.percentile(F.abs("r"), F.lit(0.5)).alias("median"), F.percentile(F.abs("r"), F.lit(0.9)).alias("p90"), F.percentile("r", F.lit(0.5)).alias("bias")
-    )
+    r = F.col("r")
+    out = quantiles_of(both, by, {"median": (F.abs(r), 0.5), "p90": (F.abs(r), 0.9), "bias": (r, 0.5)}, staging)
     return out.withColumn("meets", (F.col("median") <= criteria[0]) & (F.col("p90") <= criteria[1]))

@@ -125,10 +125,14 @@ def _paired(positions: DataFrame, cells: DataFrame, s: Settings, on: tuple[str,
     return storm_cells(positions, cells, F.col("reach_km"), on=on)
 
 
-def rejected(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Positions that have no snapshot, and why."""
+def rejected_of(stage: DataFrame) -> DataFrame:
+    """Positions of a storm stage that have no snapshot, and why."""
     reason = F.when(F.col("vmax").isNull(), "no wind").when(F.col("direct").isNull(), "no direct radius").otherwise("no attribution radius")
-    return storm_stage(tracks, s).filter(~F.col("usable")).select("storm_id", "time", reason.alias("reason"))
+    return stage.filter(~F.col("usable")).select("storm_id", "time", reason.alias("reason"))
+
+
+def rejected(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
+    return rejected_of(storm_stage(tracks, s))
 
 
 def experiments(tracks: DataFrame, cells: DataFrame, settings: dict[str, Settings], on: tuple[str, ...] = ("time",)) -> DataFrame:

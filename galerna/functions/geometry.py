@@ -138,12 +138,21 @@ def grid_key(degrees: Column, per_degree: int = 100) -> Column:
 
 
 def representative_point(ring: Column) -> Column:
-    """A point inside a polygon (array of (lat, lon)): the middle of the longest stretch inside at its middle latitude."""
-    lats = F.transform(ring, lambda p: p["lat"])
-    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    """A point inside a polygon of one ring (array of (lat, lon)); see ``point_inside``."""
+    return point_inside(F.array(ring))
+
+
+def point_inside(rings: Column) -> Column:
+    """A point inside a polygon of any rings, islands and holes alike: the middle of the longest stretch inside at its middle
+    latitude."""
+    points = F.flatten(rings)
+    lats = F.transform(points, lambda p: p["lat"])
+    following = lambda ring: F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    edge = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    every = F.flatten(F.transform(rings, lambda ring: F.zip_with(ring, following(ring), edge)))
 
     def of(y: Column) -> Column:
-        edges = F.filter(F.zip_with(ring, following, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e: (e["p"]["lat"] > y) != (e["q"]["lat"] > y))
+        edges = F.filter(every, lambda e: (e["p"]["lat"] > y) != (e["q"]["lat"] > y))
         at = lambda e: e["p"]["lon"] + (y - e["p"]["lat"]) * (e["q"]["lon"] - e["p"]["lon"]) / (e["q"]["lat"] - e["p"]["lat"])
         crossings = F.array_sort(F.transform(edges, at))
 

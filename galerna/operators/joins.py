@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galerna.constants import EARTH_RADIUS_CASES_KM
-from galerna.functions.geometry import bearing_deg, distance_km, quadrant_of_bearing, radius_of
+from galerna.functions.geometry import bearing_deg, distance_km, longitude_difference, quadrant_of_bearing, radius_of
 from galerna.functions.time import MICROS, bucket, micros
+from galerna.sources.staging import Staging
 
 KM_A_DEGREE = 111.19
 
@@ -108,69 +111,165 @@ def with_cloud_radii(track: DataFrame, cloud: DataFrame) -> DataFrame:
     return track.join(cloud, ["storm_id", "time"], "left")
 
 
-def on_grid(df: DataFrame, other: DataFrame, per_degree: int = 100, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Left join of two grids on integer keys of their coordinates."""
-    from galerna.functions.geometry import grid_key
+def on_grid(df: DataFrame, other: DataFrame, tolerance: float = 1e-3, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Left join of a grid with another of the same points, whose coordinates may differ by rounding."""
+    return near_grid(df, other, tolerance, lat, lon)
+
 
-    keyed = lambda t: t.withColumns({"__i": grid_key(F.col(lat), per_degree), "__j": grid_key(F.col(lon), per_degree)})
-    return keyed(df).join(keyed(other).drop(lat, lon), ["__i", "__j"], "left").drop("__i", "__j")
+#: Words that a name may have or lack.
+SMALL_WORDS = ("de", "del", "la", "las", "los", "el")
 
 
-def find_place(places: DataFrame, wanted: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Places by comparable name within their state: exact, else all words of the wanted name.
+def find_place(places: DataFrame, wanted: DataFrame, fallback: str | None = None, suggestions: int = 15) -> DataFrame:
+    """``wanted`` with code, how, hits and similar: places by comparable name within their state.
 
-    ``places``: code, name, state; ``wanted``: wanted_id, wanted, state, and a code to fall back on where it has one. Adds
-    how it was found (exact, words, code); those not found at all are left out.
+    ``places``: code, name, state; ``wanted``: wanted_id, wanted, state and others. A place of the same name, else one that has
+    all words of the wanted name (but ``SMALL_WORDS``), if there is one alone: how is exact or words. Where none has, the
+    column ``fallback`` names a code that is taken if there is such a place (how: code). All others have no code: how is
+    several or none, and similar has up to ``suggestions`` names of the state that hold the first word.
+
+    Names are looked up once each, by equality and by an inverted index of words; nothing pairs the names of a state.
     """
     from galerna.functions.text import comparable
 
-    small = F.array(*(F.lit(w) for w in ("de", "del", "la", "las", "los", "el", "y")))
-    left = wanted.withColumn("__name", comparable(F.col("wanted")))
-    right = places.withColumn("__own", comparable(F.col("name")))
-    words = F.array_except(F.split("__name", " "), small)
-    pairs = left.join(right, "state").filter((F.col("__name") == F.col("__own")) | ((F.size(words) > 0) & (F.size(F.array_except(words, F.split("__own", " "))) == 0)))
-    how = F.when(F.col("__name") == F.col("__own"), "exact").otherwise("words")
-    w = Window.partitionBy("wanted_id").orderBy("how", "code")
-    named = pairs.withColumn("how", how).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__name", "__own")
-    if not fallback:
-        return named
-    rest = wanted.join(named, "wanted_id", "left_anti").join(places.withColumnRenamed("code", fallback), [fallback, "state"])
-    return named.drop(fallback).unionByName(rest.withColumnRenamed(fallback, "code").withColumn("how", F.lit("code")))
-
-
-def polygon_cells(polygons: DataFrame, cells: DataFrame, bin_degrees: float = 1.0) -> DataFrame:
-    """(place, cell, n_centres): cells whose centre lies inside a polygon; a polygon without one takes the nearest cell.
-
-    ``polygons``: place, place_lat, place_lon, ring (array of (lat, lon), closed or not). Polygons meet cells by the
-    bins of their bounding box; crossings of a ray to the east are counted within the row.
+    small = F.array(*map(F.lit, SMALL_WORDS))
+    own = places.select(F.col("code"), "name", "state", comparable(F.col("name")).alias("__own"))
+    names = wanted.select("state", "wanted").distinct().withColumn("__name", comparable(F.col("wanted")))
+    words = F.array_except(F.array_distinct(F.split("__name", " ")), F.concat(small, F.array(F.lit(""))))
+    asked = names.select("state", "__name").distinct().withColumn("__words", words)
+    one = lambda how: (F.count("*").alias("hits"), F.min("code").alias("code"), F.lit(how).alias("how"))
+    exact = asked.join(own.withColumnRenamed("__own", "__name"), ["state", "__name"]).groupBy("state", "__name").agg(*one("exact"))
+    left = asked.join(exact, ["state", "__name"], "left_anti")
+    index = own.select("state", "code", F.explode(F.array_distinct(F.split("__own", " "))).alias("__word"))
+    posted = left.select("state", "__name", F.size("__words").alias("__n"), F.explode("__words").alias("__word")).join(index, ["state", "__word"])
+    met = posted.groupBy("state", "__name", "code").agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter("__met = __n")
+    # a name of small words alone is met by every place of its state
+    bare = left.filter(F.size("__words") == 0).select("state", "__name").join(own.select("state", "code"), "state")
+    by_words = met.select("state", "__name", "code").unionByName(bare).groupBy("state", "__name").agg(*one("words"))
+    found = exact.unionByName(by_words)
+    missed = asked.join(found.filter("hits = 1"), ["state", "__name"], "left_anti").withColumn("__first", F.split("__name", " ")[0])
+    listed = missed.select("state", "__first").distinct().join(own.select("state", "name", "__own"), "state").filter(F.contains("__own", F.col("__first")))
+    rank = F.row_number().over(Window.partitionBy("state", "__first").orderBy("name"))
+    listed = listed.withColumn("__rank", rank).filter(F.col("__rank") <= suggestions).groupBy("state", "__first").agg(F.array_sort(F.collect_list("name")).alias("similar"))
+    similar = missed.join(listed, ["state", "__first"]).select("state", "__name", "similar")
+    answers = names.join(found, ["state", "__name"], "left").join(similar, ["state", "__name"], "left").drop("__name")
+    out = wanted.join(answers, ["state", "wanted"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    single, code, how = F.col("hits") == 1, F.col("code"), F.col("how")
+    if fallback:
+        codes = places.select(F.col("code").alias("__code")).distinct()
+        out = out.join(codes, F.col(fallback) == F.col("__code"), "left")
+        taken = (F.col("hits") == 0) & F.col("__code").isNotNull()
+        single, code, how = single | taken, F.when(taken, F.col("__code")).otherwise(code), F.when(taken, "code").otherwise(how)
+    missing = F.when(F.col("hits") > 1, "several").otherwise("none")
+    return out.withColumns({
+        "code": F.when(single, code), "how": F.when(single, how).otherwise(missing), "similar": F.when(~single, F.coalesce("similar", F.array().cast("array<string>")))
+    }).drop("__code")
+
+
+def require_places(found: DataFrame) -> DataFrame:
+    """What ``find_place`` has found; names that have not one place each are an error that lists some of them."""
+    bad = found.filter("code is null").orderBy("wanted_id").select("wanted", "state", "hits", "similar").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.wanted} ({r.state}): {r.hits} places, similar: {', '.join(r.similar) or '-'}" for r in bad))
+    return found
+
+
+def scan_lines(polygons: DataFrame, cells: DataFrame, band_degrees: float = 0.25) -> DataFrame:
+    """(place, cell_lat, west, east): the stretches inside a polygon along the latitudes of the cells, west <= lon < east.
+
+    ``polygons``: place, rings (array of rings of (lat, lon), closed or not; islands and holes alike, by the even-odd rule). Edges and
+    latitudes are dealt to bands and joined there, so that an edge meets only the latitudes that it crosses, and a latitude's
+    crossings with a polygon are sorted once for all of its cells.
     """
-    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    boxed = polygons.withColumns({"a": F.array_min(lats), "b": F.array_max(lats), "c": F.array_min(lons), "d": F.array_max(lons)})
-    sequence = lambda low, high: F.explode(F.sequence(bin_of(F.col(low), bin_degrees), bin_of(F.col(high), bin_degrees)))
-    dealt = boxed.withColumn("__y", sequence("a", "b")).withColumn("__x", sequence("c", "d"))
-    placed = cells.withColumns({"__y": bin_of(F.col("cell_lat"), bin_degrees), "__x": bin_of(F.col("cell_lon"), bin_degrees)})
-    near = dealt.join(placed, ["__y", "__x"]).filter(F.col("cell_lat").between(F.col("a"), F.col("b")) & F.col("cell_lon").between(F.col("c"), F.col("d")))
-    following = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-
-    def crosses(p: Column, q: Column) -> Column:
-        span = (p["lat"] > F.col("cell_lat")) != (q["lat"] > F.col("cell_lat"))
-        at = p["lon"] + (F.col("cell_lat") - p["lat"]) * (q["lon"] - p["lon"]) / F.nullif(q["lat"] - p["lat"], F.lit(0.0))
-        return F.coalesce(span & (F.col("cell_lon") < at), F.lit(False))
-
-    crossings = F.aggregate(F.zip_with("ring", following, crosses), F.lit(0), lambda n, x: n + F.when(x, 1).otherwise(0))
-    inside = near.filter(crossings % 2 == 1).select("place", "cell")
-    counted = inside.withColumn("n_centres", F.count("*").over(Window.partitionBy("place")).cast("int"))
+    following = lambda ring: F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    edges = polygons.select("place", F.explode("rings").alias("ring")).filter(F.size("ring") > 0)
+    edges = edges.select("place", F.explode(F.arrays_zip(F.col("ring").alias("p"), following(F.col("ring")).alias("q"))).alias("e")).select("place", "e.p", "e.q")
+    low, high = F.least("p.lat", "q.lat"), F.greatest("p.lat", "q.lat")
+    bands = F.explode(F.sequence(bin_of(low, band_degrees), bin_of(high, band_degrees)))
+    dealt = edges.filter("p.lat <> q.lat").withColumn("band", bands)
+    lats = cells.select("cell_lat").distinct().withColumn("band", bin_of(F.col("cell_lat"), band_degrees))
+    y = F.col("cell_lat")
+    # an edge holds its lower end and not its upper one, so that a vertex on the line counts once or twice as it must
+    crossed = dealt.join(lats, "band").filter((y >= low) & (y < high))
+    x = F.col("p.lon") + (y - F.col("p.lat")) * (F.col("q.lon") - F.col("p.lon")) / (F.col("q.lat") - F.col("p.lat"))
+    lines = crossed.groupBy("place", "cell_lat").agg(F.array_sort(F.collect_list(x)).alias("x"))
+    at = F.filter(F.sequence(F.lit(0), F.size("x") - 1), lambda k: k % 2 == 0)
+    spans = F.explode(F.transform(at, lambda k: F.struct(F.get("x", k).alias("west"), F.get("x", k + 1).alias("east"))))
+    return lines.select("place", "cell_lat", spans.alias("s")).select("place", "cell_lat", "s.west", "s.east").filter("west < east")
+
+
+def inside_cells(polygons: DataFrame, cells: DataFrame, bin_degrees: float = 1.0) -> DataFrame:
+    """(place, cell): cells whose centre lies inside a polygon. A ring over the date line goes on beyond 180 (or -180) degrees."""
+    n_lon = int(360 / bin_degrees)
+    first, last = bin_of(F.col("west"), bin_degrees), bin_of(F.col("east"), bin_degrees)
+    bins = F.transform(F.sequence(first, F.least(last, first + n_lon - 1)), lambda b: F.pmod(b, F.lit(n_lon)))
+    spans = scan_lines(polygons, cells).withColumn("__x", F.explode(bins))
+    placed = cells.select("cell", "cell_lat", "cell_lon", F.pmod(bin_of(F.col("cell_lon"), bin_degrees), F.lit(n_lon)).alias("__x"))
+    lon = F.col("west") + F.pmod(F.col("cell_lon") - F.col("west"), F.lit(360.0))
+    return spans.join(placed, ["cell_lat", "__x"]).filter((F.col("cell_lon") == F.col("west")) | (lon < F.col("east"))).select("place", "cell").distinct()
+
+
+def polygon_cells(polygons: DataFrame, cells: DataFrame, staging: Staging) -> DataFrame:
+    """(place, cell, n_centres): cells whose centre lies inside a polygon; one without any takes the nearest cell, however far.
+
+    ``polygons``: place, place_lat, place_lon, rings (see ``scan_lines``).
+    """
+    inside = staging("inside", inside_cells(polygons, cells))
+    counted = inside.join(inside.groupBy("place").agg(F.count("*").cast("int").alias("n_centres")), "place")
     lonely = polygons.join(inside.select("place").distinct(), "place", "left_anti").select("place", F.col("place_lat").alias("lat"), F.col("place_lon").alias("lon"))
-    return counted.unionByName(nearest_cells(lonely, cells).withColumn("n_centres", F.lit(0)))
+    return counted.unionByName(nearest_cells(lonely, cells, staging).withColumn("n_centres", F.lit(0)))
 
 
 def in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     """Cells with ``inside``: whether their centre lies in some polygon (a country's mask)."""
-    found = polygon_cells(polygons, cells).filter("n_centres > 0").select("cell", F.lit(True).alias("inside")).distinct()
+    found = inside_cells(polygons, cells).select("cell", F.lit(True).alias("inside")).distinct()
     return cells.join(found, "cell", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def nearest_cells(points: DataFrame, cells: DataFrame, reach_km: float = 100.0) -> DataFrame:
-    """(place, cell): the nearest cell within ``reach_km``; the smaller cell of a tie."""
-    pairs = storm_cells(points, cells, reach_km, 1.0)
-    return pairs.groupBy("place").agg(F.min_by("cell", F.struct("dist_km", "cell")).alias("cell"))
+#: Half the length of a meridian circle, beyond which no point lies, and bins whose number goes round the globe evenly.
+FARTHEST_KM, BINS = 20_100.0, (1.0, 2.0, 5.0, 10.0, 20.0, 45.0, 90.0)
+
+
+def nearest_cells(points: DataFrame, cells: DataFrame, staging: Staging, reach_km: float = 100.0) -> DataFrame:
+    """(place, cell): the nearest cell of each point (place, lat, lon), the smaller cell of a tie; no rows without cells.
+
+    Points meet the cells within a reach, all of them, so that the nearest of these is the nearest of all. Points that meet
+    none are tried again with twice the reach and wider bins, until all have one: a row is paired with no cell beyond
+    twice its distance.
+    """
+    parts, rest, turn = [], staging("lonely-0", points.select("place", "lat", "lon")), 0
+    while True:
+        bins = next((b for b in BINS if b * KM_A_DEGREE * 4 >= reach_km), BINS[-1])
+        pairs = storm_cells(rest, cells, min(reach_km, FARTHEST_KM), bins)
+        parts.append(staging(f"nearest-{turn}", pairs.groupBy("place").agg(F.min_by("cell", F.struct("dist_km", "cell")).alias("cell"))))
+        turn += 1
+        rest = staging(f"lonely-{turn}", rest.join(parts[-1], "place", "left_anti"))
+        if reach_km >= FARTHEST_KM or rest.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        reach_km *= 2
+
+
+def near_grid(df: DataFrame, other: DataFrame, tolerance: float = 1e-3, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Left join of two grids whose coordinates agree within ``tolerance`` degrees: each row of ``df`` gets the nearest point.
+
+    Points meet in bins as wide as the tolerance, the row's own and the eight beside it, so that no edge of a bin parts two
+    points. The smaller latitude, then longitude, of a tie; longitudes agree around the date line. Columns of ``other``
+    named like one of ``df`` (but its coordinates) are an error. A row without a point within reach has NULLs.
+    """
+    clash = ({*df.columns} & {*other.columns}) - {lat, lon}
+    if clash:
+        raise ValueError(f"both grids have {', '.join(sorted(clash))}")
+    n_lon = round(360 / tolerance)
+    number = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    beside = F.array(*map(F.lit, (-1, 0, 1)))
+    points = df.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon")).distinct()
+    dealt = points.withColumn("__di", F.explode(beside)).withColumn("__dj", F.explode(beside))
+    dealt = dealt.withColumns({"__i": number("__lat") + F.col("__di"), "__j": F.pmod(number("__lon") + F.col("__dj"), F.lit(n_lon))})
+    right = other.withColumns({"__i": number(lat), "__j": F.pmod(number(lon), F.lit(n_lon))})
+    dy, dx = F.abs(F.col("__lat") - F.col(lat)), F.abs(longitude_difference(F.col("__lon") - F.col(lon)))
+    # a millionth of the tolerance for the rounding of coordinates
+    near = dealt.join(right, ["__i", "__j"]).filter((dy <= tolerance * (1 + 1e-6)) & (dx <= tolerance * (1 + 1e-6)))
+    values = [c for c in other.columns if c not in (lat, lon)]
+    best = near.groupBy("__lat", "__lon").agg(F.min_by(F.struct(*values), F.struct(dy * dy + dx * dx, F.col(lat), F.col(lon))).alias("__v"))
+    same = (F.col(lat) == F.col("__lat")) & (F.col(lon) == F.col("__lon"))
+    return df.join(best, same, "left").select(*df.columns, *(F.col(f"__v.{c}") for c in values))

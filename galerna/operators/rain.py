@@ -13,19 +13,38 @@ from galerna.constants import STEP_SECONDS, SYNOPTIC_HOURS
 from galerna.functions.time import MICROS, is_synoptic, micros, season_window_ends, window_end
 
 
-def accumulate(hourly: DataFrame, keys: list[str], time: str = "time", value: str = "p", hours: int = 6, label_is: str = "start") -> DataFrame:
-    """Sum over (T - hours, T] of exactly ``hours`` hourly values; any missing one gives NULL.
+def hourly_sums(value: Column, time: Column, end: Column, order: Column, hours: int, label_is: str) -> tuple[list[Column], Column, Column]:
+    """Aggregates of a window's values, the sum of them, and the number of hours that have one.
 
-    Sums are partial before the exchange. NaN and negative values count as missing.
+    Each hour is a bit; ``bit_or`` merges repeated hours, and of an hour's values the first by ``order`` counts.
+    """
+    late = micros(end) - micros(time) - F.lit((3600 if label_is == "start" else 0) * MICROS)
+    hour = F.floor(late / (3600 * MICROS)).cast("int")  # a label within its hour belongs to that hour
+    own = [value.isNotNull() & (hour == k) for k in range(hours)]
+    firsts = [F.min_by(F.when(t, value), F.when(t, order)).alias(f"__h{k}") for k, t in enumerate(own)]
+    bits = F.lit(0)
+    for k, t in enumerate(own):
+        bits = F.when(t, 1 << k).otherwise(bits)
+    total = sum((F.coalesce(f"__h{k}", F.lit(0.0)) for k in range(hours)), F.lit(0.0))
+    whole = F.col("__bits") == (1 << hours) - 1
+    return [*firsts, F.bit_or(bits).alias("__bits")], F.when(whole, total), F.bit_count("__bits").cast("long")
+
+
+def accumulate(
+    hourly: DataFrame, keys: list[str], time: str = "time", value: str = "p", hours: int = 6, label_is: str = "start", order: str | None = None
+) -> DataFrame:
+    """Sum over (T - hours, T] of one value for each of its ``hours``; any missing hour gives NULL.
+
+    NaN and negative values count as missing. A repeated hour counts once, with the first of its values by the column
+    ``order`` (as their place in the input), else by time and size; n is the number of hours that have a value, so that an
+    hour that comes twice never stands for one that lacks. Sums are partial before the one exchange.
     """
     x = F.col(value).cast("double")
     good = F.when(~F.isnan(x) & (x >= 0), x)
-    return (
-        hourly.withColumn("__end", window_end(F.col(time), hours, label_is))
-        .groupBy(*keys, F.col("__end").alias("time"))
-        .agg(F.sum(good).alias("total"), F.count(good).alias("n"))
-        .select(*keys, "time", F.when(F.col("n") == hours, F.col("total")).alias("p6"), "n")
-    )
+    end = window_end(F.col(time), hours, label_is)
+    first = F.struct(*([order] if order else []), F.col(time), good)
+    parts, total, n = hourly_sums(good, F.col(time), end, first, hours, label_is)
+    return hourly.groupBy(*keys, end.alias("__end")).agg(*parts).select(*keys, F.col("__end").alias("time"), total.alias("p6"), n.alias("n"))
 
 
 def with_season_spine(cells: DataFrame, years: list[int], series: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,10 +55,19 @@ def with_season_spine(cells: DataFrame, years: list[int], series: DataFrame, key
 
 
 def gap_filled(series: DataFrame, keys: list[str], time: str = "time", step_seconds: int = STEP_SECONDS) -> DataFrame:
-    """The series on its regular axis from first to last step; steps that lack are NULL rows."""
+    """The series on its regular axis from first to last step; steps that lack are NULL rows.
+
+    A time off the axis of its group, or one that comes twice, is an error and names it.
+    """
     span = series.groupBy(*keys).agg(F.min(time).alias("a"), F.max(time).alias("b"))
-    axis = span.select(*keys, F.explode(F.sequence("a", "b", F.expr(f"interval {step_seconds} seconds"))).alias(time))
-    return axis.join(series, [*keys, time], "left")
+    step = F.expr(f"interval {step_seconds} seconds")
+    axis = span.select(*keys, F.explode(F.sequence("a", "b", step)).alias(time))
+    w = Window.partitionBy(*keys).orderBy(time)
+    gap = micros(F.col(time)) - micros(F.lag(time).over(w))
+    wrong = F.coalesce((gap == 0) | (F.pmod(gap, F.lit(step_seconds * MICROS)) != 0), F.lit(False))
+    message = F.concat(F.lit("a time off its axis: "), F.col(time).cast("string"))
+    checked = series.withColumn("__wrong", wrong).withColumn(time, F.when(F.col("__wrong"), F.raise_error(message).cast(series.schema[time].dataType)).otherwise(F.col(time)))
+    return axis.join(checked.drop("__wrong"), [*keys, time], "left")
 
 
 def _span(keys: list[str], time: str, first: int, last: int):

@@ -61,6 +61,17 @@ def accum_6h(spark, sf):
     return rain.accumulate(P.hourly(spark, sf), ["cell"]).select("cell", epoch(), r6("p6"), "n")
 
 
+@query(f"""WITH v AS (SELECT user_id // {P.HOURLY_USERS} AS cell, date_trunc('hour', ts) AS time, event_id, CASE WHEN value > 2 THEN value END AS p FROM events),
+  h AS (SELECT cell, time, arg_min(p, event_id) FILTER (p IS NOT NULL) AS p FROM v GROUP BY 1, 2)
+  SELECT cell, epoch(t)::BIGINT AS t, {q6('CASE WHEN n = 6 THEN s END', 'p6')}, n FROM (
+    SELECT cell, make_timestamp((ceil((epoch(time) + 3600) / 21600) * 21600 * 1000000)::BIGINT) AS t, sum(p) AS s, count(p) AS n FROM h GROUP BY 1, 2)""")
+def accum_repeated_hours(spark, sf):
+    """Every event is an hourly value of its own: most hours come several times, others lack or hold no valid value."""
+    e = P.table(spark, sf, "events")
+    hours = e.select(F.expr(f"user_id div {P.HOURLY_USERS}").alias("cell"), F.date_trunc("hour", "ts").alias("time"), "event_id", F.when(F.col("value") > 2, F.col("value")).otherwise(-1.0).alias("p"))
+    return rain.accumulate(hours, ["cell"], order="event_id").select("cell", epoch(), r6("p6"), "n")
+
+
 @query(ctes("series", "rolled") + f"SELECT cell, epoch(time)::BIGINT AS t, {q6('r24')}, {q6('r72')}, {q6('a72')} FROM rolled")
 def rolling_24h_72h(spark, sf):
     return rain.with_durations(P.series(spark, sf), ["cell"]).select("cell", epoch(), r6("r24"), r6("r72"), r6("a72"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from galerna.constants import QUADRANTS
 from galerna.functions import geometry
+from galerna.functions import text as X
 from galerna.operators import declarations as D
 from galerna.operators import extremes, joins, quantiles, rain, tracks
 from galerna.plans import climatology
@@ -97,12 +98,15 @@ def exact_in_time(spark, sf):
     return joins.exact_in_time(t, P.series(spark, sf), ["cell"]).select("target_id", epoch(), r6("p6"))
 
 
-@query(ctes("grid") + f"SELECT n_nationkey::BIGINT AS n_nationkey, cell FROM nation LEFT JOIN grid ON round(cell_lat * 100) = round((12.0 + n_nationkey % 7) * 100) AND round(cell_lon * 100) = round((-118.0 + 3 * (n_nationkey % 3)) * 100)")
+@query(ctes("grid") + """, o AS (SELECT o_orderkey, 12.0 + 2 * (o_orderkey % 5) + ((o_custkey % 31) - 15) / 10000.0 AS lat, -118.0 + 3 * (o_custkey % 9) + ((o_orderkey % 37) - 18) / 10000.0 AS lon FROM orders)
+  SELECT o_orderkey, cell FROM o LEFT JOIN grid ON abs(cell_lat - lat) <= 0.001 + 1e-9 AND abs(cell_lon - lon) <= 0.001 + 1e-9""")
 def on_grid(spark, sf):
-    n = F.col("n_nationkey")
-    points = P.table(spark, sf, "nation").select(n.cast("long").alias("n_nationkey"), (12.0 + n % 7).alias("lat"), (-118.0 + 3 * (n % 3)).alias("lon"))
+    """Points some ten-thousandths of a degree beside the cells, on either side of any rounding."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    lat, lon = 12.0 + 2 * (k % 5) + ((c % 31) - 15) / 10000.0, -118.0 + 3 * (c % 9) + ((k % 37) - 18) / 10000.0
+    points = P.table(spark, sf, "orders").select("o_orderkey", lat.alias("lat"), lon.alias("lon"))
     grid = P.grid(spark, sf).select("cell", F.col("cell_lat").alias("lat"), F.col("cell_lon").cast("double").alias("lon"))
-    return joins.on_grid(points, grid).select("n_nationkey", "cell")
+    return joins.on_grid(points, grid).select("o_orderkey", "cell")
 
 
 @query(ctes("tracks") + "SELECT k, storm_id, i, lat, lon FROM tracks WHERE i = 24 + k")
@@ -162,27 +166,58 @@ def cloud_blocks(spark, sf):
     )
 
 
-@query("SELECT s_suppkey, n_nationkey::BIGINT AS code, 'exact' AS how FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+_NAME = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
+_SMALL = "['de', 'del', 'la', 'las', 'los', 'el', '']"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS code, p_name AS name, p_partkey % 5 AS state, {_NAME.format('p_name')} AS own FROM part),
+  wd AS (SELECT s_suppkey, state, list_filter([w1, CASE WHEN s_suppkey % 3 = 0 THEN 'de la' ELSE w2 END, CASE WHEN s_suppkey % 4 = 0 THEN w3 END], lambda x: x IS NOT NULL) AS l, name, s_suppkey % 7 AS k, code FROM
+    (SELECT s_suppkey, p.*, string_split(own, ' ')[-1] AS w1, string_split(own, ' ')[1] AS w2, 'nowhere' AS w3 FROM supplier JOIN p ON code = s_suppkey)),
+  w AS (SELECT s_suppkey, state, CASE WHEN k < 3 THEN '  ' || upper(name) || '!' ELSE array_to_string(l, ' ') END AS wanted, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey + 1 END AS back FROM wd),
+  n AS (SELECT *, {_NAME.format('wanted')} AS nm FROM w),
+  x AS (SELECT n.s_suppkey, count(*) AS hits, min(code) AS code FROM n JOIN p ON p.state = n.state AND own = nm GROUP BY 1),
+  y AS (SELECT n.s_suppkey, count(*) AS hits, min(code) AS code FROM n ANTI JOIN x USING (s_suppkey) JOIN p ON p.state = n.state
+    AND len(list_filter(string_split(nm, ' '), lambda v: NOT list_contains({_SMALL}, v) AND NOT list_contains(string_split(own, ' '), v))) = 0 GROUP BY 1),
+  f AS (SELECT *, 'exact' AS how FROM x UNION ALL SELECT *, 'words' FROM y),
+  r AS (SELECT n.s_suppkey, coalesce(f.hits, 0) AS hits, f.code, f.how, back, nm, n.state, coalesce(f.hits, 0) = 0 AND back IN (SELECT code FROM p) AS taken FROM n LEFT JOIN f USING (s_suppkey)),
+  sm AS (SELECT r.s_suppkey, string_agg(name, ';' ORDER BY name) AS alike FROM r, LATERAL (SELECT name FROM p WHERE p.state = r.state AND contains(own, string_split(nm, ' ')[1]) ORDER BY name LIMIT 15) GROUP BY 1)
+  SELECT s_suppkey, hits, CASE WHEN hits = 1 THEN code WHEN taken THEN back END::BIGINT AS code, CASE WHEN hits = 1 THEN how WHEN taken THEN 'code' WHEN hits > 1 THEN 'several' ELSE 'none' END AS how,
+    CASE WHEN hits <> 1 AND NOT taken THEN coalesce(alike, '') END AS "similar" FROM r LEFT JOIN sm USING (s_suppkey)""")
 def find_place(spark, sf):
-    """The nation of each supplier found by its name with accents, marks and other letter case."""
-    nations = P.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("code"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("state"))
-    named = F.translate(F.lower("n_name"), "aeiou", "áèîõü")
-    wanted = P.table(spark, sf, "supplier").join(P.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("wanted_id"), F.concat(F.lit(" "), named, F.lit(".")).alias("wanted"), F.col("n_regionkey").alias("state"))
-    return joins.find_place(nations, wanted).select(F.col("wanted_id").alias("s_suppkey"), "code", "how")
+    """Each supplier looks for a part of its number: by its name in other letters, by some of its words, or by words that lack."""
+    names = X.comparable(F.col("p_name"))
+    parts = P.table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), (F.col("p_partkey") % 5).alias("state"), F.split(names, " ").alias("w"))
+    s = F.col("s_suppkey")
+    some = F.concat_ws(" ", F.element_at("w", -1), F.when(s % 3 == 0, "de la").otherwise(F.element_at("w", 1)), F.when(s % 4 == 0, "nowhere"))
+    wanted = P.table(spark, sf, "supplier").join(parts, s == F.col("code")).select(
+        s.alias("wanted_id"), "state", F.when(s % 7 < 3, F.concat(F.lit("  "), F.upper("name"), F.lit("!"))).otherwise(some).alias("wanted"), F.when(s % 2 == 0, s + 1).alias("back"))
+    out = joins.find_place(parts.drop("w"), wanted, "back")
+    return out.select(F.col("wanted_id").alias("s_suppkey"), "hits", F.col("code").cast("long").alias("code"), "how", F.array_join("similar", ";").alias("similar"))
+
+
+_RINGS = (
+    [(0.0, 0.0), (5.2, 0.4), (5.6, 2.0), (4.1, 5.0), (0.0, 4.9)],  # the coast
+    [(2.6, 0.8), (3.4, 0.8), (3.4, 2.6), (2.6, 2.6)],  # a hole
+    [(6.5, 4.0), (9.5, 4.3), (7.6, 8.0), (6.6, 7.9)],  # an island
+)
 
 
-@query(ctes("grid") + """, b AS (SELECT n_nationkey::BIGINT AS place, 11.0 + 2 * (n_nationkey % 5) AS y, -119.5 + 3.0 * (n_nationkey // 5) AS x FROM nation)
-  SELECT place, cell, count(*) OVER (PARTITION BY place) AS n_centres FROM b JOIN grid ON cell_lat > y AND cell_lat < y + 2.5 AND cell_lon > x AND cell_lon < x + 3.5""")
+@query(ctes("grid") + f""", rings(r, k, dy, dx) AS (VALUES {", ".join(f"({r}, {k}, {y}, {x})" for r, ring in enumerate(_RINGS) for k, (y, x) in enumerate(ring))}),
+  b AS (SELECT n_nationkey::BIGINT AS place, (CASE WHEN n_nationkey < 22 THEN 11.0 + 2 * (n_nationkey % 5) ELSE 60.0 + 5 * (n_nationkey % 5) END)::DOUBLE AS y, (CASE WHEN n_nationkey < 22 THEN -119.5 + 3.0 * (n_nationkey // 5) ELSE 100.0 + 30 * (n_nationkey % 5) END)::DOUBLE AS x FROM nation),
+  v AS (SELECT place, r, k, y + dy AS lat, x + dx AS lon FROM b, rings),
+  e AS (SELECT place, lat AS y0, lon AS x0, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y1, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS x1 FROM v WINDOW w AS (PARTITION BY place, r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  i AS (SELECT place, cell FROM e, grid WHERE (y0 > cell_lat) <> (y1 > cell_lat) AND cell_lon < x0 + (cell_lat - y0) * (x1 - x0) / (y1 - y0) GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+  d AS (SELECT b.place, cell, {_dist('cell_lat', 'cell_lon', '(y + 0.3)', '(x + 0.3)')} AS d FROM b ANTI JOIN i ON i.place = b.place, grid)
+  SELECT place, cell, count(*) OVER (PARTITION BY place) AS n_centres FROM i UNION ALL SELECT place, arg_min(cell, row(d, cell)), 0 FROM d GROUP BY 1""")
 def polygon_cells(spark, sf):
-    """Cells inside a rectangle of each nation; those without a centre inside have no cell within reach."""
+    """Cells inside each nation's coast and island but not its hole; those without a cell take the nearest one, half the globe away."""
     n = F.col("n_nationkey")
-    y, x = 11.0 + 2 * (n % 5), -119.5 + 3.0 * F.floor(n / 5)
-    corner = lambda a, b: F.struct((y + a).cast("double").alias("lat"), (x + b).cast("double").alias("lon"))
-    ring = F.array(corner(0.0, 0.0), corner(2.5, 0.0), corner(2.5, 3.5), corner(0.0, 3.5))
-    boxes = P.table(spark, sf, "nation").select(n.cast("long").alias("place"), ring.alias("ring"))
-    boxes = boxes.withColumn("p", geometry.representative_point(F.col("ring"))).select("place", "ring", (F.col("p.lat") + 40).alias("place_lat"), F.col("p.lon").alias("place_lon"))
-    return joins.polygon_cells(boxes, P.grid(spark, sf)).select("place", "cell", F.col("n_centres").cast("long").alias("n_centres"))
+    y = F.when(n < 22, 11.0 + 2 * (n % 5)).otherwise(60.0 + 5 * (n % 5)).cast("double")
+    x = F.when(n < 22, -119.5 + 3.0 * F.floor(n / 5)).otherwise(100.0 + 30 * (n % 5)).cast("double")
+    rings = F.array(*(F.array(*(F.struct((y + a).alias("lat"), (x + b).alias("lon")) for a, b in ring)) for ring in _RINGS))
+    shapes = P.table(spark, sf, "nation").select(n.cast("long").alias("place"), rings.alias("rings"), (y + 0.3).alias("place_lat"), (x + 0.3).alias("place_lon"))
+    out = finished(spark, lambda own: joins.polygon_cells(shapes, P.grid(spark, sf), own))
+    return out.select("place", "cell", F.col("n_centres").cast("long").alias("n_centres"))
 
 
 @query("""SELECT s_suppkey, j::BIGINT AS step, (epoch(TIMESTAMP '2024-06-01') + 21600 * j)::BIGINT AS t, (10.0 + j)::DOUBLE AS lat, CASE WHEN (s_suppkey + j) % 3 = 0 THEN NULL ELSE (30 + j)::DOUBLE END AS vmax_kt,

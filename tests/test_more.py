@@ -122,10 +122,10 @@ def test_points_and_masks(spark):
     assert got["square"] == pytest.approx((1.0, 1.0)) and got["u"] == pytest.approx((2.5, 7.5))
     cells = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 4.0, 8.0)], "cell int, cell_lat double, cell_lon double")
     boxes = df.select("place", "ring", F.col("p.lat").alias("place_lat"), F.col("p.lon").alias("place_lon"))
-    assert {r.cell: r.inside for r in joins.in_polygons(cells, boxes).collect()} == {1: True, 2: False, 3: True}
+    assert {r.cell: r.inside for r in joins.in_polygons(cells, boxes.withColumn("rings", F.array("ring"))).collect()} == {1: True, 2: False, 3: True}
     places = spark.createDataFrame([("01001", "La Paz", "B")], "code string, name string, state string")
     wanted = spark.createDataFrame([(1, "la paz", "B", None), (2, "Elsewhere", "B", "01001"), (3, "Nowhere", "B", "77777")], "wanted_id int, wanted string, state string, known string")
-    assert {(r.wanted_id, r.code, r.how) for r in joins.find_place(places, wanted, "known").collect()} == {(1, "01001", "exact"), (2, "01001", "code")}
+    assert {(r.wanted_id, r.code, r.how) for r in joins.find_place(places, wanted, "known").collect()} == {(1, "01001", "exact"), (2, "01001", "code"), (3, None, "none")}
 
 
 def test_percentile_intervals_by_the_distribution(spark):

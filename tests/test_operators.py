@@ -11,6 +11,7 @@ from galerna import config
 from galerna.operators import declarations, extremes, joins, municipal, quality, quantiles, rain, sets
 from galerna.plans import climatology, snapshot
 from galerna.sources import tables
+from galerna.sources.staging import finished
 from galerna.streaming import rain as stream_rain
 
 T0 = dt.datetime(2021, 5, 1, 6)
@@ -113,12 +114,13 @@ def test_polygons_and_places(spark):
         "place string, place_lat double, place_lon double, ring array<struct<lat:double,lon:double>>",
     )
     got = {}
-    for r in joins.polygon_cells(polygons, cells).collect():
+    shapes = polygons.withColumn("rings", F.array("ring"))
+    for r in finished(spark, lambda own: joins.polygon_cells(shapes, cells, own)).collect():
         got.setdefault((r.place, r.n_centres), set()).add(r.cell)
     assert got == {("square", 9): {10 * i + j for i in (2, 3, 4) for j in (2, 3, 4)}, ("l", 5): {66, 67, 68, 76, 86}, ("dot", 0): {0}}
     places = spark.createDataFrame([("01001", "San José del Cabo", "BCS"), ("01002", "La Paz", "BCS")], "code string, name string, state string")
     wanted = spark.createDataFrame([(1, "la paz", "BCS"), (2, "San Jose", "BCS"), (3, "Nowhere", "BCS")], "wanted_id int, wanted string, state string")
-    assert {(r.wanted_id, r.code, r.how) for r in joins.find_place(places, wanted).collect()} == {(1, "01002", "exact"), (2, "01001", "words")}
+    assert {(r.wanted_id, r.code, r.how) for r in joins.find_place(places, wanted).collect()} == {(1, "01002", "exact"), (2, "01001", "words"), (3, None, "none")}
 
 
 def test_storm_cells_over_the_date_line(spark):

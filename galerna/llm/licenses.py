@@ -10,9 +10,11 @@ tokens (prefix filter), the block must have ``a`` tokens (length filter), and af
 be left on both sides (positional filter). What passes is verified. The filters lose nothing, and the join runs within
 the row: its template side is the literal list of templates, so nothing is shuffled whatever the text's skew.
 
-Notices of two versions share most words, so that the one's block matches the other's template as well. Such a match is
-marked ``explained``, and gives no label, where in the same block a template that alone would make it match scores higher
-(or as high with more words): a text gets the version that fits best, and both if they fit alike.
+Notices of two versions, or a long notice and a short one, share most words, so that the one's block matches the other's
+template as well. Such a match is marked ``explained``, and gives no label, where in the same words (its block, or a larger
+block that holds it) a template that alone would make it match scores higher, or as high with more words: a text gets the
+version that fits best, and both if they fit alike. No template matches by fewer than ``LEAST_WORDS`` words, which any prose may
+hold by chance; shorter notices are phrases.
 
 Edge cases: null texts count as empty; texts without words have no label and score 0; repeated rows get equal results;
 very long texts are scanned whole; an empty table gives no rows; extra columns stay, and those named like a result are
@@ -31,6 +33,8 @@ from galerna.llm.common import ascii_lower, whole_text
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Least overlap of a match in words.
+LEAST_WORDS = 8
 #: Least block; larger ones for templates of more than half of it.
 BLOCK_WORDS = 64
 
@@ -50,7 +54,6 @@ class Template:
 
 #: Notices in plain words.
 TEMPLATES = (
-    Template("mit", "released under the terms of the mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     Template(
         "mit",
@@ -58,17 +61,15 @@ TEMPLATES = (
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
         "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     ),
-    Template("apache-2", "licensed under the apache license version 2 0"),
     Template(
         "apache-2",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain "
         "a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed "
         "on an as is basis without warranties or conditions of any kind either express or implied",
     ),
-    Template("cc-by", "licensed under cc by 4 0"),
     Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     Template("gpl", "this work is licensed under the gnu general public license"),
     Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
     Template("gpl-2", "this work is licensed under the gnu general public license version 2"),
@@ -89,7 +90,6 @@ TEMPLATES = (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are "
         "met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     ),
-    Template("unnamed", "released under the terms of the license"),
 )
 
 
@@ -107,11 +107,11 @@ def block_words(template: Template) -> int:
 
 
 def rivals(templates: tuple[Template, ...], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """(t, u): templates of one block size such that u, whole in a block, makes the block match t."""
+    """(t, u): templates such that u, whole in a block, makes the block match t; u's block is as large as t's, or larger."""
     sets = [set(t.text.split()) for t in templates]
     return [
         (t, u) for t in range(len(sets)) for u in range(len(sets))
-        if t != u and block_words(templates[t]) == block_words(templates[u]) and len(sets[t] & sets[u]) >= least_of(templates[t], threshold)
+        if t != u and block_words(templates[t]) <= block_words(templates[u]) and len(sets[t] & sets[u]) >= least_of(templates[t], threshold)
     ]
 
 
@@ -166,6 +166,7 @@ def token_frequencies(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES
     return {w: 0 for w in tokens} | {r[0]: r[1] for r in counts.collect()}  # a row for each token at most
 
 
+FOUND = "array<struct<t:int,start:bigint,size:int,n:int>>"
 MATCHES = "array<struct<label:string,start_word:bigint,score:double,explained:boolean>>"
 
 
@@ -175,6 +176,8 @@ class Join:
     def __init__(self, frequencies: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD):
         self.order = sorted(frequencies, key=lambda w: (frequencies[w], w))
         self.labels = [t.label for t in templates]
+        if min((least_of(t, threshold) for t in templates), default=LEAST_WORDS) < LEAST_WORDS:
+            raise ValueError(f"a template matches by fewer than {LEAST_WORDS} words")
         rank = {w: k + 1 for k, w in enumerate(self.order)}
         self.tokens = [sorted({rank[w] for w in t.text.split()}) for t in templates]
         self.least = [least_of(t, threshold) for t in templates]
@@ -196,29 +199,36 @@ class Join:
         verified = _of(F.size(F.array_intersect(own, block)), lambda n: F.when(n >= least, n))
         return F.when(F.size(block) >= least, F.when(positional, verified))
 
-    def _match(self, block: Column, start: Column, some: list[int]) -> Column:
-        """The block's matches with the templates ``some``."""
-
-        def one(found: Column, at: int) -> Column:
-            k, n = some[at], found[at]
-            explained = F.lit(False)
-            for t, u in self.rivals:
-                if t == k:
-                    other, ours, theirs = found[some.index(u)], len(self.tokens[k]), len(self.tokens[u])
-                    better = other * ours >= n * theirs if theirs > ours else other * ours > n * theirs
-                    explained = explained | F.coalesce(better, F.lit(False))
-            return F.when(n.isNotNull(), F.struct(
-                F.lit(self.labels[k]).alias("label"), start.alias("start_word"), (n / len(self.tokens[k])).alias("score"), explained.alias("explained")
-            ))
-
-        return _of(
-            F.array(*(self._overlap(block, k) for k in some)), lambda found: F.array_compact(F.array(*(one(found, at) for at in range(len(some)))))
-        )
+    def _match(self, block: Column, start: Column, size: int, some: list[int]) -> Column:
+        """The block's matches with the templates ``some``: template, start and size of the block, overlap."""
+
+        def one(n: Column, k: int) -> Column:
+            return F.when(n.isNotNull(), F.struct(F.lit(k).alias("t"), start.alias("start"), F.lit(size).alias("size"), n.alias("n")))
+
+        each = lambda found: F.array_compact(F.array(*(one(found[at], k) for at, k in enumerate(some))))
+        return _of(F.array(*(self._overlap(block, k) for k in some)), each)
+
+    def _chosen(self, found: Column) -> Column:
+        """MATCHES of all that the blocks have: with labels and scores, and whether another match explains it."""
+        n_templates = len(self.tokens)
+        sizes = F.array(*(F.lit(len(t)) for t in self.tokens))
+        labels = F.array(*map(F.lit, self.labels))
+        pairs = F.array(*(F.lit(t * n_templates + u) for t, u in self.rivals)) if self.rivals else F.array().cast("array<int>")
+
+        def explains(m: Column, x: Column) -> Column:
+            ours, theirs = sizes[m["t"]], sizes[x["t"]]
+            holds = (x["start"] <= m["start"]) & (x["start"] + x["size"] >= m["start"] + m["size"])
+            better = (x["n"] * ours > m["n"] * theirs) | ((x["n"] * ours == m["n"] * theirs) & (theirs > ours))
+            return holds & F.array_contains(pairs, m["t"] * n_templates + x["t"]) & better
+
+        return F.transform(found, lambda m: F.struct(
+            labels[m["t"]].alias("label"), m["start"].alias("start_word"), (m["n"] / sizes[m["t"]]).alias("score"), F.exists(found, lambda x: explains(m, x)).alias("explained")
+        ))
 
     def matches(self, words: Column) -> Column:
         """All matches of the blocks of an array of words."""
         order = F.array(*map(F.lit, self.order))
-        none = F.array().cast(MATCHES)
+        none = F.array().cast(FOUND)
 
         def of_size(ws: Column, size: int, some: list[int]) -> Column:
             rarest = F.array(*(F.lit(self.order[r - 1]) for r in sorted({r for k in some for r in self._prefix(k)})))
@@ -226,7 +236,7 @@ class Join:
             def block(start: Column) -> Column:
                 def ranked(w: Column) -> Column:
                     ranks = F.filter(F.transform(w, lambda x: F.array_position(order, x)), lambda r: r > 0)
-                    return _of(F.array_sort(F.array_distinct(ranks)), lambda b: self._match(b, start, some))
+                    return _of(F.array_sort(F.array_distinct(ranks)), lambda b: self._match(b, start, size, some))
 
                 window = F.slice(ws, (start + 1).cast("int"), size)
                 return _of(window, lambda w: F.when(F.arrays_overlap(w, rarest), ranked(w)).otherwise(none))
@@ -234,7 +244,8 @@ class Join:
             starts = F.sequence(F.lit(0).cast("long"), F.size(ws).cast("long") - 1, F.lit(size // 2).cast("long"))
             return F.when((F.size(ws) > 0) & F.arrays_overlap(ws, rarest), F.flatten(F.transform(starts, block))).otherwise(none)
 
-        return _of(words, lambda ws: F.concat(*(of_size(ws, size, some) for size, some in self.sizes.items())))
+        every = _of(words, lambda ws: F.concat(*(of_size(ws, size, some) for size, some in self.sizes.items())))
+        return _of(every, lambda found: F.when(F.size(found) > 0, self._chosen(found)).otherwise(F.array().cast(MATCHES)))
 
 
 def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

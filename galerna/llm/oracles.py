@@ -33,7 +33,7 @@ def op2() -> str:
     blocks AS (SELECT r, size, s, list_slice(w, s + 1, s + size) AS b FROM (SELECT r, w, size, unnest(range(0, len(w), size // 2)) AS s FROM docs, sized)),
     method AS MATERIALIZED (SELECT *, o::DOUBLE / n AS score FROM ({method}) WHERE o::DOUBLE / n >= {licenses.THRESHOLD} - 1e-9),
     rivals(t, u) AS (VALUES {pairs}),
-    explained AS (SELECT DISTINCT m.r, m.size, m.s, m.t FROM method m JOIN rivals v ON v.t = m.t JOIN method x ON x.t = v.u AND x.r = m.r AND x.size = m.size AND x.s = m.s
+    explained AS (SELECT DISTINCT m.r, m.size, m.s, m.t FROM method m JOIN rivals v ON v.t = m.t JOIN method x ON x.t = v.u AND x.r = m.r AND x.s <= m.s AND x.s + x.size >= m.s + m.size
       WHERE x.o * m.n > m.o * x.n OR (x.o * m.n = m.o * x.n AND x.n > m.n)),
     named AS (SELECT m.r, m.label FROM method m ANTI JOIN explained e ON e.r = m.r AND e.size = m.size AND e.s = m.s AND e.t = m.t),
     b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),

@@ -112,15 +112,19 @@ class Model:
 
     @staticmethod
     def fit(labelled: DataFrame, rows_a_language: int = FIT_ROWS) -> "Model":
-        """``labelled`` has text and lang. Of a language with more than ``rows_a_language`` rows, a sample of
-        rows is taken, each by chance, so that copies of one text do not come all or none."""
-        labelled = labelled.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+        """``labelled`` has text, lang and (where known) row, a number of the row by which it is drawn: of a language with
+        more than ``rows_a_language`` rows a sample is taken, the same however the table is laid out, and copies of one text
+        do not come all or none. Without row the text itself is its number."""
+        labelled = labelled.filter("text is not null and lang is not null")
+        row = F.col("row") if "row" in labelled.columns else F.xxhash64("text")
+        labelled = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string"), row.alias("row"))
         sizes = dict(labelled.groupBy("lang").count().collect())
         languages = sorted(sizes)
         if not languages:
             return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
         share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, rows_a_language / sizes[k]))))
-        sample = labelled.filter(F.rand(1) < share[F.col("lang")])
+        chance = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(1 << 30)) / float(1 << 30)
+        sample = labelled.filter(chance < share[F.col("lang")])
 
         def count(langs: list, texts: list) -> Iterator[tuple]:
             found: dict[str, Counter] = {}

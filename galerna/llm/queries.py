@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galerna.llm import align, audit, bpe, decontaminate, langid, licenses, lm, oracles, pii, quality, simhash, toxicity, urls, warc
-from galerna.llm.common import held_out, materialize, ship, table
+from galerna.llm.common import drop_table, held_out, materialize, ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -38,7 +38,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 4, 2)
-    model = langid.Model.fit(documents.filter(~held).select("text", "lang"))
+    model = langid.Model.fit(documents.filter(~held).select("text", "lang", F.xxhash64("doc_id", "text").alias("row")))
     return langid.identify(documents, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
 
 
@@ -97,7 +97,9 @@ def shouting_hosts(pages: DataFrame) -> DataFrame:
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = materialize(shouting_hosts(pages), "listed")
-    return urls.judge(pages.select("page_id", "url"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+    judged = urls.judge(pages.select("page_id", "url"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+    drop_table(listed)  # the cascade is built
+    return judged
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

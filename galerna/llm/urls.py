@@ -12,11 +12,12 @@ at most; beyond that each shard's rows, cut into parts so that a hot key is spre
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and is in no list unless the
 empty host is listed; a null or unknown host in the list does no harm; keys outside the universe must not be asked for;
 an empty list allows everything; repeated rows get equal results; very long urls are read whole; an empty table gives no
-rows; extra columns stay, and those named host, path, rule or verdict are replaced.
+rows; keys that share both 64-bit hashes with a key of the other side are listed by name; extra columns stay, and those named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,7 +75,8 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))]
+    """Two hashes of a key. What comes first seeds the rest, so that keys that collide in one differ in the other."""
+    return [F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)]
 
 
 @dataclass
@@ -112,12 +114,20 @@ def levels_of(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> list[Level]
     out, inside, outside = [], np.flatnonzero(listed), np.flatnonzero(~listed)
     while len(inside):
         if len(out) == MAX_LEVELS:
-            raise RuntimeError("the cascade does not end: a key is both inside and outside the list")
+            raise RuntimeError("the cascade does not end")
         out.append(Level.of(len(out), h1[inside], h2[inside]))
         inside, outside = outside[out[-1].holds(h1[outside], h2[outside])], inside
     return out
 
 
+def clashing(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which keys share both hashes with a key of the other side: no filter tells these apart."""
+    both = np.rec.fromarrays([h1, h2])
+    _, group = np.unique(both, return_inverse=True)
+    n, inside = np.bincount(group), np.bincount(group, listed)
+    return ((inside > 0) & (inside < n))[group]
+
+
 def contained(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """The number of leading levels that hold a key is odd just for listed keys."""
     going, found = np.ones(len(h1), bool), np.zeros(len(h1), bool)
@@ -131,11 +141,28 @@ def _unsigned(values) -> np.ndarray:
     return np.asarray(values, np.int64).view(np.uint64)
 
 
+class Shard:
+    """The levels of a shard, and the few keys that its hashes do not tell apart, with their sides."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        rows = sorted(rows)
+        self.levels = [Level(number, bits, np.frombuffer(words, np.uint64)) for number, bits, words in rows if number >= 0]
+        self.named = {k: v for number, _, words in rows if number < 0 for k, v in json.loads(words).items()}
+
+    def holds(self, keys: list, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        found = contained(self.levels, h1, h2)
+        if self.named:
+            for at, key in enumerate(keys):
+                if key in self.named:
+                    found[at] = self.named[key]
+        return found
+
+
 @dataclass
 class Cascade:
     """Exact membership of the keys of a universe in a list."""
 
-    #: (shard, number, bits, words), a row for each level.
+    #: (shard, number, bits, words), a row for each level; number -1: keys that the hashes do not tell apart.
     filters: DataFrame
     shards: int
 
@@ -143,14 +170,21 @@ class Cascade:
     def fit(universe: DataFrame, listed: DataFrame) -> "Cascade":
         """``universe`` and ``listed`` have column key; listed keys outside the universe are left out."""
         keys = universe.select("key").distinct().join(listed.select("key", F.lit(True).alias("listed")).distinct(), "key", "left")
-        keys = materialize(keys.select(*(h.alias(n) for h, n in zip(_hashes(F.col("key")), ("h1", "h2"))), F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+        hashed = (h.alias(n) for h, n in zip(_hashes(F.col("key")), ("h1", "h2")))
+        keys = materialize(keys.select("key", *hashed, F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
         shards = max(1, math.ceil(keys.count() / SHARD_KEYS))
 
         def build(table: pa.Table) -> pa.Table:
-            made = levels_of(*(_unsigned(table.column(c).to_numpy()) for c in ("h1", "h2")), table.column("listed").to_numpy())
+            h1, h2 = (_unsigned(table.column(c).to_numpy()) for c in ("h1", "h2"))
+            listed = table.column("listed").to_numpy()
+            clash = clashing(h1, h2, listed)
+            rows = [(x.number, x.bits, x.words.tobytes()) for x in levels_of(h1[~clash], h2[~clash], listed[~clash])]
+            if clash.any():
+                rows.append((-1, 0, json.dumps(dict(zip(table.filter(pa.array(clash)).column("key").to_pylist(), listed[clash].tolist()))).encode()))
+            number, bits, words = zip(*rows) if rows else ((), (), ())
             return pa.table({
-                "shard": pa.array([table.column("shard")[0].as_py()] * len(made), pa.int32()), "number": pa.array([x.number for x in made], pa.int32()),
-                "bits": pa.array([x.bits for x in made], pa.int64()), "words": pa.array([x.words.tobytes() for x in made], pa.binary()),
+                "shard": pa.array([table.column("shard")[0].as_py()] * len(rows), pa.int32()), "number": pa.array(number, pa.int32()),
+                "bits": pa.array(bits, pa.int64()), "words": pa.array(words, pa.binary()),
             })
 
         dealt = keys.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
@@ -165,39 +199,46 @@ class Cascade:
         """``rows`` with a column ``name``: whether column ``key`` is listed. The order of rows may change."""
         h1, h2 = _hashes(F.col(key))
         if self.size_bytes() <= MAX_FILTER_BYTES:
-            made: dict[int, list[Level]] = {}
-            for r in self.filters.orderBy("shard", "number").collect():  # of the size just checked
-                made.setdefault(r.shard, []).append(Level(r.number, r.bits, np.frombuffer(r.words, np.uint64)))
+            made: dict[int, list] = {}
+            for r in self.filters.collect():  # of the size just checked
+                made.setdefault(r.shard, []).append((r.number, r.bits, bytes(r.words)))
             if not made:
                 return rows.withColumn(name, F.lit(False))
-            sent, shards = rows.sparkSession.sparkContext.broadcast(made), self.shards
+            shards = self.shards
+            sent = rows.sparkSession.sparkContext.broadcast({s: Shard(x) for s, x in made.items()})
 
             @F.pandas_udf("boolean")
-            def test(a: pd.Series, b: pd.Series) -> pd.Series:
+            def test(k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
                 shard, found = np.mod(a.to_numpy(np.int64), shards), np.zeros(len(a), bool)
                 for s in np.unique(shard).tolist():
                     own = shard == s
-                    found[own] = contained(sent.value.get(s, []), _unsigned(a[own]), _unsigned(b[own]))
+                    if s in sent.value:
+                        found[own] = sent.value[s].holds(k[own].tolist(), _unsigned(a[own]), _unsigned(b[own]))
                 return pd.Series(found)
 
-            return rows.withColumn(name, test(h1, h2))
-        return self._met(rows.withColumns({"__h1": h1, "__h2": h2, "__shard": F.pmod(h1, F.lit(self.shards)).cast("int")}), name)
+            return rows.withColumn(name, test(F.col(key), h1, h2))
+        return self._met(rows.withColumns({"__h1": h1, "__h2": h2, "__shard": F.pmod(h1, F.lit(self.shards)).cast("int")}), key, name)
+
+    def _met(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """Rows and filters meet by shard; a shard of many rows is cut into parts, each of which gets its filters.
 
-    def _met(self, rows: DataFrame, name: str) -> DataFrame:
-        """Rows and filters meet by shard; a shard of many rows is cut into parts, each of which gets its filters."""
-        parts = materialize(rows.groupBy("__shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("__parts")), "parts")
-        dealt = rows.join(parts, "__shard").withColumn("__part", F.floor(F.rand(1) * F.col("__parts")).cast("int")).drop("__parts")
-        filters = self.filters.withColumnRenamed("shard", "__shard").join(parts, "__shard").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        Parts are dealt by chance and written, so that a task that runs again reads the same parts.
+        """
+        sizes = materialize(rows.groupBy("__shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("__parts")), "parts")
+        dealt = materialize(rows.join(sizes, "__shard").withColumn("__part", F.floor(F.rand(1) * F.col("__parts")).cast("int")).drop("__parts"), "dealt")
+        filters = self.filters.withColumnRenamed("shard", "__shard").join(sizes, "__shard").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        filters = materialize(filters.drop("__parts"), "met-filters")
+        drop_table(sizes)
         out = [c for c in rows.columns if c not in ("__h1", "__h2", "__shard")]
 
         def test(some: pa.Table, levels: pa.Table) -> pa.Table:
-            made = sorted((Level(r["number"], r["bits"], np.frombuffer(r["words"], np.uint64)) for r in levels.to_pylist()), key=lambda x: x.number)
-            found = contained(made, *(_unsigned(some.column(c).to_numpy()) for c in ("__h1", "__h2")))
+            shard = Shard([(r["number"], r["bits"], r["words"]) for r in levels.to_pylist()])
+            found = shard.holds(some.column(key).to_pylist(), *(_unsigned(some.column(c).to_numpy()) for c in ("__h1", "__h2")))
             return some.select(out).append_column(name, pa.array(found))
 
         schema = T.StructType([*(rows.schema[c] for c in out), T.StructField(name, T.BooleanType())])
         keys = ("__shard", "__part")
-        return dealt.groupBy(*keys).cogroup(filters.drop("__parts").groupBy(*keys)).applyInArrow(test, schema)
+        return dealt.groupBy(*keys).cogroup(filters.groupBy(*keys)).applyInArrow(test, schema)
 
 
 def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url") -> DataFrame:
@@ -207,7 +248,9 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "ur
     of ``pages``.
     """
     with_host = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    judged = Cascade.fit(with_host.select(F.col("host").alias("key")), listed).mark(with_host, "host", "__in")
+    cascade = Cascade.fit(with_host.select(F.col("host").alias("key")), listed)
+    judged = cascade.mark(with_host, "host", "__in")
+    drop_table(cascade.filters)
     found = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("__in"), "block").otherwise("allow")
     return judged.withColumns({"rule": found["rule"], "verdict": F.coalesce(found["verdict"], method)}).drop("__in")

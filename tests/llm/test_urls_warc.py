@@ -45,6 +45,30 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert wrong(several) == 0
 
 
+def test_keys_that_no_hash_tells_apart(spark, monkeypatch):
+    plain = urls._hashes
+    same = ("host14", "host15", "host22")  # one of them is listed
+
+    def forced(key):
+        return [F.when(key.isin(*same), F.lit(5).cast("long")).otherwise(h) for h in plain(key)]
+
+    monkeypatch.setattr(urls, "_hashes", forced)
+    universe = spark.range(300).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
+    cascade = urls.Cascade.fit(universe, universe.filter("listed").select("key"))
+    assert cascade.filters.filter("number < 0").count() == 1
+    assert cascade.mark(universe, "key", "__in").filter("__in <> listed").count() == 0
+    monkeypatch.setattr(urls, "MAX_FILTER_BYTES", 0)
+    assert cascade.mark(universe, "key", "__in").filter("__in <> listed").count() == 0
+
+
+def test_hashes_are_independent(spark):
+    a, b = (spark.range(5).select(h.alias("h")).collect() for h in urls._hashes(F.col("id").cast("string")))
+    assert all(x != y for x, y in zip(a, b))
+    # the second is no function of the key's own 64-bit hash: the literal seeds it
+    own = spark.range(1).select(F.xxhash64(F.lit("k")).alias("x"), F.hash(F.lit("k")).alias("y"), *(h.alias(n) for h, n in zip(urls._hashes(F.lit("k")), "ab"))).head()
+    assert own.x not in (own.a, own.b)
+
+
 def test_audit_finds_every_difference(spark):
     rows = [(k, f"record {k} " * (k % 9 + 1)) for k in range(3000)] + [(5000, None)]
     good = spark.createDataFrame(rows, "key long, payload string").withColumn("record", warc.response_record(F.lit("http://x/"), F.col("payload")))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from galerna.llm import decontaminate as D
 
 
@@ -44,7 +46,7 @@ def test_copies_and_edits_are_found_and_others_left(spark, edges, nothing, monke
     assert {(r.doc_id, r.item_id) for r in rows} == want
     assert all(r.score == 1.0 and r.end_word - r.start_word == 30 for r in rows if 100 <= r.doc_id < 120)
     assert D.contaminated(nothing, bench).count() == 0 and D.contaminated(frame, bench.limit(0)).count() == 0
-    monkeypatch.setattr(D, "BLOCK_BYTES", 1500)  # several blocks of items
+    monkeypatch.setattr(D, "MAX_BITS", 64)  # a filter that passes nearly all windows
     assert {(r.doc_id, r.item_id) for r in D.contaminated(frame, bench).collect()} == want
 
 
@@ -81,6 +83,52 @@ def test_recall_by_length_and_edits_and_brute_force(spark):
     assert {p for p in got if p[0] in some and p[1] in some} == brute
 
 
+@pytest.mark.parametrize("vocabulary", [20, 60, 400])
+def test_recall_where_seeds_are_common(spark, vocabulary):
+    """Items and texts of the same few words, so that most seeds are found everywhere and none is rare."""
+    rng = random.Random(vocabulary)
+    names = [f"w{k}" for k in range(vocabulary)]
+    weights = [1 / (k + 1) for k in range(vocabulary)]
+    some = lambda n: rng.choices(names, weights, k=n)
+    items, docs, planted = [], [], []
+    for n in (9, 12, 16, 25, 40):
+        for share in (0.0, 0.1, 0.2):
+            for _ in range(4):
+                item = some(n)
+                copy = list(item)
+                for at in rng.sample(range(n), int(n * share)):
+                    copy[at] = rng.choice(names)
+                planted.append((len(items), len(items)))
+                items.append(item)
+                docs.append(some(40) + copy + some(40))
+    docs += [some(200) for _ in range(100)]
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(frame, bench).collect()}
+    assert all(p in got for p in planted)
+    pairs = [(d, i) for d in rng.sample(range(len(docs)), 20) for i in range(len(items))]
+    brute = {(d, i): s for d, i in pairs if (s := D.align(items[i], docs[d])[0]) >= D.MIN_SCORE}
+
+    def seeded(d, i):
+        """Whether the best alignment holds a seed, so that the pair is one that the method promises."""
+        _, start, end = D.align(items[i], docs[d])
+        n, part = D.seed_words(len(items[i])), docs[d][start:end]
+        grams = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
+        return any(tuple(items[i][k : k + n]) in grams for k in range(len(items[i]) - n + 1))
+
+    promised = [p for p in brute if seeded(*p)]
+    assert promised and all(p in got for p in promised)
+    assert all(got[p] <= brute[p] + 1e-9 for p in brute if p in got)
+
+
+def test_the_bound_is_safe():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        if D.align(a, b)[0] >= D.MIN_SCORE:
+            assert D.may_reach(a, b, D.MIN_SCORE)
+
+
 def test_rows_of_one_id_or_none(spark):
     text = " ".join(f"word{k}" for k in range(20))
     frame = spark.createDataFrame([(None, text), (None, text), (1, text), (1, "clean text of another kind altogether")], "doc_id long, text string")

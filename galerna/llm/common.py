@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -60,21 +61,49 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that ``materialize`` has written in the scratch contexts that are open, innermost last.
+_open: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and the work is not repeated."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/galerna/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a frame that ``materialize`` returned and that nothing needs any more."""
-    spark = df.sparkSession
+    def plain(path: str) -> str:
+        return re.sub("^file:/*", "/", path)
+
+    own = plain(f"{shared_dir(df.sparkSession)}/galerna/")
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/galerna/" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if plain(path).startswith(own):  # never a table that another has written
+            _delete(df.sparkSession, path)
+
+
+def scratch(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; all tables that were materialized on the way are dropped, whoever wrote them."""
+    _open.append([])
+    try:
+        made = make()
+        path = f"{shared_dir(spark)}/galerna/{name}-{uuid.uuid4().hex}"
+        made.write.option("compression", "zstd").parquet(path)
+    finally:
+        for done in _open.pop():
+            _delete(spark, done)
+    if _open:
+        _open[-1].append(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 64) -> DataFrame:

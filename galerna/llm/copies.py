@@ -4,7 +4,9 @@ The fingerprint of ``simhash`` is taken over the distinct five-word shingles of
 differ in some 10 of 64 bits (15 % each), so the radius is 20: a pair at the threshold exceeds it once in 10,000 cases,
 a closer pair hardly ever. Nearly every bucket of so wide a radius would hold all texts; the tiles are therefore cut out of
 blocks of texts that can reach the similarity at all: two sets share one of the first n - ceil(0.8 n) + 1 shingles of
-either, in any order common to all. Shingles that a bounded sample finds often come last, which keeps blocks small.
+either, in any order common to all. Shingles that many texts hold come last, which keeps blocks small: at first those that a bounded
+sample finds often, then, in rounds, those whose blocks over the whole corpus are larger than a tile, ordered by their counts. A
+text without such a shingle in its prefix keeps it, for what moves to the end was not in it; the others' prefixes are cut anew.
 
 First round: within each block numpy's exclusive-or and bit counts find the pairs within the radius, tile pairs and rows
 whose population counts differ beyond it are skipped, and sizes and places of the shared shingle rule out more; a spanning
@@ -38,6 +40,8 @@ FEW = 8
 SEED = 42
 #: Texts (in expectation) whose shingles are counted to find the common ones; this changes the order of shingles only.
 SAMPLE_ROWS = 4000
+#: Shingles moved to the end of the order at most, and rounds of moving; what stays large is cut into tiles.
+MOVED, ROUNDS = 1 << 20, 3
 #: Texts of a tile of the first round, shingles of a tile of the second one.
 TILE_TEXTS = 1024
 TILE_SHINGLES = 1 << 20
@@ -72,13 +76,24 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], count[order]
 
 
-def _prefixes(texts: DataFrame, size: int) -> DataFrame:
-    """(key, digest, n, fp, prefix): digest stands for the set, n is its size."""
-    sent = texts.sparkSession.sparkContext.broadcast(_common(texts, size))
+def _ordered(grams: np.ndarray, last: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Shingles in the common order: those of ``last`` (sorted) come last, by how many texts hold them."""
+    if not len(last) or not len(grams):
+        return grams
+    place = np.minimum(np.searchsorted(last, grams), len(last) - 1)
+    return grams[np.argsort(np.where(last[place] == grams, often[place], 0), kind="stable")]
+
+
+def _prefix(grams: np.ndarray) -> np.ndarray:
     p, q = SIMILARITY
+    return grams[: len(grams) - -(-p * len(grams) // q) + 1].view(np.int64)
+
+
+def _prefixes(texts: DataFrame, size: int, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, digest, n, fp, prefix): digest stands for the set, n is its size."""
+    sent = texts.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
@@ -88,10 +103,7 @@ def _prefixes(texts: DataFrame, size: int) -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
                     sizes.append(len(grams))
                     fps.append(majority(grams))
-                    if len(common) and len(grams):
-                        place = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                        grams = grams[np.argsort(np.where(common[place] == grams, often[place], 0), kind="stable")]
-                    prefixes.append(grams[: len(grams) - -(-p * len(grams) // q) + 1].view(np.int64))
+                    prefixes.append(_prefix(_ordered(grams, *sent.value)))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)),
                      pa.array(prefixes, pa.list_(pa.int64()))],
@@ -101,11 +113,48 @@ def _prefixes(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, digest binary, n int, fp long, prefix array<long>")
 
 
-def _families(nodes: DataFrame) -> DataFrame:
+def _met(nodes: DataFrame) -> DataFrame:
+    """(block, count): shingles of the prefixes that several nodes hold, written."""
+    return materialize(nodes.select(F.explode("prefix").alias("block")).groupBy("block").count().filter("count > 1"), "shared")
+
+
+def _balanced(nodes: DataFrame, texts: DataFrame, size: int, last: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with prefixes whose shingles are as rare as the corpus allows, and their blocks (see ``_met``)."""
+    order = dict(zip(last[0].tolist(), last[1].tolist()))
+    several = _met(nodes)
+    for _ in range(ROUNDS):
+        hot = several.filter(F.col("count") > TILE_TEXTS).orderBy(F.desc("count"), "block").limit(MOVED).toPandas()
+        counts = hot["count"].to_numpy(np.int64)
+        grams = hot["block"].to_numpy(np.int64).view(np.uint64)
+        fresh = np.array([g not in order or order[g] < c for g, c in zip(grams.tolist(), counts.tolist())], bool)
+        if not fresh.any():
+            break
+        order.update(zip(grams[fresh].tolist(), counts[fresh].tolist()))
+        keys = np.array(sorted(order), np.uint64)
+        sent = texts.sparkSession.sparkContext.broadcast((keys, np.array([order[k] for k in keys.tolist()], np.int64)))
+        moved = texts.sparkSession.createDataFrame(hot[fresh][["block"]], "block long")
+        changed = nodes.select("key", F.explode("prefix").alias("block")).join(moved, "block", "left_semi").select("key").distinct()
+        changed = materialize(changed, "changed")
+
+        def cut(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    piece = batch.slice(at, 512)
+                    own = [_prefix(_ordered(shingles(t, size), *sent.value)) for t in piece.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(own, pa.list_(pa.int64()))], ["key", "new"])
+
+        new = texts.join(changed, "key", "left_semi").mapInArrow(cut, "key long, new array<long>")
+        better = materialize(nodes.join(new, "key", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "distinct")
+        for done in (nodes, several, changed):
+            drop_table(done)
+        nodes, several = better, _met(better)
+    return nodes, several
+
+
+def _families(nodes: DataFrame, several: DataFrame) -> DataFrame:
     """(node, component): components of the pairs that sizes, places and fingerprints leave. ``nodes``: key, n, fp, prefix."""
     p, q = SIMILARITY
     grams = nodes.select(F.col("key").alias("node"), "n", "fp", F.posexplode("prefix").alias("at", "block"))
-    several = materialize(grams.groupBy("block").count().filter("count > 1"), "shared")
     met = materialize(grams.join(several.select("block"), "block"), "met")
     large = several.filter(F.col("count") > TILE_TEXTS).select("block", F.ceil(F.col("count") / TILE_TEXTS).cast("int").alias("salts"))
 
@@ -188,11 +237,13 @@ def near_copies(df: DataFrame, key: str, text: str = "text", size: int = SHINGLE
     long text is one set like any other. An empty table gives no rows; other columns are not looked at.
     """
     texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = materialize(_prefixes(texts, size), "prefixes")
+    last = _common(texts, size)
+    rows = materialize(_prefixes(texts, size, last), "prefixes")
     least = rows.groupBy("digest").agg(F.min("key").alias("node"))
     by_digest = materialize(spread_join(rows.select("key", "digest"), least, "digest", "key").select("key", "node"), "nodes")
     nodes = materialize(rows.join(by_digest.filter("key = node").select("key"), "key", "left_semi").select("key", "n", "fp", "prefix"), "distinct")
-    families = _families(nodes)
+    nodes, several = _balanced(nodes, texts, size, last)
+    families = _families(nodes, several)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,5 +48,30 @@ def test_edited_copies_leave_the_stage(spark):
     assert sorted(r.doc_id for r in C.near_duplicates(spark, docs, "").collect()) == [1, 3, 4]
 
 
+def test_a_passage_in_a_tenth_of_the_texts_keeps_work_linear(spark, monkeypatch):
+    """However many texts hold it, it leaves the prefixes of all that have other shingles, and no block is cut into tiles."""
+    monkeypatch.setattr(copies, "TILE_TEXTS", 40)
+    monkeypatch.setattr(copies, "SAMPLE_ROWS", 20)  # which does not see it often
+    made = []
+    real = copies._families
+
+    def watched(nodes, several):
+        made.append((nodes.selectExpr("max(size(prefix)) AS m").head().m, several.selectExpr("max(count) AS m").head().m or 0))
+        return real(nodes, several)
+
+    monkeypatch.setattr(copies, "_families", watched)
+    rng = random.Random(5)
+    for n in (600, 2400):
+        texts = []
+        for k in range(n):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+            at = rng.randrange(40)
+            texts.append(" ".join(words[:at] + ([f"boiler{j}" for j in range(12)] if k % 10 == 0 else []) + words[at:]))
+        texts += [texts[7].replace(" w", " v", 1), texts[10] + " more"]
+        got = dict(map(tuple, copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), "key").collect()))
+        assert {k for k, c in got.items() if k != c} == {n, n + 1} and got[n] == 7 and got[n + 1] == 10
+    assert all(most <= 40 for _, most in made), made
+
+
 def test_nothing(spark):
     assert copies.near_copies(spark.createDataFrame([], "key long, text string"), "key").count() == 0

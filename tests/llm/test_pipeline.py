@@ -1,4 +1,8 @@
+import os
+
 import corpus_pipeline as C
+from galerna.llm import common
+from galerna.llm.common import drop_table
 
 
 def frame(spark, rows):
@@ -33,3 +37,17 @@ def test_empty_documents(spark):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert docs.count() == 0
+
+
+def test_only_the_output_is_left_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    n = C.run(spark, "/root/testdata/sf0.001").count()
+    left = os.listdir(tmp_path / "shared" / "galerna")
+    assert n > 50 and len(left) == 1 and left[0].startswith("stage-5")
+
+
+def test_an_input_is_never_dropped(spark, tmp_path):
+    at = str(tmp_path / "galerna" / "documents.parquet")
+    spark.range(3).write.parquet(at)
+    drop_table(spark.read.parquet(at))
+    assert spark.read.parquet(at).count() == 3

@@ -2,6 +2,10 @@
 
 Every stage works on all that the one before kept; each is written as Parquet in the shared folder and read again.
 All stages but the last return the columns of ``documents`` (and any others that the input has).
+
+Edge cases: null and empty texts have too few words and go with the first stage; an empty table gives no rows at every stage; of
+copies of equal rank the row of the smallest id stays, then of the smallest key, and ids that are null come last; repeated rows are
+copies of each other; a text is masked and encoded whole, however long.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galerna.llm import bpe, copies, decontaminate, pii, quality
-from galerna.llm.common import materialize, ship, spread_join, table
+from galerna.llm.common import drop_table, materialize, scratch, ship, spread_join, table
 
 #: The last stage's ids cannot be expressed in SQL.
 ORACLE_SQL = None
@@ -20,7 +24,10 @@ ROW = "__row"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for each row, written so that it stays the same when the rows are read again."""
+    """``docs`` with a key for each row, written so that it stays the same when the rows are read again.
+
+    The name ``ROW`` is the pipeline's own: a table that has it already comes from an earlier stage, whose keys are one a row.
+    """
     return docs if ROW in docs.columns else materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
@@ -80,10 +87,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's table, and all that a stage wrote on its way, goes when the next one is written."""
     ship(spark)
     docs = table(spark, sf_dir, "documents").withColumn(ROW, F.monotonically_increasing_id())  # written with the first stage
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{k + 1}")
+        before = docs
+        docs = scratch(spark, f"stage-{k + 1}", lambda s=stage, d=before: s(spark, d, sf_dir))
+        drop_table(before)
     return docs

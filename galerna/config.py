@@ -21,6 +21,8 @@ class RainOptions:
     last_year: int = 2025
     hours: int = 6
     label_is: str = "start"
+    unit: str = "mm"
+    overwrite: bool = False
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galerna.constants import EARTH_RADIUS_CASES_KM
 from galerna.functions.geometry import bearing_deg, distance_km, longitude_difference, quadrant_of_bearing, radius_of
-from galerna.functions.time import MICROS, bucket, micros
+from galerna.functions.time import MICROS, bucket, is_synoptic, micros
 from galerna.sources.staging import Staging
 
 KM_A_DEGREE = 111.19
@@ -99,7 +99,18 @@ def nearest_in_time(targets: DataFrame, series: DataFrame, keys: list[str], tole
     )
 
 
-def exact_in_time(targets: DataFrame, series: DataFrame, keys: list[str], target_time: str = "target_time", time: str = "time") -> DataFrame:
+def synoptic_targets(targets: DataFrame, target_time: str = "target_time") -> DataFrame:
+    """``targets``; a time that is not synoptic is an error when it is read."""
+    t = F.col(target_time)
+    message = F.concat(F.lit("not a synoptic time: "), t.cast("string"))
+    return targets.withColumn(target_time, F.when(is_synoptic(t), t).otherwise(F.raise_error(message).cast(targets.schema[target_time].dataType)))
+
+
+def exact_in_time(
+    targets: DataFrame, series: DataFrame, keys: list[str], target_time: str = "target_time", time: str = "time", synoptic_only: bool = False
+) -> DataFrame:
+    """For each target the row of its very time; ``synoptic_only`` makes other targets an error."""
+    targets = synoptic_targets(targets, target_time) if synoptic_only else targets
     return targets.withColumn(time, F.col(target_time)).join(series, [*keys, time])
 
 

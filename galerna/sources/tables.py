@@ -49,17 +49,36 @@ def first_name(df: DataFrame, names: tuple[str, ...], given: str | None = None,
     raise ValueError(f"none of {given or names} among {df.columns}")
 
 
-def rain(df: DataFrame, value: str | None = None, time: str | None = None, synoptic_only: bool = True) -> DataFrame:
-    """(valid_time, lat, lon, precipitation): names inferred, NaN and negative values missing, longitudes to -180..180."""
+#: Millimetres an hour in a unit of hourly rain.
+RAIN_UNITS = {
+    "mm": 1.0, "mm/h": 1.0, "mm h-1": 1.0, "mm hr-1": 1.0, "mm/hr": 1.0, "mm/hour": 1.0, "kg m-2": 1.0, "kg m**-2": 1.0, "m": 1000.0,
+    "kg m-2 s-1": 3600.0, "kg m**-2 s**-1": 3600.0, "mm/s": 3600.0, "mm s-1": 3600.0,
+}
+
+
+def rain_factor(unit: str | None) -> float:
+    """What makes hourly rain of a unit millimetres; rain without a unit is in millimetres, and an unknown one is an error."""
+    if unit is None or not unit.strip():
+        return 1.0
+    if unit.strip().lower() not in RAIN_UNITS:
+        raise ValueError(f"unknown unit of rain: {unit}")
+    return RAIN_UNITS[unit.strip().lower()]
+
+
+def rain(
+    df: DataFrame, value: str | None = None, time: str | None = None, synoptic_only: bool = True, unit: str | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(valid_time, lat, lon, precipitation, and columns ``keep``): names inferred, NaN and negative values missing, longitudes
+    to -180..180, hourly values of another ``unit`` in millimetres."""
     value, time = first_name(df, RAIN_NAMES, value), first_name(df, TIME_NAMES, time)
     lat, lon = first_name(df, LAT_NAMES), first_name(df, LON_NAMES)
     if time != "valid_time" and "valid_time" in df.columns:
         raise ValueError("column valid_time exists already")
-    x = F.col(value).cast("double")
+    x = F.col(value).cast("double") * rain_factor(unit)
     out = df.select(
         F.col(time).cast("timestamp").alias("valid_time"), F.col(lat).cast("double").alias("lat"),
         F.when(F.col(lon) > 180, F.col(lon) - 360).otherwise(F.col(lon)).cast("double").alias("lon"),
-        F.when(~F.isnan(x), non_negative(x)).alias("precipitation"),
+        F.when(~F.isnan(x), non_negative(x)).alias("precipitation"), *keep,
     )
     return out.filter(is_synoptic(F.col("valid_time"))) if synoptic_only else out
 
@@ -303,8 +322,9 @@ def write(df: DataFrame, path: str, overwrite: bool = True, partition_by: list[s
 
 def write_seasons(df: DataFrame, path: str, value: str = "p6") -> None:
     """Rain by season, rounded to 0.01 mm; only the seasons at hand are replaced."""
+    place = [c for c in ("cell", "lat", "lon") if c in df.columns]
     (
-        df.withColumn(value, F.round(value, 2)).repartition("season").sortWithinPartitions("cell", "time").write.mode("overwrite")
+        df.withColumn(value, F.round(value, 2)).repartition("season", *place).sortWithinPartitions("season", *place, "time").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
     )
 

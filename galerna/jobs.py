@@ -101,9 +101,9 @@ def main(arguments: list[str] | None = None) -> None:
             tables.write_seasons(sums, f"{given.out.rstrip('/')}/series")
             made = {"incomplete": incomplete(sums, options)}
         elif given.job == "percentiles":
-            made = percentiles(read["series"], options_of(PercentileOptions, section))
+            made = {n: climatology.with_product_units(t) for n, t in percentiles(read["series"], options_of(PercentileOptions, section)).items()}
         elif given.job == "returns":
-            made = returns(read["series"], options_of(ReturnOptions, section), staging)
+            made = {n: climatology.with_product_units(t) for n, t in returns(read["series"], options_of(ReturnOptions, section), staging).items()}
         elif given.job == "case":
             options = options_of(CaseOptions, section)
             own = read["tracks"].filter(F.col("storm_id") == options.storm_id)

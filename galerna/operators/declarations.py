@@ -9,6 +9,8 @@ from galerna.constants import BASE_RAMP, ESCALATED_CLASSES, ESCALATED_LEVEL
 from galerna.functions import hazard
 from galerna.functions.basic import level_index
 from galerna.functions.time import micros, ordered_dates, six_hour_steps
+from galerna.operators.selection import quantiles
+from galerna.sources.staging import Staging
 
 ALL_TYPES = "todas"
 
@@ -221,13 +223,18 @@ def level_table(events: DataFrame, kind: str, level: str = "level", group: str =
     return counted.select(kind, level, group, (F.col("n") / total).alias("share"))
 
 
-def place_summary(events: DataFrame, places: DataFrame, place: str, value: str, ident: str) -> DataFrame:
-    """For all places: n, minimum, 10th percentile, median, maximum, and the event of the minimum; 0 where none."""
-    x = F.col(value)
-    got = events.filter(x.isNotNull()).groupBy(place).agg(
-        F.count("*").alias("n"), F.min(x).alias("p_min"), F.percentile(x, F.lit(0.1)).alias("p10"), F.percentile(x, F.lit(0.5)).alias("p_median"),
-        F.max(x).alias("p_max"), F.min_by(ident, F.struct(x, F.col(ident))).alias("id_min"),
+def place_summary(events: DataFrame, places: DataFrame, place: str, value: str, ident: str, staging: Staging | None = None) -> DataFrame:
+    """For all places: n, minimum, 10th percentile, median, maximum, and the event of the minimum; 0 where none.
+
+    With a ``staging`` the percentiles of a place are selected (see ``selection``), however many events it has.
+    """
+    x, own = F.col(value), events.filter(F.col(value).isNotNull())
+    inner = [] if staging else [F.percentile(x, F.lit(q)).alias(n) for n, q in (("p10", 0.1), ("p_median", 0.5))]
+    got = own.groupBy(place).agg(
+        F.count("*").alias("n"), F.min(x).alias("p_min"), *inner, F.max(x).alias("p_max"), F.min_by(ident, F.struct(x, F.col(ident))).alias("id_min"),
     )
+    if staging:
+        got = got.join(quantiles(own, [place], {"p10": (x, 0.1), "p_median": (x, 0.5)}, staging), place, "left")
     return places.join(got, place, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

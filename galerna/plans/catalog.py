@@ -330,12 +330,13 @@ def anti_semi_qc(spark, sf):
     return both.groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query(ctes("series") + """, a AS (SELECT DISTINCT epoch(time)::BIGINT AS t FROM series WHERE cell = 0), b AS (SELECT DISTINCT epoch(time)::BIGINT AS t FROM series WHERE cell = 1)
-  SELECT 'both' AS kind, t FROM (SELECT t FROM a INTERSECT SELECT t FROM b) UNION ALL SELECT 'first', t FROM (SELECT t FROM a EXCEPT SELECT t FROM b) UNION ALL SELECT 'all', t FROM (SELECT t FROM a UNION SELECT t FROM b)""")
+@query(ctes("series") + """, a AS (SELECT cell // 2 AS pair, epoch(time)::BIGINT AS t FROM series WHERE cell % 2 = 0), b AS (SELECT cell // 2 AS pair, epoch(time)::BIGINT AS t FROM series WHERE cell % 2 = 1)
+  SELECT 'both' AS kind, pair, t FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first', pair, t FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'all', pair, t FROM (SELECT * FROM a UNION SELECT * FROM b)""")
 def union_intersect_except(spark, sf):
+    """Steps of each even cell against those of the odd one after it."""
     s = P.series(spark, sf)
-    a, b = (s.filter(F.col("cell") == k).select(epoch()) for k in (0, 1))
-    return sets.stacked({"both": a.intersect(b), "first": a.subtract(b), "all": a.union(b).distinct()}, "kind").select("kind", "t")
+    a, b = (s.filter(F.col("cell") % 2 == k).select(F.expr("cell div 2").alias("pair"), epoch()) for k in (0, 1))
+    return sets.stacked({"both": a.intersect(b), "first": a.subtract(b), "all": a.union(b).distinct()}, "kind").select("kind", "pair", "t")
 
 
 @query(ctes("declared") + "SELECT place, min(id_decl) AS id_decl FROM declared GROUP BY place")

@@ -82,9 +82,32 @@ def pot_gev_consistency(spark, sf):
     return out.select("duration", r6("median"), r6("p90"), r6("bias"), "meets")
 
 
+@query(ctes("series") + f""", y AS (SELECT DISTINCT cell, year(time)::INT AS season FROM series),
+  ends AS (SELECT cell, season, unnest(generate_series(make_timestamp(season, 5, 1, 6, 0, 0), make_timestamp(season, 12, 1, 0, 0, 0), INTERVAL 6 HOURS)) AS time FROM y),
+  moved AS (SELECT cell, time + INTERVAL 121 DAYS AS time, p6 FROM series)
+  SELECT ends.cell, ends.season::BIGINT AS season, epoch(ends.time)::BIGINT AS t, {q6('p6')} FROM ends LEFT JOIN moved ON moved.cell = ends.cell AND moved.time = ends.time""")
+def season_spine(spark, sf):
+    """All window ends of the season for every cell, with its rain (of January, moved to May) where there is some."""
+    s = P.series(spark, sf)
+    moved = s.withColumn("time", F.col("time") + F.expr("interval 121 days"))
+    years = [r[0] for r in s.select(F.year("time")).distinct().collect()]  # years
+    out = rain.with_season_spine(s.select("cell").distinct(), sorted(years), moved, ["cell"])
+    return out.select("cell", F.col("season").cast("long").alias("season"), epoch(), r6("p6"))
+
+
 # --- tracks
 
 
+@query(ctes("tracks") + f"""SELECT 'S1' AS storm_id, epoch(a.time)::BIGINT AS t, {q6('a.lat', 'lat')}, {q6('a.vmax_kt', 'vmax_kt')}, {", ".join(q6(f"b.rocloud_{q}", f"rocloud_{q}") for q in QUADRANTS)}
+  FROM (SELECT * FROM tracks WHERE storm_id = 'S1') a LEFT JOIN (SELECT * FROM tracks WHERE storm_id = 'S2' AND i % 5 <> 0) b ON a.time = b.time WHERE hour(a.time) IN (0, 6, 12, 18)""")
+def case_track(spark, sf):
+    """A storm's synoptic positions with the cloud radii of another one's table, which lacks some times."""
+    t = P.tracks(spark, sf)
+    cloud = t.filter(F.col("i") % 5 != 0).select("storm_id", "time", *(f"rocloud_{q}" for q in QUADRANTS))
+    out = tracks.case_track(t.drop(*(f"rocloud_{q}" for q in QUADRANTS)), cloud, "S1", "S2")
+    return out.select("storm_id", epoch(), r6("lat"), r6("vmax_kt"), *(r6(f"rocloud_{q}") for q in QUADRANTS))
+
+
 @query(ctes("tracks") + "SELECT DISTINCT storm_id FROM tracks")
 def storm_ids(spark, sf):
     return tracks.storm_ids(P.tracks(spark, sf))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from galerna.constants import GEV_MIN_SEASONS, GPD_MIN_EXCESSES, QUANTILES, SEPARATION_HOURS, WET_MM
 from galerna.functions import extremes as E
 from galerna.operators import extremes, quantiles, rain
+from galerna.operators.quality import with_units
 from galerna.operators.selection import quantiles as quantiles_of
 from galerna.operators.sets import stacked
 from galerna.sources.staging import Staging, unstaged
@@ -76,3 +77,23 @@ def consistency(
     r = F.col("r")
     out = quantiles_of(both, by, {"median": (F.abs(r), 0.5), "p90": (F.abs(r), 0.9), "bias": (r, 0.5)}, staging)
     return out.withColumn("meets", (F.col("median") <= criteria[0]) & (F.col("p90") <= criteria[1]))
+
+
+#: Units by the first letters of a product's column; rain is that of the row's duration.
+UNITS = {"n_": "1", "share": "1", "freq": "1", "wet_": "1", "area": "1", "q": "mm", "p": "mm", "r": "mm", "maximum": "mm", "level": "mm", "u": "mm", "sigma": "mm", "mu": "mm", "xi": "1", "rate": "1/season"}
+
+
+def with_product_units(df: DataFrame) -> DataFrame:
+    """``df`` with the unit of each column that holds a quantity, as metadata that Parquet keeps."""
+    def unit(name: str) -> str | None:
+        return next((u for start, u in UNITS.items() if name == start or (name.startswith(start) and (start.endswith("_") or name[len(start)].isdigit() or name[len(start)] == "_"))), None)
+
+    numbers = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "bigint", "long", "integer", "int")}
+    return with_units(df, {c: u for c in df.columns if c in numbers and (u := unit(c))})
+
+
+def as_views(products: dict[str, DataFrame], prefix: str) -> list[str]:
+    """The products of a run as temporary views <prefix>_<name>, for SQL on what is computed; their names."""
+    for name, df in products.items():
+        df.createOrReplaceTempView(f"{prefix}_{name}")
+    return [f"{prefix}_{name}" for name in products]

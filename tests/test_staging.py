@@ -138,3 +138,14 @@ def test_returns_job_takes_a_staging(spark):
     s = P.series(spark, SF).withColumn("season", F.lit(2024))
     with Staging(spark) as own:
         assert set(jobs.returns(s, staged=own)) >= {"gev", "gpd", "maxima"}
+
+
+def test_products_carry_units_and_serve_as_views(spark, tmp_path):
+    s = P.series(spark, SF).withColumn("season", F.lit(2024))
+    made = {n: climatology.with_product_units(t) for n, t in jobs.returns(s).items()}
+    made["maxima"].write.parquet(f"{tmp_path}/m")
+    units = {f.name: f.metadata.get("units") for f in spark.read.parquet(f"{tmp_path}/m").schema}
+    assert units["maximum"] == "mm" and units["n_valid"] == "1" and units["cell"] is None
+    assert {f.name: f.metadata.get("units") for f in made["gpd"].schema}["rate"] == "1/season"
+    assert climatology.as_views({"maxima": made["maxima"]}, "run") == ["run_maxima"]
+    assert spark.sql("SELECT count(*) AS n FROM run_maxima").head().n == made["maxima"].count()

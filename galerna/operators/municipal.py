@@ -23,6 +23,13 @@ def event_maximum(by_time: DataFrame, keys: list[str], value: str = "v_max") ->
     return by_time.groupBy(*keys).agg(F.max(value).alias("event_max"))
 
 
+def event_of_fields(field: DataFrame, bridge: DataFrame, keys: list[str], place: str = "place", value: str = "h_total") -> DataFrame:
+    """event_max and in_region (whether some cell was ever within the direct or indirect region) by place and ``keys``, in one group."""
+    x = F.coalesce(F.col(value), F.lit(0.0))
+    inside = F.bool_or(F.col("m_direct") | F.col("m_indirect"))
+    return field.join(bridge, "cell").groupBy(place, *keys).agg(F.max(x).alias("event_max"), inside.alias("in_region"))
+
+
 def class_counts(event: DataFrame, experiment: str, tags: list[str], value: str = "event_max") -> DataFrame:
     """Rows by class 1..5 and a column for each experiment; zeros where there is none."""
     classes = event.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("class"))

@@ -644,8 +644,7 @@ def _values(spark, sf):
 
 
 def _event(spark, sf):
-    region = _fields(spark, sf).join(P.bridge(spark, sf), "cell").groupBy("place", "storm_id").agg(F.bool_or(F.col("m_direct") | F.col("m_indirect")).alias("in_region"))
-    return municipal.event_maximum(_values(spark, sf), ["place", "storm_id"]).join(region, ["place", "storm_id"])
+    return municipal.event_of_fields(_fields(spark, sf), P.bridge(spark, sf), ["storm_id"])
 
 
 @query(_MUNI + f"SELECT place, storm_id, i, {q6('v_max')}, {q6('v_mean')}, {q6('v_p90')} FROM vals")

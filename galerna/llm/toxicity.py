@@ -50,6 +50,8 @@ NEAR, PRIOR = 0.05, 1.0
 SLACK = 1e-9
 #: Words and vectors that a task remembers; beyond it the memory starts anew (results do not change).
 KEPT = 400_000
+#: Texts of a task of the search, which is long where their vectors are short.
+TASK_ROWS = 8192
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -337,7 +339,9 @@ def score(docs: DataFrame, train: Column, labels: DataFrame) -> DataFrame:
             s, near = sent.value.score(a, n)
             yield i, s, [dict(zip(("example", "cosine", "toxic"), x)) for x in near]
 
-    out = materialize(map_rows(counted, schema, make), "toxicity")
+    # vectors take few bytes, by which Spark would read very many in one task
+    tasks = max(1, -(-counted.count() // TASK_ROWS))
+    out = materialize(map_rows(counted.repartition(tasks), schema, make), "toxicity")
     drop_table(counted)
     drop_table(sample)
     return out

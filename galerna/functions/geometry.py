@@ -59,10 +59,10 @@ def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0))
 
 
-def quadrant(lat, lon, center_lat, center_lon) -> Column:
-    """rne, rse, rsw or rnw by the signs of the differences; ties go north and east."""
+def quadrant(lat, lon, center_lat, center_lon, wrap: bool = True) -> Column:
+    """rne, rse, rsw or rnw by the signs of the differences; ties go north and east. Without ``wrap`` longitudes count as they are."""
     lat, lon, center_lat, center_lon = map(lit, (lat, lon, center_lat, center_lon))
-    north, east = lat >= center_lat, longitude_difference(lon - center_lon) >= 0
+    north, east = lat >= center_lat, longitude_difference(lon - center_lon) >= 0 if wrap else lon >= center_lon
     known = (lat + lon + center_lat + center_lon).isNotNull()
     return F.when(known, F.when(north & east, "rne").when(north, "rnw").when(east, "rse").otherwise("rsw"))
 

@@ -41,7 +41,7 @@ def storm_cells(tracks: DataFrame, cells: DataFrame, reach_km: Column | float, b
         "__y": bin_of(F.col("cell_lat"), bin_degrees), "__x": F.pmod(bin_of(F.col("cell_lon"), bin_degrees), F.lit(n_lon))
     })
     pairs = dealt.join(placed, [*on, "__y", "__x"])
-    d = distance_km(F.col("cell_lat"), F.col("cell_lon"), F.col("lat"), F.col("lon"))
+    d = distance_km(F.col("cell_lat"), F.col("cell_lon"), F.col("lat"), F.col("lon"), wrap=False)  # it is periodic, and reducing a longitude rounds it
     return pairs.withColumn("dist_km", d).filter(F.col("dist_km") <= F.col("__reach")).drop("__x", "__y", "__reach")
 
 
@@ -122,9 +122,9 @@ def with_cloud_radii(track: DataFrame, cloud: DataFrame) -> DataFrame:
     return track.join(cloud, ["storm_id", "time"], "left")
 
 
-def on_grid(df: DataFrame, other: DataFrame, tolerance: float = 1e-3, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def on_grid(df: DataFrame, other: DataFrame, tolerance: float = 1e-3, lat: str = "lat", lon: str = "lon", wrap: bool = True) -> DataFrame:
     """Left join of a grid with another of the same points, whose coordinates may differ by rounding."""
-    return near_grid(df, other, tolerance, lat, lon)
+    return near_grid(df, other, tolerance, lat, lon, wrap)
 
 
 #: Words that a name may have or lack.
@@ -209,10 +209,16 @@ def scan_lines(polygons: DataFrame, cells: DataFrame, band_degrees: float = 0.25
     return lines.select("place", "cell_lat", spans.alias("s")).select("place", "cell_lat", "s.west", "s.east").filter("west < east")
 
 
-def inside_cells(polygons: DataFrame, cells: DataFrame, bin_degrees: float = 1.0) -> DataFrame:
-    """(place, cell): cells whose centre lies inside a polygon. A ring over the date line goes on beyond 180 (or -180) degrees."""
+def inside_cells(polygons: DataFrame, cells: DataFrame, bin_degrees: float = 1.0, wrap: bool = True) -> DataFrame:
+    """(place, cell): cells whose centre lies inside a polygon. A ring over the date line goes on beyond 180 (or -180) degrees, and
+    meets cells around the globe; without ``wrap`` only those of the very longitudes."""
     n_lon = int(360 / bin_degrees)
     first, last = bin_of(F.col("west"), bin_degrees), bin_of(F.col("east"), bin_degrees)
+    if not wrap:
+        spans = scan_lines(polygons, cells).withColumn("__x", F.explode(F.sequence(first, last)))
+        placed = cells.select("cell", "cell_lat", "cell_lon", bin_of(F.col("cell_lon"), bin_degrees).alias("__x"))
+        met = spans.join(placed, ["cell_lat", "__x"]).filter((F.col("west") <= F.col("cell_lon")) & (F.col("cell_lon") < F.col("east")))
+        return met.select("place", "cell").distinct()
     bins = F.transform(F.sequence(first, F.least(last, first + n_lon - 1)), lambda b: F.pmod(b, F.lit(n_lon)))
     spans = scan_lines(polygons, cells).withColumn("__x", F.explode(bins))
     placed = cells.select("cell", "cell_lat", "cell_lon", F.pmod(bin_of(F.col("cell_lon"), bin_degrees), F.lit(n_lon)).alias("__x"))
@@ -220,12 +226,13 @@ def inside_cells(polygons: DataFrame, cells: DataFrame, bin_degrees: float = 1.0
     return spans.join(placed, ["cell_lat", "__x"]).filter((F.col("cell_lon") == F.col("west")) | (lon < F.col("east"))).select("place", "cell").distinct()
 
 
-def polygon_cells(polygons: DataFrame, cells: DataFrame, staging: Staging) -> DataFrame:
+def polygon_cells(polygons: DataFrame, cells: DataFrame, staging: Staging, wrap: bool = True) -> DataFrame:
     """(place, cell, n_centres): cells whose centre lies inside a polygon; one without any takes the nearest cell, however far.
 
-    ``polygons``: place, place_lat, place_lon, rings (see ``scan_lines``).
+    ``polygons``: place, place_lat, place_lon, rings (see ``scan_lines``). ``wrap``: see ``inside_cells``; the nearest cell is sought
+    around the globe in any case.
     """
-    inside = staging("inside", inside_cells(polygons, cells))
+    inside = staging("inside", inside_cells(polygons, cells, wrap=wrap))
     counted = inside.join(inside.groupBy("place").agg(F.count("*").cast("int").alias("n_centres")), "place")
     lonely = polygons.join(inside.select("place").distinct(), "place", "left_anti").select("place", F.col("place_lat").alias("lat"), F.col("place_lon").alias("lon"))
     return counted.unionByName(nearest_cells(lonely, cells, staging).withColumn("n_centres", F.lit(0)))
@@ -260,11 +267,11 @@ def nearest_cells(points: DataFrame, cells: DataFrame, staging: Staging, reach_k
         reach_km *= 2
 
 
-def near_grid(df: DataFrame, other: DataFrame, tolerance: float = 1e-3, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def near_grid(df: DataFrame, other: DataFrame, tolerance: float = 1e-3, lat: str = "lat", lon: str = "lon", wrap: bool = True) -> DataFrame:
     """Left join of two grids whose coordinates agree within ``tolerance`` degrees: each row of ``df`` gets the nearest point.
 
     Points meet in bins as wide as the tolerance, the row's own and the eight beside it, so that no edge of a bin parts two
-    points. The smaller latitude, then longitude, of a tie; longitudes agree around the date line. Columns of ``other``
+    points. The smaller latitude, then longitude, of a tie; longitudes agree around the date line, or as they are without ``wrap``. Columns of ``other``
     named like one of ``df`` (but its coordinates) are an error. A row without a point within reach has NULLs.
     """
     clash = ({*df.columns} & {*other.columns}) - {lat, lon}
@@ -272,12 +279,14 @@ def near_grid(df: DataFrame, other: DataFrame, tolerance: float = 1e-3, lat: str
         raise ValueError(f"both grids have {', '.join(sorted(clash))}")
     n_lon = round(360 / tolerance)
     number = lambda c: F.floor(F.col(c) / tolerance).cast("long")
+    around = lambda b: F.pmod(b, F.lit(n_lon)) if wrap else b
     beside = F.array(*map(F.lit, (-1, 0, 1)))
     points = df.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon")).distinct()
     dealt = points.withColumn("__di", F.explode(beside)).withColumn("__dj", F.explode(beside))
-    dealt = dealt.withColumns({"__i": number("__lat") + F.col("__di"), "__j": F.pmod(number("__lon") + F.col("__dj"), F.lit(n_lon))})
-    right = other.withColumns({"__i": number(lat), "__j": F.pmod(number(lon), F.lit(n_lon))})
-    dy, dx = F.abs(F.col("__lat") - F.col(lat)), F.abs(longitude_difference(F.col("__lon") - F.col(lon)))
+    dealt = dealt.withColumns({"__i": number("__lat") + F.col("__di"), "__j": around(number("__lon") + F.col("__dj"))})
+    right = other.withColumns({"__i": number(lat), "__j": around(number(lon))})
+    apart = F.col("__lon") - F.col(lon)
+    dy, dx = F.abs(F.col("__lat") - F.col(lat)), F.abs(longitude_difference(apart) if wrap else apart)
     # a millionth of the tolerance for the rounding of coordinates
     near = dealt.join(right, ["__i", "__j"]).filter((dy <= tolerance * (1 + 1e-6)) & (dx <= tolerance * (1 + 1e-6)))
     values = [c for c in other.columns if c not in (lat, lon)]

@@ -38,6 +38,7 @@ class Settings:
     lam: float = 1.0
     mu: float = 1.0
     whole_grid: bool = False
+    wrap: bool = True  # quadrants over the date line; else longitudes count as they are
 
 
 def _struct(df: DataFrame, prefix: str) -> Column:
@@ -96,7 +97,7 @@ def hazards(pairs: DataFrame, s: Settings = Settings()) -> DataFrame:
     names = sorted({*s.matrix.nodes, *(x for pair in s.matrix.escalation.values() for x in pair if x)})
     quantiles = {k: {n: F.try_element_at(F.col(m), F.lit(n)) for n in names} for k, m in (("p6", "q6"), ("r24", "q24"), ("a72", "q72"))}
     rain = s.matrix.hazard(F.col("p6"), quantiles["p6"], {"r24": F.col("r24"), "a72": F.col("a72")}, quantiles)
-    out = pinned(pairs, quadrant=G.quadrant(F.col("cell_lat"), F.col("cell_lon"), F.col("lat"), F.col("lon")))
+    out = pinned(pairs, quadrant=G.quadrant(F.col("cell_lat"), F.col("cell_lon"), F.col("lat"), F.col("lon"), s.wrap))
     radius = lambda c: G.radius_of(F.col("quadrant"), F.col(c))
     out = pinned(out, r_direct=radius("direct.radii"), r_attr=radius("attribution.radii"), r_w06_q=radius("r_w06"), h_p=rain)
     out = out.withColumn("h_p_missing", F.col("h_p").isNull())

@@ -139,27 +139,30 @@ def find_place(places: DataFrame, wanted: DataFrame, fallback: str | None = None
     column ``fallback`` names a code that is taken if there is such a place (how: code). All others have no code: how is
     several or none, and similar has up to ``suggestions`` names of the state that hold the first word.
 
-    Names are looked up once each, by equality and by an inverted index of words; nothing pairs the names of a state.
+    Names are looked up once each, by equality and by an inverted index of words; nothing pairs the names of a state. Places of one
+    name count together, so that work and memory grow with the distinct names and not with the places that share them.
     """
     from galerna.functions.text import comparable
 
     small = F.array(*map(F.lit, SMALL_WORDS))
-    own = places.select(F.col("code"), "name", "state", comparable(F.col("name")).alias("__own"))
+    spelled = places.groupBy("state", "name").agg(F.count("*").alias("__n"), F.min("code").alias("code")).withColumn("__own", comparable(F.col("name")))
+    own = spelled.groupBy("state", "__own").agg(F.sum("__n").alias("__places"), F.min("code").alias("code"))
     names = wanted.select("state", "wanted").distinct().withColumn("__name", comparable(F.col("wanted")))
     words = F.array_except(F.array_distinct(F.split("__name", " ")), F.concat(small, F.array(F.lit(""))))
     asked = names.select("state", "__name").distinct().withColumn("__words", words)
-    one = lambda how: (F.count("*").alias("hits"), F.min("code").alias("code"), F.lit(how).alias("how"))
+    one = lambda how: (F.sum("__places").alias("hits"), F.min("code").alias("code"), F.lit(how).alias("how"))
     exact = asked.join(own.withColumnRenamed("__own", "__name"), ["state", "__name"]).groupBy("state", "__name").agg(*one("exact"))
     left = asked.join(exact, ["state", "__name"], "left_anti")
-    index = own.select("state", "code", F.explode(F.array_distinct(F.split("__own", " "))).alias("__word"))
+    index = own.select("state", "__own", "code", "__places", F.explode(F.array_distinct(F.split("__own", " "))).alias("__word"))
     posted = left.select("state", "__name", F.size("__words").alias("__n"), F.explode("__words").alias("__word")).join(index, ["state", "__word"])
-    met = posted.groupBy("state", "__name", "code").agg(F.count("*").alias("__met"), F.first("__n").alias("__n")).filter("__met = __n")
+    met = posted.groupBy("state", "__name", "__own").agg(*(F.first(c).alias(c) for c in ("code", "__places", "__n")), F.count("*").alias("__met")).filter("__met = __n")
     # a name of small words alone is met by every place of its state
-    bare = left.filter(F.size("__words") == 0).select("state", "__name").join(own.select("state", "code"), "state")
-    by_words = met.select("state", "__name", "code").unionByName(bare).groupBy("state", "__name").agg(*one("words"))
+    bare = left.filter(F.size("__words") == 0).select("state", "__name").join(own.select("state", "code", "__places"), "state")
+    by_words = met.select("state", "__name", "code", "__places").unionByName(bare).groupBy("state", "__name").agg(*one("words"))
     found = exact.unionByName(by_words)
     missed = asked.join(found.filter("hits = 1"), ["state", "__name"], "left_anti").withColumn("__first", F.split("__name", " ")[0])
-    listed = missed.select("state", "__first").distinct().join(own.select("state", "name", "__own"), "state").filter(F.contains("__own", F.col("__first")))
+    listed = missed.select("state", "__first").distinct().join(spelled, "state").filter(F.contains("__own", F.col("__first")))
+    listed = listed.withColumn("__again", F.explode(F.array_repeat(F.lit(0), F.least("__n", F.lit(suggestions)).cast("int"))))
     rank = F.row_number().over(Window.partitionBy("state", "__first").orderBy("name"))
     listed = listed.withColumn("__rank", rank).filter(F.col("__rank") <= suggestions).groupBy("state", "__first").agg(F.array_sort(F.collect_list("name")).alias("similar"))
     similar = missed.join(listed, ["state", "__first"]).select("state", "__name", "similar")

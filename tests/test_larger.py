@@ -7,7 +7,9 @@ import pytest
 from test_catalog import SF, rows_of
 
 from galerna.operators import declarations as D
-from galerna.plans import catalog
+from galerna.operators import joins, quantiles
+from galerna.plans import catalog, standins
+from galerna.sources import tables
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -56,3 +58,42 @@ def test_longitudes_beyond_180_count_as_they_are(spark, tmp_path, name):
         duckdb.sql(f"COPY (SELECT * FROM '{SF}/{table}.parquet') TO '{tmp_path}/{table}.parquet'")
     got, want = against_sql(spark, tmp_path, name)
     assert got == want and got
+
+
+def test_places_of_one_name_count_together(spark):
+    """Work on names grows with the distinct ones: copies of a place change hits and suggestions and no number of rows on the way."""
+    rows = [(k, ("big red barn", "small red barn", "Casa de la Luz")[k % 3], 0) for k in range(60)] + [(100, "lone oak", 0)]
+    places = spark.createDataFrame(rows, "code long, name string, state long")
+    asked = [(1, 0, "BIG red barn"), (2, 0, "barn red"), (3, 0, "oak"), (4, 0, "red nowhere"), (5, 0, "de la"), (6, 1, "lone oak")]
+    got = {r.wanted_id: r for r in joins.find_place(places, spark.createDataFrame(asked, "wanted_id long, state long, wanted string")).collect()}
+    assert {k: (r.hits, r.code, r.how) for k, r in got.items()} == {
+        1: (20, None, "several"), 2: (40, None, "several"), 3: (1, 100, "words"), 4: (0, None, "none"), 5: (61, None, "several"), 6: (0, None, "none")
+    }
+    assert got[4].similar == ["big red barn"] * 15 and got[2].similar == ["big red barn"] * 15
+    plan = joins.find_place(places, spark.createDataFrame(asked, "wanted_id long, state long, wanted string"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    index = next(k for k, line in enumerate(lines) if "Generate explode(array_distinct(split(__own" in line)
+    assert any("Aggregate [state" in line for line in lines[index : index + 4])  # the index of words is made of distinct names
+
+
+def test_blocks_of_a_file_are_cut_without_an_exchange(spark):
+    row = lambda v: " ".join(["20240105 600 15.0 -100.0", str(v), "1000", *["10"] * 13])
+    text = f"\n\nS1, A, 2,\n{row(1)}\n\n{row(2)}\r\nS2, B, 0,\nS3, C, 1,\n{row(3)}\n"
+    out = tables.cloud_blocks(spark.createDataFrame([("f", text), ("g", f"S4, D, 1,\n{row(4)}")], "path string, value string"))
+    got = sorted((r.path, r.block, r.storm_id, r.storm_name, r.declared_entries, r.record_number, r.vmax_kt) for r in out.collect())
+    assert got == [("f", 2, "S1", "A", 2, 1, 1.0), ("f", 2, "S1", "A", 2, 2, 2.0), ("f", 7, "S3", "C", 1, 1, 3.0), ("g", 0, "S4", "D", 1, 1, 4.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    with pytest.raises(Exception, match="line 1 has no header"):
+        tables.cloud_blocks(spark.createDataFrame([("f", row(1))], "path string, value string")).collect()
+
+
+def test_equal_sums_are_equal_in_any_order(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 are one value, and so is their percentile."""
+    values = [(u, k, v) for u, order in enumerate([(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)]) for k, v in enumerate(order)]
+    rows = [(8 * 3, T0 + dt.timedelta(hours=6 * u + 1, minutes=k), v) for u, k, v in values]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.p6 for r in standins.series(spark, str(tmp_path)).collect()] == [0.6, 0.6]
+    tied = spark.createDataFrame([(x,) for x in [0.1] * 3 + [347.33] * 9 + [400.1] * 3], "x double")
+    for q in (0.3, 0.55, 0.7, 0.75):
+        assert quantiles.type8(tied, [], "x", (q,)).collect()[0][1] == 347.33

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galerna.constants import NAUTICAL_MILE_KM, QUADRANTS
-from galerna.functions.basic import non_negative, positive
+from galerna.functions.basic import non_negative, pinned, positive
 from galerna.functions.geometry import km_in
 from galerna.functions.text import any_of, code5, column_name, quoted_name
 from galerna.functions.time import is_synoptic, micros
@@ -217,30 +217,37 @@ def cloud_blocks(files: DataFrame) -> DataFrame:
     """Whole files (path, value: all text) of blocks: a header ``id, name, n,`` and rows of 19 fields that it heads.
 
     A header applies to the lines after it, in its file. A row before any header, or of another length, is an error
-    that names its line. record_number counts from 1 in each block.
+    that names its line. record_number counts from 1 in each block, found_entries are the block's rows.
     """
-    from pyspark.sql import Window
-
-    lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).filter(F.trim("text") != "")
-    head = F.split("text", ",")
-    is_head = _is_header(head)
-    header = F.when(is_head, F.struct(F.col("line").alias("at"), F.trim(head[0]).alias("storm_id"), F.trim(head[1]).alias("storm_name"), F.trim(head[2]).cast("int").alias("declared")))
-    by_line = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("__head", is_head).withColumn("header", F.last(header, ignorenulls=True).over(by_line)).filter(~F.col("__head"))
+    numbered = F.transform(F.split("value", r"\r?\n"), lambda text, k: F.struct(k.alias("line"), text.alias("text")))
+    lines = pinned(files.select("path", "value"), lines=F.filter(numbered, lambda x: F.trim(x["text"]) != ""))
+    # a file is one row: its lines are cut at their headers there, without an exchange or a sort
+    at = F.filter(F.transform("lines", lambda x, k: F.when(_is_header(F.split(x["text"], ",")), k)), lambda k: k.isNotNull())
+    starts = pinned(lines, starts=F.concat(F.array(F.lit(-1)), at, F.array(F.size("lines"))))
+
+    def block(k: Column) -> Column:
+        start, end = F.get("starts", k), F.get("starts", k + 1)
+        first = F.get("lines", start)
+        head = F.split(first["text"], ",")
+        header = F.struct(first["line"].alias("at"), F.trim(head[0]).alias("storm_id"), F.trim(head[1]).alias("storm_name"), F.trim(head[2]).cast("int").alias("declared"))
+        return F.struct(F.when(start >= 0, header).alias("header"), F.slice("lines", start + 2, end - start - 1).alias("rows"))
+
+    blocks = starts.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size("starts") - 2), block)).alias("b"))
+    rows = blocks.select("path", "b.header", F.size("b.rows").cast("long").alias("found_entries"), F.posexplode("b.rows").alias("k", "row"))
+    rows = rows.select("path", "header", "found_entries", "k", "row.line", "row.text")
     f = F.split(F.trim("text"), r"[\s,]+")
     where = F.concat(F.lit("line "), (F.col("line") + 1).cast("string"))
     checked = F.when(F.col("header").isNull(), F.raise_error(F.concat(where, F.lit(" has no header"))).cast("array<string>")).when(
         F.size(f) != len(CLOUD_BLOCK), F.raise_error(F.concat(where, F.lit(" has not 19 fields"))).cast("array<string>")
     ).otherwise(f)
-    number = F.row_number().over(Window.partitionBy("path", "header.at").orderBy("line"))
-    out = rows.select("path", "line", "header", checked.alias("f"), number.alias("record_number"))
+    out = rows.select("path", "line", "header", "found_entries", checked.alias("f"), (F.col("k") + 1).alias("record_number"))
     names = {n: F.col("f")[k] for k, n in enumerate(CLOUD_BLOCK)}
     hhmm, date = names["hh"].try_cast("int"), names["date"]
     time = F.make_timestamp(F.substring(date, 1, 4).cast("int"), F.substring(date, 5, 2).cast("int"), F.substring(date, 7, 2).cast("int"),
                             F.when(hhmm < 100, hhmm).otherwise(F.floor(hhmm / 100).cast("int")), F.lit(0), F.lit(0))
     return out.select(
         "path", F.col("header.at").alias("block"), F.col("header.storm_id").alias("storm_id"), F.col("header.storm_name").alias("storm_name"), F.col("header.declared").alias("declared_entries"),
-        "record_number", time.alias("time"), _number(names["lat"]).alias("lat"), _number(names["lon"]).alias("lon"),
+        "found_entries", "record_number", time.alias("time"), _number(names["lat"]).alias("lat"), _number(names["lon"]).alias("lon"),
         _number(names["vmax"]).alias("vmax_kt"), _number(names["pmin"]).alias("pmin_hpa"), _number(names["mean"]).alias("rocloud_mean_km"),
         *(_number(names[q]).alias(f"rocloud_{q}") for q in QUADRANTS), *(_number(names[n]).alias(n) for n in CLOUD_BLOCK[11:]),
     )

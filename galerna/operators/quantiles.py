@@ -46,12 +46,13 @@ def type8(df: DataFrame, keys: list[str], value: str, levels: tuple[float, ...]
         F.count("*").over(Window.partitionBy(*keys)).alias("__n"),
     )
 
-    def weight(q: float) -> Column:
+    def between(q: float) -> Column:
+        """From the lower order statistic on, so that between two equal ones it is these."""
         h = F.least(F.greatest((F.col("__n") + F.lit(1 / 3)) * q + F.lit(1 / 3), F.lit(1.0)), F.col("__n").cast("double"))
-        d = F.abs(F.col("__i") - h)
-        return F.when(d < 1, (1 - d) * F.col("__x"))
+        low, high = (F.max(F.when(F.col("__i") == F.floor(h) + k, F.col("__x"))) for k in (0, 1))
+        return low + F.max(h - F.floor(h)) * (F.coalesce(high, low) - low)
 
-    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *(F.sum(weight(q)).alias(column_of(q)) for q in levels))
+    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *(between(q).alias(column_of(q)) for q in levels))
 
 
 def wet(df: DataFrame, keys: list[str], value: str, duration_h: int = 6, levels: tuple[float, ...] = QUANTILES, wet_mm: float = WET_MM) -> DataFrame:

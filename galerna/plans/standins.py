@@ -19,15 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact_sum(c: str):
+    """Sum in decimals, of the same digits in any order of the rows, so that equal sums are equal."""
+    return F.sum(F.col(c).cast("decimal(28,10)")).cast("double")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.expr(f"user_id div {HOURLY_USERS}").alias("cell"), F.date_trunc("hour", "ts").alias("time")).agg(F.sum("value").alias("p"))
+    return e.groupBy(F.expr(f"user_id div {HOURLY_USERS}").alias("cell"), F.date_trunc("hour", "ts").alias("time")).agg(exact_sum("value").alias("p"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, time, p6): 6-h sums of what events there are; steps without any are gaps."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.expr(f"user_id div {CELL_USERS}").alias("cell"), window_end(F.col("ts"), label_is="end").alias("time")).agg(F.sum("value").alias("p6"))
+    return e.groupBy(F.expr(f"user_id div {CELL_USERS}").alias("cell"), window_end(F.col("ts"), label_is="end").alias("time")).agg(exact_sum("value").alias("p6"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,28 @@ def test_equal_sums_are_equal_in_any_order(spark, tmp_path):
     tied = spark.createDataFrame([(x,) for x in [0.1] * 3 + [347.33] * 9 + [400.1] * 3], "x double")
     for q in (0.3, 0.55, 0.7, 0.75):
         assert quantiles.type8(tied, [], "x", (q,)).collect()[0][1] == 347.33
+
+
+def test_declarations_of_a_cell_follow_each_other(spark, tmp_path):
+    """3000 declarations of one place and day in four cells: a file holds each cell in a few runs, and so little of it."""
+    duckdb.sql(f"COPY (SELECT (175 * k)::BIGINT AS o_orderkey, 0::BIGINT AS o_custkey FROM range(0, 3000) t(k)) TO '{tmp_path}/orders.parquet'")
+    duckdb.sql(f"""COPY (SELECT (48 * c)::BIGINT AS user_id, TIMESTAMP '2024-01-01 01:00:00' + to_hours(6 * s::INT) AS ts, (1 + (c * 7 + s * 5) % 9)::DOUBLE AS value
+      FROM range(0, 4) t(c), range(0, 8) u(s)) TO '{tmp_path}/events.parquet'""")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where neither side of the join is small
+    try:
+        got, want = against_sql(spark, tmp_path, "cell_declarations")
+        catalog.queries()["cell_declarations"](spark, str(tmp_path)).coalesce(1).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and len(got) == 12000
+    cells = [r.cell for r in spark.read.parquet(f"{tmp_path}/out").select("cell").collect()]
+    assert sum(a != b for a, b in zip(cells, cells[1:])) < 4 * 3  # blocks of 1000 of kind D and twice of kind E
+
+
+def test_each_declaration_keeps_rows_without_an_id_or_a_kind(spark):
+    rows = [(k if k else None, 1, "DE"[k % 2] if k % 5 else None, T0, T0) for k in range(2500)] + [(9999, 2, "D", T0, T0)]
+    declared = spark.createDataFrame(rows, "id_decl long, place long, kind string, start timestamp, end timestamp")
+    by_range = spark.createDataFrame([(1, T0, T0, c, c / 2) for c in range(3)], "place long, start timestamp, end timestamp, cell long, p6_max double")
+    got = [tuple(r) for r in D.each_declaration(declared, by_range).select("id_decl", "kind", "cell", "p6_max").collect()]
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(got, key=key) == sorted(((i, kind, c, c / 2) for i, p, kind, _, _ in rows if p == 1 for c in range(3)), key=key)

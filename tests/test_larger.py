@@ -4,6 +4,7 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalog import SF, rows_of
 
 from galerna.operators import declarations as D
@@ -122,3 +123,12 @@ def test_each_declaration_keeps_rows_without_an_id_or_a_kind(spark):
     got = [tuple(r) for r in D.each_declaration(declared, by_range).select("id_decl", "kind", "cell", "p6_max").collect()]
     key = lambda r: tuple(str(v) for v in r)
     assert sorted(got, key=key) == sorted(((i, kind, c, c / 2) for i, p, kind, _, _ in rows if p == 1 for c in range(3)), key=key)
+
+
+def test_ranges_of_dates_are_dealt_to_more_tasks_than_a_shuffle_has(spark):
+    """60 ranges of one weight: by four partitions a task would hold a quarter of the rows at least."""
+    rows = [(k, k % 6, "E", T0 + dt.timedelta(days=k % 10), T0 + dt.timedelta(days=k % 10)) for k in range(600)]
+    declared = spark.createDataFrame(rows, "id_decl long, place long, kind string, start timestamp, end timestamp")
+    by_range = declared.select(*D.RANGE).distinct().withColumns({"cell": F.lit(1), "p6_max": F.lit(2.0)})
+    tasks = D.each_declaration(declared, by_range).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 600 and max(r["count"] for r in tasks) < 150

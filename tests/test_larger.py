@@ -3,6 +3,7 @@
 import datetime as dt
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_catalog import SF, rows_of
@@ -10,7 +11,7 @@ from test_catalog import SF, rows_of
 from galerna.operators import declarations as D
 from galerna.operators import joins, quantiles
 from galerna.plans import catalog, standins
-from galerna.sources import tables
+from galerna.sources import staging, tables
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -125,6 +126,18 @@ def test_each_declaration_keeps_rows_without_an_id_or_a_kind(spark):
     assert sorted(got, key=key) == sorted(((i, kind, c, c / 2) for i, p, kind, _, _ in rows if p == 1 for c in range(3)), key=key)
 
 
+def test_rows_by_cell_of_the_workflow_are_not_written_before_they_are_read(spark, tmp_path, monkeypatch):
+    """3000 declarations of one place and day in 40 cells: 120,000 rows of cells, of which what is stored holds none."""
+    duckdb.sql(f"COPY (SELECT (175 * k)::BIGINT AS o_orderkey, 0::BIGINT AS o_custkey FROM range(0, 3000) t(k)) TO '{tmp_path}/orders.parquet'")
+    duckdb.sql(f"""COPY (SELECT (48 * c)::BIGINT AS user_id, TIMESTAMP '2024-01-01 01:00:00' + to_hours(6 * s::INT) AS ts, (1 + (c * 7 + s * 5) % 9)::DOUBLE AS value
+      FROM range(0, 40) t(c), range(0, 8) u(s)) TO '{tmp_path}/events.parquet'""")
+    monkeypatch.setattr(staging, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    got, want = against_sql(spark, tmp_path, "declared_workflow")
+    assert got == want and sum("cells" in r for r in got) == 120_000
+    stored = sum(pq.read_metadata(f).num_rows for f in (tmp_path / "shared").rglob("*.parquet"))
+    assert stored < 40_000
+
+
 def test_ranges_of_dates_are_dealt_to_more_tasks_than_a_shuffle_has(spark):
     """60 ranges of one weight: by four partitions a task would hold a quarter of the rows at least."""
     rows = [(k, k % 6, "E", T0 + dt.timedelta(days=k % 10), T0 + dt.timedelta(days=k % 10)) for k in range(600)]

@@ -6,7 +6,7 @@ the cells. declared: declarations of orders. seasons: yearly values by supplier,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galerna.functions.time import window_end
@@ -35,6 +35,20 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.expr(f"user_id div {CELL_USERS}").alias("cell"), window_end(F.col("ts"), label_is="end").alias("time")).agg(exact_sum("value").alias("p6"))
 
 
+def series_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series`` whose sums of doubles go by the rows of the table, of which event_id is the number, as a scan of it adds them.
+
+    So the SQL has them: two sums of one amount in decimals may differ in their last bit. For what compares sums with each other,
+    or with a bound. A running sum, so that no group is gathered.
+    """
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.expr(f"user_id div {CELL_USERS}").alias("cell"), window_end(F.col("ts"), label_is="end").alias("time"), "event_id", "ts", "value")
+    w = Window.partitionBy("cell", "time").orderBy("event_id", "ts", "value")
+    so_far = F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.select("cell", "time", so_far.alias("sum"), F.row_number().over(w).alias("row"))
+    return ranked.groupBy("cell", "time").agg(F.max_by("sum", "row").alias("p6"))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "events").select(F.expr(f"user_id div {CELL_USERS}").alias("cell")).distinct()
     return c.select("cell", (12.0 + 2.0 * (F.col("cell") % 5)).alias("cell_lat"), (-118.0 + 3.0 * F.floor(F.col("cell") / 5)).alias("cell_lon"))

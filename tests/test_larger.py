@@ -1,6 +1,7 @@
 """What larger tables brought to light: statistics that declarations share, ties, longitudes beyond 180, repeated names."""
 
 import datetime as dt
+import math
 
 import duckdb
 import pyarrow as pa
@@ -148,7 +149,7 @@ def test_ranges_of_dates_are_dealt_to_more_tasks_than_a_shuffle_has(spark):
     assert sum(r["count"] for r in tasks) == 600 and max(r["count"] for r in tasks) < 150
 
 
-@pytest.mark.parametrize("name", ["declustered_peaks"])
+@pytest.mark.parametrize("name", ["declustered_peaks", "percentile_level", "events_above_threshold", "percentile_intervals"])
 def test_sums_that_are_compared_go_by_the_rows(spark, tmp_path, name):
     """40 cells of 20 to 59 steps, whose rain is 20 mm in three parts: in one order in two to sixteen the sum is a bit above 20, and
     with it what is above its neighbours, the cell's percentiles or 20 mm."""
@@ -162,3 +163,13 @@ def test_sums_that_are_compared_go_by_the_rows(spark, tmp_path, name):
     pq.write_table(table, f"{tmp_path}/events.parquet")
     got, want = against_sql(spark, tmp_path, name)
     assert got == want and got
+
+
+def test_between_two_neighbours_lies_one_of_them(spark):
+    """Values a bit apart: with their weights rounded once, the quantile is that of the SQL."""
+    rows = [(k, x) for k in range(200) for x in (10 + k * 1.37, math.nextafter(10 + k * 1.37, 1e9))]
+    levels = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.75, 0.85, 0.9, 0.95)
+    got = [tuple(r) for r in quantiles.type7_by_rank(spark.createDataFrame(rows, "cell long, x double"), ["cell"], "x", levels).orderBy("cell").collect()]
+    values = pa.table(dict(zip(("cell", "x"), zip(*rows))))
+    want = duckdb.sql(f"SELECT cell, {', '.join(f'quantile_cont(x, {q})' for q in levels)} FROM values GROUP BY cell ORDER BY cell").fetchall()
+    assert values.num_rows == 400 and got == want

@@ -178,8 +178,9 @@ def test_between_two_neighbours_lies_one_of_them(spark):
 def test_blocks_of_one_range_are_dealt_to_many_tasks(spark):
     """20,000 declarations of one range, a third without a kind: no task makes, or holds, what all of them yield."""
     kind = F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 2 == 0, "D").otherwise("E"))
-    declared = spark.range(20_000).select(F.col("id").alias("id_decl"), F.lit(1).alias("place"), kind.alias("kind"), F.lit(T0).alias("start"), F.lit(T0).alias("end"))
-    by_range = spark.range(3).select(F.lit(1).alias("place"), F.lit(T0).alias("start"), F.lit(T0).alias("end"), F.col("id").alias("cell"))
+    dates = spark.createDataFrame([(1, T0, T0)], "place long, start timestamp, end timestamp")
+    declared = spark.range(20_000).select(F.col("id").alias("id_decl"), kind.alias("kind")).crossJoin(dates)
+    by_range = dates.crossJoin(spark.range(3).withColumnRenamed("id", "cell"))
     out = D.each_declaration(declared, by_range)
     tasks = out.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 60_000 and len(tasks) > 8 and max(r["count"] for r in tasks) <= 20_000
